@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "panelwright", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "panelwright-warehouse"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
