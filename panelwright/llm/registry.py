@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_query,
     "op3_simhash_near_dedup": simhash.op3_query,
 }
 ORACLES: dict[str, str] = {}
