@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import decontaminate, simhash, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
     "op3_simhash_near_dedup": simhash.op3_query,
+    "op8_decontaminate": decontaminate.op8_query,
 }
 ORACLES: dict[str, str] = {}
 
