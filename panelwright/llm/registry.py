@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, sharding, simhash, substring, tokencount, toxicity
+from . import decontaminate, language, packing, quality, sharding, simhash, substring, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
@@ -10,17 +10,20 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_query,
     "op4_toxicity": toxicity.op4_query,
     "op5_quality_rules": quality.op5_query,
+    "op6_warc_index_merge": warc.op6_query,
     "op7_token_counts": tokencount.op7_query,
     "op8_decontaminate": decontaminate.op8_query,
     "op9_best_fit_packing": packing.op9_query,
     "op10_histogram_sharding": sharding.op10_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc_index_merge": warc.OP6_SQL}
 
 
 def queries() -> dict:
     """Queries by name, the pipeline included."""
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

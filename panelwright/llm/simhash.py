@@ -202,6 +202,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return marked.join(named, "fp")
 
 
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` less all but one row of every near-duplicate group: the one with the smallest ``doc_id``.
+
+    Of repeated rows with that id one stays; a row whose id is null stays only if its group has no ids.
+    The survivors are settled on ids and fingerprints alone, then picked from ``docs`` by a join.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select("doc_id", "text", F.col("_row")), shingle, radius)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # equal ids, or null ids, of one group are told apart by row number
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    kept = own.groupBy(group.alias("_group")).agg(F.min("_row").alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")
+
+
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
