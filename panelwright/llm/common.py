@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: compressed, and columns can be left out."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{fresh('rows')}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to few rows, as a row may be a whole long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, read, schema_of, text_or_empty, utf8, without
+from .common import cut, map_texts, read, schema_of, stored, text_or_empty, utf8, without
 from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -208,7 +208,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     Of repeated rows with that id one stays; a row whose id is null stays only if its group has no ids.
     The survivors are settled on ids and fingerprints alone, then picked from ``docs`` by a join.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_duplicates(rows.select("doc_id", "text", F.col("_row")), shingle, radius)
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # equal ids, or null ids, of one group are told apart by row number
