@@ -12,8 +12,8 @@ bin closes before it is full and a group leaves about one bin that isn't.
 
 from __future__ import annotations
 
-import os
-import re
+import base64
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,55 +26,36 @@ from .common import cut, map_texts, read, schema_of
 
 #: Tokens of a sequence; open bins of a packer; pieces that one packer is fed, about.
 CAPACITY, OPEN_BINS, GROUP_PIECES = 2048, 65536, 50_000
-#: Distinct stretches of text whose ids a worker remembers.
-REMEMBERED = 300_000
 
 
 def default_tokenizer() -> str:
-    """Path of the byte-level BPE with 50,257 ids."""
+    """Path of the byte-level BPE with 50,257 ids: one base64 token and its rank a line."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+# Fixed value: how byte-level BPE of this family cuts a text before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer's pattern never matches across the place before a space that follows a
-    character other than white space. So texts without runs of white space before a space are
-    cut at spaces, and the ids of the stretches are remembered; other texts go whole.
+    The ranks are those of byte_bpe_50k.json, and the ids are the same; this reader of them is
+    several times faster (tests compare the two). Text that spells a special token is plain text.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s |^ ").search
+        import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        """The ids of one text, nothing remembered."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        start = self.whole(head)
-        try:
-            return start + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(rest) - self.known.keys())
-            coded = self.tokenizer.encode_batch([" " + x for x in new], add_special_tokens=False)
-            for x, e in zip(new, coded, strict=True):
-                self.known[x] = np.array(e.ids, dtype="<u4").tobytes()
-            return start + b"".join(map(self.known.__getitem__, rest))
+        ids = self.encode(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
