@@ -1,6 +1,736 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""Registered queries of the engine over the driver's tables, with DuckDB SQL beside each.
+
+The tables hold none of the panels' own data, so each query runs an operator on data of the
+same shape: orders stand for cells, suppliers for sources, event types for categories, and so
+on. Small label and geometry cases come inline.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import geo, labels, numbers, signs
+from .functions.nulls import group_sum, safe_ratio
+from .operators import grids, spatial
+from .operators import relational as rel
+from .plans import estimate, harmonise, rollup
+from .session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def money(column: str) -> F.Column:
+    """Cents as an exact decimal, so that sums don't hang on the order of rows."""
+    return F.col(column).cast("decimal(18,2)")
+
+
+def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Inline rows."""
+    return spark.createDataFrame(rows, names)
+
+
+# ---------------------------------------------------------------- roll-up
+
+
+@query(
+    "q01_point_unit_panel",
+    """
+    WITH img AS (
+      SELECT l_orderkey AS k, count(*) AS n_images, sum(l_quantity) AS q, sum(l_quantity) FILTER (l_returnflag = 'R') AS h,
+        max((l_returnflag = 'R')::INT) AS any_hit FROM lineitem GROUP BY 1
+    ), pano AS (
+      SELECT o_custkey AS point_id, c_nationkey AS unit_id, year(o_orderdate) AS y, img.* FROM orders JOIN img ON k = o_orderkey JOIN customer ON c_custkey = o_custkey
+    ), py AS (
+      SELECT unit_id, point_id, y, count(*) AS n_places, max(any_hit) AS any_hit, sum(n_images) AS n_images, sum(q) AS q, coalesce(sum(h), 0) AS h FROM pano GROUP BY ALL
+    ), py2 AS (
+      SELECT *, CASE WHEN q > 0 THEN h / q END AS share, count(*) OVER (PARTITION BY point_id) AS n_years FROM py
+    )
+    SELECT unit_id::BIGINT AS unit_id, y::BIGINT AS year, count(DISTINCT point_id) AS n_points, sum(n_places)::BIGINT AS n_places, sum(n_images)::BIGINT AS n_images,
+      sum(any_hit)::BIGINT AS n_points_hit, round(avg(share), 6) AS mean_share, count(*) FILTER (n_years > 1) AS n_points_repeated
+    FROM py2 GROUP BY unit_id, y
+    """,
+)
+def q01(spark, d):
+    """Images to places, places to point-years, point-years to unit-years."""
+    images = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.count(F.lit(1)).alias("n_images"), F.sum("l_quantity").alias("q"),
+        group_sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("h"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("any_hit"),
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    places = orders.join(images, F.col("k") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    points = places.groupBy(F.col("c_nationkey").alias("unit_id"), F.col("o_custkey").alias("point_id"), "year").agg(
+        F.count(F.lit(1)).alias("n_places"), F.max("any_hit").alias("any_hit"), F.sum("n_images").alias("n_images"), F.sum("q").alias("q"), F.sum("h").alias("h")
+    )
+    points = points.withColumns({"share": safe_ratio("h", "q"), "n_years": F.count(F.lit(1)).over(Window.partitionBy("point_id"))})
+    return points.groupBy(F.col("unit_id").cast("long").alias("unit_id"), F.col("year").cast("long").alias("year")).agg(
+        F.count_distinct("point_id").alias("n_points"), F.sum("n_places").alias("n_places"), F.sum("n_images").alias("n_images"),
+        F.sum(F.col("any_hit").cast("long")).alias("n_points_hit"), F.round(F.avg("share"), 6).alias("mean_share"), F.count_if(F.col("n_years") > 1).alias("n_points_repeated"),
+    )
+
+
+@query(
+    "q02_first_per_key",
+    """SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
+)
+def q02(spark, d):
+    """First row a key in an explicit order."""
+    return rel.first_per_key(table(spark, d, "events"), ["user_id", "event_type"], F.asc("ts"), F.asc("event_id")).select("user_id", "event_type", "event_id", "value")
+
+
+@query("q02b_only_unique", "SELECT o_custkey, o_orderkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) = 1")
+def q02b(spark, d):
+    """Keys that occur once; all members of repeated keys go."""
+    orders = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return rel.only_unique(orders, ["o_custkey", "y"]).select("o_custkey", "o_orderkey")
+
+
+@query(
+    "q03_best_source",
+    """
+    WITH e AS (SELECT user_id, day(ts)::BIGINT AS d, event_type AS source, (event_id % 7)::BIGINT AS ref, (event_id % 3)::BIGINT AS cat, event_id FROM events),
+    t AS (SELECT user_id, d, ref, min(CASE source WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS r, count(DISTINCT cat) AS n FROM e GROUP BY ALL),
+    b AS (SELECT user_id, d, ref FROM t QUALIFY row_number() OVER (PARTITION BY user_id, d ORDER BY r, n DESC, ref) = 1)
+    SELECT e.user_id, e.d, e.ref, e.cat, min(e.source) AS source FROM e JOIN b USING (user_id, d, ref) GROUP BY ALL
+    """,
+)
+def q03(spark, d):
+    """The reference that serves a cell best: trusted sources first, then more categories, then name."""
+    e = table(spark, d, "events").select("user_id", F.dayofmonth("ts").cast("long").alias("d"), F.col("event_type").alias("source"), (F.col("event_id") % 7).alias("ref"), (F.col("event_id") % 3).alias("cat"))
+    return rel.best_source(e, ["user_id", "d"], "source", "ref", "cat", ["purchase", "click"]).select("user_id", "d", "ref", "cat", "source")
+
+
+@query(
+    "q04_crosstab",
+    """
+    SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase,
+      min(value) FILTER (event_type = 'click') AS first_click FROM events GROUP BY user_id
+    """,
+)
+def q04(spark, d):
+    """Counts by fixed categories, absent ones zero, and a pivoted value."""
+    e = table(spark, d, "events")
+    counts = e.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).count().na.fill(0)
+    first = e.groupBy("user_id").pivot("event_type", ["click"]).agg(F.min("value")).withColumnRenamed("click", "first_click")
+    return counts.join(first, "user_id")
+
+
+@query(
+    "q05_reconcile_series",
+    """
+    WITH l AS (SELECT l_suppkey AS ref, l_partkey AS unit, year(l_shipdate)::BIGINT AS y, l_quantity AS v FROM lineitem WHERE l_quantity BETWEEN 5 AND 45),
+    w AS (SELECT *, median(v) OVER (PARTITION BY unit, y) AS mid, count(v) OVER (PARTITION BY unit, y) AS n, count(*) OVER (PARTITION BY ref) AS coverage FROM l),
+    ok AS (SELECT * FROM w WHERE n < 2 OR v / mid BETWEEN 1 / 1.5::DOUBLE AND 1.5::DOUBLE),
+    s AS (SELECT unit, y, count(DISTINCT v) AS n_values, round_even(max(v) / min(v), 3) AS spread FROM ok GROUP BY ALL),
+    b AS (SELECT unit, y, ref, min(v) AS v, coverage FROM ok GROUP BY unit, y, ref, coverage QUALIFY row_number() OVER (PARTITION BY unit, y ORDER BY coverage DESC, ref) = 1)
+    SELECT unit, y, ref, coverage, n_values, spread FROM b JOIN s USING (unit, y)
+    """,
+)
+def q05(spark, d):
+    """One value a cell out of several series: median filter, then the widest coverage."""
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ref"), F.col("l_partkey").alias("unit"), F.year("l_shipdate").cast("long").alias("y"), F.col("l_quantity").alias("v"))  # noqa: E741
+    return harmonise.reconcile_series(l, "unit", "y", "ref", "v", 5, 45).select("unit", "y", "ref", "coverage", "n_values", "spread")
+
+
+@query(
+    "q06_jumps",
+    """
+    WITH c AS (SELECT user_id, day(ts)::BIGINT AS d, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+    p AS (SELECT *, lag(n) OVER w AS prev_n, lag(d) OVER w AS prev_d FROM c WINDOW w AS (PARTITION BY user_id ORDER BY d))
+    SELECT user_id, d, n, prev_n, prev_d FROM p WHERE prev_n IS NOT NULL AND d - prev_d <= 4 AND greatest(n, prev_n) >= 3 AND least(n, prev_n) > 0 AND greatest(n, prev_n) / least(n, prev_n) > 2
+    """,
+)
+def q06(spark, d):
+    """Consecutive observations that jump."""
+    counts = table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("d")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return rel.jumps(counts, ["user_id"], ["d"], "n", ratio=2, least=3).select("user_id", "d", "n", "prev_n", "prev_d")
+
+
+@query(
+    "q07_anchor_outliers",
+    """
+    WITH p AS (SELECT o_custkey AS unit, year(o_orderdate)::BIGINT AS y, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, CASE WHEN o_custkey % 4 = 0 THEN 150000::DOUBLE END AS pop FROM orders GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN pop > 0 THEN pop WHEN count(total) OVER w >= 3 AND median(total) OVER w > 0 THEN median(total) OVER w END AS anchor FROM p WINDOW w AS (PARTITION BY unit))
+    SELECT unit, y, total, round(anchor, 4) AS anchor, round_even(total / anchor, 2) AS ratio FROM m WHERE abs(total / anchor - 1) > 0.35
+    """,
+)
+def q07(spark, d):
+    """Totals that stray from an outside figure or from the unit's median."""
+    p = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit"), F.year("o_orderdate").cast("long").alias("y")).agg(F.sum(money("o_totalprice")).cast("double").alias("total"))
+    p = p.withColumn("pop", F.when(F.col("unit") % 4 == 0, 150000.0))
+    return rel.anchor_outliers(p, "unit", "total", "pop").select("unit", "y", "total", F.round("anchor", 4).alias("anchor"), "ratio")
+
+
+CASCADE_SQL = """
+    WITH dim AS (SELECT (s_suppkey % 5)::BIGINT AS prov, CASE WHEN s_suppkey % 3 = 0 THEN 'kota' ELSE 'kabupaten' END AS level, 'u' || (s_suppkey % 23) AS k, s_suppkey AS code FROM supplier),
+    f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 6 END AS prov, CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'kota' ELSE 'kabupaten' END AS level, 'u' || (c_custkey % 29) AS k FROM customer),
+    d1 AS (SELECT * FROM dim QUALIFY count(*) OVER (PARTITION BY prov, level, k) = 1),
+    d2 AS (SELECT * FROM dim QUALIFY count(*) OVER (PARTITION BY prov, k) = 1),
+    d4 AS (SELECT * FROM dim QUALIFY count(*) OVER (PARTITION BY k) = 1),
+    d5 AS (SELECT * FROM dim QUALIFY count(*) OVER (PARTITION BY level, k) = 1)
+    SELECT f.id, coalesce(d1.code, d2.code, d3.code, d4.code, d5.code) AS code,
+      (CASE WHEN d1.code IS NOT NULL THEN 1 WHEN d2.code IS NOT NULL THEN 2 WHEN d3.code IS NOT NULL THEN 3 WHEN d4.code IS NOT NULL THEN 4 WHEN d5.code IS NOT NULL THEN 5 END)::BIGINT AS match_level
+    FROM f LEFT JOIN d1 ON d1.prov = f.prov AND d1.level = f.level AND d1.k = f.k
+    LEFT JOIN d2 ON d2.prov = f.prov AND d2.k = f.k
+    LEFT JOIN d1 AS d3 ON f.level = 'unknown' AND d3.prov = f.prov AND d3.level = 'kabupaten' AND d3.k = f.k
+    LEFT JOIN d4 ON d4.k = f.k LEFT JOIN d5 ON f.level = 'unknown' AND d5.level = 'kabupaten' AND d5.k = f.k
+"""
+
+
+@query("q08_cascade_lookup", CASCADE_SQL)
+def q08(spark, d):
+    """Codes through five keys, ever looser."""
+    dim = table(spark, d, "supplier").select(
+        (F.col("s_suppkey") % 5).alias("prov"), F.when(F.col("s_suppkey") % 3 == 0, "kota").otherwise("kabupaten").alias("level"),
+        F.concat(F.lit("u"), (F.col("s_suppkey") % 23).cast("string")).alias("k"), F.col("s_suppkey").alias("code"),
+    )
+    c = F.col("c_custkey")
+    facts = table(spark, d, "customer").select(
+        c.alias("id"), F.when(c % 11 != 0, c % 6).alias("prov"), F.when(c % 4 == 0, "unknown").when(c % 4 == 1, "kota").otherwise("kabupaten").alias("level"),
+        F.concat(F.lit("u"), (c % 29).cast("string")).alias("k"),
+    )
+    unknown = F.col("level") == "unknown"
+    levels = [(["prov", "level", "k"], {}, None), (["prov", "k"], {}, None), (["prov", "level", "k"], {"level": "kabupaten"}, unknown), (["k"], {}, None), (["level", "k"], {"level": "kabupaten"}, unknown)]
+    return rel.cascade_lookup(facts, dim, levels, "code").select("id", "code", F.col("match_level").cast("long").alias("match_level"))
+
+
+@query(
+    "q09_weighted_allocation",
+    """
+    WITH x AS (SELECT n_nationkey AS nk, r.t, CASE WHEN r.t % 3 = 0 THEN NULL ELSE (r.t + 1)::DOUBLE END AS w FROM nation, (SELECT unnest(range(4)) AS t) r WHERE n_nationkey % 6 <> 5),
+    w AS (SELECT nk, t, coalesce(w, 1) / sum(coalesce(w, 1)) OVER (PARTITION BY nk) AS w FROM x)
+    SELECT s_suppkey, t AS target, round(CASE WHEN t IS NULL THEN s_acctbal ELSE s_acctbal * w END, 4) AS amount, t IS NOT NULL AS allocated FROM supplier LEFT JOIN w ON nk = s_nationkey
+    """,
+)
+def q09(spark, d):
+    """Amounts spread over targets by normalised weights; what has no target stays."""
+    cross = table(spark, d, "nation").where("n_nationkey % 6 <> 5").select(F.col("n_nationkey").alias("s_nationkey"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("target"))
+    cross = cross.withColumn("w", F.when(F.col("target") % 3 != 0, (F.col("target") + 1).cast("double")))
+    out = rel.allocate(table(spark, d, "supplier"), cross, "s_nationkey", "target", "w", "s_acctbal")
+    return out.select("s_suppkey", "target", F.round("s_acctbal", 4).alias("amount"), "allocated")
+
+
+@query(
+    "q10_wildcard_rules",
+    """
+    WITH r(st, pr, y) AS (VALUES ('F', NULL, 1995), (NULL, '1-URGENT', 1996), ('P', NULL, NULL), (NULL, NULL, NULL))
+    SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM r WHERE NOT (st IS NULL AND pr IS NULL AND y IS NULL)
+      AND (st IS NULL OR st = o_orderstatus) AND (pr IS NULL OR pr = o_orderpriority) AND (y IS NULL OR y = year(o_orderdate)))
+    """,
+)
+def q10(spark, d):
+    """Rows that no curated rule hits; a rule that hits all is ignored."""
+    rules = values(spark, [("F", None, 1995), (None, "1-URGENT", 1996), ("P", None, None), (None, None, None)], "o_orderstatus string, o_orderpriority string, y int")
+    orders = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return rel.drop_by_rules(orders, rules, ["o_orderstatus", "o_orderpriority", "y"]).select("o_orderkey")
+
+
+@query(
+    "q11_row_quality",
+    """
+    WITH p AS (
+      SELECT l_orderkey AS k, max(l_quantity) FILTER (l_linenumber = 1) AS islam, max(l_quantity) FILTER (l_linenumber = 2) AS kristen, max(l_quantity) FILTER (l_linenumber = 3) AS katolik,
+        max(floor(l_quantity / 10)) FILTER (l_linenumber = 4) AS hindu, max(floor(l_quantity / 10)) FILTER (l_linenumber = 5) AS buddha, max(floor(l_quantity / 10)) FILTER (l_linenumber = 6) AS konghucu,
+        max(floor(l_quantity / 10)) FILTER (l_linenumber = 7) AS kepercayaan, NULL::DOUBLE AS lainnya FROM lineitem GROUP BY 1
+    ), v AS (SELECT *, list_filter([islam, kristen, katolik, hindu, buddha, konghucu, kepercayaan, lainnya], lambda x: x IS NOT NULL) AS v FROM p)
+    SELECT k, CASE WHEN len(v) >= 3 AND list_sum(v) BETWEEN 99 AND 101 AND list_max(v) <= 100 THEN 'percent'
+      WHEN len(list_filter(v, lambda x: x <> 0 AND len(list_filter(v, lambda y: y = x)) >= 4)) > 0 THEN 'placeholder'
+      WHEN len(v) = 0 THEN 'no_religions' WHEN islam IS NULL OR kristen IS NULL OR katolik IS NULL THEN 'partial' ELSE '' END AS quality FROM v
+    """,
+)
+def q11(spark, d):
+    """What is wrong with a wide row of counts."""
+    names = ["islam", "kristen", "katolik", "hindu", "buddha", "konghucu", "kepercayaan"]
+    q = F.when(F.col("l_linenumber") <= 3, F.col("l_quantity")).otherwise(F.floor(F.col("l_quantity") / 10).cast("double"))
+    wide = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(*[F.max(F.when(F.col("l_linenumber") == i + 1, q)).alias(n) for i, n in enumerate(names)])
+    return wide.withColumn("lainnya", F.lit(None).cast("double")).select("k", harmonise.cell_quality().alias("quality"))
+
+
+@query(
+    "q12_total_repair",
+    """
+    WITH l AS (SELECT l_orderkey AS k, sum(l_quantity) AS s, max(l_quantity) FILTER (l_returnflag = 'R') AS a, max(l_quantity) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1),
+    t AS (SELECT *, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN s * 2 ELSE s END AS reported FROM l)
+    SELECT k, CASE WHEN reported / s BETWEEN 0.9 AND 1.1 THEN reported ELSE s END AS total, reported, coalesce(a, b) AS upper_bound, a IS NULL AND b IS NOT NULL AS bound_is_other FROM t
+    """,
+)
+def q12(spark, d):
+    """Totals checked against sums and filled by them, and an upper bound."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(  # noqa: E741
+        F.sum("l_quantity").alias("s"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("a"), F.max(F.when(F.col("l_returnflag") == "N", F.col("l_quantity"))).alias("b")
+    )
+    l = l.withColumn("total", F.when(F.col("k") % 5 == 0, None).when(F.col("k") % 5 == 1, F.col("s") * 2).otherwise(F.col("s"))).withColumn("quality", F.lit(""))  # noqa: E741
+    out = harmonise.repair_totals(l, ["s"])
+    return out.select("k", "total", F.col("total_reported").alias("reported"), F.coalesce("a", "b").alias("upper_bound"), (F.col("a").isNull() & F.col("b").isNotNull()).alias("bound_is_other"))
+
+
+# ---------------------------------------------------------------- labels and numbers
+
+LABELS = [
+    "Konghucu", "Khonghuchu", "Islam/Moslem", "Kristen Protestan", "Katholik", "Hindu", "Budha", "Buddhist", "Aliran Kepercayaan", "Lainnya", "Jumlah/Total",
+    "Kota_Médan", "  KAB.  Deli-Serdang ", "Semester II 2021", "2019 dan 2023", "no year 1899", None,
+]
+LABEL_VALUES = ", ".join("(" + ("NULL" if x is None else "'" + x + "'") + ")" for x in LABELS)
+
+
+@query(
+    "q13_labels",
+    f"""
+    WITH t(x) AS (VALUES {LABEL_VALUES}), n AS (SELECT x, trim(regexp_replace(lower(strip_accents(x)), '[\\s_.\\-]+', ' ', 'g')) AS s FROM t)
+    SELECT x, s AS label, CASE WHEN regexp_matches(s, 'k?h?ong\\s*hu\\s*ch?u|confuc') THEN 'konghucu' WHEN regexp_matches(s, 'kepercayaan|penghayat|aliran') THEN 'kepercayaan'
+      WHEN regexp_matches(s, '\\bislam\\b|muslim') THEN 'islam' WHEN regexp_matches(s, 'kristen|protestan') THEN 'kristen' WHEN regexp_matches(s, 'katolik|katholik|catholic') THEN 'katolik'
+      WHEN regexp_matches(s, '\\bhindu\\b') THEN 'hindu' WHEN regexp_matches(s, 'bud+h?a|buddhis') THEN 'buddha' WHEN regexp_matches(s, 'lain|other') THEN 'lainnya' WHEN regexp_matches(s, 'jumlah|total') THEN 'total' END AS religion,
+      list_extract(regexp_extract_all(x, '\\b(19[89]\\d|20[0-4]\\d)\\b'), -1)::BIGINT AS year,
+      (CASE WHEN regexp_matches(s, 'semester\\s*(ii|2)\\b') THEN 2 WHEN regexp_matches(s, 'semester\\s*(i|1)\\b') THEN 1 END)::BIGINT AS semester
+    FROM n
+    """,
+)
+def q13(spark, d):
+    """Labels normalised, religions, years and half-years named."""
+    t = values(spark, [(x,) for x in LABELS], "x string")
+    return t.select(
+        "x", labels.norm_label("x").alias("label"), labels.canonical_religion("x").alias("religion"),
+        labels.year_from_text("x").cast("long").alias("year"), labels.semester_from_text("x").cast("long").alias("semester"),
+    )
+
+
+@query(
+    "q13b_part_labels",
+    """
+    WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[\\s_.\\-]+', ' ', 'g')) AS s FROM part)
+    SELECT CASE WHEN regexp_matches(s, 'standard|medium') THEN 'usual' WHEN regexp_matches(s, 'large|economy') THEN 'bulk' END AS kind, count(*) AS n, count(DISTINCT s) AS n_labels FROM n GROUP BY 1
+    """,
+)
+def q13b(spark, d):
+    """An ordered list of patterns over a table's labels."""
+    s = labels.norm_label("p_type")
+    kind = labels.first_match(s, [("usual", "standard|medium"), ("bulk", "large|economy")])
+    return table(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(s).alias("n_labels"))
+
+
+NUMERALS = ["1.234.567", "12,5", "1,234", "1.5", "1.234,56", "-", "–", "", "...", "n.a.", "abc", "1.2.34", "12 345", "1.234", "-5", None, "(1.000)"]
+NUMERAL_VALUES = ", ".join("(" + ("NULL" if x is None else "'" + x + "'") + ")" for x in NUMERALS)
+
+
+@query(
+    "q14_numerals",
+    f"""
+    WITH t(x) AS (VALUES {NUMERAL_VALUES}), n AS (SELECT x, regexp_replace(trim(x), '[^0-9,.\\-]', '', 'g') AS s FROM t)
+    SELECT x, CASE WHEN trim(x) IN ('-', '–', '—') THEN 0 WHEN trim(x) IN ('', 'nan', 'None', 'n.a.', 'na', 'NA', '...') OR s IN ('', '-') THEN NULL
+      WHEN contains(s, ',') AND contains(s, '.') THEN try_cast(replace(replace(s, '.', ''), ',', '.') AS DOUBLE)
+      WHEN contains(s, '.') THEN try_cast(CASE WHEN regexp_matches(s, '^[^.]*(\\.[^.]{{3}})+$') THEN replace(s, '.', '') ELSE s END AS DOUBLE)
+      WHEN contains(s, ',') THEN try_cast(CASE WHEN regexp_matches(s, '^[^,]*(,[^,]{{3}})+$') THEN replace(s, ',', '') ELSE replace(s, ',', '.') END AS DOUBLE)
+      ELSE try_cast(s AS DOUBLE) END AS n FROM n
+    """,
+)
+def q14(spark, d):
+    """Numerals with either separator."""
+    return values(spark, [(x,) for x in NUMERALS], "x string").select("x", numbers.parse_count("x", dash_zero=True).alias("n"))
+
+
+@query(
+    "q14b_formatted_prices",
+    """SELECT l_returnflag, sum((l_extendedprice * 100)::DECIMAL(18,0)) / 100::DOUBLE AS total FROM lineitem GROUP BY 1""",
+)
+def q14b(spark, d):
+    """Prices printed with a decimal comma and read again."""
+    l = table(spark, d, "lineitem").withColumn("printed", F.replace(money("l_extendedprice").cast("string"), F.lit("."), F.lit(",")))  # noqa: E741
+    cents = (numbers.parse_count("printed") * 100).cast("decimal(18,0)")
+    return l.groupBy("l_returnflag").agg((F.sum(cents).cast("double") / 100).alias("total"))
+
+
+NATIONS = ["Tiongkok", "China (Taiwan)", "Hong Kong SAR", "Rep. Rakyat China", "Korea Utara", "Korea Selatan", "Korea", "Jepang/Japan", "Lainnya", "Jumlah", "ITAS", "KITAP", "Kantor Imigrasi Kelas I TPI Medan", "2021", "Tahun 2019", "xyz", None]
+
+
+@query("q13c_header_roles")
+def q13c(spark, d):
+    """Roles of header labels: nation, permit, year, office, total."""
+    t = values(spark, [(x,) for x in NATIONS], "x string")
+    role = labels.header_role("x")
+    return t.select("x", role["role"].alias("role"), role["value"].alias("value"), labels.norm_kanim("x").alias("office"), labels.country_group("x").alias("country_group"))
+
+
+UNITS = ["Kab. Deli Serdang", "KOTA MEDAN", "2. Bulungan *)", "<b>Kota Administrasi</b> Jakarta Pusat", "Labuan Batu", "Pangkep", "SP 2010", "Sumber: BPS", "3308 Kabupaten Magelang", "Batu Kota", "-"]
+
+
+@query("q13d_unit_names")
+def q13d(spark, d):
+    """Unit names, keys, levels, and whether a label is a unit at all."""
+    t = values(spark, [(x,) for x in UNITS], "x string")
+    return t.select("x", labels.norm_unit_name("x").alias("name"), labels.unit_key("x").alias("key"), labels.unit_level("x").alias("level"), labels.is_unit_name("x").alias("is_unit"))
+
+
+@query("q14c_watermarks_percents")
+def q14c(spark, d):
+    """Cells with watermark letters, percent cells and percent tables, units of count."""
+    t = values(spark, [(["1b2p3", "-", "45,6", "7,25"], "ribu"), (["12,5", "3,75", "80,1", "3,65"], "persons"), (["x"], "juta jiwa")], "cells array<string>, unit string")
+    return t.select(
+        "unit", F.transform("cells", numbers.watermarked_count).alias("counts"), F.transform("cells", numbers.percent_value).alias("percents"),
+        numbers.is_percent_table("cells").alias("is_percent"), numbers.unit_scale("unit", F.lit("")).alias("scale"),
+    )
+
+
+@query(
+    "q15_sign_scores",
+    """SELECT * FROM (VALUES ('a', 4, 'local', 4.0::DOUBLE), ('b', 4, 'mainland', -2.5::DOUBLE), ('c', 2, 'ambiguous', 0.0::DOUBLE), ('d', 0, 'ambiguous', -0.5::DOUBLE)) t(id, n_cjk, sign_type, sign_score)""",
+)
+def q15(spark, d):
+    """Sign texts scored with their script and the Latin texts beside them."""
+    rows = [("a", "觀音佛堂", "traditional", ["Toko Jaya", None]), ("b", "兰州拉面", "simplified", []), ("c", "你好", "unknown", []), ("d", "abc", "unknown", ["Beijing Zhongguo"])]
+    t = values(spark, rows, "id string, text string, script string, beside array<string>")
+    s = signs.score_sign(F.col("text"), F.col("script"), F.col("beside"))
+    return t.select("id", signs.count_cjk(F.col("text")).alias("n_cjk"), s["sign_type"].alias("sign_type"), s["sign_score"].alias("sign_score"))
+
+
+# ---------------------------------------------------------------- geometry
+
+
+@query(
+    "q16_geometry",
+    """
+    WITH t AS (SELECT c_custkey AS id, (c_custkey % 360)::DOUBLE - 180 + 0.5 AS lon, (c_custkey % 160)::DOUBLE - 80 + 0.25 AS lat FROM customer)
+    SELECT id, ((CASE WHEN lat < 0 THEN 32700 ELSE 32600 END) + floor((lon + 180) / 6) + 1)::BIGINT AS epsg, round(((degrees(atan2(lon, lat)) % 360) + 360) % 360, 6) AS bearing,
+      round(2 * 6371000 * asin(sqrt(sin((radians(lat) - 0) / 2) ** 2 + cos(0) * cos(radians(lat)) * sin(radians(lon) / 2) ** 2)), 2) AS metres FROM t
+    """,
+)
+def q16(spark, d):
+    """Zones, bearings and distances."""
+    c = F.col("c_custkey")
+    t = table(spark, d, "customer").select(c.alias("id"), ((c % 360).cast("double") - 180 + 0.5).alias("lon"), ((c % 160).cast("double") - 80 + 0.25).alias("lat"))
+    return t.select("id", geo.utm_epsg("lon", "lat").cast("long").alias("epsg"), F.round(geo.bearing("lon", "lat"), 6).alias("bearing"), F.round(geo.haversine_m(F.lit(0.0), F.lit(0.0), "lat", "lon"), 2).alias("metres"))
+
+
+@query("q16b_polygons", """SELECT * FROM (VALUES ('sq', 16::DOUBLE, 0.3333::DOUBLE), ('tri', 8::DOUBLE, 0.5::DOUBLE), ('line', 0::DOUBLE, 0::DOUBLE)) t(id, area, iou)""")
+def q16b(spark, d):
+    """Areas of polygons in text form and the overlap of their hulls."""
+    rows = [("sq", "0,0;4,0;4,4;0,4", "2,0;6,0;6,4;2,4"), ("tri", "0,0;4,0;0,4", "0,0;4,0;4,2;0,2"), ("line", "0,0;4,0", "8,8;9,9;9,8")]
+    t = values(spark, rows, "id string, a string, b string")
+    a, b = geo.parse_polygon("a"), geo.parse_polygon("b")
+    return t.select("id", geo.polygon_area(a).alias("area"), F.round(geo.hull_iou(a, b), 4).alias("iou"))
+
+
+@query("q16c_points_along")
+def q16c(spark, d):
+    """Points every 50 m along lines, starting at a hash of the line, with bearings."""
+    line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (120, 0), (120, 90))])
+    return spatial.sample_lines(table(spark, d, "nation").select("n_nationkey", line.alias("line")), "n_nationkey", "line", 50.0)
+
+
+@query(
+    "q16d_points_in_polygons",
+    """
+    WITH p AS (SELECT c_custkey AS id, (c_custkey % 100)::DOUBLE / 10 + 0.05 AS x, ((c_custkey // 7) % 100)::DOUBLE / 10 + 0.05 AS y FROM customer)
+    SELECT unit, count(*) AS n FROM p JOIN (VALUES ('a', 0, 0, 4, 4), ('b', 4, 0, 9, 5), ('c', 2, 6, 8, 9)) t(unit, x0, y0, x1, y1) ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1
+    """,
+)
+def q16d(spark, d):
+    """Points by the polygon that holds them."""
+    c = F.col("c_custkey")
+    points = table(spark, d, "customer").select(c.alias("id"), ((c % 100).cast("double") / 10 + 0.05).alias("x"), ((F.floor(c / 7) % 100).cast("double") / 10 + 0.05).alias("y"))
+    box = lambda u, x0, y0, x1, y1: (u, f"{x0},{y0};{x1},{y0};{x1},{y1};{x0},{y1}")
+    units = values(spark, [box("a", 0, 0, 4, 4), box("b", 4, 0, 9, 5), box("c", 2, 6, 8, 9)], "unit string, shape string")
+    units = units.select("unit", geo.parse_polygon("shape").alias("ring"))
+    return spatial.points_in_polygons(points, units, "unit", "ring", cell=2.0).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- scores and summaries
+
+
+@query(
+    "q17_confusion",
+    """
+    WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 1) AS tp, count(*) FILTER (toxic <> 1 AND quality = 1) AS fp, count(*) FILTER (toxic = 1 AND quality <> 1) AS fn, count(*) FILTER (toxic <> 1 AND quality <> 1) AS tn FROM labels WHERE toxic IS NOT NULL)
+    SELECT tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+      round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / nullif(tp / (tp + fp) + tp / (tp + fn), 0), 6) AS f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy FROM c
+    """,
+)
+def q17(spark, d):
+    """Confusion counts and the scores from them."""
+    out = rollup.classification_score(table(spark, d, "labels"), "toxic", "quality")
+    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query(
+    "q18_describe",
+    """SELECT count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min, quantile_cont(o_totalprice, 0.25) AS p25,
+       quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.75) AS p75, max(o_totalprice) AS max FROM orders""",
+)
+def q18(spark, d):
+    """Count, mean, deviation, extremes and percentiles."""
+    return estimate.describe(table(spark, d, "orders"), "o_totalprice").withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("q18b_change_summary", """SELECT count(value) AS n, round(avg(value - 50), 6) AS mean, median(value - 50) AS median, round(avg((coalesce(value > 50, false))::INT), 6) AS up, round(avg((coalesce(value < 50, false))::INT), 6) AS down, round(avg((coalesce(value = 50, false))::INT), 6) AS same FROM events""")
+def q18b(spark, d):
+    """Mean, median and shares of rises, falls and standstills."""
+    out = estimate.change_summary(table(spark, d, "events").withColumn("x", F.col("value") - 50), "x")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "up", "down", "same")})
+
+
+@query("q18c_coverage", """SELECT year(o_orderdate)::BIGINT AS year, count(DISTINCT o_custkey) AS units, count(o_totalprice) AS totals, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS finished FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1""")
+def q18c(spark, d):
+    """Distinct units and values present, by year of a range."""
+    y = F.year("o_orderdate").cast("long")
+    return table(spark, d, "orders").where(y.between(1996, 1999)).groupBy(y.alias("year")).agg(F.count_distinct("o_custkey").alias("units"), F.count("o_totalprice").alias("totals"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+
+
+@query("q19_top_k", "SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1 ORDER BY q DESC, l_suppkey LIMIT 10")
+def q19(spark, d):
+    """The ten largest, ties by key."""
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).orderBy(F.desc("q"), "l_suppkey").limit(10)
+
+
+@query(
+    "q20_dense_running_sum",
+    """
+    WITH s AS (SELECT o_custkey AS unit, year(o_orderdate)::INT AS y, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS v FROM orders GROUP BY ALL),
+    g AS (SELECT DISTINCT unit, t.y FROM s, (SELECT unnest(range(1995, 2002))::INT AS y) t)
+    SELECT unit, y::BIGINT AS y, round(sum(coalesce(v, 0)) OVER (PARTITION BY unit ORDER BY y), 2) AS v_stock FROM g LEFT JOIN s USING (unit, y)
+    """,
+)
+def q20(spark, d):
+    """Running sums on a grid of every unit and year."""
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("y")).agg(F.sum(money("o_totalprice")).cast("double").alias("v"))
+    return rel.dense_running_sum(s, "unit", "y", "v", 1995, 2001).select("unit", F.col("y").cast("long").alias("y"), F.round("v_stock", 2).alias("v_stock"))
+
+
+@query(
+    "q21_within_slope",
+    """
+    WITH o AS (SELECT o_custkey AS u, year(o_orderdate)::DOUBLE AS x, o_totalprice AS y FROM orders),
+    w AS (SELECT x - avg(x) OVER (PARTITION BY u) AS x, y - avg(y) OVER (PARTITION BY u) AS y FROM o)
+    SELECT round(sum(x * y) / sum(x * x), 4) AS slope, count(*) AS n FROM w
+    """,
+)
+def q21(spark, d):
+    """Slope within units, from deviations."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), F.year("o_orderdate").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    w = rel.demeaned(o, "u", ["x", "y"])
+    return w.agg(F.round(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")), 4).alias("slope"), F.count(F.lit(1)).alias("n"))
+
+
+@query("q22_ols", """SELECT round(regr_slope(o_totalprice / 1000, year(o_orderdate)), 5) AS beta, regr_count(o_totalprice, year(o_orderdate))::BIGINT AS n FROM orders""")
+def q22(spark, d):
+    """Least squares from sums of products."""
+    o = table(spark, d, "orders").select((F.col("o_totalprice") / 1000).alias("y"), F.year("o_orderdate").cast("double").alias("x"))
+    row = estimate.ols(o, "y", ["x"]).row("x")
+    return values(spark, [(round(row["beta"], 5), row["n"])], "beta double, n long")
+
+
+@query("q22b_robust_errors")
+def q22b(spark, d):
+    """Several regressors with HC1, HC3 and clustered errors."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        (F.col("o_totalprice") / 1000).alias("y"), F.year("o_orderdate").cast("double").alias("x"), (F.col("c_acctbal") / 1000).alias("z"), F.col("c_nationkey").alias("g")
+    )
+    rows = []
+    for kind in ("classical", "HC1", "HC3", "cluster"):
+        fit = estimate.ols(o, "y", ["x", "z"], cluster="g", kind=kind)
+        rows += [(kind, r["term"], r["beta"], r["se"], r["p"], r["n"]) for r in (fit.row("x"), fit.row("z"))]
+    return values(spark, rows, "kind string, term string, beta double, se double, p double, n long")
+
+
+@query(
+    "q23_two_period",
+    """
+    WITH o AS (SELECT o_custkey AS unit, year(o_orderdate) AS y, count(*)::DOUBLE AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS p FROM orders GROUP BY ALL),
+    w AS (SELECT unit, max(n) FILTER (y = 1996) AS y0, max(n) FILTER (y = 1999) AS y1, max(p) FILTER (y = 1996) AS p0, max(p) FILTER (y = 1999) AS p1 FROM o GROUP BY 1)
+    SELECT unit, y0, y1, round(1000 * y1 / p1 - 1000 * y0 / p0, 6) AS change, round(ln(1 + y1) - ln(1 + y0), 6) AS dlog_count FROM w WHERE y0 IS NOT NULL AND y1 IS NOT NULL
+    """,
+)
+def q23(spark, d):
+    """Change between two years."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit_code"), F.year("o_orderdate").alias("year")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("population")
+    ).withColumn("ref", F.lit("a:1"))
+    out = estimate.two_period(o, "n", 1996, 1999)
+    return out.select(F.col("unit_code").alias("unit"), "y0", "y1", F.round("change", 6).alias("change"), F.round("dlog_count", 6).alias("dlog_count"))
+
+
+@query(
+    "q24_investment_outer",
+    """
+    WITH r AS (SELECT c_nationkey AS u, 'f' AS s, c_mktsegment AS o, (c_acctbal::DECIMAL(18,2)) AS a FROM customer WHERE c_nationkey % 3 <> 0 UNION ALL SELECT s_nationkey, 'd', NULL, s_acctbal::DECIMAL(18,2) FROM supplier WHERE s_nationkey % 4 <> 0),
+    f AS (SELECT u, sum(a) AS fdi, sum(CASE WHEN o = 'BUILDING' THEN a ELSE 0 END) AS building FROM r WHERE s = 'f' GROUP BY 1), dm AS (SELECT u, sum(a) AS domestic FROM r WHERE s = 'd' GROUP BY 1)
+    SELECT coalesce(f.u, dm.u)::BIGINT AS u, coalesce(fdi, 0)::DOUBLE AS fdi, coalesce(building, 0)::DOUBLE AS building, coalesce(domestic, 0)::DOUBLE AS domestic FROM f FULL OUTER JOIN dm ON f.u = dm.u
+    """,
+)
+def q24(spark, d):
+    """Conditional sums of two kinds, outer joined, absent is zero."""
+    f = table(spark, d, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").cast("long").alias("u")).agg(
+        F.sum(money("c_acctbal")).cast("double").alias("fdi"), F.sum(F.when(F.col("c_mktsegment") == "BUILDING", money("c_acctbal")).otherwise(0)).cast("double").alias("building")
+    )
+    dm = table(spark, d, "supplier").where("s_nationkey % 4 <> 0").groupBy(F.col("s_nationkey").cast("long").alias("u")).agg(F.sum(money("s_acctbal")).cast("double").alias("domestic"))
+    return f.join(dm, "u", "full_outer").na.fill(0.0)
+
+
+@query(
+    "q25_weighted_tabulation",
+    """
+    WITH t AS (SELECT sum(c_custkey) AS s FROM customer)
+    SELECT c_nationkey::BIGINT AS unit, c_mktsegment AS category, round(sum(c_custkey) * CASE WHEN any_value(t.s) > 10 * 100000 THEN 0.01::DOUBLE ELSE 1 END, 4) AS weighted, count(*) AS sample FROM customer, t GROUP BY ALL
+    """,
+)
+def q25(spark, d):
+    """Weighted counts whose weights may have implied decimals."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("unit"), F.col("c_mktsegment").alias("category"), F.col("c_custkey").alias("w"))
+    return estimate.tabulate_weighted(c, "unit", "w", "category", 100_000).withColumn("weighted", F.round("weighted", 4))
+
+
+@query("q25b_mode", "SELECT user_id, min(event_type) AS usual FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type QUALIFY rank() OVER (PARTITION BY user_id ORDER BY count(*) DESC) = 1) GROUP BY 1")
+def q25b(spark, d):
+    """The commonest value of a group, the least on ties."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("usual"))
+
+
+# ---------------------------------------------------------------- sets and increments
+
+
+@query(
+    "q26_set_difference",
+    """
+    WITH y AS (SELECT DISTINCT o_custkey AS u, year(o_orderdate) AS y FROM orders), h AS (SELECT u FROM y WHERE y IN (1996, 1997, 1998) GROUP BY u HAVING count(*) = 3)
+    SELECT DISTINCT u FROM y WHERE y IN (1995, 1996) AND u NOT IN (SELECT u FROM h)
+    """,
+)
+def q26(spark, d):
+    """Units seen in a base year less those that have all target years."""
+    y = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), F.year("o_orderdate").alias("y"))
+    return y.where("y in (1995, 1996)").select("u").distinct().join(rel.has_all(y, "u", "y", [1996, 1997, 1998]), "u", "left_anti")
+
+
+@query("q26b_union_keep_last", "SELECT k, v, x FROM (SELECT c_custkey AS k, c_acctbal AS v, NULL::INT AS x, 0 AS b FROM customer UNION ALL SELECT s_suppkey, s_acctbal, s_nationkey, 1 FROM supplier) QUALIFY row_number() OVER (PARTITION BY k ORDER BY b DESC) = 1")
+def q26b(spark, d):
+    """Two tables of different columns by name, the later row of a key."""
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_nationkey").alias("x"))
+    return rel.union_keep_last(old, new, ["k"]).select("k", "v", "x")
+
+
+@query("q27_resume", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND day(ts) <= 2 AND user_id IS NOT NULL)")
+def q27(spark, d):
+    """Items whose key the ledger lacks."""
+    from .streaming.incremental import not_done
+
+    e = table(spark, d, "events")
+    return not_done(e, e.where("event_type = 'purchase' and day(ts) <= 2"), ["user_id"]).select("event_id")
+
+
+@query("q28_json_props", "SELECT event_type, sum((json_extract_string(props, '$.k'))::BIGINT)::BIGINT AS k, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1")
+def q28(spark, d):
+    """Fields of JSON text."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k"), F.count(k).alias("n"))
+
+
+CUBE = (
+    '{"vervar":[{"val":"1","label":"1101 A"},{"val":"2","label":"1102 B"}],"var":[{"val":"9","label":"pop"}],"turvar":[{"val":"0","label":"L"},{"val":"5","label":"P"}],'
+    '"tahun":[{"val":"120","label":"2020"},{"val":"121","label":"2021"}],"turtahun":[{"val":"0","label":""}],"datacontent":{"1901200":10,"1951200":11,"2901210":7,"2951210":8.5}}'
+)
+
+
+@query("q28b_json_cube", """SELECT * FROM (VALUES ('1101 A', 'L', '2020', 10.0::DOUBLE), ('1101 A', 'P', '2020', 11.0::DOUBLE), ('1102 B', 'L', '2021', 7.0::DOUBLE), ('1102 B', 'P', '2021', 8.5::DOUBLE)) t(vervar, turvar, tahun, "count")""")
+def q28b(spark, d):
+    """Cells of a cube by concatenated ids."""
+    return grids.cube_cells(values(spark, [(CUBE,)], "js string"), "js").select("vervar", "turvar", "tahun", "count")
+
+
+PAGE = (
+    "<table><tr><td><table><tr><th rowspan=2>Kabupaten</th><th colspan=3>Agama</th></tr><tr><th>Islam</th><th>Hindu</th><th>Jumlah</th></tr>"
+    "<tr><td>Kab. A</td><td>1.000</td><td>5</td><td>1.005</td></tr><tr><td>Kota B</td><td>200</td><td>-</td><td>200</td></tr></table></td></tr></table>"
+)
+
+
+@query(
+    "q29_html_grid",
+    """SELECT * FROM (VALUES ('p', 'Kab. A', 'islam', 1000.0::DOUBLE), ('p', 'Kab. A', 'hindu', 5.0::DOUBLE), ('p', 'Kab. A', 'total', 1005.0::DOUBLE), ('p', 'Kota B', 'islam', 200.0::DOUBLE),
+       ('p', 'Kota B', 'hindu', 0.0::DOUBLE), ('p', 'Kota B', 'total', 200.0::DOUBLE)) t(id, label, role, "count")""",
+)
+def q29(spark, d):
+    """Tables with spans and wrappers to long rows."""
+    rows = grids.grid_rows(values(spark, [("p", PAGE)], "id string, html string"), "html")
+    return grids.grid_to_long(rows, ["id"], labels.canonical_religion("cell"), numbers.parse_count("cell", True)).select("id", "label", "role", "count")
+
+
+@query("q29b_strip_tags", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g'))::BIGINT AS n_chars FROM pages")
+def q29b(spark, d):
+    """Text of pages without tags."""
+    return table(spark, d, "pages").select("page_id", F.length(labels.strip_tags("html")).cast("long").alias("n_chars"))
+
+
+@query("q30_stratified_sample")
+def q30(spark, d):
+    """Up to twenty rows a class, the same wherever it runs."""
+    return rel.stratified_sample(table(spark, d, "labels"), "toxic", "doc_id", 20, 3)
+
+
+@query("q31_unpivot", "SELECT l_orderkey, l_linenumber, name AS category, value AS \"count\" FROM (SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_tax AS tax, l_discount AS discount FROM lineitem) UNPIVOT (value FOR name IN (quantity, tax, discount))")
+def q31(spark, d):
+    """Wide to long."""
+    return grids.unpivot_counts(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"l_quantity": "quantity", "l_tax": "tax", "l_discount": "discount"})
+
+
+@query("q32_string_sets", "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS types, bool_or(event_type = 'purchase') AS bought, array_to_string(list_sort(list_distinct(list(event_type)))[1:2], ';') AS two FROM events GROUP BY 1")
+def q32(spark, d):
+    """Sorted sets as text, and whether a group has a value."""
+    return table(spark, d, "events").groupBy("user_id").agg(rel.string_set("event_type").alias("types"), F.bool_or(F.col("event_type") == "purchase").alias("bought"), rel.string_set("event_type", 2).alias("two"))
+
+
+@query(
+    "q33_equal_to_rest",
+    """
+    WITH t AS (SELECT l_returnflag AS g, l_suppkey % 9 AS unit, l_linestatus AS cat, l_quantity AS v FROM lineitem),
+    x AS (SELECT * FROM t UNION ALL SELECT g, 100, cat, sum(v) FROM t GROUP BY ALL),
+    s AS (SELECT g, cat, sum(v) AS s FROM x GROUP BY g, cat QUALIFY row_number() OVER (PARTITION BY g ORDER BY sum(v) DESC, cat) = 1),
+    u AS (SELECT g, unit, sum(v) AS v FROM x JOIN s USING (g, cat) GROUP BY ALL),
+    w AS (SELECT *, count(*) OVER w AS n, max(v) OVER w AS m, sum(v) OVER w - v AS rest FROM u WINDOW w AS (PARTITION BY g))
+    SELECT g, unit::BIGINT AS unit FROM w WHERE n >= 3 AND m > 0 AND v >= 0.97 * m AND abs(v - rest) <= 0.01 * greatest(v, rest)
+    """,
+)
+def q33(spark, d):
+    """Units that equal the sum of the others: totals among the rows."""
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_suppkey") % 9).alias("unit"), F.col("l_linestatus").alias("cat"), F.col("l_quantity").alias("v"))
+    total = t.groupBy("g", "cat").agg(F.sum("v").alias("v")).select("g", F.lit(100).cast("long").alias("unit"), "cat", "v")
+    return rel.equal_to_rest(t.unionByName(total), ["g"], "unit", "cat", "v")
+
+
+@query("q34_match_boxes")
+def q34(spark, d):
+    """Boxes of two detectors as one list."""
+    box = "array<struct<text:string,conf:double,x0:double,y0:double,x1:double,y1:double>>"
+    rows = [("i", [("a", 0.9, 0.0, 0.0, 10.0, 10.0), ("b", 0.4, 20.0, 0.0, 30.0, 10.0)], [("a2", 0.5, 1.0, 0.0, 10.0, 10.0), ("b2", 0.8, 20.0, 0.0, 30.0, 11.0), ("c", 0.7, 50.0, 50.0, 60.0, 60.0)])]
+    t = values(spark, rows, f"id string, p {box}, q {box}")
+    return t.select("id", F.posexplode(grids.match_boxes(F.col("p"), F.col("q"))).alias("box_no", "b")).select("id", "box_no", "b.text", "b.conf")
+
+
+@query("q35_size_check")
+def q35(spark, d):
+    """How often each kind of error rejects a true null."""
+    return estimate.size_check(spark, reps=200)
+
+
+@query("q36_image_summary", """
+    WITH g AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS h, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS ha, sum(l_quantity) AS ta FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1)
+    SELECT o_orderkey AS path, coalesce(n, 0) AS n_boxes, coalesce(h, 0) AS n_cjk_boxes, coalesce(ha, 0)::DOUBLE AS cjk_area_px, coalesce(ta, 0)::DOUBLE AS text_area_px FROM orders LEFT JOIN g ON k = o_orderkey
+    """)
+def q36(spark, d):
+    """Box counts of every image; images without boxes have zeros."""
+    boxes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_discount").alias("conf"), (F.col("l_returnflag") == "R").alias("is_cjk"), F.col("l_quantity").alias("area_px"), F.lit("unknown").alias("script"))
+    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
+    return rollup.image_level(images, boxes, 0.05).select("path", "n_boxes", "n_cjk_boxes", "cjk_area_px", "text_area_px")

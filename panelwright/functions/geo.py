@@ -80,35 +80,3 @@ def hull_iou(a: str | Column, b: str | Column) -> Column:
     union = (aX - ax) * (aY - ay) + (bX - bx) * (bY - by) - inter
     return F.when(union > 0, inter / union).otherwise(0.0)
 
-
-def points_along(line: str | Column, spacing: float, start: Column) -> Column:
-    """Points every ``spacing`` along a projected line (array of x, y), from ``start`` in [0, spacing).
-
-    Lines under one metre have none. Each point has the bearing towards two metres ahead, or
-    from two metres behind at the line's end.
-    """
-    p = _col(line)
-    steps = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 1).alias("a"), F.get(p, i).alias("b")))
-    lengths = F.transform(steps, lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
-    total = F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x)
-    ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x))
-
-    def at(d: Column) -> Column:
-        k = F.least(F.coalesce(F.array_position(F.transform(ends, lambda e: e >= d), True), F.size(ends)), F.size(ends)).cast("int")
-        k = F.when(k < 1, F.size(ends)).otherwise(k)
-        seg, length, end = F.get(steps, k - 1), F.get(lengths, k - 1), F.get(ends, k - 1)
-        part = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (end - d) / length))).otherwise(0.0)
-        return F.struct((seg["a"]["x"] + part * (seg["b"]["x"] - seg["a"]["x"])).alias("x"), (seg["a"]["y"] + part * (seg["b"]["y"] - seg["a"]["y"])).alias("y"))
-
-    def sample(d: Column) -> Column:
-        here = at(d)
-        ahead, back = at(F.least(d + 2, total)), at(F.greatest(d - 2, F.lit(0.0)))
-        to_end = d + 2 <= total
-        dx = F.when(to_end, ahead["x"] - here["x"]).otherwise(here["x"] - back["x"])
-        dy = F.when(to_end, ahead["y"] - here["y"]).otherwise(here["y"] - back["y"])
-        return F.struct(here["x"].alias("x"), here["y"].alias("y"), bearing(dx, dy).alias("bearing"))
-
-    count = F.floor((total - start) / spacing).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: start + i * spacing)
-    none = F.expr("cast(array() as array<struct<x:double,y:double,bearing:double>>)")
-    return F.when((F.size(p) < 2) | (total < 1) | (start > total), none).otherwise(F.transform(places, sample))

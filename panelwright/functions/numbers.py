@@ -20,7 +20,7 @@ def parse_count(text: str | Column, dash_zero: bool = False) -> Column:
     raw = F.trim(_col(text).cast("string"))
     digits = F.regexp_replace(raw, r"[^0-9,.\-]", "")
     dot, comma = F.contains(digits, F.lit(".")), F.contains(digits, F.lit(","))
-    grouped = lambda sep: F.forall(F.slice(F.split(digits, sep), 2, 2147483647), lambda p: F.length(p) == 3)
+    grouped = lambda sep: F.forall(F.filter(F.split(digits, sep), lambda _, i: i > 0), lambda p: F.length(p) == 3)
     drop = lambda sep: F.replace(digits, F.lit(sep), F.lit(""))
     plain = (
         F.when(dot & comma, F.replace(drop("."), F.lit(","), F.lit(".")))
