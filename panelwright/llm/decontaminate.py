@@ -90,7 +90,7 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """FM-index of a word-number sequence; numbers below ``plain`` can be searched."""
+    """FM-index of a word-number sequence; numbers below ``plain`` can be searched, the last is not one of them."""
 
     def __init__(self, seq: np.ndarray, plain: int):
         self.n = len(seq)
