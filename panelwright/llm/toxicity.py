@@ -137,8 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     # bounded by ``rows``; sorted, so the fit does not hang on the order of arrival
     held = map_texts(sample, make, "toxic int, terms array<int>").toArrow()
-    found, y = [np.array(x, dtype=np.int32) for x in held.column("terms").to_pylist()], held.column("toxic").to_numpy()
-    order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes(), int(y[i])))
+    y, lists = held.column("toxic").to_numpy(), held.column("terms").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    found = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    order = sorted(range(len(found)), key=lambda i: (len(found[i]), zlib.crc32(found[i]), int(y[i])))
     return fit([found[i] for i in order], y[order] if len(order) else y)
 
 
