@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,14 @@ def row_sum(columns: list[str]) -> Column:
 def half_even(value: Column, digits: int = 0) -> Column:
     """Round with ties to the even neighbour."""
     return F.bround(value, digits) if digits else F.rint(value)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once.
+
+    Filters over an ordinary derived column are rewritten over its inputs; through a chain of
+    derivations, each naming its inputs many times, the plan then grows beyond bounds. A row's
+    worth of ``inline`` stops that rewriting and costs no shuffle.
+    """
+    fresh = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], fresh)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import MAJOR_RELIGIONS, RELIGIONS, ref_part
-from ..functions.nulls import padded, row_sum, yes
+from ..functions.nulls import computed, padded, row_sum, yes
 from ..operators.relational import best_source, cascade_lookup, drop_by_rules, first_per_key, small, string_set
 
 LONG = [
@@ -63,10 +63,10 @@ def cell_quality(columns: list[str] = RELIGIONS, present: list[str] | None = Non
 def repair_totals(wide: DataFrame, columns: list[str] = RELIGIONS) -> DataFrame:
     """Totals checked against the sum of the columns: off by over a tenth they give way to it, absent they are filled by it."""
     sums = F.when(F.col("quality") == "partial", F.lit(None).cast("double")).otherwise(row_sum(columns))
-    out = wide.withColumns({"total_reported": F.col("total"), "_sum": sums})
+    out = computed(wide, {"total_reported": F.col("total"), "_sum": sums})
     ratio = F.try_divide(F.col("total"), F.col("_sum"))
     off = yes(~ratio.between(0.9, 1.1))
-    out = out.withColumn("total", F.coalesce(F.when(~off, F.col("total")), F.col("_sum")))
+    out = computed(out, {"total": F.coalesce(F.when(~off, F.col("total")), F.col("_sum"))})
     return out.withColumn("total_is_sum", yes(F.col("total") == F.col("_sum"))).drop("_sum")
 
 
@@ -96,10 +96,11 @@ def build_panel(
     panel = panel.join(population.select("unit_code", "year", "population"), ["unit_code", "year"], "left") if population is not None else panel.withColumn("population", F.lit(None).cast("double"))
     percent = cell_quality() == "percent"
     scale = percent & F.col("population").isNotNull()
-    panel = panel.withColumn("_scale", scale).withColumns({c: F.when(F.col("_scale"), F.rint(F.col(c) / 100 * F.col("population"))).otherwise(F.col(c)) for c in [*RELIGIONS, "total"]}).drop("_scale")
-    panel = panel.withColumn("quality", cell_quality()).where("quality not in ('percent', 'placeholder', 'no_religions')")
+    panel = computed(panel, {"_scale": scale})
+    panel = computed(panel, {c: F.when(F.col("_scale"), F.rint(F.col(c) / 100 * F.col("population"))).otherwise(F.col(c)) for c in [*RELIGIONS, "total"]}).drop("_scale")
+    panel = computed(panel, {"quality": cell_quality()}).where("quality not in ('percent', 'placeholder', 'no_religions')")
     panel = repair_totals(panel)
-    panel = panel.withColumns({
+    panel = computed(panel, {
         "konghucu_share": F.try_divide("konghucu", "total"), "konghucu_ub": F.coalesce("konghucu", "lainnya"),
         "konghucu_ub_is_lainnya": F.col("konghucu").isNull() & F.col("lainnya").isNotNull(), "total_to_pop": F.try_divide("total", "population"),
     })
