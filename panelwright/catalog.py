@@ -16,7 +16,7 @@ from .functions import geo, labels, numbers, signs
 from .functions.nulls import group_sum, safe_ratio
 from .operators import grids, spatial
 from .operators import relational as rel
-from .plans import estimate, harmonise, rollup
+from .plans import detect, estimate, harmonise, ingest, rollup
 from .session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -734,3 +734,69 @@ def q36(spark, d):
     boxes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_discount").alias("conf"), (F.col("l_returnflag") == "R").alias("is_cjk"), F.col("l_quantity").alias("area_px"), F.lit("unknown").alias("script"))
     images = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
     return rollup.image_level(images, boxes, 0.05).select("path", "n_boxes", "n_cjk_boxes", "cjk_area_px", "text_area_px")
+
+
+@query("q37_sign_chain")
+def q37(spark, d):
+    """Boxes to characters, scripts and areas, sign types by the texts beside them, counts an image."""
+    rows = [("i1", "觀音堂", 0.9, "0,0;4,0;4,2;0,2", "traditional"), ("i1", "Toko Jaya", 0.8, "0,0;1,0;1,1", None), ("i2", "兰州拉面", 0.7, "0,0;2,0;2,2;0,2", "simplified"), ("i2", None, None, None, None)]
+    boxes = detect.classify_boxes(detect.describe_boxes(values(spark, rows, "path string, text string, conf double, bbox string, script_hint string")))
+    return detect.type_counts(values(spark, [("i1",), ("i2",), ("i3",)], "path string"), boxes)
+
+
+@query("q38_image_plan", "SELECT count(*) AS n, count(DISTINCT place) AS places FROM (SELECT DISTINCT c_custkey AS place FROM customer WHERE c_custkey % 10 <> 0), (SELECT unnest([90, 270]) AS o) WHERE NOT (place % 7 = 0 AND o = 90)")
+def q38(spark, d):
+    """Images to fetch: places with heading offsets, less those that are listed."""
+    c = F.col("c_custkey")
+    places = table(spark, d, "customer").select(c.cast("string").alias("place_id"), F.lit(0.0).alias("bearing"), F.when(c % 10 != 0, "OK").otherwise("ZERO_RESULTS").alias("status"))
+    done = table(spark, d, "customer").where(c % 7 == 0).select(F.format_string("img/%s_090.jpg", c.cast("string")).alias("path"))
+    plan = detect.plan_images(places, done, [90.0, 270.0], "img")
+    return plan.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place_id").alias("places"))
+
+
+FOREIGN = "<table><tr><th>Izin</th><th>Tiongkok</th><th>Jepang</th></tr><tr><td>ITAS</td><td>1.200</td><td>30</td></tr></table><table><tr><th>Negara</th><th>2020</th><th>2021</th></tr><tr><td>China</td><td>5</td><td>6</td></tr></table>"
+
+
+@query("q39_foreign_tables", """SELECT * FROM (VALUES ('CHN', 'ITAS', 1200.0::DOUBLE), ('JPN', 'ITAS', 30.0::DOUBLE), ('CHN', '2020', 5.0::DOUBLE), ('CHN', '2021', 6.0::DOUBLE)) t(nationality, other_label, "count")""")
+def q39(spark, d):
+    """Nations across or down a table."""
+    return ingest.foreign_tables(values(spark, [("r", FOREIGN)], "ref string, html string")).select("nationality", "other_label", "count")
+
+
+@query("q40_open_data", """SELECT * FROM (VALUES ('Aceh', 'CHN', 1500.0::DOUBLE, 2020::BIGINT), ('Bali', 'JPN', 20.0::DOUBLE, 2021::BIGINT), ('Aceh', 'PHL', 7.0::DOUBLE, 2022::BIGINT), ('Aceh', 'CHN', 3.0::DOUBLE, 2022::BIGINT)) t(region_name, nationality, "count", year)""")
+def q40(spark, d):
+    """Open-data tables, long or wide, by the roles of their headers."""
+    long = values(spark, [("Aceh", "Tiongkok", "2020", "1.500"), ("Bali", "Jepang", "2021", "20")], "Provinsi string, `Negara Asal` string, Tahun string, `Jumlah TKA` string")
+    wide = values(spark, [("Aceh", "3", "7", "2022")], "`Kabupaten/Kota` string, Tiongkok string, Filipina string, Tahun string")
+    both = ingest.open_data_to_long(long, "ckan").unionByName(ingest.open_data_to_long(wide, "ckan"))
+    return both.select("region_name", "nationality", "count", F.col("year").cast("long").alias("year"))
+
+
+@query("q41_population_cube", """SELECT * FROM (VALUES ('1101', 2020::BIGINT, 21.0::DOUBLE), ('1102', 2021::BIGINT, 15.5::DOUBLE)) t(unit_code, year, population)""")
+def q41(spark, d):
+    """Population out of a cube that prints the sexes apart."""
+    return ingest.population_of(values(spark, [(CUBE,)], "js string"), "js").select("unit_code", F.col("year").cast("long").alias("year"), "population")
+
+
+@query("q42_domain_total")
+def q42(spark, d):
+    """A unit's total out of a table of its parts: printed by label, recognised, or summed."""
+    rows = [("d1", 2020, "A", "islam", 5.0), ("d1", 2020, "Jumlah", "islam", 12.0), ("d2", 2020, "A", "islam", 5.0), ("d2", 2020, "B", "islam", 7.0), ("d2", 2020, "C", "islam", 12.0), ("d3", 2020, "A", "islam", 5.0), ("d3", 2020, "B", "islam", 7.0)]
+    return ingest.domain_total(values(spark, rows, "domain string, year int, unit string, religion string, count double"), "domain", "unit")
+
+
+@query("q43_religion_tables")
+def q43(spark, d):
+    """Religion tables of pages to long rows with unit keys and levels."""
+    return ingest.religion_tables(values(spark, [("r", PAGE)], "ref string, html string"))
+
+
+@query("q44_panel")
+def q44(spark, d):
+    """The whole chain from long rows to the checked panel, on order lines as cells."""
+    l = table(spark, d, "lineitem").select(  # noqa: E741
+        F.when(F.col("l_returnflag") == "R", "dukcapil").otherwise("bps").alias("source"), F.format_string("11%02d", F.col("l_suppkey") % 50).alias("unit_code"), F.year("l_shipdate").alias("year"),
+        F.lit(None).cast("int").alias("semester"), F.element_at(F.array(*[F.lit(x) for x in [*labels.RELIGIONS[:6], "total"]]), (F.col("l_partkey") % 7 + 1).cast("int")).alias("religion"), F.col("l_quantity").alias("count"),
+        F.concat(F.lit("bps:1100:"), (F.col("l_suppkey") % 3).cast("string")).alias("ref"),
+    )
+    return harmonise.build_panel(l).select("unit_code", "year", "quality", "total", "konghucu_ub", "sources", "ref")

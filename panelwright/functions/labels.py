@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nulls import let
+
 # Category patterns over normalised labels; the first that matches names the label.
 RELIGION_PATTERNS = [
     ("konghucu", r"k?h?ong\s*hu\s*ch?u|k?h?ong\s*hu\s*tju|kong\s*fu\s*(cu|tse)|confuc|konfusian|\bkhong\b"),
@@ -139,11 +141,13 @@ def strip_tags(text: str | Column) -> Column:
 
 def first_match(label: Column, patterns: Iterable[tuple[str, str]]) -> Column:
     """Name of the first pattern that the label matches, else null."""
-    out = None
-    for name, pattern in patterns:
-        hit = label.rlike(f"(?U){pattern}")
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out
+    def chain(s: Column) -> Column:
+        out = F
+        for name, pattern in patterns:
+            out = out.when(s.rlike(f"(?U){pattern}"), F.lit(name))
+        return out
+
+    return let(label, chain)
 
 
 def canonical_religion(text: str | Column) -> Column:
@@ -178,18 +182,24 @@ def header_role(text: str | Column) -> Column:
 
     Totals first, then nationalities, years, offices, permits, the rest of the world.
     """
-    label = norm_label(text)
-    nation, permit, year = first_match(label, NATIONALITY_PATTERNS), first_match(label, PERMIT_PATTERNS), year_from_text(label)
-    role = lambda r, v: F.struct(F.lit(r).alias("role"), v.cast("string").alias("value"))
-    return (
-        F.when(nation == "TOTAL", role("total", F.lit("TOTAL")))
-        .when(nation.isNotNull() & (nation != "OTHER"), role("nationality", nation))
-        .when(year.isNotNull() & label.rlike(r"(?U)^(tahun\s*)?\d{4}(\s*\(\w+\))?$"), role("year", year))
-        .when(label.rlike(r"(?U)kantor imigrasi|kanim\b|kelas [i]+ "), role("kanim", label))
-        .when(permit.isNotNull(), role("permit", permit))
-        .when(nation == "OTHER", role("nationality", nation))
-        .otherwise(role("other", F.lit(None)))
-    )
+    def of(s: Column) -> Column:
+        parts = F.struct(s.alias("label"), first_match(s, NATIONALITY_PATTERNS).alias("nation"), first_match(s, PERMIT_PATTERNS).alias("permit"), year_from_text(s).alias("year"))
+        return let(parts, role_of)
+
+    def role_of(p: Column) -> Column:
+        label, nation, permit, year = p["label"], p["nation"], p["permit"], p["year"]
+        role = lambda r, v: F.struct(F.lit(r).alias("role"), v.cast("string").alias("value"))
+        return (
+            F.when(nation == "TOTAL", role("total", F.lit("TOTAL")))
+            .when(nation.isNotNull() & (nation != "OTHER"), role("nationality", nation))
+            .when(year.isNotNull() & label.rlike(r"(?U)^(tahun\s*)?\d{4}(\s*\(\w+\))?$"), role("year", year))
+            .when(label.rlike(r"(?U)kantor imigrasi|kanim\b|kelas [i]+ "), role("kanim", label))
+            .when(permit.isNotNull(), role("permit", permit))
+            .when(nation == "OTHER", role("nationality", nation))
+            .otherwise(role("other", F.lit(None)))
+        )
+
+    return let(norm_label(text), of)
 
 
 def norm_kanim(text: str | Column) -> Column:

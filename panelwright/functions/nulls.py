@@ -56,3 +56,8 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     fresh = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select(*[c for c in df.columns if c not in columns], fresh)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
