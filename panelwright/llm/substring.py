@@ -33,7 +33,7 @@ from .common import cut, fresh, mix, read, schema_of, small_batches, strings_has
 #: The renaming rounds: R names runs, P names pairs.
 ROUNDS = "RPPPRPPPP"
 #: UTF-8 bytes of text to a block; blocks to a bucket of the block table.
-BLOCK_BYTES, BLOCKS_A_BUCKET = 6 << 20, 4
+BLOCK_BYTES, BLOCKS_A_BUCKET = 4 << 20, 4
 
 
 def name_words(words: list[bytes]) -> np.ndarray:
