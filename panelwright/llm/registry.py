@@ -16,7 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_query,
     "op10_histogram_sharding": sharding.op10_query,
 }
-ORACLES: dict[str, str] = {"op6_warc_index_merge": warc.OP6_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.OP1_SQL, "op6_warc_index_merge": warc.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
 
 
 def queries() -> dict:

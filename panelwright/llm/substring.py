@@ -277,3 +277,21 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept and removed of every document, with the digest of what is kept."""
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS t(i)
+), r AS (
+  SELECT g FROM p GROUP BY g HAVING count(*) > 1
+), h AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM p JOIN r USING (g), unnest(range(35)) AS t(k)
+), x AS (
+  SELECT doc_id, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(j)
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM x ANTI JOIN h USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
