@@ -17,6 +17,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint, given only where a count finds ``rows`` rows at most: for short lists whose size no statistics tell."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def to_schema(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
     """Columns in the order and types given; absent ones are null."""
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in schema])
@@ -93,17 +98,23 @@ def best_source(facts: DataFrame, cell: list[str], source: str, ref: str, catego
 def drop_by_rules(df: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """Rows that no rule hits. A rule hits rows that agree with it in every field it sets.
 
-    A rule that would hit every row is ignored. Rules are a curated list; their size is checked
-    before they are broadcast.
+    A rule that would hit every row is ignored, and so is one that sets nothing. Rules are
+    sorted by the fields they set; each such shape, of which there are at most 2 ^ fields, is
+    one anti join on these fields, so no row meets every rule.
     """
-    numbered = rules.select(*[F.col(f).alias(f"_r_{f}") for f in fields]).distinct().withColumn("_rule", F.xxhash64(*[f"_r_{f}" for f in fields]))
-    hit = F.lit(True)
-    for f in fields:
-        hit &= F.col(f"_r_{f}").isNull() | yes(F.col(f) == F.col(f"_r_{f}"))
-    total = df.count()
-    counts = df.join(small(numbered), hit).groupBy("_rule").count()
-    usable = numbered.join(counts.where(F.col("count") < total).select("_rule"), "_rule", "left_semi")
-    return df.join(small(usable), hit, "left_anti")
+    wanted = rules.select(*fields).distinct()
+    shapes = wanted.select(F.array(*[F.col(f).isNotNull() for f in fields]).alias("s")).distinct().collect()
+    total, out = df.count(), df
+    for shape in sorted(tuple(r["s"]) for r in shapes):
+        on = [f for f, has in zip(fields, shape, strict=True) if has]
+        if not on:
+            continue
+        own = wanted
+        for f in fields:
+            own = own.where(F.col(f).isNotNull() if f in on else F.col(f).isNull())
+        everything = df.groupBy(*on).count().where(F.col("count") == total).select(*on)
+        out = out.join(bounded(own.select(*on).join(everything, on, "left_anti")), on, "left_anti")
+    return out
 
 
 def normalised_weights(df: DataFrame, group: list[str], weight: str) -> DataFrame:
