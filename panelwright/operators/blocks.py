@@ -1,0 +1,114 @@
+"""Printed tables whose header repeats: blocks by sex or year, and tables turned on their side.
+
+A grid is small (a printed page), so one pure function reads one grid; Spark maps it over pages.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.labels import canonical_religion, year_from_text
+from .grids import html_grids
+
+Role = Callable[[str], str | None]
+YEAR = re.compile(r"\b(19[89]\d|20[0-4]\d)\b")
+TOTAL, PART = re.compile(r"(?i)jumlah|total|l\s*\+\s*p"), re.compile(r"(?i)laki|perempuan|\bmale|female|\bpria|wanita")
+
+
+def best_header(grid: list[list[str]], role: Role) -> tuple[int, int]:
+    """Row with the most distinct categories, totals apart, and how many; the first on ties."""
+    score = [len({r for c in row if (r := role(c)) and r != "total"}) for row in grid]
+    best = max(range(len(grid)), key=lambda i: (score[i], -i), default=0)
+    return best, score[best] if grid else 0
+
+
+def header_blocks(header: list[str], above: list[list[str]], role: Role) -> list[dict]:
+    """Blocks of columns: a category that comes again starts a new one. Each has the label and year over its columns."""
+    blocks: list[dict] = []
+    for x, cell in enumerate(header):
+        name = role(cell)
+        if not name:
+            continue
+        if not blocks or name in blocks[-1]["columns"]:
+            blocks.append({"columns": {}, "label": "", "year": None})
+        own = blocks[-1]
+        own["columns"][name] = x
+        over = [row[x] for row in above if x < len(row)]
+        own["label"] = own["label"] or next((c for c in over if TOTAL.search(c) or PART.search(c)), "")
+        own["year"] = own["year"] or next((int(m[0]) for c in over if len(c) <= 12 and (m := YEAR.search(c))), None)
+    return blocks
+
+
+def chosen_blocks(blocks: list[dict]) -> list[list[dict]]:
+    """Blocks to read, as lists to add up: every year's own; else the last total; else the parts together; else the last."""
+    years = {b["year"] for b in blocks}
+    if len(years) == len(blocks) and None not in years:
+        return [[b] for b in blocks]
+    totals = [b for b in blocks if TOTAL.search(b["label"])]
+    if totals:
+        return [[totals[-1]]]
+    if len(blocks) > 1 and all(PART.search(b["label"]) for b in blocks):
+        return [blocks]
+    return [blocks[-1:]] if blocks else []
+
+
+def read_grid(grid: list[list[str]], role: Role, number: Callable[[str], float | None]) -> list[tuple[str, str, int | None, float]]:
+    """(label, category, year, count) of one grid; the grid is turned if a column names more categories than any row."""
+    if not grid:
+        return []
+    turned = [list(c) for c in zip(*grid, strict=True)]
+    at, score = best_header(grid, role)
+    at_turned, score_turned = best_header(turned, role)
+    if score_turned > score:
+        grid, at, score = turned, at_turned, score_turned
+    if score < 2:
+        return []
+    header, above = grid[at], grid[max(0, at - 2) : at]
+    out = []
+    for own in chosen_blocks(header_blocks(header, above, role)):
+        for row in grid[at + 1 :]:
+            if not any(ch.isalpha() for ch in row[0]):
+                continue
+            for name in own[0]["columns"]:
+                found = [n for b in own if name in b["columns"] and (n := number(row[b["columns"][name]])) is not None]
+                if found:
+                    out.append((row[0], name, own[0]["year"], sum(found)))
+    return out
+
+
+def block_tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Long rows of pages whatever their tables' layout: the other columns, table_idx, label, religion, year, count.
+
+    The distinct cell texts are named by the same column functions that the rest of the engine
+    uses, page by page, so that the reader itself needs no word lists.
+    """
+    from ..functions.numbers import parse_count
+
+    rest = [c for c in pages.columns if c != html]
+    kind = "array<struct<idx:int,cells:array<array<string>>>>"
+
+    @F.udf(kind, useArrow=True)
+    def grids(page):
+        return list(enumerate(html_grids(page)))
+
+    tables = pages.select(*rest, F.inline(grids(html)).alias("table_idx", "cells"))
+    texts = F.array_distinct(F.flatten("cells"))
+    named = tables.withColumns({
+        "roles": F.map_from_entries(F.transform(texts, lambda t: F.struct(t, canonical_religion(t)))),
+        "numbers": F.map_from_entries(F.transform(texts, lambda t: F.struct(t, parse_count(t, True)))),
+    })
+
+    @F.udf("array<struct<label:string,religion:string,year:int,count:double>>", useArrow=False)
+    def long(cells, roles, numbers):
+        return read_grid([list(r) for r in cells], roles.get, numbers.get)
+
+    return named.select(*rest, "table_idx", F.inline(long("cells", "roles", "numbers")))
+
+
+def with_title_year(rows: DataFrame, title: str) -> DataFrame:
+    """Rows without a year of their own take the last year of the title."""
+    return rows.withColumn("year", F.coalesce("year", year_from_text(title)))

@@ -1,0 +1,38 @@
+"""Printed tables in blocks, and the command line."""
+
+from panelwright import cli
+from panelwright.operators import blocks
+
+ROLE = {"Islam": "islam", "Hindu": "hindu", "Jumlah": "total"}.get
+NUMBER = lambda s: float(s) if s.replace(".", "").isdigit() else None
+
+
+def test_blocks():
+    sex = [["Unit", "Laki-laki", "Laki-laki", "Perempuan", "Perempuan"], ["Unit", "Islam", "Hindu", "Islam", "Hindu"], ["A", "1", "2", "3", "4"]]
+    assert blocks.read_grid(sex, ROLE, NUMBER) == [("A", "islam", None, 4.0), ("A", "hindu", None, 6.0)]
+    total = [["Unit", "Laki-laki", "Laki-laki", "Jumlah L+P", "Jumlah L+P"], ["Unit", "Islam", "Hindu", "Islam", "Hindu"], ["A", "1", "2", "3", "4"]]
+    assert blocks.read_grid(total, ROLE, NUMBER) == [("A", "islam", None, 3.0), ("A", "hindu", None, 4.0)]
+    years = [["Unit", "2020", "2020", "2021", "2021"], ["Unit", "Islam", "Hindu", "Islam", "Hindu"], ["A", "1", "2", "3", "x"]]
+    assert blocks.read_grid(years, ROLE, NUMBER) == [("A", "islam", 2020, 1.0), ("A", "hindu", 2020, 2.0), ("A", "islam", 2021, 3.0)]
+    turned = [["Agama", "A", "B"], ["Islam", "5", "6"], ["Hindu", "7", "8"]]
+    assert blocks.read_grid(turned, ROLE, NUMBER) == [("A", "islam", None, 5.0), ("A", "hindu", None, 7.0), ("B", "islam", None, 6.0), ("B", "hindu", None, 8.0)]
+    assert blocks.read_grid([["x"]], ROLE, NUMBER) == [] and blocks.read_grid([], ROLE, NUMBER) == []
+
+
+def test_block_tables(spark):
+    page = "<table><tr><th>Agama</th><th>Kota A</th></tr><tr><td>Islam</td><td>1.500</td></tr><tr><td>Hindu</td><td>-</td></tr></table>"
+    rows = blocks.block_tables(spark.createDataFrame([("p", page), ("q", None)], "ref string, html string")).collect()
+    assert [(r.ref, r.label, r.religion, r["count"]) for r in rows] == [("p", "Kota A", "islam", 1500.0), ("p", "Kota A", "hindu", 0.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main(["cost", "--images", "2400"]) == 0 and "16.8" in capsys.readouterr().out
+    (tmp_path / "l.csv").write_text("t,g\n1,1\n1,0\n0,0\n,1\n")
+    assert cli.main(["score", "--labels", str(tmp_path / "l.csv"), "--truth", "t", "--guess", "g", "--out", str(tmp_path / "o")], spark) == 0
+    row = spark.read.parquet(str(tmp_path / "o/score.parquet")).first()
+    assert (row.tp, row.fn, row.tn, row.fp) == (1, 1, 1, 0) and row.precision == 1.0
+    (tmp_path / "long.csv").write_text("source,unit_name,year,religion,count,ref\n" + "".join(f"bps,Kota A,2020,{r},{c},bps:1100:1\n" for r, c in (("islam", 90), ("kristen", 50), ("katolik", 60))))
+    (tmp_path / "codes.csv").write_text("unit_code,unit_name\n1171,Kota A\n")
+    assert cli.main(["harmonise", "--long", str(tmp_path / "long.csv"), "--codes", str(tmp_path / "codes.csv"), "--out", str(tmp_path / "h")], spark) == 0
+    row = spark.read.parquet(str(tmp_path / "h/panel.parquet")).first()
+    assert (row.unit_code, row.total, row.total_is_sum) == ("1171", 200.0, True)
