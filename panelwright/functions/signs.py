@@ -35,6 +35,15 @@ LOANWORDS = [
 PINYIN = r"^(?:[bpmfdtnlgkhjqxzcsryw]?h?[aeiouü]{1,3}(?:ng?|r)?)+$"
 
 
+# Traditional characters of the word lists above and their simplified forms.
+TRADITIONAL = "東蘭麵慶鍋燒國華為遞勞務項設團鐵鎳園區際貿餃會館廟宮壇補習語聯誼總鄉媽觀亞"
+SIMPLIFIED = "东兰面庆锅烧国华为递劳务项设团铁镍园区际贸饺会馆庙宫坛补习语联谊总乡妈观亚"
+
+
+def to_simplified(text: Column) -> Column:
+    """Text with the traditional characters that the word lists use in simplified form."""
+    return F.translate(text, TRADITIONAL, SIMPLIFIED)
+
 def count_cjk(text: Column) -> Column:
     """Han characters of the unified block and extension A."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]")), F.lit(0))
@@ -65,7 +74,7 @@ def score_sign(text: Column, script: Column, beside: Column) -> Column:
     own, loan = _among(tokens, INDONESIAN_WORDS), _among(tokens, LOANWORDS)
     long_ = F.filter(tokens, lambda w: F.length(w) >= 4)
     pinyin = (F.size(long_) > 0) & (F.size(own) == 0) & F.forall(long_, lambda w: w.rlike("(?i)" + PINYIN))
-    found = lambda words: F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(text, k))
+    found = lambda words: F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(to_simplified(text), to_simplified(k)))
     new, old = found(MAINLAND_CJK), found(LOCAL_CJK)
     points = lambda c, p: F.when(c, p).otherwise(0.0)
     score = (

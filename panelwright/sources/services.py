@@ -101,3 +101,42 @@ class _PagedReader(DataSourceReader):
         get = (lambda url: canned.get(url, {})) if canned is not None else get_json
         for row in list_pages(self.options["url"], partition.query, get):
             yield json.dumps(partition.query, sort_keys=True), json.dumps(row, sort_keys=True)
+
+
+def downloads(packages: dict, formats: tuple[str, ...] = ("CSV", "XLSX", "XLS", "JSON")) -> list[dict]:
+    """Files that a catalogue search answers with, one a URL, in the formats that can be read."""
+    seen, out = set(), []
+    for package in packages.get("result", {}).get("results", []):
+        for r in package.get("resources", []):
+            if (r.get("format") or "").upper() in formats and r.get("url") and r["url"] not in seen:
+                seen.add(r["url"])
+                out.append({"package": package.get("name"), "title": package.get("title"), "url": r["url"], "format": r["format"].upper()})
+    return out
+
+
+def panorama_row(point: dict, answer: dict) -> dict:
+    """One row for a point that was asked for a panorama; without one, the status and nulls."""
+    ok = answer.get("status") == "OK"
+    at = answer.get("location", {}) if ok else {}
+    return {
+        "point_id": point["point_id"], "unit_id": point.get("unit_id"), "query_lat": point.get("lat"), "query_lon": point.get("lon"), "bearing": point.get("bearing"),
+        "pano_id": answer.get("pano_id") if ok else None, "date": answer.get("date") if ok else None, "pano_lat": at.get("lat"), "pano_lon": at.get("lng"), "is_current": True if ok else None, "status": answer.get("status", "NO_ANSWER"),
+    }
+
+
+def walk_services(root: str, get: Callable[[str], dict] = get_json) -> list[dict]:
+    """Layers of a map server: folders are walked, services that refuse (498, 499) are listed with their code."""
+    out, todo = [], [""]
+    while todo:
+        folder = todo.pop()
+        js = get(f"{root}/{folder}?f=json".replace("//?", "/?"))
+        if code := js.get("error", {}).get("code"):
+            out.append({"service": folder, "layer": None, "status": str(code)})
+            continue
+        todo += [f for f in js.get("folders", [])]
+        for s in js.get("services", []):
+            own = get(f"{root}/{s['name']}/{s['type']}?f=json")
+            if code := own.get("error", {}).get("code"):
+                out.append({"service": s["name"], "layer": None, "status": str(code)})
+            out += [{"service": s["name"], "layer": x.get("name"), "status": "ok"} for x in own.get("layers", [])]
+    return out

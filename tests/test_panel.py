@@ -186,3 +186,13 @@ def test_incremental(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(src)
     run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_service_answers():
+    search = {"result": {"results": [{"name": "p", "title": "T", "resources": [{"format": "csv", "url": "u1"}, {"format": "pdf", "url": "u2"}, {"format": "CSV", "url": "u1"}]}]}}
+    assert [r["url"] for r in services.downloads(search)] == ["u1"]
+    assert services.panorama_row({"point_id": "a"}, {"status": "ZERO_RESULTS"})["pano_id"] is None
+    answers = {"r/?f=json": {"folders": ["f"], "services": [{"name": "s", "type": "MapServer"}]}, "r/f?f=json": {"error": {"code": 499}}, "r/s/MapServer?f=json": {"layers": [{"name": "L"}]}}
+    assert services.walk_services("r", lambda u: answers.get(u, {})) == [{"service": "s", "layer": "L", "status": "ok"}, {"service": "f", "layer": None, "status": "499"}]
+    pages = iter([{"features": [{"attributes": {"i": 1}}], "exceededTransferLimit": True}, {"features": [{"attributes": {"i": 2}}]}])
+    assert [r["i"] for r in services.feature_pages("u", get=lambda _: next(pages))] == [1, 2]
