@@ -149,10 +149,13 @@ class Block:
         return a[new], b[new], count > 1, place
 
 
-def _ranges(names: np.ndarray, ranges: int) -> np.ndarray:
-    """Bounds of the parts of a sorted name array that fall in equal ranges of the name space."""
-    cuts = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(names, cuts), [len(names)]))
+def _ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the parts of a sorted name array that fall in equal ranges of the name space."""
+    if not len(names):
+        return []
+    own = ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return list(zip(own[at].astype(np.int64).tolist(), at.tolist(), [*at[1:].tolist(), len(names)], strict=True))
 
 
 ASK = "kind int, rng int, blk int, names binary, more binary, twice binary"
@@ -160,8 +163,7 @@ ANSWER = "kind int, rng int, blk int, bits binary"
 
 
 def _questions(kind: int, blk: int, ranges: int, names, more, twice) -> pa.Table:
-    cuts = _ranges(names, ranges)
-    rows = [(kind, r, blk, names[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    rows = [(kind, r, blk, names[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for r, a, b in _ranges(names, ranges)]
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "rng", "blk", "names", "more", "twice"])
@@ -194,10 +196,10 @@ def _answers(asked: pa.Table) -> pa.Table:
 
 def _bits(answers: pa.Table, kind: int, ranges: int, names: np.ndarray) -> np.ndarray:
     """The answers to a block's questions, laid along its sorted names."""
-    out, cuts = np.zeros(len(names), dtype=bool), _ranges(names, ranges)
+    out, places = np.zeros(len(names), dtype=bool), {r: (a, b) for r, a, b in _ranges(names, ranges)}
     for r in answers.select(["kind", "rng", "bits"]).to_pylist():
         if r["kind"] == kind:
-            a, b = int(cuts[r["rng"]]), int(cuts[r["rng"] + 1])
+            a, b = places[r["rng"]]
             out[a:b] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=b - a).astype(bool)
     return out
 
@@ -218,7 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // (BLOCK_BYTES * BLOCKS_A_BUCKET)
     blocks = buckets * BLOCKS_A_BUCKET
-    ranges = int(min(4096, max(8, buckets)))
+    # what a range is sent is bounded as well: about twice the text of a bucket if all text recurs
+    ranges = int(max(8, buckets))
     # the ids are spread by hash, so a hot source or a group of copies is spread too
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length("text")), F.lit(blocks)).cast("int")
     table = fresh("text_blocks")
