@@ -23,11 +23,13 @@ BATCH_ROWS = 400
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
+    Only where it is unset and all runs in one process (tests) a temporary folder takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="panelwright-")
         if not held.isDefined():
             spark.sparkContext.setCheckpointDir(at)
