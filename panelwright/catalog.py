@@ -725,6 +725,22 @@ def q35(spark, d):
     return estimate.size_check(spark, reps=200)
 
 
+@query("q45_specification_grid")
+def q45(spark, d):
+    """Every specification of the investment regressions, on customers' orders as counts and suppliers' lines as investment."""
+    year, n = (F.year("o_orderdate") + 25).alias("year"), F.count(F.lit(1)).cast("double")
+    unit = F.format_string("%d%02d", F.lit(11) + F.col("o_custkey") % 30, F.col("o_custkey") % 90).alias("unit_code")
+    count = lambda cond: F.count_if(cond).cast("double")
+    panel = table(spark, d, "orders").groupBy(unit, year).agg(
+        n.alias("konghucu_ub"), F.when(F.count_if(F.col("o_orderstatus") == "F") > 0, count(F.col("o_orderstatus") == "F")).alias("konghucu"), (50_000 + F.sum(money("o_totalprice")) / 1000).cast("double").alias("population"),
+        *[count(F.col("o_orderpriority").startswith(k)).alias(name) for k, name in (("1", "buddha"), ("2", "kristen"), ("3", "katolik"))], F.lit("da:x:y").alias("ref"), F.lit(1.02).alias("total_to_pop"),
+    ).withColumn("konghucu_ub_is_lainnya", F.col("konghucu").isNull())
+    share = panel.select("unit_code").distinct().withColumns({"n_chinese_sample": F.lit(30), "chinese_share": (1 + F.col("unit_code").cast("int") % 7) / 100})
+    investment = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.format_string("%d%02d", F.lit(11) + F.col("l_partkey") % 30, F.col("l_partkey") % 90).alias("unit_code"), (F.year("l_shipdate") + 28).alias("year")).agg(F.sum(money("l_extendedprice")).cast("double").alias("value"))
+    rows = estimate.specification_grid(estimate.usable(panel, share), investment)
+    return values(spark, [tuple(r.values()) for r in rows], "spec string, n long, coef_d_inv double, se double, p double")
+
+
 @query("q36_image_summary", """
     WITH g AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS h, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS ha, sum(l_quantity) AS ta FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1)
     SELECT o_orderkey AS path, coalesce(n, 0) AS n_boxes, coalesce(h, 0) AS n_cjk_boxes, coalesce(ha, 0)::DOUBLE AS cjk_area_px, coalesce(ta, 0)::DOUBLE AS text_area_px FROM orders LEFT JOIN g ON k = o_orderkey

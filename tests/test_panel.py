@@ -196,3 +196,41 @@ def test_service_answers():
     assert services.walk_services("r", lambda u: answers.get(u, {})) == [{"service": "s", "layer": "L", "status": "ok"}, {"service": "f", "layer": None, "status": "499"}]
     pages = iter([{"features": [{"attributes": {"i": 1}}], "exceededTransferLimit": True}, {"features": [{"attributes": {"i": 2}}]}])
     assert [r["i"] for r in services.feature_pages("u", get=lambda _: next(pages))] == [1, 2]
+
+
+def reference_fit(y, x):
+    """Coefficient and HC3 error of the first regressor, by hand."""
+    design = np.column_stack([np.ones(len(y)), *x])
+    inv = np.linalg.inv(design.T @ design)
+    b = inv @ design.T @ y
+    e, h = y - design @ b, np.einsum("ij,jk,ik->i", design, inv, design)
+    return b[1], np.sqrt((inv @ (design.T * (e / (1 - h)) ** 2) @ design @ inv)[1, 1])
+
+
+def test_specification_grid(spark):
+    rng = np.random.default_rng(4)
+    units = [f"{11 + i % 6}{i:02d}" for i in range(40)]
+    pop0, growth, base = rng.uniform(8e4, 9e5, 40).tolist(), rng.uniform(1, 1.02, 40).tolist(), rng.uniform(0.5, 3, 40).tolist()
+    flows = {(i, t): (i % 3 > 0) * float(rng.uniform(0, 3000)) for i in range(40) for t in range(2019, 2024)}
+    panel, k, pop = [], {}, {}
+    for i, u in enumerate(units):
+        for t in range(2019, 2024):
+            pop[i, t] = pop0[i] * growth[i] ** (t - 2019) * float(rng.uniform(0.99, 1.01))
+            k[i, t] = (base[i] + float(rng.normal(0, 0.2)) + 0.1 * math.log(pop[i, t])) * pop[i, t] / 1000
+            # unit 3 counts something else in 2021; unit 4's totals are no registrations
+            panel.append((u, t, pop[i, t], k[i, t], k[i, t], i == 3 and t == 2021, k[i, t] * 2, 0.7 if i == 4 else 1.02, "da:x"))
+    p = spark.createDataFrame(panel, "unit_code string, year int, population double, konghucu double, konghucu_ub double, konghucu_ub_is_lainnya boolean, buddha double, total_to_pop double, ref string")
+    inv = spark.createDataFrame([(units[i], t, v) for (i, t), v in flows.items()], "unit_code string, year int, value double")
+    got = {r["spec"]: r for r in estimate.specification_grid(estimate.usable(p), inv)}
+    for name, own in (("y_exact", [i for i in range(40) if i != 4]), ("y_ub", [i for i in range(40) if i not in (3, 4)])):
+        y = np.array([(k[i, 2023] - k[i, 2021]) / pop[i, 2021] * 1000 for i in own])
+        x = [np.log1p([sum(flows[i, t] for t in ts) for i in own]) for ts in ((2022, 2023), (2019, 2020, 2021))]
+        x += [np.array([1000 * k[i, 2021] / pop[i, 2021] for i in own]), np.log([pop[i, 2021] for i in own])]
+        row = got[f"long-diff {name}"]
+        assert row["n"] == len(own) and np.allclose((row["coef_d_inv"], row["se"]), reference_fit(y, x), rtol=1e-6)
+        within = lambda a: (a - a.mean(1, keepdims=True)).ravel()
+        cells = lambda f: within(np.array([[f(i, t) for t in range(2019, 2024)] for i in own]))  # noqa: E731, B023
+        z = [cells(lambda i, t: math.log1p(sum(flows[i, s] for s in range(2019, t + 1)))), cells(lambda i, t: math.log(pop[i, t]))] + [cells(lambda i, t, s=s: float(t == s)) for s in range(2020, 2024)]
+        row = got[f"TWFE {name} 2019-2023"]
+        assert row["n"] == 5 * len(own) and np.isclose(row["coef_d_inv"], reference_fit(cells(lambda i, t: 1000 * k[i, t] / pop[i, t]), z)[0], rtol=1e-6)
+    assert len(got) == 19 and "placebo long-diff share_buddha" in got
