@@ -4,7 +4,9 @@ Every rule looks at a few statistics of a text and votes good (+1), bad (-1) or
 The true class is unknown; expectation-maximisation (Dawid and Skene, 1979) estimates from all
 votes how often each rule votes each way on good and on bad texts, and what share is good. A
 text is kept if its posterior probability of being good is one half or more; a rule that fails
-no longer fails the text. Votes travel as counts of vote patterns, of which there are at most
+no longer fails the text. What is believed of the rules beforehand weighs as much as all texts
+together, so a rule that fails texts which look good otherwise, and many of them, loses weight
+until the others outvote it; where it fails few, one vote against may decide. Votes travel as counts of vote patterns, of which there are at most
 3 ^ rules, whatever the number of documents.
 """
 
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, mix, read, schema_of, text_or_empty, utf8, without
 from .substring import name_words
 
-#: Rules whose votes against are held to be right at 50 to 1 at least; the others' at 3 to 1 at least.
+#: Rules whose votes against are believed to be right at 50 to 1 beforehand; the others' at 3 to 1.
 STRONG = ("symbols", "repeats", "capitals", "shouting")
+#: Believed shares of votes against on bad and on good texts, of strong rules and of others; share of good texts believed; documents that beliefs are worth, as a share of all.
+BELIEF_STRONG, BELIEF, BELIEVED_GOOD, WORTH = (0.5, 0.01), (0.3, 0.1), 0.7, 1.0
 #: Log-odds that a vote against can reach; bounds of what an abstention and a vote for can add; greatest share of good texts assumed.
 AGAINST, ABSTAIN, FOR, MOST_GOOD = -6.0, 0.1, 0.25, 0.8
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -104,17 +108,18 @@ class Voters:
         # the start: texts with more votes against them are less likely good
         good = np.clip(0.95 * 0.15 ** (votes == 0).sum(axis=1), 0.001, 0.95)
         self.prior, self.rates = 0.5, np.full((2, n_rules, 3), 1 / 3)
-        names = list(rules())[:n_rules]
-        high = np.array([[-np.log(50.0) if x in STRONG else -np.log(3.0), ABSTAIN, FOR] for x in names]).reshape(n_rules, 3)
-        low = np.array([[AGAINST, -ABSTAIN, 0.0]] * n_rules).reshape(n_rules, 3)
+        against = np.array([BELIEF_STRONG if x in STRONG else BELIEF for x in list(rules())[:n_rules]]).reshape(n_rules, 2).T[:, :, None]
+        worth = 4 + WORTH * counts.sum()
+        belief = worth * np.concatenate((against, (1 - against) / 2, (1 - against) / 2), axis=2)
+        high, low = np.array([0.0, ABSTAIN, FOR]), np.array([AGAINST, -ABSTAIN, 0.0])
         for _ in range(rounds):
             weight = np.stack((counts * (1 - good), counts * good))
-            self.prior = float(np.clip(weight[1].sum() / max(weight.sum(), 1e-9), 0.05, MOST_GOOD))
+            self.prior = float(np.clip((weight[1].sum() + worth * BELIEVED_GOOD) / (weight.sum() + worth), 0.05, MOST_GOOD))
             rates = np.empty_like(self.rates)
             for j in range(n_rules):
                 for c in (0, 1):
-                    # a rule is held to do better than chance: the classes keep their names
-                    rates[c, j] = np.bincount(votes[:, j], weights=weight[c], minlength=3) + (np.array([2.0, 1.0, 1.0]) if c == 0 else np.array([1.0, 1.0, 2.0]))
+                    # a rule is believed to do better than chance: the classes keep their names
+                    rates[c, j] = np.bincount(votes[:, j], weights=weight[c], minlength=3) + belief[c, j]
                     rates[c, j] /= rates[c, j].sum()
             # what one vote can weigh is bounded; without that, EM may name the commonest habit of texts, such as their length
             weigh = np.clip(np.log(rates[1] / rates[0]), low, high)

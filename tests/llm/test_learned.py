@@ -108,3 +108,15 @@ def test_quality_against_labels(spark, data):
     bad = [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in good) >= 0.99 * len(good)
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
+
+
+def test_quality_rules_can_be_outvoted():
+    import numpy as np
+
+    names = list(quality.rules())
+    vote = lambda **v: tuple(v.get(x, 0 if x in ("lines", "capitals", "shouting") else 1) for x in names)
+    for rule in quality.STRONG:
+        odd, good, bad = vote(**{rule: -1}), vote(), vote(length=-1, word_length=-1, lines=-1, sentences=-1)
+        keep = lambda *counts: quality.Voters([odd, good, bad], np.array(counts, dtype=float)).posterior >= 0.5  # noqa: B023, E731
+        assert keep(600, 200, 200).tolist() == [True, True, False], rule
+        assert keep(20, 780, 200).tolist() == [False, True, False], rule
