@@ -6,8 +6,8 @@ votes how often each rule votes each way on good and on bad texts, and what shar
 text is kept if its posterior probability of being good is one half or more; a rule that fails
 no longer fails the text. What is believed of the rules beforehand weighs as much as all texts
 together, so a rule that fails texts which look good otherwise, and many of them, loses weight
-until the others outvote it; where it fails few, one vote against may decide. Votes travel as counts of vote patterns, of which there are at most
-3 ^ rules, whatever the number of documents.
+until the others outvote it; where it fails few, one vote against may decide. Votes travel as
+counts of vote patterns, of which there are at most 3 ^ rules, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ class Voters:
     def __init__(self, patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 200):
         self.patterns, n_rules = patterns, len(patterns[0]) if patterns else 0
         votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), n_rules) + 1
-        # the start: texts with more votes against them are less likely good
-        good = np.clip(0.95 * 0.15 ** (votes == 0).sum(axis=1), 0.001, 0.95)
+        # the start is the majority of votes: from a harsher one, EM may name a rule that fails most texts as its classes
+        good = (1 + (votes == 2).sum(axis=1)) / (2 + (votes != 1).sum(axis=1))
         self.prior, self.rates = 0.5, np.full((2, n_rules, 3), 1 / 3)
         against = np.array([BELIEF_STRONG if x in STRONG else BELIEF for x in list(rules())[:n_rules]]).reshape(n_rules, 2).T[:, :, None]
         worth = 4 + WORTH * counts.sum()
