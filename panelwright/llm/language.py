@@ -6,7 +6,8 @@ each context; a look-up is a binary search. A text goes to the language under wh
 length-normalised cross-entropy is least. Confidence is calibrated on learning rows that the
 models have not seen, by logistic regression on the lead over the second language; a text that
 no model explains as well as it did nearly all of those rows, or whose confidence is under one
-half, is marked ``rejected``.
+half, is marked ``rejected``. The regression sees stretches of at most ``ROWS`` rows a language,
+drawn by a hash, from ``PLACES`` places spread over the whole text.
 
 Models are fitted on the driver from a sample bounded by ``SAMPLE_CHARS`` characters a
 language (an expectation: rows are chosen by a hash of the id at a rate that counts over all
@@ -16,6 +17,7 @@ rows set; rows over ``LONGEST`` characters are not chosen). Every text is scored
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from .common import map_texts, mix, read, schema_of, without
 
 #: Characters of an n-gram; characters of sample a language; longest sampled text; characters that have a number of their own.
 ORDER, SAMPLE_CHARS, LONGEST, ALPHABET = 4, 600_000, 50_000, 250
-#: Share of the sample that calibrates; share of it whose cross-entropy is accepted.
-CALIBRATE, ACCEPTED = 0.2, 0.995
+#: Share of the sample that calibrates; share of it whose cross-entropy is accepted; rows a language, and places a row and length, whose stretches the confidence is learned from.
+CALIBRATE, ACCEPTED, ROWS, PLACES = 0.2, 0.995, 100, 5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -150,6 +152,15 @@ class Identifier:
         two = np.sort(h, axis=1)[:, :2]
         return (two[:, 1] - two[:, 0]) * np.sqrt(np.minimum(sizes, 400))
 
+    @staticmethod
+    def _drawn(texts: list[str], langs: list[str]) -> list[tuple[str, str]]:
+        """At most ``ROWS`` rows of every language, by a hash of the text."""
+        order = sorted(range(len(texts)), key=lambda i: (langs[i], zlib.crc32(texts[i].encode("utf-8", "surrogatepass")), texts[i]))
+        first = {}
+        for place, i in enumerate(order):
+            first.setdefault(langs[i], place)
+        return [(texts[i], langs[i]) for place, i in enumerate(order) if place - first[langs[i]] < ROWS]
+
     def _calibrate(self, texts: list[str], langs: list[str]) -> None:
         self.limits = np.full(len(self.langs), np.inf)
         if not texts:
@@ -161,7 +172,7 @@ class Identifier:
             if len(own):
                 self.limits[k] = np.quantile(own, ACCEPTED) * 1.05
         # whole texts are told apart too easily to learn from; stretches of 6 to 48 characters are not
-        parts = [(t[i : i + n], x) for t, x in zip(texts[:400], langs[:400], strict=True) for n in (6, 12, 24, 48) for i in range(0, min(len(t) - n, 2000), 400) if t[i : i + n].strip()]
+        parts = [(t[i : i + n], x) for t, x in self._drawn(texts, langs) for n in (6, 12, 24, 48) for i in range(0, len(t) - n + 1, max(400, (len(t) - n) // PLACES + 1)) if t[i : i + n].strip()]
         parts = [(t, x) for t, x in parts if _LETTER.search(t)]
         if not parts:
             return

@@ -42,6 +42,18 @@ def test_kneser_ney_sums_to_one():
         assert abs(np.exp(model.log_prob(codes)).sum() - 1) < 1e-9
 
 
+def test_language_calibrates_on_every_language():
+    short = [(f"{lang} text {i} " + "of few words " * 7, lang) for lang in "abcd" for i in range(1200)]
+    long = [("x" * 3000 + "y" * 3000, "e")] * 3
+    drawn = language.Identifier._drawn(*map(list, zip(*short, *long, strict=True)))
+    assert Counter(x for _, x in drawn) == {**dict.fromkeys("abcd", language.ROWS), "e": 3}
+    model, seen = language.Identifier([], []), []
+    model.langs, model.models = ["d", "e"], [None, None]
+    model.entropies = lambda texts: seen.extend(texts) or __import__("numpy").ones((len(texts), 2))
+    model._calibrate(*map(list, zip(*short, *long, strict=True)))
+    assert any(t.startswith("d ") for t in seen if len(t) <= 48) and "y" * 48 in seen
+
+
 def test_toxicity_held_out(spark, data):
     d = data.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
