@@ -11,7 +11,8 @@ drawn by a hash, from ``PLACES`` places spread over the whole text.
 
 Models are fitted on the driver from a sample bounded by ``SAMPLE_CHARS`` characters a
 language (an expectation: rows are chosen by a hash of the id at a rate that counts over all
-rows set; rows over ``LONGEST`` characters are not chosen). Every text is scored whole.
+rows set; of rows over ``LONGEST`` characters a stretch of that length is learned, from a place
+set by the hash). Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -26,25 +27,29 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, mix, read, schema_of, without
 
-#: Characters of an n-gram; characters of sample a language; longest sampled text; characters that have a number of their own.
-ORDER, SAMPLE_CHARS, LONGEST, ALPHABET = 4, 600_000, 50_000, 250
+#: Characters of an n-gram; characters of sample a language; longest sampled text; characters that have a number of their own in 8 bits, and in 16 where these don't do.
+ORDER, SAMPLE_CHARS, LONGEST, ALPHABET, WIDE = 4, 600_000, 50_000, 250, 65_534
 #: Share of the sample that calibrates; share of it whose cross-entropy is accepted; rows a language, and places a row and length, whose stretches the confidence is learned from.
 CALIBRATE, ACCEPTED, ROWS, PLACES = 0.2, 0.995, 100, 5
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 class Symbols:
-    """Character numbers: 0 ends a text, 1 is any rare character, the others are the frequent ones."""
+    """Character numbers: 0 ends a text, 1 is any unknown character, the others are the known ones.
+
+    Numbers have 8 bits if that is enough for all characters, else 16: four of them fill a 64-bit n-gram.
+    """
 
     def __init__(self, texts: list[str]):
         points = np.concatenate([np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]) if texts else np.zeros(0, dtype=np.uint32)
         found, count = np.unique(points, return_counts=True)
-        best = found[np.lexsort((found, -count))][:ALPHABET]
-        self.table = np.ones(0x110000, dtype=np.uint8)
+        self.bits = 8 if len(found) <= ALPHABET else 16
+        best = found[np.lexsort((found, -count))][:WIDE]
+        self.table = np.ones(0x110000, dtype=np.uint16)
         self.table[best] = np.arange(2, 2 + len(best))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """n-gram numbers (8 bits a symbol) of all texts end to end, and where each text begins; a text has one more than its characters."""
+        """n-gram numbers (``bits`` a symbol) of all texts end to end, and where each text begins; a text has one more than its characters."""
         pad = b"\0" * (4 * ORDER)
         joined = pad.join(t.encode("utf-32-le", "surrogatepass") for t in texts)
         points = np.frombuffer(pad + joined + pad, dtype=np.uint32)
@@ -58,7 +63,7 @@ class Symbols:
         syms[outside == 1] = 0
         code = syms.copy()
         for k in range(1, ORDER):
-            code[k:] |= syms[:-k] << np.uint64(8 * k)
+            code[k:] |= syms[:-k] << np.uint64(self.bits * k)
         inside = outside == 0
         inside[begin + sizes] = True  # the end of the text is predicted as well
         return code[inside], np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
@@ -67,25 +72,26 @@ class Symbols:
 class KneserNey:
     """One language's model, fitted on n-gram numbers."""
 
-    def __init__(self, codes: np.ndarray, discount: float = 0.75):
+    def __init__(self, codes: np.ndarray, discount: float = 0.75, bits: int = 8):
+        self.bits = bits
         grams, count = np.unique(codes, return_counts=True)
         count = count.astype(np.float64)
         levels = []
         for n in range(ORDER, 0, -1):
             levels.append((grams, count))
             # the next order counts in how many ways a gram is continued to the left
-            grams, count = np.unique(grams & np.uint64((1 << (8 * (n - 1))) - 1), return_counts=True)
+            grams, count = np.unique(grams & np.uint64((1 << (bits * (n - 1))) - 1), return_counts=True)
             count = count.astype(np.float64)
         self.hashes, self.logs, self.contexts, self.weights = [], [], [], []
         below_grams, below = np.zeros(0, dtype=np.uint64), np.zeros(0)
         for n, (grams, count) in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-            heads, at = np.unique(grams >> np.uint64(8), return_inverse=True)
+            heads, at = np.unique(grams >> np.uint64(bits), return_inverse=True)
             total, kinds = np.bincount(at, weights=count), np.bincount(at)
             weight = discount * kinds / total
             if n == 1:
-                lower = np.full(len(grams), 1 / 256)
+                lower = np.full(len(grams), 1 / (1 << bits))
             else:
-                lower = below[np.searchsorted(below_grams, grams & np.uint64((1 << (8 * (n - 1))) - 1))]
+                lower = below[np.searchsorted(below_grams, grams & np.uint64((1 << (bits * (n - 1))) - 1))]
             prob = np.maximum(count - discount, 0) / total[at] + weight[at] * lower
             below_grams, below = grams, prob
             for keys, values, to_keys, to_values in ((grams, np.log(prob), self.hashes, self.logs), (heads, np.log(weight), self.contexts, self.weights)):
@@ -98,15 +104,15 @@ class KneserNey:
         """Log-probability of the last character of each n-gram after the others."""
         out, left = np.zeros(len(codes)), np.arange(len(codes))
         for n in range(ORDER, 0, -1):
-            own = codes[left] & np.uint64((1 << (8 * n)) - 1)
+            own = codes[left] & np.uint64((1 << (self.bits * n)) - 1)
             at, hit = self._find(self.hashes[n - 1], mix(own, n))
             out[left[hit]] += self.logs[n - 1][at[hit]]
             left, own = left[~hit], own[~hit]
             if not len(left):
                 return out
-            at, hit = self._find(self.contexts[n - 1], mix(own >> np.uint64(8), n))
+            at, hit = self._find(self.contexts[n - 1], mix(own >> np.uint64(self.bits), n))
             out[left[hit]] += self.weights[n - 1][at[hit]]
-        out[left] += np.log(1 / 256)
+        out[left] += np.log(1 / (1 << self.bits))
         return out
 
     @staticmethod
@@ -133,7 +139,7 @@ class Identifier:
         self.symbols = Symbols([t for t, a in zip(texts, aside, strict=True) if not a])
         for lang in self.langs:
             own = [t for t, x, a in zip(texts, langs, aside, strict=True) if x == lang and not a]
-            self.models.append(KneserNey(self.symbols.codes(own)[0]))
+            self.models.append(KneserNey(self.symbols.codes(own)[0], bits=self.symbols.bits))
         self._calibrate([t for t, a in zip(texts, aside, strict=True) if a], [x for x, a in zip(langs, aside, strict=True) if a])
 
     def entropies(self, texts: list[str]) -> np.ndarray:
@@ -214,7 +220,9 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, chars: int = SAMPLE_CHARS) -> Identifier:
     """Fit on about ``chars`` characters a language of ``docs`` (``doc_id``, ``text``, ``lang``) outside the held-out fold."""
-    usable = docs.where("lang is not null and text is not null").where(~held_out()).where(F.length("text").between(1, LONGEST))
+    usable = docs.where("lang is not null and text is not null").where(~held_out()).where(F.length("text") > 0)
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - LONGEST, F.lit(0)) + 1)
+    usable = usable.withColumn("text", F.when(F.length("text") > LONGEST, F.substr("text", start.cast("int"), F.lit(LONGEST))).otherwise(F.col("text")))
     totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not totals:
         return Identifier([], [])

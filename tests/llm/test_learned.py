@@ -42,6 +42,19 @@ def test_kneser_ney_sums_to_one():
         assert abs(np.exp(model.log_prob(codes)).sum() - 1) < 1e-9
 
 
+def test_language_large_alphabets_and_long_rows(spark):
+    rng = random.Random(3)
+    # two languages of the same 300 common characters; 400 rarer ones tell them apart
+    common = [chr(0x4E00 + i) for i in range(300)]
+    rare = {"x": [chr(0x5E00 + i) for i in range(400)], "y": [chr(0x6E00 + i) for i in range(400)]}
+    text = lambda lang, n: "".join(rng.choice(rare[lang] if rng.random() < 0.2 else common) for _ in range(n))
+    model = language.Identifier([text(k, 400) for k in "xy" for _ in range(60)], ["x"] * 60 + ["y"] * 60)
+    new = [text(k, 100) for k in "xy" for _ in range(50)]
+    assert sum(a == b for a, b in zip(model.predict(new)[0], "x" * 50 + "y" * 50, strict=True)) >= 95
+    docs = spark.createDataFrame([(i, "lang long " * 5100, "z") for i in range(12)] + [(i + 12, "short and other", "w") for i in range(12)], "doc_id long, text string, lang string")
+    assert language.train(docs).langs == ["w", "z"]
+
+
 def test_language_calibrates_on_every_language():
     short = [(f"{lang} text {i} " + "of few words " * 7, lang) for lang in "abcd" for i in range(1200)]
     long = [("x" * 3000 + "y" * 3000, "e")] * 3
