@@ -193,12 +193,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     has the component of its group (null only if no member has an id). Repeated rows stay.
     Inputs that hold ``fp``, ``component_id`` lose those columns to the outputs.
     """
+    return _grouped(docs, shingle, radius)
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, *root: str) -> DataFrame:
+    """``near_duplicates`` with the column ``root``, if named: a fingerprint that names the group whatever its ids."""
     marked = cut(with_fingerprints(without(docs, "fp", "component_id"), shingle).drop("text"))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(near_links(nodes.select("fp"), radius))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id", *[F.col("root").alias(x) for x in root])
     return marked.join(named, "fp")
 
 
@@ -209,11 +214,10 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     The survivors are settled on ids and fingerprints alone, then picked from ``docs`` by a join.
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select("doc_id", "text", F.col("_row")), shingle, radius)
+    found = _grouped(rows.select("doc_id", "text", F.col("_row")), shingle, radius, "_root")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # equal ids, or null ids, of one group are told apart by row number
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    kept = own.groupBy(group.alias("_group")).agg(F.min("_row").alias("_row")).select("_row")
+    kept = own.groupBy("_root").agg(F.min("_row").alias("_row")).select("_row")
     return rows.join(kept, "_row", "left_semi").drop("_row")
 
 

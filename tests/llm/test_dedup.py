@@ -97,6 +97,17 @@ def test_near_duplicates(spark):
     assert kept.count() == len(set(group))
 
 
+def test_keep_one_tells_groups_apart_by_links(spark):
+    rng = random.Random(8)
+    text = lambda: [rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(400)]
+    one, two, three = text(), text(), text()
+    near = next(c for c in ([*three[:i], "zz", *three[i + 1 :]] for i in range(400)) if 0 < bin(brute_fingerprint(" ".join(c)) ^ brute_fingerprint(" ".join(three))).count("1") <= 4)
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, near)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text.split() in (three, near) or r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(1, " ".join(one)), (1, " ".join(two)), (None, True)])
+
+
 def test_covering_masks_cover():
     masks = simhash.covering_masks(4)
     rng = random.Random(2)
