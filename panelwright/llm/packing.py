@@ -16,6 +16,7 @@ import base64
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,17 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     The ranks are those of byte_bpe_50k.json, and the ids are the same; this reader of them is
-    several times faster (tests compare the two). Text that spells a special token is plain text.
+    several times faster (tests compare the two). Text that spells the special token is plain text
+    unless ``special`` is set, which is what the tokenizer does by default and ``token_pieces`` too.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        bpe = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        self.encode = partial(bpe.encode, allowed_special="all", disallowed_special=()) if special else bpe.encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         ids = self.encode(text)
@@ -70,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        encode = Encoder(path)
+        encode = Encoder(path, special=True)
         end = np.array([terminator], dtype="<u4").tobytes()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -100,6 +100,17 @@ def test_encoder_matches_tokenizers(spark, data):
         assert encode(text) == np.array(want.ids, dtype="<u4").tobytes()
 
 
+def test_special_token_is_read_as_by_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "", "plain  text\n"]
+    want = {i: np.array([*x.ids, 0], dtype="<u4").tobytes() for i, x in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: bytes(r.ids) for r in packing.token_pieces(docs, with_ids=True).collect()} == want
+
+
 def test_packing(spark):
     rows = documents()
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("offset", F.lit("clash"))
