@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch. Texts may be long, so batches hold few rows.
-BATCH_ROWS = 400
+#: Rows, and bytes of text, that a function over texts is given at once; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 400, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,9 +50,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to few rows, as a row may be a whole long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most ``rows`` rows and, but for longer single texts, ``size`` bytes of ``column``.
+
+    Spark bounds its own batches by bytes (64 MB), so that no session setting has to be changed.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def fresh(prefix: str) -> str:
@@ -59,6 +70,29 @@ def fresh(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own working columns, one for each given, that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_on_hot_key(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row a key; ``weight``: how many rows have it) without a hot task.
+
+    Keys that hold a ``share``-th of all ``total`` rows or more, of which there are at most
+    ``share``, are broadcast; the other keys are joined by shuffle. ``weight`` is left out.
+    """
+    keyed = keyed.withColumn("_hot", F.col(weight) * share >= total).drop(weight)
+    hot = F.broadcast(keyed.where("_hot").drop("_hot"))
+    rest = rows.join(F.broadcast(keyed.where("_hot").select(key)), key, "left_anti").join(keyed.where("not _hot").drop("_hot"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names an operator's outputs take (case-insensitive)."""
     taken = {n.lower() for n in names}
@@ -81,16 +115,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, make, schema: StructType | str) -> DataFrame:
-    """mapInArrow with ``make()`` called once per task to build the batch function."""
-    small_batches(df.sparkSession)
+def map_texts(df: DataFrame, make, schema: StructType | str, column: str = "text") -> DataFrame:
+    """mapInArrow with ``make()`` called once per task to build the batch function; ``column`` holds the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
-            if batch.num_rows:
-                f = f or make()
-                yield f(batch)
+        for batch in slices(batches, column):
+            f = f or make()
+            yield f(batch)
 
     return df.mapInArrow(run, schema)
 

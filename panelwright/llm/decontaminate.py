@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, schema_of, small_batches, utf8, without
+from .common import read, schema_of, slices, utf8, without
 
 #: Words are runs of ASCII letters and digits and of any bytes beyond ASCII, A-Z lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: UTF-8 bytes of a shard; bytes of test items that are searched in one pass; sampling distance.
-SHARD_BYTES, ITEMS_BYTES, SAMPLE = 4 << 20, 4 << 20, 16
+#: UTF-8 bytes of a shard; bytes of test items that are held and searched at once; sampling distance; windows searched at once.
+SHARD_BYTES, ITEMS_BYTES, SAMPLE, WINDOWS = 4 << 20, 64 << 20, 16, 1 << 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -133,22 +133,28 @@ class FmIndex:
 
 
 class Phrases:
-    """The windows of a set of test items as word numbers, by length."""
+    """The windows of a set of test items, laid out as one sequence of word numbers (4 bytes a word) and window starts."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[str] = []
-        by_length: dict[int, dict[tuple, set[int]]] = {}
+        parts, sizes = [], []
         for key, text in items:
             seq = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not seq:
-                continue
-            at = len(self.ids)
-            self.ids.append(str(key))
-            size = min(window, len(seq))
-            for i in range(len(seq) - size + 1):
-                by_length.setdefault(size, {}).setdefault(tuple(seq[i : i + size]), set()).add(at)
-        self.groups = [(n, np.array(list(x), dtype=np.int64), [sorted(s) for s in x.values()]) for n, x in sorted(by_length.items())]
+            if seq:
+                self.ids.append("" if key is None else str(key))
+                parts.append(np.array(seq, dtype=np.int32))
+                sizes.append(len(seq))
+        self.seq = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        size = np.minimum(np.array(sizes, dtype=np.int64), window)
+        #: by length: where the windows of that length start
+        self.groups: list[tuple[int, np.ndarray]] = []
+        for n in np.unique(size).tolist():
+            items_of = np.flatnonzero(size == n)
+            count = np.diff(self.begin)[items_of] - n + 1
+            starts = np.repeat(self.begin[items_of], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            self.groups.append((n, starts.astype(np.int64)))
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
         """Per text: its words, the merged word spans [from, to) of occurrences, and the items found."""
@@ -165,19 +171,22 @@ class Phrases:
         seq[odd] = plain + np.arange(len(odd))
         index, begin = FmIndex(seq, plain), np.concatenate(([0], np.cumsum(sizes + 1)))
         hits: dict[int, list[tuple[int, int]]] = {}
-        for size, phrases, owners in self.groups:
-            low, high = index.find(phrases)
-            found = np.flatnonzero(high > low)
-            if not len(found):
-                continue
-            count = high[found] - low[found]
-            which = np.repeat(found, count)
-            rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[found], count)
-            at = index.locate(rows)
-            doc = np.searchsorted(begin, at, side="right") - 1
-            for d, p, w in zip(doc.tolist(), (at - begin[doc]).tolist(), which.tolist(), strict=True):
-                hits.setdefault(d, []).append((p, p + size))
-                out[d][2].update(owners[w])
+        for size, starts in self.groups:
+            for a in range(0, len(starts), WINDOWS):
+                own = starts[a : a + WINDOWS]
+                low, high = index.find(self.seq[own[:, None] + np.arange(size)].astype(np.int64))
+                found = np.flatnonzero(high > low)
+                if not len(found):
+                    continue
+                count = high[found] - low[found]
+                which = np.repeat(found, count)
+                rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[found], count)
+                at = index.locate(rows)
+                doc = np.searchsorted(begin, at, side="right") - 1
+                item = np.searchsorted(self.begin, own[which], side="right") - 1
+                for d, p, k in zip(doc.tolist(), (at - begin[doc]).tolist(), item.tolist(), strict=True):
+                    hits.setdefault(d, []).append((p, p + size))
+                    out[d][2].add(k)
         for d, spans in hits.items():
             out[d] = (out[d][0], merged(spans), out[d][2])
         return out
@@ -220,12 +229,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13)
     the ids of the items with an occurrence, as strings in order. Null and empty texts have no
     words and no hits; equal items and repeated rows each count.
 
-    Test items travel in blocks of at most ``ITEMS_BYTES`` of text, whatever their number: each
-    block is one more pass of searching over the documents, whose spans are merged with those
-    of the passes before. An empty benchmark hits nothing.
+    An item whose id is null is searched as well and listed as ''. An empty benchmark hits nothing.
+
+    Test items travel as word numbers in blocks of at most ``ITEMS_BYTES`` of text: up to there
+    one pass searches all items in one index a shard; each further block is one more pass over
+    the documents, whose spans are merged with those of the passes before.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     base = without(docs, "n_words", "hit_spans", "hit_items")
     keep = base.columns
     schema = schema_of(base, FOUND)
@@ -234,10 +244,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13)
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = phrases.value
             held, size = [], 0
-            for batch in batches:
+            for batch in slices(batches, "text", rows=1 << 20, size=SHARD_BYTES):
                 held.append(batch)
                 size += batch.column("text").nbytes
-                if size >= SHARD_BYTES:
+                if size >= SHARD_BYTES // 2:
                     yield from shard(own, held)
                     held, size = [], 0
             if held:
@@ -283,7 +293,7 @@ def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH i AS (
-  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), q AS (
   SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(k) WHERE len(w) > 0
 ), d AS (

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix, read, schema_of, small_batches, strings_hash, utf8, without
+from .common import cut, fresh, mix, read, schema_of, strings_hash, utf8, without
 
 #: The renaming rounds: R names runs, P names pairs.
 ROUNDS = "RPPPRPPPP"
@@ -215,7 +215,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     outputs give way to them. Rows return in no set order.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = without(docs, "n_words", "n_removed", "kept_text", "blk")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // (BLOCK_BYTES * BLOCKS_A_BUCKET)

@@ -27,7 +27,7 @@ def brute_hits(texts, items, window=13):
         w = folded(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            phrases[tuple(w[i : i + n])].add(str(key))
+            phrases[tuple(w[i : i + n])].add("" if key is None else str(key))
     out = []
     for text in texts:
         w, found = folded(text), set()
@@ -45,7 +45,7 @@ def contamination_case():
     rows = documents()
     rng = random.Random(9)
     some = folded(rows[0][1])
-    items = [(1, " ".join(some[5:40])), (2, "W1, w2"), (3, ""), (4, None), (5, prose(rng, 30)), (6, "a"), (7, " ".join(some[5:40])), (10, "É! xyz"), (11, "W1 W2")]
+    items = [(1, " ".join(some[5:40])), (2, "W1, w2"), (3, ""), (4, None), (5, prose(rng, 30)), (6, "a"), (7, " ".join(some[5:40])), (10, "É! xyz"), (11, "W1 W2"), (None, " ".join(some[50:80]))]
     rows.append((70, "É! xyz -- w1; W2 w1 w2", "en", "s", 0))
     return rows, items
 
@@ -87,37 +87,38 @@ def test_fm_index_against_brute_force():
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-def test_encoder_matches_tokenizers(spark, data):
+def contract_ids(texts):
+    """The contract's own call."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
+    return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_matches_tokenizers(spark, data):
     encode = packing.Encoder(packing.default_tokenizer())
-    texts = [r[1] or "" for r in documents()] + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    texts += ["  a\n\n b\t c ", "don't  I'LL 12a٣ ½", "日本語 テキスト 🙂🙂", "<|endoftext|> x", "\x1c\x85 a", "a\r\n\r\nb", "'s's 'S"]
-    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encode(text) == np.array(want.ids, dtype="<u4").tobytes()
+    texts = [r[1] or "" for r in documents()] + [r.text or "" for r in spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").collect()]
+    texts += ["  a\n\n b\t c ", "don't  I'LL 12a٣ ½", "日本語 テキスト 🙂🙂", "<|endoftext|> x", "\x1c\x85 a", "a\r\n\r\nb", "'s's 'S"]
+    texts += [" " * 2_000_000 + "x", "ab" * 1_000_000, "a" + "\n \t" * 400_000, "<|endoftext|>" + " " * 30_000]
+    for text, want in zip(texts, contract_ids(texts), strict=True):
+        assert encode(text) == want
 
 
 def test_special_token_is_read_as_by_default(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "", "plain  text\n"]
-    want = {i: np.array([*x.ids, 0], dtype="<u4").tobytes() for i, x in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|", "", "plain  text\n", " " * 1_000_000]
+    want = {i: (zlib.crc32(x + bytes(4)), len(x) // 4 + 1) for i, x in enumerate(contract_ids(texts))}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: bytes(r.ids) for r in packing.token_pieces(docs, with_ids=True).collect()} == want
+    got = packing.token_pieces(docs, capacity=1 << 30, with_ids=True).collect()
+    assert {r.doc_id: (zlib.crc32(r.ids), r.length) for r in got} == want
 
 
 def test_packing(spark):
     rows = documents()
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("offset", F.lit("clash"))
-    encode = packing.Encoder(packing.default_tokenizer())
     want = Counter()
-    for key, text, *_ in rows:
-        ids = encode(text or "") + bytes(4)
+    for (key, *_), ids in zip(rows, contract_ids([r[1] or "" for r in rows]), strict=True):
+        ids += bytes(4)
         n = len(ids) // 4
         first = n if n <= 64 else n % 64 or 64
         at = piece = 0
@@ -149,6 +150,34 @@ def test_packer_closes_the_fullest():
     assert packer.put(3) == (0, 6) and packer.put(2) == (2, 8)
 
 
+def test_packing_closes_bins_and_fills_them(spark, monkeypatch):
+    closed, take = [], packing.Packer._take
+    rng = random.Random(4)
+    sizes = [min(2048, int(rng.lognormvariate(6.5, 0.9)) + 1) for _ in range(30_000)]
+    order = packing.Packer(2048)
+    monkeypatch.setattr(packing.Packer, "_take", lambda self, space: closed.append(self.open) or take(self, space))
+    for a in range(0, len(sizes), packing.BUFFER):
+        for size in sorted(sizes[a : a + packing.BUFFER], reverse=True):
+            fits = bool(order.free >> size)
+            before = len(closed)
+            order.put(size)
+            closed[before:] = [] if fits else closed[before:]
+    assert closed and max(closed) == packing.OPEN_BINS  # as many as a packer has by default are closed while full
+    rows = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").withColumn("group", F.lit("kept")).withColumn("arrival", F.lit(1))
+    got = packing.pack(rows, group=12_000).collect()
+    assert Counter(r.length for r in got) == Counter(sizes) and {r.group for r in got} == {"kept"}
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(held) <= 1.005 * -(-sum(sizes) // 2048)
+
+
 def check_shards(rows, got, shards):
     total = sum(r["size"] for r in got)
     by = defaultdict(list)
