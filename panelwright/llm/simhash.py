@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, read, schema_of, stored, text_or_empty, utf8, without
+from .common import cut, join_on_hot_key, map_texts, read, schema_of, stored, unused, utf8, without
 from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,19 +55,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``docs`` (any columns; ``text``) with column ``fp``: the fingerprint as a signed long. Null text counts as empty."""
-    base = without(docs, "fp").withColumn("_bytes", text_or_empty())
+    base = without(docs, "fp")
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column("_bytes"))], dtype=np.uint64)
-            return pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "_bytes"), pa.array(fps.view(np.int64))],
-                names=[*(c for c in batch.schema.names if c != "_bytes"), "fp"],
-            )
+            fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], dtype=np.uint64)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "fp"])
 
         return f
 
-    return map_texts(base, make, schema_of(base.drop("_bytes"), "fp long"))
+    return map_texts(base, make, schema_of(base, "fp long"))
 
 
 def covering_masks(radius: int = 4, bits: int = 64, seed: int = 7) -> list[int]:
@@ -153,18 +150,26 @@ def _bucket_edges(radius: int):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # parts of the last bucket, joined once when it is complete
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            # all but the last bucket are complete
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            cutoff = int(edge[-1]) + 1 if len(edge) else 0
-            if cutoff:
-                done, held = [x[:cutoff] for x in held], [x[cutoff:] for x in held]
-                yield from emit(forests(done[0], done[1], done[2].view(np.uint64)))
-        if held is not None and len(held[0]):
-            yield from emit(forests(held[0], held[1], held[2].view(np.uint64)))
+            if not len(cols[0]):
+                continue
+            edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            goes_on = not held or (held[-1][0][-1] == cols[0][0] and held[-1][1][-1] == cols[1][0])
+            if goes_on and not len(edge):
+                held.append(cols)
+                continue
+            cutoff = int(edge[-1]) if len(edge) else 0
+            done = [*held, [x[:cutoff] for x in cols]] if goes_on or cutoff else held
+            yield from emit(forests(*whole(done)))
+            held = [[x[cutoff:] for x in cols]]
+        if held:
+            yield from emit(forests(*whole(held)))
+
+    def whole(parts):
+        tab, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return tab, key, fp.view(np.uint64)
 
     def emit(found):
         if found:
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     Every input row returns once, with all its columns but the text. Texts without words have
     fingerprint zero and are linked like any other. A row whose doc_id is null takes part and
     has the component of its group (null only if no member has an id). Repeated rows stay.
-    Inputs that hold ``fp``, ``component_id`` lose those columns to the outputs.
+    Inputs that hold ``fp``, ``component_id`` lose those columns to the outputs. Runs jobs when called.
     """
     return _grouped(docs, shingle, radius)
 
@@ -199,12 +204,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def _grouped(docs: DataFrame, shingle: int, radius: int, *root: str) -> DataFrame:
     """``near_duplicates`` with the column ``root``, if named: a fingerprint that names the group whatever its ids."""
     marked = cut(with_fingerprints(without(docs, "fp", "component_id"), shingle).drop("text"))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id", *[F.col("root").alias(x) for x in root])
-    return marked.join(named, "fp")
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
+    n, rows = nodes.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    found = connected_components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = cut(nodes.join(found, "fp", "left").select("fp", "_least", "_rows", F.coalesce("root", "fp").alias("_root")))
+    lowest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
+    named = join_on_hot_key(rooted, cut(lowest), "_root", "_nodes", n)
+    named = cut(named.select("fp", "component_id", "_rows", *[F.col("_root").alias(x) for x in root]))
+    return join_on_hot_key(marked, named, "fp", "_rows", rows or 0)
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -213,12 +220,13 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     Of repeated rows with that id one stays; a row whose id is null stays only if its group has no ids.
     The survivors are settled on ids and fingerprints alone, then picked from ``docs`` by a join.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = _grouped(rows.select("doc_id", "text", F.col("_row")), shingle, radius, "_root")
+    row, root = unused(docs, "row", "root")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = _grouped(rows.select("doc_id", "text", row), shingle, radius, root)
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # equal ids, or null ids, of one group are told apart by row number
-    kept = own.groupBy("_root").agg(F.min("_row").alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    kept = own.groupBy(root).agg(F.min(row).alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
