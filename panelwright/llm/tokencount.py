@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read, schema_of, text_or_empty, utf8, without
+from .common import map_texts, read, schema_of, utf8, without
 
 #: Distinct words whose counts a worker remembers.
 REMEMBERED = 500_000
@@ -37,13 +37,20 @@ def load_vocabulary(path: str) -> list[bytes]:
 
 
 class LongestMatch:
-    """Counts of greedy longest-match pieces."""
+    """Counts of greedy longest-match pieces.
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        entry = [False]
+    With a ``continuation`` mark, such as ``##``, entries that begin with it match only after
+    another piece and the others only at a word's start; without one all match anywhere.
+    """
+
+    def __init__(self, vocabulary: list[bytes], continuation: bytes = b""):
+        self.rest = 1 if continuation else 0  # root of what follows a piece
+        self.next: list[dict[int, int]] = [{} for _ in range(self.rest + 1)]
+        entry = [False] * len(self.next)
         for piece in vocabulary:
             node = 0
+            if continuation and piece.startswith(continuation):
+                node, piece = self.rest, piece.removeprefix(continuation)
             for byte in piece:
                 to = self.next[node].get(byte)
                 if to is None:
@@ -52,16 +59,16 @@ class LongestMatch:
                     self.next.append({})
                     entry.append(False)
                 node = to
-            entry[node] = bool(piece)
+            entry[node] = entry[node] or bool(piece)
         self.link: list[int] = [-1] * len(self.next)
         self.popped = [0] * len(self.next)
-        queue = deque([0])
+        queue = deque(range(self.rest + 1))
         while queue:
             node = queue.popleft()
             for byte, to in self.next[node].items():
                 queue.append(to)
                 if entry[to]:
-                    self.link[to], self.popped[to] = 0, 1
+                    self.link[to], self.popped[to] = self.rest, 1
                     continue
                 back, count = self.link[node], self.popped[node]
                 while back >= 0 and byte not in self.next[back]:
@@ -80,7 +87,7 @@ class LongestMatch:
                 if node < 0:
                     return 1
             node = to
-        while node:
+        while node > self.rest:
             total += popped[node]
             node = link[node]
             if node < 0:
@@ -88,18 +95,17 @@ class LongestMatch:
         return total
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, mark: bytes = b" ") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | None = None, mark: bytes = b" ", continuation: bytes = b"") -> DataFrame:
     """``docs`` (any columns; ``text``) with ``n_words`` and ``n_tokens``.
 
     A word is marked at its start, as vocabularies with marked word starts need; ``mark`` may be
-    empty. Null and empty texts have none of either. Each row counts, repeated or not.
+    empty. Vocabularies that mark continued pieces instead name that mark in ``continuation``. Null and empty texts have none of either. Each row counts, repeated or not.
     """
     path = vocabulary or default_vocabulary()
-    base = without(docs, "n_words", "n_tokens", "_bytes").withColumn("_bytes", text_or_empty())
+    base = without(docs, "n_words", "n_tokens")
 
     def make():
-        machine = LongestMatch(load_vocabulary(path))
-
+        machine = LongestMatch(load_vocabulary(path), continuation)
 
         class Known(dict):
             def __missing__(self, word: bytes) -> int:
@@ -111,15 +117,14 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, mark: bytes = b
         known = Known()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [t.split() for t in utf8(batch.column("_bytes"))]
+            words = [t.split() for t in utf8(batch.column("text"))]
             counts = [sum(map(known.__getitem__, w)) for w in words]
-            names = [c for c in batch.schema.names if c != "_bytes"]
             arrays = [pa.array(list(map(len, words)), type=pa.int64()), pa.array(counts, type=pa.int64())]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], names=[*names, "n_words", "n_tokens"])
+            return pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "n_words", "n_tokens"])
 
         return f
 
-    return map_texts(base, make, schema_of(base.drop("_bytes"), "n_words long, n_tokens long"))
+    return map_texts(base, make, schema_of(base, "n_words long, n_tokens long"))
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,10 +214,10 @@ def test_shards_are_exact(spark, data, monkeypatch):
     assert got == want
 
 
-def brute_pieces(word, entries):
+def brute_pieces(word, entries, continuation=b""):
     n = i = 0
     while i < len(word):
-        j = next((j for j in range(len(word), i, -1) if word[i:j] in entries), None)
+        j = next((j for j in range(len(word), i, -1) if (continuation if i else b"") + word[i:j] in entries), None)
         if j is None:
             return 1
         i, n = j, n + 1
@@ -234,6 +234,16 @@ def test_longest_match():
             assert machine.count(word) == brute_pieces(word, entries)
 
 
+def test_longest_match_with_continuation_marks():
+    rng = random.Random(6)
+    for _ in range(200):
+        entries = {rng.choice([b"", b"##"]) + bytes(rng.choices(b"abc", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 16))}
+        machine = tokencount.LongestMatch(sorted(entries), b"##")
+        for _ in range(40):
+            word = bytes(rng.choices(b"abc", k=rng.randint(0, 10)))
+            assert machine.count(word) == brute_pieces(word, entries, b"##")
+
+
 def test_token_counts(spark):
     rows = documents()
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_tokens", F.lit("clash"))
