@@ -8,6 +8,7 @@ these are fetched; when it is one hash value, a group of copies, probing goes on
 one exchange puts every row in its place.
 
 Borders are exact: the row before whose key c of all T bytes lie has shard floor(shards * c / T).
+Places in a shard are numbered in parts of bounded row counts, whose borders are found alike.
 """
 
 from __future__ import annotations
@@ -18,25 +19,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut, read, schema_of, without
+from .common import cut, read, schema_of, unused, without
 
 #: Probes a border and round; rows of a bracket that are fetched; rows sorted in one task, about.
-PROBES, FETCHED, TASK_ROWS = 48, 128, 250_000
+PROBES, FETCHED, TASK_ROWS = 128, 128, 250_000
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, with ``size`` (bytes and 8), ``text_crc32`` and the sort key ``_hash``, ``_id``."""
+def sized(docs: DataFrame, hash_: str = "_hash", id_: str = "_id") -> DataFrame:
+    """``docs`` without its text, with ``size`` (bytes and 8), ``text_crc32`` and the sort key in two columns.
+
+    Ids that are not whole numbers take their place by hash.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = without(docs, "size", "text_crc32", "_hash", "_id")
-    out = base.select(
+    base = without(docs, "size", "text_crc32", hash_, id_)
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    key = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return base.select(
         *[c for c in base.columns if c != "text"],
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("_hash"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias(hash_),
+        F.coalesce(key, F.lit(LOW)).alias(id_),
     )
-    return out.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)))
 
 
 def _histogram(rows: DataFrame, column: str, probes: list[int], within: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,39 +142,57 @@ def _fetch(rows: DataFrame, column: str, borders: dict[int, list]) -> dict[int,
     return out
 
 
+def _after(keys: list[tuple[int, int]]):
+    """How many of the sorted keys are at or before each (hash, id)."""
+    hashes, ids = np.array([k[0] for k in keys], dtype=np.int64), np.array([k[1] for k in keys], dtype=np.int64)
+
+    def f(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        part, upto = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+        for value in np.unique(h[upto > part]).tolist():
+            own = h == value
+            a, b = np.searchsorted(hashes, value, side="left"), np.searchsorted(hashes, value, side="right")
+            part[own] = a + np.searchsorted(ids[a:b], d[own], side="right")
+        return part
+
+    return f
+
+
 def balanced_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """``docs`` without its text, with ``size``, ``text_crc32``, ``shard`` and ``slot``, its place in the shard.
 
     Sizes are near equal: they differ by less than twice the largest row. Null texts have no
     bytes, and null ids come first among equal texts. Rows with equal text and id are not parted,
-    and their order is open. Empty input gives an empty result.
+    and their order is open. Ids may be of any type; those that aren't whole numbers are ordered
+    by hash. Empty input gives an empty result. Runs jobs when called.
     """
-    rows = cut(sized(docs))
-    n = rows.count()
-    fine = max(1, -(-n // (shards * TASK_ROWS)))
-    keys = splitters(rows, shards * fine)
-    hashes, ids = np.array([k[0] for k in keys], dtype=np.int64), np.array([k[1] for k in keys], dtype=np.int64)
+    base = without(docs, "size", "text_crc32", "shard", "slot")
+    hash_, id_, part = unused(base, "hash", "id", "part")
+    rows = cut(sized(base, hash_, id_))
+    keys = rows.select(F.col(hash_).alias("_hash"), F.col(id_).alias("_id"), "size")
+    borders = splitters(keys, shards)
+    # a shard may hold many small rows: it is numbered in parts of equal row counts
+    n = keys.count()
+    parts = splitters(keys.withColumn("size", F.lit(1).cast("long")), max(1, -(-n // TASK_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard_of, part_of = _after(borders), _after(parts)
         for batch in batches:
-            h, d = batch.column("_hash").to_numpy(), batch.column("_id").to_numpy()
-            part, upto = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
-            for value in np.unique(h[upto > part]).tolist():
-                own = h == value
-                a, b = np.searchsorted(hashes, value, side="left"), np.searchsorted(hashes, value, side="right")
-                part[own] = a + np.searchsorted(ids[a:b], d[own], side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=[*batch.schema.names, "_part"])
-
-    placed = rows.mapInArrow(run, schema_of(rows, "_part int"))
-    counts = dict(placed.groupBy("_part").count().collect())
-    offsets, at = [], 0
-    for part in range(shards * fine):
-        at = 0 if part % fine == 0 else at
-        offsets.append(at)
-        at += counts.get(part, 0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_hash", "_id"))
-    base = F.array(*[F.lit(x).cast("long") for x in offsets])
-    return placed.withColumn("slot", place - 1 + F.element_at(base, F.col("_part") + 1)).withColumn("shard", (F.col("_part") / fine).cast("int")).drop("_part", "_hash", "_id")
+            h, d = batch.column(hash_).to_numpy(), batch.column(id_).to_numpy()
+            more = [pa.array(f(h, d).astype(np.int32)) for f in (shard_of, part_of)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "shard", part])
+
+    placed = rows.mapInArrow(run, schema_of(rows, f"shard int, {part} int"))
+    # a row a part: as many as shards and parts of TASK_ROWS rows, together
+    counts = sorted((r["shard"], r[part], r["count"]) for r in placed.groupBy("shard", part).count().collect())
+    starts, at = [], 0
+    for k, (own, p, c) in enumerate(counts):
+        at = 0 if k and own != counts[k - 1][0] else at
+        starts.append((own, p, at))
+        at += c
+    (start,) = unused(placed, "start")
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(starts, f"shard int, {part} int, {start} long"))
+    place = F.row_number().over(Window.partitionBy("shard", part).orderBy(hash_, id_))
+    return placed.withColumn("slot", place).join(offsets, ["shard", part]).withColumn("slot", F.col("slot") - 1 + F.col(start)).drop(part, hash_, id_, start)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,15 @@ def test_shards(spark):
     check_shards(null_ids, [r.asDict() for r in sharding.balanced_shards(spark.createDataFrame(null_ids, SCHEMA), 4).collect()], 4)
 
 
+def test_shards_in_parts_of_rows_with_any_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ROWS", 20)
+    rows = [(f"id{i}", "" if i % 2 else "long text " * (i % 40), "s", 1) for i in range(400)] + [(None, "x", "s", 2)] * 2
+    docs = spark.createDataFrame(rows, "doc_id string, text string, hash string, part int").withColumn("_id", F.lit(7)).withColumn("start", F.lit("kept"))
+    got = [r.asDict() for r in sharding.balanced_shards(docs, 3).collect()]
+    check_shards(rows, got, 3)
+    assert {(r["hash"], r["_id"], r["start"]) for r in got} == {("s", 7, "kept")}
+
+
 def test_shards_are_exact(spark, data, monkeypatch):
     monkeypatch.setattr(sharding, "FETCHED", 4)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + [(5000 + i, "copy") for i in range(300)]
