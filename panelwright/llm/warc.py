@@ -3,9 +3,10 @@
 ``write_archives`` writes one record a page to gzip archives in a folder that all executors
 share; payloads that are already held by another record become ``revisit`` records without
 payload. ``read_archives`` parses archives record by record. ``merged_index`` brings their
-captures into one global order, by URL key, time and id: every archive is one run, sorted where
-it is read; splitters from a bounded sample cut the key space into ranges of bounded size; each
-range gets one sorted segment a run, and a loser tree merges these.
+captures into one global order, by URL key, time and id: each task sorts what it has read into
+one run, splitters from a bounded sample cut the key space into ranges, and a loser tree merges
+the runs of a range, at most ``FAN_IN`` at a time: more runs take more passes, each of which
+makes runs ``FAN_IN`` times as long over ranges as much narrower.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, read, shared_dir
+from .common import cut, fresh, join_on_hot_key, read, schema_of, shared_dir
 
-#: Records of an archive file; captures of a merge range, about; sampled keys a range.
-ARCHIVE_RECORDS, RANGE_CAPTURES, SAMPLE_KEYS = 2000, 20_000, 40
+#: Archives hold as many records as ``ARCHIVE_BYTES`` have room for, by size class of the payloads (a class ends at these bytes).
+ARCHIVE_BYTES, ARCHIVE_RECORDS, CLASSES = 64 << 20, 2000, (1 << 15, 1 << 18, 1 << 21)
+#: Captures of a merge range, about; sampled keys a range; runs that are merged at once.
+RANGE_CAPTURES, SAMPLE_KEYS, FAN_IN = 200_000, 16, 64
+#: Pages have no time: captures are dated by their id, within 68 years of 2020, so that times of any ids have one width.
+FIRST_SECOND, SECONDS = 1_577_836_800, 1 << 31
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -43,24 +48,38 @@ def base32_sha1(payload: F.Column) -> F.Column:
 def capture_records(pages: DataFrame) -> DataFrame:
     """``pages`` (``page_id``, ``url``, ``html``) with its payload's digest and the page that holds the payload.
 
-    Of pages with equal payloads the one with the largest id is the response (``refers_to`` is
-    null); the others refer to it. Null html is an empty payload, and empty payloads are equal.
-    Null ids and urls are written as empty values.
+    Returns ``page_id``, ``url``, ``html``, ``digest`` and ``refers_to``; other columns have no
+    place in an archive and are left out. Of pages with equal payloads the one with the largest id
+    is the response (``refers_to`` is null); the others refer to it. Payloads are equal if their
+    SHA-1, length and 64-bit hash are. Null html is an empty payload, and empty payloads are
+    equal. Null ids and urls are written as empty values. Runs jobs when called.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    shared = rows.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder"))).drop("holder")
+    payload = F.col("html").cast("binary")
+    same = F.concat_ws(":", "digest", F.octet_length("html"), F.xxhash64(payload))
+    rows = rows.withColumn("digest", base32_sha1(payload)).withColumn("same", same)
+    # who holds what is settled without the payloads; only rows whose payload recurs look it up, and no common payload is one task's
+    shared = cut(rows.groupBy("same").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    recurring = join_on_hot_key(rows.select("page_id", "same"), shared, "same", "n", total)
+    other = recurring.where(~F.col("page_id").eqNullSafe(F.col("holder"))).select(F.col("page_id").alias("_page"), F.col("same").alias("_same"), F.col("holder").alias("refers_to"))
+    # payloads meet their holder by page and payload, which no common payload makes hot
+    own = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("same") == F.col("_same"))
+    return rows.join(cut(other.distinct()), own, "left").drop("_page", "_same", "same")
 
 
 def write_archives(records: DataFrame, folder: str) -> str:
-    """Write ``capture_records`` rows as gzip WARC files below ``folder`` and return their path."""
+    """Write ``capture_records`` rows as gzip WARC files below ``folder`` and return their path.
+
+    Records are written by size class of their payloads, so that an archive holds about
+    ``ARCHIVE_BYTES`` of plain text at most, or one record that is longer. Each archive is gzipped
+    whole, as Spark's writer does.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = "\r\n"
     revisit = F.col("refers_to").isNotNull()
-    # a synthetic time: pages have none
-    when = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.lit(FIRST_SECOND) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SECONDS))
+    when = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), F.octet_length("html"), F.lit(line * 2))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     head = F.concat(
@@ -72,9 +91,14 @@ def write_archives(records: DataFrame, folder: str) -> str:
         F.lit(f"{line}Content-Type: application/http; msgtype=response{line}Content-Length: "), F.octet_length(block), F.lit(line * 2),
     )
     path = f"{folder.rstrip('/')}/{fresh('warc')}"
-    # a record ends with two line ends, which the writer adds
-    writer = records.select(F.concat(head, block).alias("value")).write
-    writer.option("lineSep", line * 2).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    size = F.octet_length("html")
+    for low, high in zip((0, *CLASSES), (*CLASSES, None), strict=True):
+        # asked of the payload, the class is told before any join that ``records`` stands for
+        own = records.where(size >= low) if high is None else records.where((size >= low) & (size < high))
+        most = 1 if high is None else min(ARCHIVE_RECORDS, ARCHIVE_BYTES // high)
+        # a record ends with two line ends, which the writer adds
+        writer = own.select(F.concat(head, block).alias("value")).write.mode("append")
+        writer.option("lineSep", line * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
@@ -109,8 +133,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     The payload of a response is hashed anew; a digest that differs from the record's raises.
     A revisit's length and digest are those of the payload that it refers to.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
 
     def number(ref: str) -> int | None:
         found = re.search(r"<urn:page:(-?\d+)>", ref)
@@ -179,63 +202,81 @@ class LoserTree:
             self.tree[0] = won
 
 
+def _merge_runs(rows: DataFrame, tag: list[str]) -> DataFrame:
+    """Rows dealt by ``tag`` (range, next run) and sorted by run and key in their partition: each tag's runs merged by a loser tree."""
+    names = rows.columns
+    at = [names.index(c) for c in tag]
+    run_at, fields = names.index("_run"), [names.index(c) for c in _NAMES]
+
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        run = whole.column(run_at).to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]))
+        keys = list(map(_order, zip(*(whole.column(i).to_pylist() for i in fields), strict=True)))
+        runs = [keys[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        order = np.fromiter((edge[k] + i for k, i in LoserTree(runs)), dtype=np.int64, count=len(keys))
+        yield from whole.take(pa.array(order)).append_column("_place", pa.array(np.arange(len(order)))).combine_chunks().to_batches(10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy() for i in at)
+            edges = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if x == y:
+                    continue
+                if held and tuple(held[-1].column(i)[0].as_py() for i in at) != (a[x], b[x]):
+                    yield from merged(held)
+                    held = []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from merged(held)
+
+    return rows.mapInArrow(run, schema_of(rows, "_place long"))
+
+
 def merged_index(captures: DataFrame) -> DataFrame:
     """``read_archives`` rows with ``capture_no``, their place (from 0) in the global order of URL key, time and id.
 
-    ``captures`` is read three times: cut it first. Equal keys keep the order of their archives.
-    One host, or one URL, may hold most captures: ranges are cut by time and id as well.
+    Equal keys keep the order of their archives and offsets. One host, or one URL, may hold most
+    captures: ranges are cut by time and id as well, so a range has about ``RANGE_CAPTURES`` rows,
+    if it isn't one repeated key. What reaches the driver is ``SAMPLE_KEYS`` keys and one count a
+    range. Runs jobs when called.
     """
-    n = captures.count()
+    key = ["url_key", "capture_time", "page_id", "archive", "offset"]
+    # a task's captures are one run, sorted where they were read
+    runs = cut(captures.select(*_NAMES).withColumn("_run", F.spark_partition_id()).sortWithinPartitions(*key))
+    n, n_runs = runs.agg(F.count(F.lit(1)), F.max("_run")).first()
     parts = max(1, -(-n // RANGE_CAPTURES))
     rate = min(1.0, parts * SAMPLE_KEYS / max(n, 1))
-    # bounded: SAMPLE_KEYS keys a range, about
-    sample = captures.where(F.pmod(F.xxhash64("page_id", "archive", "offset"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("page_id", "url_key", "capture_time").collect() if parts > 1 else []
+    sample = runs.where(F.pmod(F.xxhash64("page_id", "archive", "offset"), F.lit(1 << 30)) < int(rate * (1 << 30))).select(*key[:3]).collect() if parts > 1 else []
     keys = sorted((r["url_key"], r["capture_time"], -(1 << 63) if r["page_id"] is None else r["page_id"]) for r in sample)
-    cuts = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    cuts = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        def cut_up(run: list[tuple]) -> pa.RecordBatch:
-            run.sort(key=_order)  # an archive's rows arrive in order but may come in several batches
-            where = np.array([bisect_right(cuts, _order(r)[:3]) for r in run])
-            spans = np.flatnonzero(np.diff(where, prepend=-1, append=parts))
-            rows = []
-            for a, b in zip(spans[:-1].tolist(), spans[1:].tolist(), strict=True):
-                cols = list(zip(*run[a:b], strict=True))
-                piece = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema) as out:
-                    out.write_batch(piece)
-                rows.append((int(where[a]), run[a][7], b - a, sink.getvalue().to_pybytes()))
-            part, name, count, blob = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(part, type=pa.int32()), pa.array(name), pa.array(count, type=pa.int64()), pa.array(blob, type=pa.binary())], names=["part", "archive", "n", "segment"])
-
-        run: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                if run and row[7] != run[-1][7]:
-                    yield cut_up(run)
-                    run = []
-                run.append(row)
-        if run:
-            yield cut_up(run)
-
-    cutted = cut(captures.mapInArrow(segments, "part int, archive string, n long, segment binary"))
-    sizes = dict(cutted.groupBy("part").agg(F.sum("n")).collect())
-    starts = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(parts)])))
-
-    def merge(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        rows = sorted(zip(group.column("archive").to_pylist(), group.column("segment").to_pylist(), strict=True))
-        tables = [pa.ipc.open_stream(x).read_all() for _, x in rows]
-        runs = [[_order(r) for r in zip(*(t.column(c).to_pylist() for c in _NAMES), strict=True)] for t in tables]
-        base = np.concatenate(([0], np.cumsum([t.num_rows for t in tables])))
-        order = np.fromiter((base[k] + i for k, i in LoserTree(runs)), dtype=np.int64, count=int(base[-1]))
-        whole = pa.concat_tables(tables).take(pa.array(order))
-        return whole.append_column("capture_no", pa.array(starts[part] + np.arange(len(order)), type=pa.int64()))
-
-    return cutted.groupBy("part").applyInArrow(merge, CAPTURE + ", capture_no long")
+            url, when, page = (batch.column(c).to_pylist() for c in key[:3])
+            own = [bisect_right(cuts, (u, t, -(1 << 63) if p is None else p)) for u, t, p in zip(url, when, page, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int32())], names=[*batch.schema.names, "_part"])
+
+    rows = cut(runs.mapInArrow(ranged, schema_of(runs, "_part int")))
+    sizes = dict(rows.groupBy("_part").count().collect())
+    starts = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(len(cuts) + 1)])))
+    passes, left = 1, -(-((n_runs or 0) + 1) // FAN_IN)
+    while left > 1:
+        passes, left = passes + 1, -(-left // FAN_IN)
+    for k in range(1, passes + 1):
+        ranges = max(1, round((len(cuts) + 1) ** (k / passes)))
+        wide = rows.withColumn("_range", F.floor(F.col("_part").cast("long") * ranges / (len(cuts) + 1)).cast("int")).withColumn("_next", F.floor(F.col("_run") / FAN_IN).cast("int"))
+        groups = max(1, ranges * -(-((n_runs or 0) + 1) // FAN_IN**k))
+        wide = wide.repartition(groups, "_range", "_next").sortWithinPartitions("_range", "_next", "_run", *key)
+        rows = _merge_runs(wide, ["_range", "_next"])
+        if k < passes:
+            rows = cut(rows.drop("_range", "_run", "_place").withColumnRenamed("_next", "_run"))
+    begin = F.broadcast(captures.sparkSession.createDataFrame(list(enumerate(starts[:-1].tolist())), "_part int, _start long"))
+    return rows.join(begin, "_part").select(*_NAMES, (F.col("_start") + F.col("_place")).alias("capture_no"))
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +302,6 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   array_to_string(list_transform(words, lambda w: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((w >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to,
-  url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS capture_no
+  url_key, row_number() OVER (ORDER BY url_key, ((page_id % 2147483648) + 2147483648) % 2147483648, page_id) - 1 AS capture_no
 FROM y
 """

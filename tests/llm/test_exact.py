@@ -291,6 +291,36 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.merged_index(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_warc_large_ids_keep_the_oracles_order(spark, tmp_path):
+    import duckdb
+
+    big = [1 << 62, (1 << 62) + 1, -(1 << 62), -1, 250_000_000_000, 1 << 31, (1 << 31) - 1, 0, 1, 2]
+    pages = [(k, f"http://a.org/{i % 2}", f"page {k}" if i % 3 else "common") for i, k in enumerate(big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    duckdb.sql(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_no"]
+    got = sorted(tuple(r[c] for c in names) for r in warc.op6_query(spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(f"select {', '.join(names)} from ({warc.OP6_SQL})").fetchall())
+
+
+def test_warc_merges_many_runs_in_passes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 3)
+    monkeypatch.setattr(warc, "CLASSES", (40, 200))
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 3)
+    monkeypatch.setattr(warc, "FAN_IN", 4)
+    rng = random.Random(8)
+    pages = [(i, f"http://h{rng.randrange(5)}.org/{rng.randrange(9)}", "x" * rng.choice([1, 60, 900]) + str(i % 550)) for i in range(620)]
+    path = warc.write_archives(warc.capture_records(spark.createDataFrame(pages, "page_id long, url string, html string")), str(tmp_path))
+    archives = [f for f in __import__("pathlib").Path(path).rglob("*.gz")]
+    assert len(archives) >= 200
+    captures = warc.read_archives(spark, path).repartition(70)
+    got = warc.merged_index(captures).collect()
+    want = sorted((warc.url_key(u), k) for k, u, _ in pages)
+    assert [(r.url_key, r.page_id) for r in sorted(got, key=lambda r: r.capture_no)] == want
+    assert [r.capture_no for r in sorted(got, key=lambda r: r.capture_no)] == list(range(620))
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(0, 9):
