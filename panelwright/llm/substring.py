@@ -8,7 +8,8 @@ and no dictionary has to travel. Whether two neighbours fuse depends on these tw
 hence equal substrings are cut alike but for some symbols at their ends. The part that is
 certain, whatever stands around, is the *core* of a window (see I, 2017, popped sequences).
 
-Three rounds over blocks of documents decide which windows of ``window`` words recur:
+The table is dealt to blocks of documents. Three rounds decide which windows of ``window`` words
+recur; a block is recompressed once, when it is written, and keeps its anchors beside its texts:
 
 1. Every window is anchored at the first symbol of its core on the highest level where it has
    one. Equal windows have equal anchors. Blocks send the distinct anchor names they hold to
@@ -19,28 +20,41 @@ Three rounds over blocks of documents decide which windows of ``window`` words r
 
 A block sends each name once, however often it holds it, and ranges split the name space
 evenly, so no word, passage or group of copies can be hot. Names are never joined to rows.
+
+Two windows are taken for equal if two hashes of 64 and 32 bits over the words' 64-bit names
+are. Among n windows n^2 / 2^97 pairs of unequal ones are expected to agree by chance (for the
+1.7e13 windows of 100 TB: 0.002), and among m distinct words m^2 / 2^65 pairs (1e9 words: 0.03).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix, read, schema_of, strings_hash, utf8, without
+from .common import cut, fresh, mix, read, schema_of, shared_dir, strings_hash, unused, utf8, without
 
 #: The renaming rounds: R names runs, P names pairs.
 ROUNDS = "RPPPRPPPP"
-#: UTF-8 bytes of text to a block; blocks to a bucket of the block table.
-BLOCK_BYTES, BLOCKS_A_BUCKET = 4 << 20, 4
+#: UTF-8 bytes of text to a block; bytes that are recompressed at once; most buckets of the block table (a bucket holds any number of blocks).
+BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 16 << 20, 4 << 20, 65_536
+#: Bytes of text to a range of the name space, for anchors and for fingerprints; bytes of questions that a task packs together.
+RANGE_BYTES, PACKED_BYTES = (64 << 20, 16 << 20), 32 << 20
 
 
-def name_words(words: list[bytes]) -> np.ndarray:
-    """64-bit names of the words."""
-    codes = pa.array(words, type=pa.binary()).dictionary_encode()
-    names = strings_hash(codes.dictionary.to_pylist(), 1)
-    return names[codes.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.uint64)
+def name_words(words: list[list[bytes]]) -> np.ndarray:
+    """64-bit names of the words of texts, end to end."""
+    line = b"".join(b" ".join(w) + b" " for w in words if w)
+    if not line:
+        return np.zeros(0, dtype=np.uint64)
+    # every word, with the one blank behind it, is an element: no word becomes an object of its own
+    ends = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32) + 1
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    codes = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(line)]).dictionary_encode()
+    return strings_hash(codes.dictionary.to_pylist(), 1)[codes.indices.to_numpy()]
 
 
 def anchors(names: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,34 +127,46 @@ def window_prints(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
 
 
 class Block:
-    """The words of one block's documents and what the rounds say about them."""
+    """The words of one block's documents and the windows that may recur."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.window = window
-        self.words = [t.split() for t in texts]
+        self.window, self.words = window, [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.names = name_words([w for ws in self.words for w in ws])
-        first = np.zeros(len(self.names), dtype=bool)
         self.offset = np.concatenate(([0], np.cumsum(self.sizes)))
-        first[self.offset[:-1][self.sizes > 0]] = True
-        self.starts, self.who, self.own = anchors(self.names, first, window)
-
-    def anchor_names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor names in order, and whether the block itself holds each twice."""
-        pick = np.unique(self.own, return_index=True)[1]
-        names, count = np.unique(self.who[pick], return_counts=True)
-        return names, count > 1
-
-    def candidates(self, recurring: np.ndarray) -> None:
-        """Keep the windows whose anchor recurs."""
-        at = np.searchsorted(recurring, self.who)
-        hit = recurring[np.minimum(at, max(len(recurring) - 1, 0))] == self.who if len(recurring) else np.zeros(len(self.who), dtype=bool)
-        self.starts = self.starts[hit]
-
-    def prints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct fingerprints of the kept windows in order, their second part, whether twice here; each window's place."""
-        a, b = window_prints(self.names, self.starts, self.window)
-        order = np.lexsort((b, a))
+        self.names = name_words(self.words)
+
+    def windows(self) -> np.ndarray:
+        """Starts of all windows, in order."""
+        count = np.maximum(self.sizes - self.window + 1, 0)
+        return np.repeat(self.offset[:-1], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchor names in order; whether the block itself holds each twice; runs of windows on one name: lengths, names' places."""
+        who, own, base, at = [], [], 0, 0
+        while at < len(self.sizes):
+            to = at + 1
+            while to < len(self.sizes) and (self.offset[to + 1] - self.offset[at]) * 8 < CHUNK_BYTES:
+                to += 1
+            a, b = self.offset[at], self.offset[to]
+            first = np.zeros(b - a, dtype=bool)
+            first[(self.offset[at:to] - a)[self.sizes[at:to] > 0]] = True
+            _, names, places = anchors(self.names[a:b], first, self.window)
+            who.append(names)
+            own.append(places + base)
+            base += (len(ROUNDS) + 1) * int(b - a) + 1  # more than any place of the chunk
+            at = to
+        who, own = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (who, own))
+        pick = np.unique(own, return_index=True)[1]
+        names, count = np.unique(who[pick].astype(np.uint64), return_counts=True)
+        edge = np.flatnonzero(np.concatenate((np.ones(min(len(who), 1), dtype=bool), who[1:] != who[:-1])))
+        return names, count > 1, np.diff(np.append(edge, len(who))), np.searchsorted(names, who[edge].astype(np.uint64))
+
+    def prints(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct fingerprints of the windows in order, their second part, whether twice here; each window's place."""
+        a, b = window_prints(self.names, starts, self.window)
+        order = np.argsort(a, kind="stable")
+        if len(a) and ((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])).any():
+            order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=bool)
         place = np.empty(len(a), dtype=np.int64)
@@ -149,6 +175,19 @@ class Block:
         return a[new], b[new], count > 1, place
 
 
+def _arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays in one byte string; ``_read`` gives them back."""
+    sink = pa.BufferOutputStream()
+    for x in arrays:
+        pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(x)), sink)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(blob: bytes, n: int) -> list[np.ndarray]:
+    source = pa.BufferReader(blob)
+    return [pa.ipc.read_tensor(source).to_numpy() for _ in range(n)]
+
+
 def _ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """(range, from, to) of the parts of a sorted name array that fall in equal ranges of the name space."""
     if not len(names):
@@ -158,25 +197,46 @@ def _ranges(names: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     return list(zip(own[at].astype(np.int64).tolist(), at.tolist(), [*at[1:].tolist(), len(names)], strict=True))
 
 
-ASK = "kind int, rng int, blk int, names binary, more binary, twice binary"
-ANSWER = "kind int, rng int, blk int, bits binary"
+#: A question packs, for one range, the names of several blocks: block numbers and sizes (int32), names, second parts, bits.
+ASK = "rng int, blks binary, sizes binary, names binary, more binary, twice binary"
+ANSWER = "blk int, rng int, bits binary"
+_ASK = pa.schema([("rng", pa.int32())] + [(c, pa.binary()) for c in ("blks", "sizes", "names", "more", "twice")])
 
 
-def _questions(kind: int, blk: int, ranges: int, names, more, twice) -> pa.Table:
-    rows = [(kind, r, blk, names[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for r, a, b in _ranges(names, ranges)]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "rng", "blk", "names", "more", "twice"])
+def _packed(blocks: Iterator[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Questions of (block, names, second parts, twice), packed by range as they come."""
+    held: dict[int, list] = {}
+    size = 0
+
+    def flush():
+        rows = [(r, np.array([x[0] for x in q], dtype=np.int32).tobytes(), np.array([x[1] for x in q], dtype=np.int32).tobytes(), *(b"".join(x[k] for x in q) for k in (2, 3, 4))) for r, q in held.items()]
+        for a in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[a : a + 10_000], strict=True), _ASK, strict=True)], schema=_ASK)
+        held.clear()
+
+    for blk, names, more, twice in blocks:
+        for r, a, b in _ranges(names, ranges):
+            held.setdefault(r, []).append((blk, b - a, names[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()))
+        size += names.nbytes + (0 if more is None else more.nbytes)
+        if size >= PACKED_BYTES:
+            yield from flush()
+            size = 0
+    if held:
+        yield from flush()
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """One range: which of its names occur twice, over all blocks, as bits for every question."""
+    """One range: which of its names occur twice, over all blocks, as bits for every block that holds such a name."""
+    rng = asked.column("rng")[0].as_py()
     rows = asked.to_pylist()
-    rows.sort(key=lambda r: r["blk"])
-    parts = [np.frombuffer(r["names"], dtype=np.uint64) for r in rows]
-    names = np.concatenate(parts)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], dtype=np.uint8), count=len(p)).astype(bool) for r, p in zip(rows, parts, strict=True)])
-    second = np.concatenate([np.frombuffer(r["more"], dtype=np.uint32) if r["more"] else np.zeros(len(p), dtype=np.uint32) for r, p in zip(rows, parts, strict=True)])
+    ints = lambda c: np.concatenate([np.frombuffer(r[c], dtype=np.int32) for r in rows])
+    blks, sizes = ints("blks"), ints("sizes").astype(np.int64)
+    names = np.concatenate([np.frombuffer(r["names"], dtype=np.uint64) for r in rows])
+    more = b"".join(r["more"] for r in rows)
+    second = np.frombuffer(more, dtype=np.uint32) if more else np.zeros(len(names), dtype=np.uint32)
+    # the bits of every block begin at a byte
+    bits, begin = np.frombuffer(b"".join(r["twice"] for r in rows), dtype=np.uint8), np.concatenate(([0], np.cumsum(-(-sizes // 8))))
+    twice = np.concatenate([np.unpackbits(bits[a:b], count=n) for a, b, n in zip(begin[:-1].tolist(), begin[1:].tolist(), sizes.tolist(), strict=True)])
     order = np.argsort(names, kind="stable")
     a, b = names[order], second[order]
     if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
@@ -186,24 +246,27 @@ def _answers(asked: pa.Table) -> pa.Table:
     votes = np.bincount(group, weights=1 + twice[order])
     found = np.empty(len(names), dtype=bool)
     found[order] = votes[group] > 1
-    out, at = [], 0
-    for p in parts:
-        out.append(np.packbits(found[at : at + len(p)]).tobytes())
-        at += len(p)
-    ints = lambda c: pa.array([r[c] for r in rows], type=pa.int32())
-    return pa.table([ints("kind"), ints("rng"), ints("blk"), pa.array(out, type=pa.binary())], names=["kind", "rng", "blk", "bits"])
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    some = np.flatnonzero(np.add.reduceat(found, at[:-1]))
+    out = [np.packbits(found[at[k] : at[k + 1]]).tobytes() for k in some.tolist()]
+    return pa.table([pa.array(blks[some]), pa.array(np.full(len(some), rng, dtype=np.int32)), pa.array(out, type=pa.binary())], names=["blk", "rng", "bits"])
 
 
-def _bits(answers: pa.Table, kind: int, ranges: int, names: np.ndarray) -> np.ndarray:
+def _bits(answers: list[dict], ranges: int, names: np.ndarray) -> np.ndarray:
     """The answers to a block's questions, laid along its sorted names."""
     out, places = np.zeros(len(names), dtype=bool), {r: (a, b) for r, a, b in _ranges(names, ranges)}
-    for r in answers.select(["kind", "rng", "bits"]).to_pylist():
-        if r["kind"] == kind:
-            a, b = places[r["rng"]]
-            out[a:b] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=b - a).astype(bool)
+    for r in answers:
+        a, b = places[r["rng"]]
+        out[a:b] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=b - a).astype(bool)
     return out
 
 
+def _candidates(block: Block, state: bytes, answers: list[dict], ranges: int) -> np.ndarray:
+    """Starts of the windows whose anchor recurs."""
+    names, lengths, places = _read(state, 4)[:3]
+    return block.windows()[np.repeat(_bits(answers, ranges, names)[places], lengths)]
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` (any columns; ``doc_id``, ``text``) with ``n_words``, ``n_removed`` and ``kept_text``.
 
@@ -212,54 +275,78 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     on the input. ``kept_text`` has the kept words joined by one space. Documents shorter than
     a window lose nothing; a null or empty text has no words and gives an empty ``kept_text``.
     A repeated row is a document of its own, so its windows recur. Input columns named as
-    outputs give way to them. Rows return in no set order.
+    outputs give way to them. Rows return in no set order. Runs jobs when called; the blocks
+    are kept in the shared folder, as a table whose entry in the catalogue is dropped again.
     """
     spark = docs.sparkSession
-    docs = without(docs, "n_words", "n_removed", "kept_text", "blk")
+    docs = without(docs, "n_words", "n_removed", "kept_text")
+    blk, state = unused(docs, "blk", "state")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + total // (BLOCK_BYTES * BLOCKS_A_BUCKET)
-    blocks = buckets * BLOCKS_A_BUCKET
-    # what a range is sent is bounded as well: about twice the text of a bucket if all text recurs
-    ranges = int(max(8, buckets))
-    # the ids are spread by hash, so a hot source or a group of copies is spread too
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length("text")), F.lit(blocks)).cast("int")
+    blocks = int(1 + total // BLOCK_BYTES)
+    buckets = min(blocks, MOST_BUCKETS)
+    anchor_ranges, print_ranges = (int(max(8, 1 + total // n)) for n in RANGE_BYTES)
+    # rows are spread by hash of the id, so a hot source or a group of copies is spread too
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    dealt = docs.withColumn(blk, F.pmod(key, F.lit(blocks)).cast("int")).repartition(buckets, blk)
+    schema = schema_of(dealt, f"{state} binary")
+
+    def prepare(rows: pa.Table) -> pa.Table:
+        names, twice, lengths, places = Block(utf8(rows.column("text").combine_chunks()), window).anchored()
+        own = _arrays(names, lengths.astype(np.uint32), places.astype(np.uint32), np.packbits(twice))
+        return rows.append_column(state, pa.array([own, *[None] * (rows.num_rows - 1)], type=pa.binary()))
+
     table = fresh("text_blocks")
-    docs.withColumn("blk", spread).repartition(int(buckets), "blk").write.bucketBy(int(buckets), "blk").format("parquet").saveAsTable(table)
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    writer = dealt.groupBy(blk).applyInArrow(prepare, schema).write.bucketBy(buckets, blk).option("path", path)
+    writer.format("parquet").saveAsTable(table)
     held = spark.table(table)
-    none = spark.createDataFrame([], ANSWER)
-
-    def ask(kind: int, answers: DataFrame) -> DataFrame:
-        def f(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return _questions(kind, 0, ranges, np.zeros(0, dtype=np.uint64), None, np.zeros(0, dtype=bool))
-            block = Block(utf8(left.column("text").combine_chunks()), window)
-            blk = left.column("blk")[0].as_py()
-            names, twice = block.anchor_names()
-            if kind == 0:
-                return _questions(0, blk, ranges, names, None, twice)
-            block.candidates(names[_bits(right, 0, ranges, names)])
-            prints, second, twice, _ = block.prints()
-            return _questions(1, blk, ranges, prints, second, twice)
-
-        narrow = held.select("blk", "text")
-        asked = narrow.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(f, ASK)
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks_of():
+            for batch in batches:
+                for own, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    names, _, _, twice = _read(blob.as_py(), 4)
+                    yield own, names, None, np.unpackbits(twice, count=len(names)).astype(bool)
+
+        return _packed(blocks_of(), anchor_ranges)
+
+    def answered(asked: DataFrame) -> DataFrame:
         return cut(asked.groupBy("rng").applyInArrow(_answers, ANSWER))
 
-    first = ask(0, none)
-    second = ask(1, first)
-    keep = [c for c in held.columns if c != "blk"]
-    schema = schema_of(held.select(keep), "n_words long, n_removed long, kept_text string")
+    first = answered(held.where(F.col(state).isNotNull()).select(blk, state).mapInArrow(ask_anchors, ASK))
+
+    def ask_prints(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([[]] * 4, schema=_PRINTS)
+        block = Block(utf8(left.column("text").combine_chunks()), window)
+        a, b, twice, _ = block.prints(_candidates(block, _only(left.column(state)), right.to_pylist(), anchor_ranges))
+        return pa.table([[left.column(blk)[0].as_py()], [a.tobytes()], [b.tobytes()], [np.packbits(twice).tobytes()]], schema=_PRINTS)
+
+    def pack_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks_of():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    names = np.frombuffer(r["names"], dtype=np.uint64)
+                    yield r["blk"], names, np.frombuffer(r["more"], dtype=np.uint32), np.unpackbits(np.frombuffer(r["twice"], dtype=np.uint8), count=len(names)).astype(bool)
+
+        return _packed(blocks_of(), print_ranges)
 
-    def removed(left: pa.Table, right: pa.Table) -> pa.Table:
+    narrow = held.select(blk, "text", state).groupBy(blk)
+    prints = narrow.cogroup(first.groupBy("blk")).applyInArrow(ask_prints, "blk int, names binary, more binary, twice binary")
+    second = answered(prints.mapInArrow(pack_prints, ASK))
+    keep = [c for c in held.columns if c not in (blk, state)]
+
+    def removed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(utf8(left.column("text").combine_chunks()) if left.num_rows else [], window)
-        names, _ = block.anchor_names()
-        block.candidates(names[_bits(right, 0, ranges, names)])
-        prints, _, _, place = block.prints()
-        hit = block.starts[_bits(right, 1, ranges, prints)[place]] if len(prints) else block.starts[:0]
-        step = np.zeros(len(block.names) + 1, dtype=np.int64)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + window, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.zeros(len(block.names), dtype=bool)
+        if left.num_rows:
+            answers = right.to_pylist()
+            starts = _candidates(block, _only(left.column(state)), [r for r in answers if not r["kind"]], anchor_ranges)
+            found, _, _, place = block.prints(starts)
+            hit = starts[_bits([r for r in answers if r["kind"]], print_ranges, found)[place]] if len(found) else starts[:0]
+            step = np.bincount(hit, minlength=len(gone) + 1) - np.bincount(hit + window, minlength=len(gone) + 1)
+            gone = np.cumsum(step[:-1]) > 0
         lost = np.concatenate(([0], np.cumsum(gone)))
         lost = lost[block.offset[1:]] - lost[block.offset[:-1]]
         kept = []
@@ -272,7 +359,17 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         more = [pa.array(block.sizes), pa.array(lost.astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())]
         return pa.table([*columns, *more], names=[*keep, "n_words", "n_removed", "kept_text"])
 
-    return held.groupBy("blk").cogroup(first.union(second).groupBy("blk")).applyInArrow(removed, schema)
+    answers = first.withColumn("kind", F.lit(0)).union(second.withColumn("kind", F.lit(1)))
+    out = schema_of(held.select(keep), "n_words long, n_removed long, kept_text string")
+    return held.groupBy(blk).cogroup(answers.groupBy("blk")).applyInArrow(removed, out)
+
+
+_PRINTS = pa.schema([("blk", pa.int32()), ("names", pa.binary()), ("more", pa.binary()), ("twice", pa.binary())])
+
+
+def _only(column: pa.ChunkedArray) -> bytes:
+    """The one value of a column that is not null."""
+    return column.drop_null()[0].as_py()
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,14 @@ def brute_repeats(texts, window):
 
 
 def test_remove_repeats(spark, monkeypatch):
-    monkeypatch.setattr(substring, "BLOCK_BYTES", 4000)  # many blocks
+    for name, value in {"BLOCK_BYTES": 4000, "CHUNK_BYTES": 1000, "RANGE_BYTES": (4000, 2000), "PACKED_BYTES": 3000}.items():
+        monkeypatch.setattr(substring, name, value)  # many blocks, chunks, ranges and packs
     rows = documents()
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("kept_text", F.lit("clash"))
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect())
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("kept_text", F.lit("clash")).withColumn("blk", F.lit("kept")).withColumn("state", F.lit(3))
+    out = substring.remove_repeats(docs).collect()
+    assert {(r.blk, r.state) for r in out} == {("kept", 3)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("text_blocks")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out)
     want = Counter((r[0], *b) for r, b in zip(rows, brute_repeats([r[1] for r in rows], 35), strict=True))
     assert got == want
 
