@@ -1,13 +1,16 @@
 """Quality by weak supervision: rules vote or abstain, and EM weighs them.
 
 Every rule looks at a few statistics of a text and votes good (+1), bad (-1) or abstains (0).
-The true class is unknown; expectation-maximisation (Dawid and Skene, 1979) estimates from all
-votes how often each rule votes each way on good and on bad texts, and what share is good. A
-text is kept if its posterior probability of being good is one half or more; a rule that fails
-no longer fails the text. What is believed of the rules beforehand weighs as much as all texts
-together, so a rule that fails texts which look good otherwise, and many of them, loses weight
-until the others outvote it; where it fails few, one vote against may decide. Votes travel as
-counts of vote patterns, of which there are at most 3 ^ rules, whatever the number of documents.
+Rules overlap, and each is wrong at times. The true class is unknown; expectation-maximisation
+(Dawid and Skene, 1979) estimates from all votes how often each rule, when it votes, votes
+against good and against bad texts, and what share is good. An abstention says nothing. A text
+is kept if its posterior probability of being good is one half or more, so a text that a rule
+fails stays if the votes of others, weighed by their accuracy, outweigh it.
+
+What is believed of rules beforehand (``BELIEVED``) is worth ``WORTH`` of all documents, which
+keeps the names of the two classes in place and the estimates finite, and settles little else.
+Votes travel as counts of vote patterns, of which there are at most 3 ^ rules, whatever the
+number of documents.
 """
 
 from __future__ import annotations
@@ -17,17 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, mix, read, schema_of, text_or_empty, utf8, without
+from .common import cut, map_texts, mix, read, schema_of, unused, utf8, without
 from .substring import name_words
 
-#: Rules whose votes against are believed to be right at 50 to 1 beforehand; the others' at 3 to 1.
-STRONG = ("symbols", "repeats", "capitals", "shouting")
-#: Believed shares of votes against on bad and on good texts, of strong rules and of others; share of good texts believed; documents that beliefs are worth, as a share of all.
-BELIEF_STRONG, BELIEF, BELIEVED_GOOD, WORTH = (0.5, 0.01), (0.3, 0.1), 0.7, 1.0
-#: Log-odds that a vote against can reach; bounds of what an abstention and a vote for can add; greatest share of good texts assumed.
-AGAINST, ABSTAIN, FOR, MOST_GOOD = -6.0, 0.1, 0.25, 0.8
+#: Believed shares of votes against bad and good texts, and of good texts; documents that beliefs are worth: at least, and as a share of all.
+BELIEVED, BELIEVED_GOOD, LEAST_WORTH, WORTH = (0.3, 0.02), 0.8, 4, 0.002
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_exclaim long, n_ends long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_exclaim long, n_ends long, n_letters long, n_letter_words long"
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -37,6 +36,9 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     words = [t.split() for t in texts]
     sizes = out["n_words"][:] = np.array([len(w) for w in words], dtype=np.int64)
     upper = bytes(range(65, 91))
+    # all beyond ASCII counts as letters
+    other = bytes(b for b in range(128) if not chr(b).isalpha() and b not in SPACES)
+    inner = bytes(range(128, 192))
     for i, t in enumerate(texts):
         size = len(t)
         points = size if t.isascii() else len(t.decode("utf-8", "replace"))
@@ -44,11 +46,14 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["n_symbols"][i] = size - len(t.translate(None, SYMBOLS))
         out["n_upper"][i] = size - len(t.translate(None, upper))
         out["n_exclaim"][i] = t.count(b"!")
+        letters = t.translate(None, other)
+        out["n_letter_words"][i] = len(letters.split())
+        out["n_letters"][i] = len(letters.translate(None, SPACES + inner))
         out["n_ends"][i] = t.count(b".") + t.count(b"?") + t.count(b"!")
         if b"\n" in t:
             lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
             out["n_dup_lines"][i] = len(lines) - len(set(lines))
-    names = name_words([w for ws in words for w in ws])
+    names = name_words(words)
     doc = np.repeat(np.arange(n), sizes)
     if len(names) > 2:
         whole = np.flatnonzero(doc[2:] == doc[:-2])
@@ -64,17 +69,17 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns; ``text``) with its text replaced by the statistics; null counts as empty."""
-    base = without(docs, "_bytes", *[x.split()[0] for x in STATS.split(", ")]).withColumn("_bytes", text_or_empty()).drop("text")
+    base = without(docs, *[x.split()[0] for x in STATS.split(", ")])
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = measure(utf8(batch.column("_bytes")))
-            names = [c for c in batch.schema.names if c != "_bytes"]
+            found = measure(utf8(batch.column("text")))
+            names = [c for c in batch.schema.names if c != "text"]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found.values())], names=[*names, *found])
 
         return f
 
-    return map_texts(base, make, schema_of(base.drop("_bytes"), STATS))
+    return map_texts(base, make, schema_of(base.drop("text"), STATS))
 
 
 def _between(value: F.Column, good_low: float, good_high: float, bad_low: float, bad_high: float) -> F.Column:
@@ -84,49 +89,43 @@ def _between(value: F.Column, good_low: float, good_high: float, bad_low: float,
 
 
 def rules() -> dict[str, F.Column]:
-    """The rules' votes as columns over the statistics."""
+    """The rules' votes as columns over the statistics. What a short text can't tell, rules abstain from."""
     share = lambda c: F.try_divide(F.col(c), F.col("n_words"))
-    huge = float(1 << 60)
+    of_chars = lambda c: F.try_divide(F.col(c), F.col("word_chars"))
+    ends = F.when(F.col("n_words") >= 20, share("n_ends"))
     return {
-        "length": _between(F.col("n_words"), 80, huge, 50, huge),
-        "word_length": _between(share("word_chars"), 4.0, 7.0, 3.0, 12.0),
-        "symbols": _between(share("n_symbols"), 0, 0.02, -1, 0.1),
-        "lines": _between(share("n_dup_lines"), -2, -1, -1, 0.1),
-        "repeats": _between(share("n_repeat_words"), 0, 0.1, -1, 0.4),
-        "capitals": _between(F.try_divide(F.col("n_upper"), F.col("word_chars")), -2, -1, -1, 0.35),
-        "shouting": _between(share("n_exclaim"), -2, -1, -1, 0.3),
-        "sentences": _between(share("n_ends"), 0.03, 0.2, 0.002, 0.75),
+        "symbols": _between(share("n_symbols"), 0, 0.02, 0, 0.05),
+        "letters": _between(of_chars("n_letters"), 0.93, 1, 0.9, 1),
+        "letter_words": _between(share("n_letter_words"), 0.97, 1, 0.9, 1),
+        "word_length": _between(share("word_chars"), 4.5, 6, 4, 7),
+        "lines": _between(share("n_dup_lines"), 0, 0.002, 0, 0.005),
+        "repeats": _between(share("n_repeat_words"), 0, 0.05, 0, 0.1),
+        "capitals": _between(of_chars("n_upper"), 0.005, 0.04, 0.002, 0.1),
+        "shouting": _between(share("n_exclaim"), 0, 0.01, 0, 0.03),
+        "sentences": _between(ends, 0.05, 0.15, 0.03, 0.2),
     }
 
 
 class Voters:
-    """What EM has found: log-odds of each vote and the posterior of each pattern."""
+    """What EM has found: each rule's share of votes against bad and good texts, and the posterior of each pattern."""
 
-    def __init__(self, patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 200):
+    def __init__(self, patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 500):
         self.patterns, n_rules = patterns, len(patterns[0]) if patterns else 0
-        votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), n_rules) + 1
-        # the start is the majority of votes: from a harsher one, EM may name a rule that fails most texts as its classes
-        good = (1 + (votes == 2).sum(axis=1)) / (2 + (votes != 1).sum(axis=1))
-        self.prior, self.rates = 0.5, np.full((2, n_rules, 3), 1 / 3)
-        against = np.array([BELIEF_STRONG if x in STRONG else BELIEF for x in list(rules())[:n_rules]]).reshape(n_rules, 2).T[:, :, None]
-        worth = 4 + WORTH * counts.sum()
-        belief = worth * np.concatenate((against, (1 - against) / 2, (1 - against) / 2), axis=2)
-        high, low = np.array([0.0, ABSTAIN, FOR]), np.array([AGAINST, -ABSTAIN, 0.0])
+        votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), n_rules)
+        against, voted = votes == -1, votes != 0
+        # the start is the majority of votes
+        good = (1 + (votes == 1).sum(axis=1)) / (2 + voted.sum(axis=1))
+        self.prior, self.rates = BELIEVED_GOOD, np.repeat(np.array(BELIEVED)[:, None], n_rules, axis=1)
+        worth = LEAST_WORTH + WORTH * counts.sum()
         for _ in range(rounds):
             weight = np.stack((counts * (1 - good), counts * good))
-            self.prior = float(np.clip((weight[1].sum() + worth * BELIEVED_GOOD) / (weight.sum() + worth), 0.05, MOST_GOOD))
-            rates = np.empty_like(self.rates)
-            for j in range(n_rules):
-                for c in (0, 1):
-                    # a rule is believed to do better than chance: the classes keep their names
-                    rates[c, j] = np.bincount(votes[:, j], weights=weight[c], minlength=3) + belief[c, j]
-                    rates[c, j] /= rates[c, j].sum()
-            # what one vote can weigh is bounded; without that, EM may name the commonest habit of texts, such as their length
-            weigh = np.clip(np.log(rates[1] / rates[0]), low, high)
-            odds = np.log(self.prior / (1 - self.prior)) + sum(weigh[j, votes[:, j]] for j in range(n_rules))
+            self.prior = float((weight[1].sum() + worth * BELIEVED_GOOD) / (weight.sum() + worth))
+            self.rates = (weight @ against + worth * np.array(BELIEVED)[:, None]) / (weight @ voted + worth)
+            bad_log, good_log = (np.stack((np.log(r), np.log(1 - r))) for r in self.rates)
+            odds = np.log(self.prior / (1 - self.prior)) + against @ (good_log - bad_log)[0] + (votes == 1) @ (good_log - bad_log)[1]
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-            still = np.abs(new - good).max(initial=0) < 1e-7
-            good, self.rates = new, rates
+            still = np.abs(new - good).max(initial=0) < 1e-9
+            good = new
             if still:
                 break
         self.posterior = good
@@ -134,26 +133,26 @@ class Voters:
     def accuracy(self) -> np.ndarray:
         """Each rule's chance of a right vote, given that it votes."""
         bad, good = self.rates
-        right = self.prior * good[:, 2] + (1 - self.prior) * bad[:, 0]
-        return right / (right + self.prior * good[:, 0] + (1 - self.prior) * bad[:, 2])
+        return (1 - self.prior) * bad + self.prior * (1 - good)
 
 
 def judge(stats: DataFrame) -> tuple[DataFrame, Voters]:
     """Statistics with ``quality``, the posterior of being good, and the voters.
 
     ``stats`` is read twice: cut it first. Documents with equal votes have equal posteriors; an
-    empty table has no voters.
+    empty table has no voters. A text without words has no votes and the posterior of none.
+    Runs a job when called.
     """
-    votes = F.array(*[v.cast("int") for v in rules().values()])
-    voted = stats.withColumn("_votes", votes)
-    found = sorted((tuple(r["_votes"]), r["count"]) for r in voted.groupBy("_votes").count().collect())
-    voters = Voters([p for p, _ in found], np.array([c for _, c in found], dtype=np.float64))
-    code = sum(((v + 1) * 3**k for k, v in enumerate(F.col("_votes")[i] for i in range(len(rules())))), F.lit(0))
-    if not found:
-        return voted.withColumn("quality", F.lit(None).cast("double")).drop("_votes"), voters
-    keys = [sum((v + 1) * 3**k for k, v in enumerate(p)) for p, _ in found]
-    known = F.create_map(*[x for k, q in zip(keys, voters.posterior.tolist(), strict=True) for x in (F.lit(k), F.lit(q))])
-    return voted.withColumn("quality", F.element_at(known, code)).drop("_votes"), voters
+    stats = without(stats, "quality")
+    (code,) = unused(stats, "votes")
+    votes = list(rules().values())
+    voted = stats.withColumn(code, sum(((v.cast("int") + 1) * 3**k for k, v in enumerate(votes)), F.lit(0)))
+    found = sorted((r[code], r["count"]) for r in voted.groupBy(code).count().collect())
+    patterns = [tuple(c // 3**k % 3 - 1 for k in range(len(votes))) for c, _ in found]
+    voters = Voters(patterns, np.array([c for _, c in found], dtype=np.float64))
+    # at most 3 ^ rules rows
+    known = stats.sparkSession.createDataFrame([(c, float(q)) for (c, _), q in zip(found, voters.posterior, strict=True)], f"{code} int, quality double")
+    return voted.join(F.broadcast(known), code, "left").drop(code), voters
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

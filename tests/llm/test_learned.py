@@ -135,13 +135,71 @@ def test_quality_against_labels(spark, data):
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
-def test_quality_rules_can_be_outvoted():
+def test_quality_recovers_planted_accuracies():
     import numpy as np
 
+    rng = np.random.default_rng(1)
     names = list(quality.rules())
-    vote = lambda **v: tuple(v.get(x, 0 if x in ("lines", "capitals", "shouting") else 1) for x in names)
-    for rule in quality.STRONG:
-        odd, good, bad = vote(**{rule: -1}), vote(), vote(length=-1, word_length=-1, lines=-1, sentences=-1)
-        keep = lambda *counts: quality.Voters([odd, good, bad], np.array(counts, dtype=float)).posterior >= 0.5  # noqa: B023, E731
-        assert keep(600, 200, 200).tolist() == [True, True, False], rule
-        assert keep(20, 780, 200).tolist() == [False, True, False], rule
+    bad = np.linspace(0.35, 0.9, len(names))
+    good = np.linspace(0.02, 0.25, len(names))
+    truth = rng.random(40_000) < 0.75
+    against = rng.random((40_000, len(names))) < np.where(truth[:, None], good, bad)
+    votes = np.where(rng.random(against.shape) < 0.2, 0, np.where(against, -1, 1))
+    counts = Counter(map(tuple, votes.tolist()))
+    voters = quality.Voters(list(counts), np.array(list(counts.values()), dtype=float))
+    assert abs(voters.prior - 0.75) < 0.02
+    assert np.abs(voters.rates[0] - bad).max() < 0.03 and np.abs(voters.rates[1] - good).max() < 0.02
+    planted = 0.25 * bad + 0.75 * (1 - good)
+    assert np.abs(voters.accuracy() - planted).max() < 0.03
+    # the posterior tells the classes better than the majority of votes does
+    posterior = dict(zip(voters.patterns, voters.posterior, strict=True))
+    own = np.array([posterior[tuple(v)] >= 0.5 for v in votes.tolist()])
+    assert (own == truth).mean() > ((votes.sum(axis=1) >= 0) == truth).mean() + 0.01
+
+
+def brute_quality(votes):
+    """EM document by document, in plain Python."""
+    import math
+
+    good = [(1 + sum(x == 1 for x in v)) / (2 + sum(x != 0 for x in v)) for v in votes]
+    n, worth = len(votes), quality.LEAST_WORTH + quality.WORTH * len(votes)
+    for _ in range(500):
+        p = (sum(good) + worth * quality.BELIEVED_GOOD) / (n + worth)
+        new = []
+        rate = []
+        for j in range(len(votes[0])):
+            pair = []
+            for c, believed in enumerate(quality.BELIEVED):
+                w = [g if c else 1 - g for g in good]
+                pair.append((sum(x for x, v in zip(w, votes, strict=True) if v[j] == -1) + worth * believed) / (sum(x for x, v in zip(w, votes, strict=True) if v[j]) + worth))
+            rate.append(pair)
+        for v in votes:
+            like = [1 - p, p]
+            for x, pair in zip(v, rate, strict=True):
+                for c in (0, 1):
+                    like[c] *= 1 if x == 0 else pair[c] if x == -1 else 1 - pair[c]
+            new.append(like[1] / sum(like))
+        if max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9:
+            return new
+        good = new
+    assert math.isfinite(sum(good))
+    return good
+
+
+def test_quality_against_brute_force(spark, data):
+    stats = quality.statistics(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"))
+    votes = {r.doc_id: list(r[1:]) for r in stats.select("doc_id", *[v.alias(k) for k, v in quality.rules().items()]).collect()}
+    want = dict(zip(votes, brute_quality(list(votes.values())), strict=True))
+    got = {r.doc_id: r for r in quality.op5_query(spark, data).collect()}
+    assert all(abs(got[k].quality - q) < 1e-6 for k, q in want.items())
+    assert all(r.kept == (not r.base_failed and r.quality >= 0.5) for r in got.values())
+
+
+def test_quality_keeps_texts_in_spite_of_a_vote_against(spark, data):
+    d = data.replace("sf0.001", "sf0.01")
+    stats = quality.statistics(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    against = F.exists(F.array(*quality.rules().values()), lambda v: v == -1)
+    failed = {r.doc_id for r in stats.where(against).collect()}
+    rows = quality.op5_query(spark, d).collect()
+    assert sum(r.kept for r in rows if r.doc_id in failed) >= 10
+    assert sum(not r.kept for r in rows if r.doc_id in failed and not r.base_failed) >= 10
