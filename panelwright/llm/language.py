@@ -31,7 +31,12 @@ from .common import map_texts, mix, read, schema_of, without
 ORDER, SAMPLE_CHARS, LONGEST, ALPHABET, WIDE = 4, 600_000, 50_000, 250, 65_534
 #: Share of the sample that calibrates; share of it whose cross-entropy is accepted; rows a language, and places a row and length, whose stretches the confidence is learned from.
 CALIBRATE, ACCEPTED, ROWS, PLACES = 0.2, 0.995, 100, 5
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals such as ½ or ① are none."""
+    return any(any(map(str.isalpha, m[0])) for m in _LETTER.finditer(text))
 
 
 class Symbols:
@@ -179,7 +184,7 @@ class Identifier:
                 self.limits[k] = np.quantile(own, ACCEPTED) * 1.05
         # whole texts are told apart too easily to learn from; stretches of 6 to 48 characters are not
         parts = [(t[i : i + n], x) for t, x in self._drawn(texts, langs) for n in (6, 12, 24, 48) for i in range(0, len(t) - n + 1, max(400, (len(t) - n) // PLACES + 1)) if t[i : i + n].strip()]
-        parts = [(t, x) for t, x in parts if _LETTER.search(t)]
+        parts = [(t, x) for t, x in parts if has_letter(t)]
         if not parts:
             return
         h = self.entropies([t for t, _ in parts])
@@ -199,7 +204,7 @@ class Identifier:
         """Language, confidence, cross-entropy and rejection of every text; ``und`` if it has no letter."""
         langs, score = ["und"] * len(texts), np.zeros(len(texts))
         entropy, rejected = np.full(len(texts), np.nan), np.ones(len(texts), dtype=bool)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.langs else []
         if some:
             own = [texts[i].lower() for i in some]
             h = self.entropies(own)
