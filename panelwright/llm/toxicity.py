@@ -10,24 +10,26 @@ so a pair such as an insult and a group mention weighs more, or less, than its p
 
 The model is fitted on the driver, on a sample of labelled rows that is bounded by
 ``TRAIN_ROWS`` (an expectation: rows are chosen by hash of the id, so the choice is the same
-at every scale) and on the terms that tell the classes apart by chi-square. All else, scoring
-above all, covers every row and whole texts. What is broadcast is the model, whose size the
-hash space bounds.
+at every scale) and on the ``MOST_TERMS`` terms that tell the classes apart best by chi-square.
+Terms are counted and chosen in Spark; the driver gets the chosen ones of the sampled rows only.
+All else, scoring above all, covers every row and whole texts. What is broadcast is the model,
+whose size the terms bound.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read, schema_of, text_or_empty, utf8, without
+from .common import cut, map_texts, read, schema_of, utf8, without
 
-#: Hash space; labelled rows to train on, about; least rows with a term; least chi-square of a term; factors.
-SPACE, TRAIN_ROWS, LEAST_ROWS, LEAST_CHI, FACTORS = 1 << 20, 10_000, 4, 12.0, 4
+#: Hash space; labelled rows to train on, about; least rows with a term; least chi-square of a term; most terms of a model; factors.
+SPACE, TRAIN_ROWS, LEAST_ROWS, LEAST_CHI, MOST_TERMS, FACTORS = 1 << 20, 10_000, 4, 12.0, 65_536, 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -46,16 +48,23 @@ class Machine:
         self.kept, self.bias, self.w, self.v = kept, bias, w, v
         self.slot: np.ndarray | None = None
 
-    def score(self, found: np.ndarray) -> float:
-        """Probability that a text with these terms is toxic."""
+    def scores(self, found: list[np.ndarray]) -> np.ndarray:
+        """Probability that a text with these terms is toxic, for every text."""
         if self.slot is None:
             self.slot = np.full(SPACE, -1, dtype=np.int32)
             self.slot[self.kept] = np.arange(len(self.kept))
-        at = self.slot[found]
+        n = len(found)
+        at = self.slot[np.concatenate(found)] if n else np.zeros(0, dtype=np.int32)
+        row = np.repeat(np.arange(n), [len(x) for x in found])[at >= 0]
         at = at[at >= 0]
+        total = lambda x: np.bincount(row, weights=x, minlength=n)
         v = self.v[at]
-        z = self.bias + self.w[at].sum() + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        pairs = sum((total(v[:, f]) ** 2 - total(v[:, f] ** 2) for f in range(FACTORS)), np.zeros(n))
+        return 1 / (1 + np.exp(-np.clip(self.bias + total(self.w[at]) + 0.5 * pairs, -40, 40)))
+
+    def score(self, found: np.ndarray) -> float:
+        """``scores`` of one text."""
+        return float(self.scores([found])[0])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: int = 11) -> Machine:
@@ -70,17 +79,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: int
         return Machine(none, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     all_ = np.concatenate(rows)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(all_, minlength=SPACE).astype(np.float64)
-    pos = np.bincount(all_, weights=y[owner], minlength=SPACE)
     p = y.mean()
-    expect = df * p
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (pos - expect) ** 2 / (expect * (1 - p) * np.maximum(n - df, 1))
-    kept = np.flatnonzero((df >= LEAST_ROWS) & (chi >= LEAST_CHI)).astype(np.int32)
-    slot = np.full(SPACE, -1, dtype=np.int64)
-    slot[kept] = np.arange(len(kept))
-    mine = slot[all_]
-    owner, mine = owner[mine >= 0], mine[mine >= 0]
+    kept = np.unique(all_).astype(np.int32)
+    mine = np.searchsorted(kept, all_)
     starts = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), float(np.log(p / (1 - p)))
@@ -120,13 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     """Fit on about ``rows`` labelled documents outside the held-out fold.
 
     ``labels``: ``doc_id``, ``toxic``; null labels are left out. The labelled rows are counted,
-    and those below a quantile of a hash of the id are taken.
+    and those below a quantile of a hash of the id are taken. Runs jobs when called.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
     n = usable.count()
     part = min(1.0, rows / max(n, 1))
     spread = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
-    sample = docs.select("doc_id", "text").where(spread).join(usable.where(spread), "doc_id").select("_toxic", text_or_empty().alias("text"))
+    sample = docs.select("doc_id", "text").where(spread).join(usable.where(spread), "doc_id").select("_toxic", "text")
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,9 +136,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
         return f
 
-    # bounded by ``rows``; sorted, so the fit does not hang on the order of arrival
-    held = map_texts(sample, make, "toxic int, terms array<int>").toArrow()
-    y, lists = held.column("toxic").to_numpy(), held.column("terms").combine_chunks()
+    held = cut(map_texts(sample, make, "toxic int, terms array<int>"))
+    size, toxic = held.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    counts = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
+    share = (toxic or 0) / max(size, 1)
+    expect = F.col("n") * share
+    chi = size * (F.col("hits") - expect) ** 2 / (expect * (1 - share) * F.greatest(size - F.col("n"), F.lit(1)))
+    best = counts.where(F.col("n") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI) if 0 < share < 1 else counts.where("false").withColumn("chi", F.lit(0.0))
+    kept = np.array(sorted(r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()), dtype=np.int32)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(x.values.to_numpy(), kept, assume_unique=True) for x in batch.column("terms")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, type=pa.list_(pa.int32()))], names=["toxic", "terms"])
+
+    # bounded by ``rows`` and MOST_TERMS; sorted, so the fit does not hang on the order of arrival
+    table = held.mapInArrow(chosen, "toxic int, terms array<int>").toArrow()
+    y, lists = table.column("toxic").to_numpy(), table.column("terms").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     found = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), zlib.crc32(found[i]), int(y[i])))
@@ -146,20 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` (any columns; ``text``) with ``score``, 0 to 1. Null and empty texts have the score of no terms."""
-    base = without(docs, "score", "_bytes").withColumn("_bytes", text_or_empty())
+    base = without(docs, "score")
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         own = model.value
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [own.score(terms(t)) for t in utf8(batch.column("_bytes"))]
-            names = [c for c in batch.schema.names if c != "_bytes"]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, type=pa.float64())], names=[*names, "score"])
+            scores = own.scores([terms(t) for t in utf8(batch.column("text"))])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, "score"])
 
         return f
 
-    return map_texts(base, make, schema_of(base.drop("_bytes"), "score double"))
+    return map_texts(base, make, schema_of(base, "score double"))
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:

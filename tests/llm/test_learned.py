@@ -31,6 +31,56 @@ def test_language_odd_cases(spark):
     assert language.identify(docs.where("false"), model).count() == 0
 
 
+def brute_log_prob(texts, size, discount=0.75, order=4):
+    """Interpolated Kneser-Ney from its definition: log-probability of a character after the three before it."""
+    import math
+
+    grams = Counter()
+    for t in texts:
+        padded = "\0" * (order - 1) + t + "\0"
+        grams.update(padded[i : i + order] for i in range(len(t) + 1))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def prob(gram):
+        if not gram:
+            return 1 / size
+        own = levels[len(gram)]
+        head = [g for g in own if g[:-1] == gram[:-1]]
+        if not head:
+            return prob(gram[1:])
+        total = sum(own[g] for g in head)
+        return max(own[gram] - discount, 0) / total + discount * len(head) / total * prob(gram[1:])
+
+    return lambda gram: math.log(prob(gram))
+
+
+def test_cross_entropy_and_language_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(4)
+    words = {"a": ["alpha", "abra", "kadabra", "lama"], "b": ["bingo", "obi", "rondo", "bob"], "c": ["cirrus", "uri", "circus", "sic"]}
+    texts = [(" ".join(rng.choices(words[x], k=6)), x) for x in "abc" for _ in range(6)]
+    model = language.Identifier([t for t, _ in texts], [x for _, x in texts])
+    learned = [p for i, p in enumerate(texts) if i % 5]
+    known = {c for t, _ in learned for c in t}
+    new = [" ".join(rng.choices(sum(words.values(), []), k=4)) for _ in range(12)] + ["zzz", "Alpha LAMA", "x"]
+    brute = {x: brute_log_prob([t for t, y in learned if y == x], 1 << model.symbols.bits) for x in "abc"}
+    want = []
+    for t in new:
+        own = "\0" * 3 + "".join(c if c in known else "?" for c in t.lower()) + "\0"
+        want.append([-sum(brute[x](own[i : i + 4]) for i in range(len(t) + 1)) / (len(t) + 1) for x in "abc"])
+    got = model.entropies([t.lower() for t in new])
+    assert np.abs(got - np.array(want)).max() < 1e-9
+    assert model.predict(new)[0] == ["abc"[int(np.argmin(w))] for w in want]
+
+
+def test_letters():
+    assert not any(map(language.has_letter, ["½", "² ①", "৴", "12_3", "", "!?"]))
+    assert all(map(language.has_letter, ["é", "½ x", "日", "1a", "ـ"]))
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
@@ -94,6 +144,28 @@ def test_toxicity_learns_pairs():
     assert score(1, 2) > 0.5 > max(score(1), score(2), score())
 
 
+def test_toxicity_scores_against_brute_force(spark, data):
+    import math
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    machine = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    assert len(machine.kept)
+    place = {int(t): i for i, t in enumerate(machine.kept)}
+
+    def score(text):
+        """Bias, weights and every pair of factors, one by one."""
+        fold = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+        words = set((text or "").encode().translate(fold).split())
+        hashed = {zlib.crc32(x) & (toxicity.SPACE - 1) for w in words for x in (w, w[:4] + b"*", w[:5] + b"*", w[:6] + b"*")}
+        own = [place[h] for h in sorted(hashed) if h in place]
+        z = machine.bias + sum(float(machine.w[i]) for i in own)
+        z += sum(float(a * b) for x, i in enumerate(own) for j in own[:x] for a, b in zip(machine.v[i], machine.v[j], strict=True))
+        return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, machine).collect()}
+    assert all(abs(r.score - score(r.text)) < 1e-9 for r in got.values())
+
+
 def test_toxicity_odd_cases(spark):
     docs = spark.createDataFrame(documents(), SCHEMA).withColumn("score", F.lit("clash"))
     for labels in ([], [(1, 1), (2, 1)], [(1, 1), (2, None), (3, 0), (None, 1)]):
