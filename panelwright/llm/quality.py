@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, mix, read, schema_of, unused, utf8, without
-from .substring import name_words
+from .substring import name_words, word_line
 
 #: Believed shares of votes against bad and good texts, and of good texts; documents that beliefs are worth: at least, and as a share of all.
 BELIEVED, BELIEVED_GOOD, LEAST_WORTH, WORTH = (0.3, 0.02), 0.8, 4, 0.002
@@ -33,8 +33,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The statistics of UTF-8 texts, column by column."""
     n = len(texts)
     out = {name.split()[0]: np.zeros(n, dtype=np.int64) for name in STATS.split(", ")}
-    words = [t.split() for t in texts]
-    sizes = out["n_words"][:] = np.array([len(w) for w in words], dtype=np.int64)
+    lines = [word_line(t) for t in texts]
+    sizes = out["n_words"][:] = np.array([x.count(b" ") + 1 if x else 0 for x in lines], dtype=np.int64)
     upper = bytes(range(65, 91))
     # all beyond ASCII counts as letters
     other = bytes(b for b in range(128) if not chr(b).isalpha() and b not in SPACES)
@@ -51,9 +51,9 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["n_letters"][i] = len(letters.translate(None, SPACES + inner))
         out["n_ends"][i] = t.count(b".") + t.count(b"?") + t.count(b"!")
         if b"\n" in t:
-            lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
-            out["n_dup_lines"][i] = len(lines) - len(set(lines))
-    names = name_words(words)
+            own = [x for x in t.split(b"\n") if x.strip(SPACES)]
+            out["n_dup_lines"][i] = len(own) - len(set(own))
+    names = name_words(lines)
     doc = np.repeat(np.arange(n), sizes)
     if len(names) > 2:
         whole = np.flatnonzero(doc[2:] == doc[:-2])

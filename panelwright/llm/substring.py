@@ -40,21 +40,39 @@ from .common import cut, fresh, mix, read, schema_of, shared_dir, strings_hash,
 #: The renaming rounds: R names runs, P names pairs.
 ROUNDS = "RPPPRPPPP"
 #: UTF-8 bytes of text to a block; bytes that are recompressed at once; most buckets of the block table (a bucket holds any number of blocks).
-BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 16 << 20, 4 << 20, 65_536
+BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 8 << 20, 4 << 20, 65_536
+#: Bytes of a word from which it is hashed by itself.
+LONG_WORD = 512
 #: Bytes of text to a range of the name space, for anchors and for fingerprints; bytes of questions that a task packs together.
 RANGE_BYTES, PACKED_BYTES = (64 << 20, 16 << 20), 32 << 20
 
 
-def name_words(words: list[list[bytes]]) -> np.ndarray:
-    """64-bit names of the words of texts, end to end."""
-    line = b"".join(b" ".join(w) + b" " for w in words if w)
-    if not line:
-        return np.zeros(0, dtype=np.uint64)
-    # every word, with the one blank behind it, is an element: no word becomes an object of its own
-    ends = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32) + 1
-    offsets = np.concatenate(([0], ends)).astype(np.int64)
-    codes = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(line)]).dictionary_encode()
-    return strings_hash(codes.dictionary.to_pylist(), 1)[codes.indices.to_numpy()]
+def word_line(text: bytes) -> bytes:
+    """The words of a text, one blank between two."""
+    return b" ".join(text.split())
+
+
+def name_words(lines: list[bytes]) -> np.ndarray:
+    """64-bit names of the words of ``word_line`` texts, end to end: eight bytes at a time are mixed in, for all words at once.
+
+    Words of up to eight bytes have different names for certain if their lengths are equal.
+    """
+    line = b"".join(x + b" " for x in lines if x)
+    ends = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    left = ends - starts
+    eight = np.ndarray((len(line),), dtype="<u8", buffer=line + bytes(8), strides=(1,))
+    out = mix(left.astype(np.uint64), 1)
+    live = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    at, left_of = starts[live], left[live]
+    while len(live):
+        short = np.uint64(8) * np.minimum(left_of, 8).astype(np.uint64)
+        out[live] = mix(out[live], eight[at] & (~np.uint64(0) >> (np.uint64(64) - short)))
+        more = left_of > 8
+        live, at, left_of = live[more], at[more] + 8, left_of[more] - 8
+    long = np.flatnonzero(left > LONG_WORD)
+    out[long] = strings_hash([line[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], 1)
+    return out
 
 
 def anchors(names: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +148,10 @@ class Block:
     """The words of one block's documents and the windows that may recur."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.window, self.words = window, [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.window, self.lines = window, [word_line(t) for t in texts]
+        self.sizes = np.array([x.count(b" ") + 1 if x else 0 for x in self.lines], dtype=np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.names = name_words(self.words)
+        self.names = name_words(self.lines)
 
     def windows(self) -> np.ndarray:
         """Starts of all windows, in order."""
@@ -349,12 +367,10 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             gone = np.cumsum(step[:-1]) > 0
         lost = np.concatenate(([0], np.cumsum(gone)))
         lost = lost[block.offset[1:]] - lost[block.offset[:-1]]
-        kept = []
-        for k, words in enumerate(block.words):
-            if lost[k]:
-                mask = gone[block.offset[k] : block.offset[k + 1]].tolist()
-                words = [w for w, out in zip(words, mask, strict=True) if not out]
-            kept.append(b" ".join(words))
+        kept = block.lines
+        for k in np.flatnonzero(lost).tolist():
+            mask = gone[block.offset[k] : block.offset[k + 1]].tolist()
+            kept[k] = b" ".join([w for w, out in zip(kept[k].split(b" "), mask, strict=True) if not out])
         columns = [left.column(c) for c in keep]
         more = [pa.array(block.sizes), pa.array(lost.astype(np.int64)), pa.array(kept, type=pa.binary()).cast(pa.string())]
         return pa.table([*columns, *more], names=[*keep, "n_words", "n_removed", "kept_text"])

@@ -156,3 +156,12 @@ def test_queries(spark, data):
     assert row.n_words == len(text.encode().split())
     if not row.n_removed:
         assert row.kept_sha256 == hashlib.sha256(b" ".join(text.encode().split())).hexdigest()
+
+
+def test_names_of_words():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("ab\x00é", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 600]))).encode() for _ in range(3000)] + [b"x" * 511, b"x" * 512, b"x" * 513]
+    names = substring.name_words([b" ".join(words[:1000]), b"", b" ".join(words[1000:])])
+    assert len(names) == len(words)
+    assert len(set(zip(words, names.tolist(), strict=True))) == len(set(words)) == len(set(names.tolist()))
+    assert len(substring.name_words([])) == len(substring.name_words([b""])) == 0
