@@ -33,23 +33,41 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def utm_forward(lon: str | Column, lat: str | Column) -> Column:
-    """Easting and northing in the point's own UTM zone: Krueger's series to the fourth order on WGS 84."""
-    f = 1 / 298.257223563
-    n = f / (2 - f)
-    big_a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+_N = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+_RADIUS = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def _series(terms: list[float], f) -> Column:
+    return sum((t * f(2 * (j + 1)) for j, t in enumerate(terms)), F.lit(0.0))
+
+
+def utm_forward(lon: str | Column, lat: str | Column, epsg: Column | None = None) -> Column:
+    """Easting and northing on WGS 84 in the zone of ``epsg``, by default the point's own: Krueger's series to the fourth order."""
+    n, lon, lat = _N, _col(lon), _col(lat)
+    epsg = utm_epsg(lon, lat) if epsg is None else epsg
     alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
-    lon, lat = _col(lon), _col(lat)
-    zone = F.floor((lon + 180) / 6) + 1
-    lam = F.radians(lon - (zone * 6 - 183))
+    lam = F.radians(lon - (epsg % 100 * 6 - 183))
     e = 2 * math.sqrt(n) / (1 + n)
     s = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east = eta + sum((a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(alpha)), F.lit(0.0))
-    north = xi + sum((a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(alpha)), F.lit(0.0))
-    k = 0.9996 * big_a
-    return F.struct((500000 + k * east).alias("x"), (F.when(lat < 0, 1e7).otherwise(0.0) + k * north).alias("y"))
+    east = eta + _series(alpha, lambda k: F.cos(k * xi) * F.sinh(k * eta))
+    north = xi + _series(alpha, lambda k: F.sin(k * xi) * F.cosh(k * eta))
+    return F.struct((500000 + _RADIUS * east).alias("x"), (F.when(epsg >= 32700, 1e7).otherwise(0.0) + _RADIUS * north).alias("y"))
+
+
+def utm_inverse(x: str | Column, y: str | Column, epsg: Column) -> Column:
+    """Longitude and latitude of an easting and northing in a zone, by the inverse series."""
+    n = _N
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    xi, eta = (_col(y) - F.when(epsg >= 32700, 1e7).otherwise(0.0)) / _RADIUS, (_col(x) - 500000) / _RADIUS
+    xi1 = xi - _series(beta, lambda k: F.sin(k * xi) * F.cosh(k * eta))
+    eta1 = eta - _series(beta, lambda k: F.cos(k * xi) * F.sinh(k * eta))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lat = chi + _series(delta, lambda k: F.sin(k * chi))
+    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + epsg % 100 * 6 - 183
+    return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
 
 
 def parse_polygon(text: str | Column) -> Column:

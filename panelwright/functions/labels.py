@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -108,6 +109,18 @@ UNIT_ALIASES = {
 }
 
 
+# Codes and names of provinces, and further spellings of names.
+PROVINCES = {
+    "11": "Aceh", "12": "Sumatera Utara", "13": "Sumatera Barat", "14": "Riau", "15": "Jambi", "16": "Sumatera Selatan", "17": "Bengkulu", "18": "Lampung",
+    "19": "Kepulauan Bangka Belitung", "21": "Kepulauan Riau", "31": "DKI Jakarta", "32": "Jawa Barat", "33": "Jawa Tengah", "34": "DI Yogyakarta", "35": "Jawa Timur",
+    "36": "Banten", "51": "Bali", "52": "Nusa Tenggara Barat", "53": "Nusa Tenggara Timur", "61": "Kalimantan Barat", "62": "Kalimantan Tengah",
+    "63": "Kalimantan Selatan", "64": "Kalimantan Timur", "65": "Kalimantan Utara", "71": "Sulawesi Utara", "72": "Sulawesi Tengah", "73": "Sulawesi Selatan",
+    "74": "Sulawesi Tenggara", "75": "Gorontalo", "76": "Sulawesi Barat", "81": "Maluku", "82": "Maluku Utara", "91": "Papua", "92": "Papua Barat",
+    "93": "Papua Selatan", "94": "Papua Tengah", "95": "Papua Pegunungan", "96": "Papua Barat Daya",
+}
+PROVINCE_ALIASES = {"daerahkhususibukotajakarta": "31", "dkijakarta": "31", "jakarta": "31", "daerahistimewayogyakarta": "34", "yogyakarta": "34"}
+
+
 def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -223,6 +236,14 @@ def unit_key(text: str | Column) -> Column:
     return F.coalesce(F.try_element_at(aliases, key), key)
 
 
+def province_code(text: str | Column) -> Column:
+    """Code of the province that a text names, with or without 'Provinsi' before it."""
+    known = {re.sub(r"\s", "", name.lower()): code for code, name in PROVINCES.items()} | PROVINCE_ALIASES
+    bare = F.regexp_replace(norm_label(text), r"^prov(insi)?\s+", "")
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.try_element_at(names, F.replace(bare, F.lit(" "), F.lit("")))
+
+
 def unit_level(text: str | Column) -> Column:
     """kota, kabupaten or unknown, by how the name starts."""
     s = F.regexp_replace(norm_label(strip_tags(text)), r"^\d+\s*", "")

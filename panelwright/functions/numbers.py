@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .labels import norm_label
+from .nulls import let
+
 
 def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -45,10 +48,19 @@ def watermarked_count(text: str | Column) -> Column:
 
 
 def percent_value(text: str | Column) -> Column:
-    """A percentage printed with a decimal comma, else null."""
-    parts = F.regexp_extract_all(_col(text).cast("string"), F.lit(r"(\d{1,3})\s*,\s*(\d{1,4})"), F.lit(0))
-    found = F.try_element_at(parts, F.lit(1))
-    return F.replace(F.regexp_replace(found, r"\s", ""), F.lit(","), F.lit(".")).try_cast("double")
+    """A percentage of a printed cell: its first number with a decimal comma, else its digits; dashes alone are 0.
+
+    Letters of a watermark and white space are dropped; nothing left is null.
+    """
+    def of(s: Column) -> Column:
+        decimal = F.regexp_extract(s, r"(\d{1,3},\d{1,4})", 1)
+        return (
+            F.when(s.rlike(r"^[\-–_.]+$"), F.lit(0.0))
+            .when(decimal != "", F.replace(decimal, F.lit(","), F.lit(".")).try_cast("double"))
+            .otherwise(F.nullif(F.regexp_replace(s, r"\D", ""), F.lit("")).try_cast("double"))
+        )
+
+    return let(F.regexp_replace(_col(text).cast("string"), r"[^\d,.\-–_]", ""), of)
 
 
 def is_percent_table(cells: str | Column) -> Column:
@@ -59,8 +71,9 @@ def is_percent_table(cells: str | Column) -> Column:
 
 
 def unit_scale(unit: str | Column, title: str | Column) -> Column:
-    """Factor of a table's unit of count; the title decides where the unit says nothing."""
-    def of(label: Column, other: Column) -> Column:
-        return F.when(label.rlike(r"juta|million"), 1e6).when(label.rlike(r"ribu|thousand|\b000\b"), 1e3).otherwise(other)
+    """Factor of a table's unit of count; the title decides only where there is no unit."""
+    def of(u: Column) -> Column:
+        none = u.isin("", "tidak ada satuan", "none") & F.coalesce(F.contains(norm_label(title), F.lit("ribu")), F.lit(False))
+        return F.when(F.contains(u, F.lit("ribu")) | F.contains(u, F.lit("000")), 1e3).when(F.contains(u, F.lit("juta")), 1e6).when(none, 1e3).otherwise(1.0)
 
-    return of(F.lower(F.coalesce(_col(unit), F.lit(""))), of(F.lower(F.coalesce(_col(title), F.lit(""))), F.lit(1.0)))
+    return let(F.coalesce(norm_label(unit), F.lit("")), of)

@@ -18,8 +18,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A broadcast hint, given only where a count finds ``rows`` rows at most: for short lists whose size no statistics tell."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint, given only where a job finds ``rows`` rows and ``BROADCAST_BYTES`` of text at most: for lists whose size no statistics tell."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def to_schema(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
@@ -100,11 +102,14 @@ def drop_by_rules(df: DataFrame, rules: DataFrame, fields: list[str]) -> DataFra
 
     A rule that would hit every row is ignored, and so is one that sets nothing. Rules are
     sorted by the fields they set; each such shape, of which there are at most 2 ^ fields, is
-    one anti join on these fields, so no row meets every rule.
+    one anti join on these fields, so no row meets every rule. When called, runs one job over the
+    rules and one over ``df``: a rule hits every row if each of its fields has one value and no
+    null in all of it, and that value is the rule's.
     """
     wanted = rules.select(*fields).distinct()
     shapes = wanted.select(F.array(*[F.col(f).isNotNull() for f in fields]).alias("s")).distinct().collect()
-    total, out = df.count(), df
+    only = df.agg(*[F.when((F.min(f) == F.max(f)) & (F.count(f) == F.count(F.lit(1))), F.min(f)).alias(f) for f in fields]).first()
+    out = df
     for shape in sorted(tuple(r["s"]) for r in shapes):
         on = [f for f, has in zip(fields, shape, strict=True) if has]
         if not on:
@@ -112,8 +117,12 @@ def drop_by_rules(df: DataFrame, rules: DataFrame, fields: list[str]) -> DataFra
         own = wanted
         for f in fields:
             own = own.where(F.col(f).isNotNull() if f in on else F.col(f).isNull())
-        everything = df.groupBy(*on).count().where(F.col("count") == total).select(*on)
-        out = out.join(bounded(own.select(*on).join(everything, on, "left_anti")), on, "left_anti")
+        if all(only[f] is not None for f in on):
+            everything = F.lit(True)
+            for f in on:
+                everything &= F.col(f) == F.lit(only[f])
+            own = own.where(~everything)
+        out = out.join(bounded(own.select(*on)), on, "left_anti")
     return out
 
 
@@ -188,10 +197,15 @@ def first_n(df: DataFrame, group: list[str], n: int, *order: Column) -> DataFram
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def union_keep_last(older: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
-    """Both tables by name, the newer row of a key that both hold."""
+def union_keep_last(older: DataFrame, newer: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Both tables by name, the newer row of a key that both hold.
+
+    Rows of one table that share a key are settled by ``order`` and then by their content, so
+    that the same row stays wherever it runs.
+    """
     both = older.withColumn("_batch", F.lit(0)).unionByName(newer.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    return first_per_key(both, keys, F.desc("_batch")).drop("_batch")
+    rest = F.to_json(F.struct(*[c for c in both.columns if c != "_batch"]))
+    return first_per_key(both, keys, F.desc("_batch"), *order, F.asc(rest)).drop("_batch")
 
 
 def has_all(df: DataFrame, unit: str, column: str, wanted: list) -> DataFrame:

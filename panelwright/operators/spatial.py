@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import bearing
+from ..functions.geo import bearing, utm_epsg, utm_forward, utm_inverse
 from .relational import first_n, small
 
 
@@ -28,17 +28,20 @@ def sample_lines(lines: DataFrame, key: str, line: str, spacing: float, seed: in
     part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
     segs = segs.withColumn("start", part * F.least(F.lit(spacing), F.col("total")))
 
+    numbered = segs.select(key, "total", "start").distinct()
+    numbered = numbered.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - F.col("start")) / spacing).cast("int"))))
+    numbered = numbered.withColumn("d", F.col("start") + F.col("point_no") * spacing)
+
     def at(shift: float, name: str) -> DataFrame:
+        # segments and places in one order along the line: a place lies on the last segment that begins at or before it
         way = F.least(F.greatest(F.col("d") + shift, F.lit(0.0)), F.col("total"))
-        numbered = segs.select(key, "total", "start").distinct()
-        numbered = numbered.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - F.col("start")) / spacing).cast("int"))))
-        numbered = numbered.withColumn("d", F.col("start") + F.col("point_no") * spacing).select(F.col(key).alias("_k"), "point_no", way.alias("way"))
-        hit = (F.col(key) == F.col("_k")) & (F.col("way") >= F.col("since")) & ((F.col("way") < F.col("upto")) | ((F.col("way") == F.col("upto")) & (F.col("upto") == F.col("total"))))
-        share = F.coalesce(F.try_divide(F.col("way") - F.col("since"), F.col("length")), F.lit(0.0))
-        x = F.col("a.x") + share * (F.col("b.x") - F.col("a.x"))
-        y = F.col("a.y") + share * (F.col("b.y") - F.col("a.y"))
-        found = numbered.join(segs, hit).groupBy(F.col("_k").alias(key), "point_no").agg(F.min_by(F.struct(x.alias("x"), y.alias("y")), "seg").alias(name), F.min(F.col("way") + look <= F.col("total")).alias(f"{name}_ahead"))
-        return found
+        begins = segs.where("length > 0").select(key, F.col("since").alias("way"), F.lit(0).alias("kind"), F.struct("a", "b", "since", "length").alias("s"), F.lit(None).cast("int").alias("point_no"), (F.lit(look) * 0).alias("ahead"))
+        places = numbered.select(key, way.alias("way"), F.lit(1).alias("kind"), F.lit(None).cast(begins.schema["s"].dataType).alias("s"), "point_no", (F.col("total") - way).alias("ahead"))
+        held = F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy("way", "kind"))
+        found = begins.unionByName(places).withColumn("s", held).where("kind = 1")
+        share = F.least((F.col("way") - F.col("s.since")) / F.col("s.length"), F.lit(1.0))
+        x, y = (F.col(f"s.a.{c}") + share * (F.col(f"s.b.{c}") - F.col(f"s.a.{c}")) for c in ("x", "y"))
+        return found.select(key, "point_no", F.struct(x.alias("x"), y.alias("y")).alias(name), (F.col("ahead") >= look).alias(f"{name}_ahead"))
 
     here, ahead, back = at(0.0, "p"), at(look, "q"), at(-look, "r")
     out = here.join(ahead, [key, "point_no"]).join(back, [key, "point_no"])
@@ -47,13 +50,73 @@ def sample_lines(lines: DataFrame, key: str, line: str, spacing: float, seed: in
     return out.select(key, "point_no", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"), F.round(bearing(dx, dy), 1).alias("bearing"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
-    """Points (x, y, ...) with the unit whose ring holds them; an equi-join on grid cells, then the exact test."""
+def _tiles(polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
+    """Grid cells (_gx, _gy) under each ring's bounding box."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     grid = lambda v: F.floor(v / cell).cast("long")
     tiles = polygons.select(unit, ring, F.explode(F.sequence(grid(F.array_min(xs)), grid(F.array_max(xs)))).alias("_gx"), ys.alias("_ys"))
-    tiles = tiles.select(unit, ring, "_gx", F.explode(F.sequence(grid(F.array_min("_ys")), grid(F.array_max("_ys")))).alias("_gy"))
-    near = points.withColumns({"_gx": grid(F.col("x")), "_gy": grid(F.col("y"))}).join(small(tiles), ["_gx", "_gy"])
+    return tiles.select(unit, ring, "_gx", F.explode(F.sequence(grid(F.array_min("_ys")), grid(F.array_max("_ys")))).alias("_gy"))
+
+
+def clip_lines(lines: DataFrame, key: str, line: str, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
+    """The parts of lines that lie in each polygon: unit, key, part (from 0), line.
+
+    A segment meets the rings whose grid cells it shares; it is cut where it crosses a ring's
+    edges, and the cuts whose middle lies inside stay. Cuts that join end to end are one part.
+    """
+    grid = lambda v: F.floor(v / cell).cast("long")
+    segs = segments(lines, key, line).select(key, "seg", "a", "b")
+    span = lambda c: F.sequence(grid(F.least(f"a.{c}", f"b.{c}")), grid(F.greatest(f"a.{c}", f"b.{c}")))
+    cells = segs.withColumn("_gx", F.explode(span("x"))).withColumn("_gy", F.explode(span("y")))
+    met = cells.join(small(_tiles(polygons, unit, ring, cell)), ["_gx", "_gy"]).drop("_gx", "_gy", ring).distinct()
+    met = met.join(small(polygons.select(unit, ring)), unit)
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+
+    def crossing(p, i):
+        q = F.get(F.col(ring), (i + 1) % F.size(ring))
+        ex, ey = q["x"] - p["x"], q["y"] - p["y"]
+        wide = dx * ey - dy * ex
+        t = F.try_divide((p["x"] - F.col("a.x")) * ey - (p["y"] - F.col("a.y")) * ex, wide)
+        u = F.try_divide((p["x"] - F.col("a.x")) * dy - (p["y"] - F.col("a.y")) * dx, wide)
+        return F.when((t > 0) & (t < 1) & u.between(0, 1), t)
+
+    ends = F.array_union(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(ring, crossing), lambda t: t.isNotNull()))
+    cut = met.withColumn("_t", F.array_sort(ends))
+    pairs = F.transform(F.slice("_t", F.lit(1), F.size("_t") - 1), lambda t, i: F.struct(t.alias("t0"), F.get(F.col("_t"), i + 1).alias("t1")))
+    pieces = cut.select(unit, key, "seg", "a", "b", ring, F.explode(pairs).alias("s"))
+    at = lambda t: F.struct((F.col("a.x") + t * dx).alias("x"), (F.col("a.y") + t * dy).alias("y"))
+    middle = at((F.col("s.t0") + F.col("s.t1")) / 2)
+    own = pieces.withColumns({"x": middle["x"], "y": middle["y"]}).where(inside(ring))
+    own = own.select(unit, key, "seg", F.col("s.t0").alias("_t0"), at(F.col("s.t0")).alias("_p"), at(F.col("s.t1")).alias("_q"))
+    order = Window.partitionBy(unit, key).orderBy("seg", "_t0")
+    joined = F.coalesce(F.hypot(F.lag("_q.x").over(order) - F.col("_p.x"), F.lag("_q.y").over(order) - F.col("_p.y")) < 1e-12, F.lit(False))
+    own = own.withColumn("_new", (~joined).cast("int")).withColumn("part", F.sum("_new").over(order) - 1)
+    steps = F.array_sort(F.collect_list(F.struct("seg", "_t0", "_p", "_q")))
+    out = own.groupBy(unit, key, "part").agg(steps.alias("_s"))
+    return out.select(unit, key, "part", F.concat(F.array(F.col("_s")[0]["_p"]), F.transform("_s", lambda s: s["_q"])).alias(line))
+
+
+def road_points(polygons: DataFrame, roads: DataFrame, unit: str, ring: str, key: str, line: str, spacing: float = 50.0, cap: int = 300, cell: float = 0.05, seed: int = 0) -> DataFrame:
+    """Points every ``spacing`` metres along the roads of each unit, at most ``cap`` by hash: unit, point_id, lat, lon, bearing.
+
+    Rings and roads are in degrees; every unit is measured in the UTM zone of its ring's middle.
+    """
+    mean = lambda c: F.aggregate(F.transform(ring, lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(ring)
+    zone = polygons.select(unit, utm_epsg(mean("x"), mean("y")).alias("_epsg"))
+    parts = clip_lines(roads, key, line, polygons, unit, ring, cell).join(small(zone), unit)
+    name = F.concat_ws("|", unit, key, "part")
+    flat = parts.select(unit, "_epsg", name.alias("_line"), F.transform(line, lambda p: utm_forward(p["x"], p["y"], F.col("_epsg"))).alias("_xy"))
+    points = sample_lines(flat, "_line", "_xy", spacing, seed).join(flat.select(unit, "_epsg", "_line"), "_line")
+    place = utm_inverse("x", "y", F.col("_epsg"))
+    points = points.select(unit, F.concat_ws("|", "_line", F.lpad(F.col("point_no").cast("string"), 9, "0")).alias("_key"), place.alias("_p"), "bearing")
+    points = points.select(unit, "_key", F.round("_p.lat", 6).alias("lat"), F.round("_p.lon", 6).alias("lon"), F.round("bearing", 1).alias("bearing"))
+    return capped_per_unit(points, unit, "_key", cap, seed).select(unit, "point_id", "lat", "lon", "bearing")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
+    """Points (x, y, ...) with the unit whose ring holds them; an equi-join on grid cells, then the exact test."""
+    grid = lambda v: F.floor(v / cell).cast("long")
+    near = points.withColumns({"_gx": grid(F.col("x")), "_gy": grid(F.col("y"))}).join(small(_tiles(polygons, unit, ring, cell)), ["_gx", "_gy"])
     return near.where(inside(ring)).drop("_gx", "_gy", ring)
 
 

@@ -13,8 +13,10 @@ LONG = [
     ("source", "string"), ("province_code", "string"), ("unit_code", "string"), ("unit_name", "string"), ("year", "int"),
     ("semester", "int"), ("religion", "string"), ("count", "double"), ("ref", "string"),
 ]
-#: Sources in order of trust.
-PREFERENCE = ["dukcapil", "bps", "pdf_da", "pdf_da_sum", "bps_kabsum", "pdf_da_pct"]
+# Sources in order of trust; the source whose tables print percentages; references with known errors.
+PREFERENCE = ["arcgis", "pdf", "pdf_da", "bpsvar", "bps", "bps_kabsum", "pdf_da_sum", "pdf_da_pct"]
+PERCENT_SOURCE = "pdf_da_pct"
+BAD_REFS = ("bps:3300:1881", "bps:6400:321")
 
 
 def attach_codes(long: DataFrame, codes: DataFrame) -> DataFrame:
@@ -70,46 +72,88 @@ def repair_totals(wide: DataFrame, columns: list[str] = RELIGIONS) -> DataFrame:
     return out.withColumn("total_is_sum", yes(F.col("total") == F.col("_sum"))).drop("_sum")
 
 
+def panel_rows(long: DataFrame, rules: DataFrame | None = None, bad_refs: tuple[str, ...] = BAD_REFS) -> DataFrame:
+    """Rows that may enter the panel: with code, count and year, of no sub-district, no known bad reference and no curated rule."""
+    rows = long.where("unit_code is not null and count is not null and year is not null").where(yes(~F.col("ref").isin(*bad_refs)) if bad_refs else F.lit(True))
+    if "level" in rows.columns:
+        rows = rows.where(~yes(F.col("level") == "kecamatan"))
+    rows = rows.withColumn("semester", F.coalesce("semester", F.lit(0)))
+    return drop_by_rules(rows, rules, ["unit_code", "year", "ref"]) if rules is not None else rows
+
+
+CELL = ["unit_code", "year", "semester"]
+
+
+def lost_exact(rows: DataFrame, wanted: str = "konghucu", preference: list[str] = PREFERENCE) -> DataFrame:
+    """Cells, by year, whose serving reference lacks the ``wanted`` category although another reference has it.
+
+    ``rows``: as ``panel_rows`` returns them.
+    """
+    best = best_source(rows, CELL, "source", "ref", "religion", preference)
+    held = best.groupBy(*CELL).agg(F.bool_or(F.col("religion") == wanted).alias("chosen"))
+    anywhere = rows.where(F.col("religion") == wanted).select(*CELL).distinct()
+    return held.where(~yes(F.col("chosen"))).join(anywhere, CELL, "left_semi").groupBy("year").agg(F.count(F.lit(1)).alias("n_lost"))
+
+
+def percent_to_counts(panel: DataFrame, columns: list[str] = RELIGIONS) -> DataFrame:
+    """Rows out of percentage tables as counts of the official population, without their total; those without a population go."""
+    percent = yes(F.col("sources") == PERCENT_SOURCE)
+    held = panel.where(~percent | F.col("population").isNotNull())
+    counts = {c: F.when(percent, F.rint(F.col(c) / 100 * F.col("population"))).otherwise(F.col(c)) for c in columns}
+    return computed(held, counts | {"total": F.when(~percent, F.col("total"))})
+
+
 def build_panel(
-    long: DataFrame, population: DataFrame | None = None, rules: DataFrame | None = None, bad_refs: tuple[str, ...] = (), preference: list[str] = PREFERENCE
+    long: DataFrame, population: DataFrame | None = None, rules: DataFrame | None = None, bad_refs: tuple[str, ...] = BAD_REFS, preference: list[str] = PREFERENCE
 ) -> DataFrame:
     """The wide panel: one row a unit, year and semester.
 
     Sub-districts, rows without code, count or year, and known bad references go; then curated
-    rules; then the best reference serves each cell. Percent rows become counts where a
-    population is known. Unusable rows go; totals are repaired; tables of parts of a unit, and
-    totals far from the population, go where one is known.
+    rules; then the best reference serves each cell. Where populations are given, rows of
+    percentage tables become counts, or go. Unusable rows go; totals are repaired; tables of
+    parts of a unit, and totals far from the population, go where one is known. A category that
+    no served cell has is not missed in a row; to learn which these are runs a job when called.
     """
-    rows = long.where("unit_code is not null and count is not null and year is not null").where(yes(~F.col("ref").isin(*bad_refs)) if bad_refs else F.lit(True))
-    if "level" in rows.columns:
-        rows = rows.where(~yes(F.col("level") == "kecamatan"))
-    rows = rows.withColumn("semester", F.coalesce("semester", F.lit(0)))
-    if rules is not None:
-        rows = drop_by_rules(rows, rules, ["unit_code", "year", "ref"])
-    cell = ["unit_code", "year", "semester"]
-    best = best_source(rows, cell, "source", "ref", "religion", preference)
-    wide = best.groupBy(*cell).pivot("religion", [*RELIGIONS, "total"]).agg(F.first("count", ignorenulls=True))
-    meta = best.groupBy(*cell).agg(
+    best = best_source(panel_rows(long, rules, bad_refs), CELL, "source", "ref", "religion", preference)
+    present = [r["religion"] for r in best.select("religion").distinct().collect()]  # a closed list of categories
+    wide = best.groupBy(*CELL).pivot("religion", [*RELIGIONS, "total"]).agg(F.first("count", ignorenulls=True))
+    meta = best.groupBy(*CELL).agg(
         string_set("source").alias("sources"), F.min("ref").alias("ref"), F.min_by("ref", F.when(F.col("religion") == "konghucu", F.col("source"))).alias("konghucu_ref")
     )
-    panel = wide.join(meta, cell)
-    panel = panel.join(population.select("unit_code", "year", "population"), ["unit_code", "year"], "left") if population is not None else panel.withColumn("population", F.lit(None).cast("double"))
-    percent = cell_quality() == "percent"
-    scale = percent & F.col("population").isNotNull()
-    panel = computed(panel, {"_scale": scale})
-    panel = computed(panel, {c: F.when(F.col("_scale"), F.rint(F.col(c) / 100 * F.col("population"))).otherwise(F.col(c)) for c in [*RELIGIONS, "total"]}).drop("_scale")
-    panel = computed(panel, {"quality": cell_quality()}).where("quality not in ('percent', 'placeholder', 'no_religions')")
+    panel = wide.join(meta, CELL)
+    if population is not None:
+        panel = percent_to_counts(panel.join(population.select("unit_code", "year", "population"), ["unit_code", "year"], "left"))
+    else:
+        panel = panel.withColumn("population", F.lit(None).cast("double"))
+    panel = computed(panel, {"quality": cell_quality(present=present)}).where("quality not in ('percent', 'placeholder', 'no_religions')")
     panel = repair_totals(panel)
     panel = computed(panel, {
-        "konghucu_share": F.try_divide("konghucu", "total"), "konghucu_ub": F.coalesce("konghucu", "lainnya"),
-        "konghucu_ub_is_lainnya": F.col("konghucu").isNull() & F.col("lainnya").isNotNull(), "total_to_pop": F.try_divide("total", "population"),
+        "konghucu_share": F.try_divide("konghucu", "total"), **upper_bound("konghucu", "lainnya"), "total_to_pop": F.try_divide("total", "population"),
     })
-    part = yes(F.col("total_to_pop") < 0.3) & yes(~ref_part("ref", 2).endswith("00"))
+    part = yes(F.col("total_to_pop") < 0.3) & yes(ref_part("ref", 2).rlike(r"^\d{4}$") & ~ref_part("ref", 2).endswith("00"))
     far = yes((F.col("total_to_pop") > 1.5) | (F.col("total_to_pop") < 0.5))
     panel = panel.where(~part & ~far)
     return panel.withColumns({"konghucu_share_pop": F.try_divide("konghucu", "population"), "konghucu_ub_share_pop": F.try_divide("konghucu_ub", "population")})
 
 
+def upper_bound(exact: str, other: str) -> dict[str, Column]:
+    """An exact count or, where there is none, the residual category that holds it; and whether it is the residual."""
+    return {f"{exact}_ub": F.coalesce(exact, other), f"{exact}_ub_is_{other}": F.col(exact).isNull() & F.col(other).isNotNull()}
+
+
+def scale_populations(long: DataFrame, ref: str, value: str, scale: Column, most: float = 7e6) -> DataFrame:
+    """Values of each series times the factor that its unit of count names, unless they are plain persons already.
+
+    A series whose median would pass ``most`` by the factor, and does not without it, is left as it
+    is. A series' median comes from its distinct values with their counts.
+    """
+    held = long.withColumn("_scale", scale)
+    mid = held.groupBy(ref).agg(F.median(value).alias("_mid"))
+    out = held.join(small(mid), ref, "left")
+    plain = yes((F.col("_scale") > 1) & (F.col("_mid") * F.col("_scale") > most) & (F.col("_mid") <= most))
+    return out.withColumn("population", F.col(value) * F.when(plain, F.lit(1.0)).otherwise(F.col("_scale"))).drop("_scale", "_mid")
+
+
 def reconcile_series(long: DataFrame, unit: str, year: str, ref: str, value: str, low: float = 3e3, high: float = 7e6, spread: float = 1.5) -> DataFrame:
     """One value a unit and year out of several series.
 
@@ -134,19 +178,24 @@ def correct_years(long: DataFrame, catalogue: DataFrame) -> DataFrame:
     return out.withColumn("year", year).where(F.col("_book").isNotNull() | F.col("year").between(2000, 2030)).drop("_book")
 
 
-def foreign_panel(long: DataFrame, province_population: DataFrame | None = None) -> DataFrame:
-    """Foreign residents by unit and year, one column a permit for one nation, all permits, all nations."""
-    permits = ["ITAS", "ITAP", "ITK", "TKA", "RESIDENT", "TOTAL", "ANY"]
-    rows = long.where("unit_code is not null and year is not null").withColumn("permit", F.coalesce("permit_type", F.lit("ANY")))
+def foreign_panel(long: DataFrame, province_rows: DataFrame | None = None, permits: list[str] | None = None, nation: str = "CHN") -> DataFrame:
+    """Foreign residents by unit and year: one column a permit for one nation, all its permits, all foreigners.
+
+    ``permits``: those to have a column; by default all that occur, which a job finds. ``wna_resident``
+    sums the rows of nation WNA, ``foreign_total`` those of TOTAL. ``province_rows`` (province_code,
+    year, nationality, count) adds ``chn_province_any``, what its province has.
+    """
+    rows = long.where("unit_code is not null and count is not null").withColumn("permit", F.coalesce("permit_type", F.lit("ANY")))
+    own = F.col("nationality") == nation
+    if permits is None:  # a closed list of kinds
+        permits = sorted(r["permit"] for r in rows.where(own).select("permit").distinct().collect())
     of = lambda cond: F.sum(F.when(cond, F.col("count")))
     out = rows.groupBy("unit_code", "year").agg(
-        *[of((F.col("nationality") == "CHN") & (F.col("permit") == p)).alias(f"chn_{p.lower()}") for p in permits if p != "ANY"],
-        of(F.col("nationality") == "CHN").alias("chn_any"),
-        F.coalesce(of(~F.col("nationality").isin("TOTAL")), F.lit(0.0)).alias("wna_sum"),
-        F.coalesce(of(F.col("nationality") == "TOTAL"), F.lit(0.0)).alias("wna_total"),
+        *[of(own & (F.col("permit") == p)).alias(f"chn_{p.lower()}") for p in permits if p.lower() != "any"],
+        of(own).alias("chn_any"), of(F.col("nationality") == "WNA").alias("wna_resident"), of(F.col("nationality") == "TOTAL").alias("foreign_total"),
         string_set("source").alias("sources"),
-    )
-    if province_population is None:
+    )
+    if province_rows is None:
         return out
-    context = province_population.select(padded("province_code", 2).alias("_p"), F.col("year").alias("_y"), "province_total")
-    return out.join(small(context), (F.substring("unit_code", 1, 2) == F.col("_p")) & (F.col("year") == F.col("_y")), "left").drop("_p", "_y")
+    context = province_rows.where(own).groupBy(padded("province_code", 2).alias("province_code"), "year").agg(F.sum("count").alias("chn_province_any"))
+    return out.withColumn("province_code", F.substring("unit_code", 1, 2)).join(small(context), ["province_code", "year"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "panelwright", **conf: str) -> SparkSession:
-    """A local session with UTC time and as many shuffle partitions as cores."""
+    """A local session with UTC time and as many shuffle partitions as cores. For one machine: its warehouse is a temporary folder."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

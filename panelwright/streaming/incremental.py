@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import first_per_key
+
 
 def not_done(items: DataFrame, ledger: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Items whose key the ledger lacks, or has under another version only."""
@@ -35,13 +37,15 @@ def process_new_files(
 ) -> int:
     """Handle the files that a folder has gained since the last call, once each; returns the number of batches.
 
-    A batch is written under its number, so that a repeated batch replaces itself.
+    A batch is written under its number, so that a repeated batch replaces itself. Of the rows
+    of a batch that share their keys the one with the least content stays, wherever it runs.
     """
     batches = []
 
     def write(df: DataFrame, batch: int) -> None:
         batches.append(batch)
-        transform(df).dropDuplicates(keys).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
+        rows = transform(df)
+        first_per_key(rows, keys, F.asc(F.to_json(F.struct(*rows.columns)))).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -45,8 +45,8 @@ def long_rows(spark, cells):
 
 def test_panel_takes_one_reference_a_cell(spark):
     cells = [("bps", "1101", 2020, r, c, "bps:1100:1") for r, c in (("islam", 900), ("kristen", 50), ("katolik", 40), ("konghucu", 5), ("total", 995))]
-    cells += [("pdf_da", "1101", 2020, "konghucu", 9, "da:1101:2020")]
-    cells += [("bps", "1102", 2020, r, 50, "bps:1100:1") for r in ("islam", "hindu")] + [("bps", "1103", 2020, r, c, "bps:1100:1") for r, c in (("islam", 90), ("kristen", 6), ("katolik", 4))]
+    cells += [("bps_kabsum", "1101", 2020, "konghucu", 9, "da:1101:2020")]
+    cells += [("bps", "1102", 2020, r, 50, "bps:1100:1") for r in ("islam", "hindu")] + [("pdf_da_pct", "1103", 2020, r, c, "da:1103:2020") for r, c in (("islam", 90), ("kristen", 6), ("katolik", 4))]
     pop = spark.createDataFrame([("1101", 2020, 1000.0), ("1103", 2020, 2000.0)], "unit_code string, year int, population double")
     rules = spark.createDataFrame([("1102", None, None), (None, None, None)], "unit_code string, year int, ref string")
     got = {r.unit_code: r for r in harmonise.build_panel(long_rows(spark, cells), pop, rules).collect()}
@@ -83,8 +83,12 @@ def test_year_correction(spark):
 
 def test_foreign_panel(spark):
     rows = [("1101", 2020, "CHN", "ITAS", 10.0, "s1"), ("1101", 2020, "CHN", None, 5.0, "s2"), ("1101", 2020, "JPN", "ITAS", 3.0, "s1"), ("1101", 2020, "TOTAL", None, 99.0, "s1")]
-    got = harmonise.foreign_panel(spark.createDataFrame(rows, "unit_code string, year int, nationality string, permit_type string, count double, source string")).first()
-    assert (got.chn_itas, got.chn_any, got.wna_sum, got.wna_total, got.sources) == (10, 15, 18, 99, "s1;s2")
+    rows.append(("1101", 2020, "WNA", None, 40.0, "s1"))
+    frame = spark.createDataFrame(rows, "unit_code string, year int, nationality string, permit_type string, count double, source string")
+    got = harmonise.foreign_panel(frame).first()
+    assert (got.chn_itas, got.chn_any, got.wna_resident, got.foreign_total, got.sources) == (10, 15, 40, 99, "s1;s2")
+    province = spark.createDataFrame([("11", 2020, "CHN", 3.0), ("11", 2020, "CHN", 4.0), ("11", 2020, "JPN", 9.0)], "province_code string, year int, nationality string, count double")
+    assert harmonise.foreign_panel(frame, province).first().chn_province_any == 7
 
 
 def test_jumps(spark):
