@@ -44,7 +44,7 @@ BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 8 << 20, 4 << 20, 65_536
 #: Bytes of a word from which it is hashed by itself.
 LONG_WORD = 512
 #: Bytes of text to a range of the name space, for anchors and for fingerprints; bytes of questions that a task packs together.
-RANGE_BYTES, PACKED_BYTES = (64 << 20, 16 << 20), 32 << 20
+RANGE_BYTES, PACKED_BYTES = (64 << 20, 16 << 20), 8 << 20
 
 
 def word_line(text: bytes) -> bytes:
