@@ -16,7 +16,7 @@ from .functions import geo, labels, numbers, signs
 from .functions.nulls import group_sum, safe_ratio
 from .operators import grids, spatial
 from .operators import relational as rel
-from .plans import detect, estimate, harmonise, ingest, matching, rollup
+from .plans import detect, estimate, harmonise, ingest, matching, rollup, yearbook
 from .session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1124,3 +1124,21 @@ def q54(spark, d):
     panel, investment = long_tables(spark, d)
     fit = estimate.two_way_effects(panel, investment, "n", 1995, 1996, per_head=False).row("_x")
     return values(spark, [(round(fit["beta"], 7), round(fit["se"], 7), fit["n"], fit["se_kind"])], "beta double, se double, n long, se_kind string")
+
+
+@query(
+    "q55_yearbooks",
+    """
+    WITH p AS (SELECT p_partkey AS k, p_size + p_partkey % 90 + 1 AS a, (p_retailprice * 100)::BIGINT % 50 + 3 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'total' ELSE 'sum of rows' END AS outcome FROM part)
+    SELECT k::VARCHAR AS book, outcome, 'islam' AS religion, a::DOUBLE AS "count" FROM p UNION ALL SELECT k::VARCHAR, outcome, 'hindu', b::DOUBLE FROM p
+    """,
+)
+def q55(spark, d):
+    """Religion totals of yearbook tables, a book a part: rows of parts, with and without a printed total."""
+    k, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("long") % 50
+    row = lambda name, a, b: F.array(F.lit(name), a.cast("string"), b.cast("string"))
+    a, b = F.col("p_size"), k % 90 + 1
+    rows = F.array(F.array(F.lit("Kecamatan"), F.lit("Islam\nMoslem"), F.lit("dHindu\ni")), row("1. Aek", a, cents), row("2. Bah", b, F.lit(3)))
+    rows = F.when(k % 2 == 0, F.concat(rows, F.array(row("Jumlah/Total", a + b, cents + 3)))).otherwise(rows)
+    cells = table(spark, d, "part").select(k.cast("string").alias("book"), F.lit(0).alias("table_no"), F.posexplode(rows).alias("row_no", "cells"), F.lit("Penduduk menurut agama").alias("text"))
+    return yearbook.book_totals(cells)

@@ -140,3 +140,39 @@ def walk_services(root: str, get: Callable[[str], dict] = get_json) -> list[dict
                 out.append({"service": s["name"], "layer": None, "status": str(code)})
             out += [{"service": s["name"], "layer": x.get("name"), "status": "ok"} for x in own.get("layers", [])]
     return out
+
+
+def domain_requests(root: str, provinces: list[str]) -> list[dict[str, str]]:
+    """What to ask for the districts of every province, one request a province."""
+    return [{"province_code": c, "url": f"{root}/domain/type/kabbyprov/prov/{c}00"} for c in provinces]
+
+
+def domain_codes(answers: list[tuple[str, dict]]) -> list[dict]:
+    """Unit codes and names out of (province, domain list) answers: four digits that don't end in 00; the first of a repeated code."""
+    out = {}
+    for province, js in answers:
+        data = js.get("data")
+        for r in data[1] if isinstance(data, list) and len(data) > 1 and isinstance(data[1], list) else []:
+            code = str(r.get("domain_id"))
+            if len(code) == 4 and code.isdigit() and not code.endswith("00"):
+                out.setdefault(code, {"unit_code": code, "unit_name": r.get("domain_name"), "province_code": province})
+    return list(out.values())
+
+
+def year_calls(years: list[str | int], most: int = 2) -> list[str]:
+    """Year ids as the parameter of as few calls as the service allows: at most ``most`` a call."""
+    ids = [str(y) for y in years]
+    return [";".join(ids[i : i + most]) for i in range(0, len(ids), most)]
+
+
+def cached(get: Callable[[str], dict], read: Callable[[str], str | None], write: Callable[[str, str], None], good: Callable[[dict], bool] = bool) -> Callable[[str], dict]:
+    """``get`` that keeps raw answers: what was answered well is read, not asked again; poor answers are asked anew."""
+    def ask(url: str) -> dict:
+        held = read(url)
+        if held and good(js := json.loads(held)):
+            return js
+        js = get(url)
+        write(url, json.dumps(js, ensure_ascii=False))
+        return js
+
+    return ask
