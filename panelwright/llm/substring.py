@@ -40,7 +40,7 @@ from .common import cut, fresh, mix, read, schema_of, shared_dir, strings_hash,
 #: The renaming rounds: R names runs, P names pairs.
 ROUNDS = "RPPPRPPPP"
 #: UTF-8 bytes of text to a block; bytes that are recompressed at once; most buckets of the block table (a bucket holds any number of blocks).
-BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 8 << 20, 4 << 20, 65_536
+BLOCK_BYTES, CHUNK_BYTES, MOST_BUCKETS = 6 << 20, 3 << 20, 65_536
 #: Bytes of a word from which it is hashed by itself.
 LONG_WORD = 512
 #: Bytes of text to a range of the name space, for anchors and for fingerprints; bytes of questions that a task packs together.
@@ -57,11 +57,11 @@ def name_words(lines: list[bytes]) -> np.ndarray:
 
     Words of up to eight bytes have different names for certain if their lengths are equal.
     """
-    line = b"".join(x + b" " for x in lines if x)
-    ends = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
+    line = b" ".join([*filter(None, lines), bytes(8)])  # eight more bytes, so that every word can be read by eights
+    ends = np.flatnonzero(np.frombuffer(line, dtype=np.uint8)[:-8] == 32)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     left = ends - starts
-    eight = np.ndarray((len(line),), dtype="<u8", buffer=line + bytes(8), strides=(1,))
+    eight = np.ndarray((len(line) - 7,), dtype="<u8", buffer=line, strides=(1,))
     out = mix(left.astype(np.uint64), 1)
     live = np.flatnonzero((left > 0) & (left <= LONG_WORD))
     at, left_of = starts[live], left[live]
