@@ -102,7 +102,7 @@ def block_tables(pages: DataFrame, html: str = "html") -> DataFrame:
         "numbers": F.map_from_entries(F.transform(texts, lambda t: F.struct(t, parse_count(t, True)))),
     })
 
-    @F.udf("array<struct<label:string,religion:string,year:int,count:double>>", useArrow=False)
+    @F.udf("array<struct<label:string,religion:string,year:int,count:double>>", useArrow=True)
     def long(cells, roles, numbers):
         return read_grid([list(r) for r in cells], roles.get, numbers.get)
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
+#: The spans that HTML allows at most; a page can't ask for more.
+MOST_SPAN = {"colspan": 1000, "rowspan": 65_534}
+
+
 class _Grids(HTMLParser):
     """Tables of a page as rectangular grids; spans repeat their text, outer tables that only wrap others go."""
 
@@ -33,7 +37,7 @@ class _Grids(HTMLParser):
                 self._close_cell()
                 if not own["rows"]:
                     own["rows"].append([])
-                span = {k: max(1, int(v)) if (v or "").isdigit() else 1 for k, v in attrs if k in ("rowspan", "colspan")}
+                span = {k: min(max(1, int(v)), MOST_SPAN[k]) if (v or "").isdecimal() and len(v) < 10 else 1 for k, v in attrs if k in MOST_SPAN}
                 own["cell"] = ([], span.get("rowspan", 1), span.get("colspan", 1))
             elif tag == "br" and own["cell"]:
                 own["cell"][0].append(" ")
