@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, sharding, simhash, substring, tokencount, toxicity, warc
+from . import decontaminate, language, lexical, packing, quality, sharding, simhash, substring, tokencount, tokenfiles, toxicity, warc, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_query,
@@ -15,8 +15,16 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_query,
     "op9_best_fit_packing": packing.op9_query,
     "op10_histogram_sharding": sharding.op10_query,
+    "op11_ranked_search": lexical.op11_query,
+    "op12_token_files": tokenfiles.op12_query,
+    "op13_embedding_whitening": whitening.op13_query,
+}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.OP1_SQL,
+    "op6_warc_index_merge": warc.OP6_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
+    "op11_ranked_search": lexical.OP11_SQL,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring.OP1_SQL, "op6_warc_index_merge": warc.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
 
 
 def queries() -> dict:
