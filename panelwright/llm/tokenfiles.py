@@ -17,11 +17,13 @@ of ids before each, so a lost or repeated task leaves nothing behind that is rea
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import fresh, map_texts, read, shared_dir
+from .common import fresh, read, shared_dir, slices, utf8
 
 MARK = b"PWIDS001"
 #: Ids of a block (a multiple of 8); ids and documents after which a task starts another file; ids of a batch read back.
@@ -168,25 +170,36 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Writes (doc_id, ids) rows in the order of partitions and of the rows in them."""
+    """Writes rows of ids, or of texts that a tokenizer encodes, in the order of partitions and of the rows in them."""
 
-    def __init__(self, path: str, bits: int, kind: str, overwrite: bool):
+    def __init__(self, path: str, bits: int, kind: str, overwrite: bool, tokenizer: str | None, end: int):
         self.path, self.bits, self.kind, self.overwrite = path, bits, kind, overwrite
+        self.tokenizer, self.end = tokenizer, end
+
+    def _ids(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Document ids, how many ids each has, and all ids. A null list is empty, a null text the end id alone."""
+        if self.tokenizer is None:
+            for batch in batches:
+                lists = batch.column("ids")
+                lists = lists.fill_null([]) if lists.null_count else lists
+                yield batch.column("doc_id"), lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.uint32)
+            return
+        encode, last = word_encoder(self.tokenizer), struct.pack("<I", self.end)
+        for batch in slices(batches, "text"):
+            blobs = [b + last for b in encode(utf8(batch.column("text")))]
+            yield batch.column("doc_id"), np.array([len(b) // 4 for b in blobs], dtype=np.int64), np.frombuffer(b"".join(blobs), dtype="<u4")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = _folder(self.path)
         fs.create_dir(folder, recursive=True)
         part, run = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         out, now = [], None
-        for batch in iterator:
-            lists = batch.column("ids")
-            lists = lists.fill_null([]) if lists.null_count else lists
-            sizes, ids = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.uint32)
+        for docs, sizes, ids in self._ids(iterator):
             if now is None:
                 name = f"part-{part:06d}-{len(out):04d}-{run}.ids"
-                now = _File(fs, f"{folder}/{name}", self.bits, batch.schema.field("doc_id").type)
+                now = _File(fs, f"{folder}/{name}", self.bits, docs.type)
                 out.append((name, now))
-            now.add(batch.column("doc_id"), sizes, ids)
+            now.add(docs, sizes, ids)
             if now.ids >= FILE_IDS or now.n_docs >= FILE_DOCS:
                 now.close()
                 now = None
@@ -227,8 +240,8 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     """Documents of the files that the manifest names, one partition a file."""
 
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, binary: bool):
+        self.path, self.binary = path, binary
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(f["name"], f["start"]) for f in manifest(self.path)["files"]] or [_Part("", 0)]
@@ -244,7 +257,11 @@ class _Reader(DataSourceReader):
             to = max(at + 1, int(np.searchsorted(own.first, own.first[at] + BATCH_IDS, side="right")) - 1)
             first = own.first[at : to + 1]
             ids = own.ids(int(first[0]), int(first[-1]))
-            lists = pa.ListArray.from_arrays(pa.array((first - first[0]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            offsets = (first - first[0]).astype(np.int32)
+            if self.binary:
+                lists = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.astype("<u4"))])
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([doc_id.slice(at, to - at), pa.array(partition.start + first[:-1]), lists], names=["doc_id", "start", "ids"])
             at = to
 
@@ -257,56 +274,112 @@ def manifest(path: str) -> dict:
 
 
 class PackedIds(DataSource):
-    """Data source ``packed_ids``; options: path, and for writing ``bits`` (default 32). Columns written: doc_id, ids (array<int>)."""
+    """Data source ``packed_ids``. Columns written: doc_id and ids (array<int>), or doc_id and text with the option ``tokenizer`` (a file) that encodes it.
+
+    Options: path; for writing ``bits`` (default 32), ``tokenizer`` and ``end`` (the id behind each text);
+    for reading ``binary`` (ids as little-endian 32-bit numbers, not as an array).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "packed_ids"
 
     def schema(self) -> str:
-        return f"doc_id {manifest(self.options['path'])['doc_id']}, start long, ids array<int>"
+        ids = "binary" if self._binary() else "array<int>"
+        return f"doc_id {manifest(self.options['path'])['doc_id']}, start long, ids {ids}"
+
+    def _binary(self) -> bool:
+        return self.options.get("binary", "false") == "true"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        return _Reader(self.options["path"], self._binary())
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         kind = schema["doc_id"].dataType.simpleString()
-        return _Writer(self.options["path"], int(self.options.get("bits", 32)), kind, overwrite)
+        return _Writer(self.options["path"], int(self.options.get("bits", 32)), kind, overwrite, self.options.get("tokenizer"), int(self.options.get("end", 0)))
+
+
+# Fixed value: how the tokenizer cuts lower-cased words of ASCII and Latin-1 letters, read off its file: its
+# classes of letters, digits and the rest, spelled out for these characters.
+PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Words of these characters alone are cut by ``PIECES``; others, and what may spell a special token, go to the tokenizer whole.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+
+
+class _Memory(dict):
+    """Ids by text, forgotten as a whole when they take more than ``CACHE_BYTES``."""
+
+    size = 0
+
+    def keep(self, key, ids: bytes) -> None:
+        self[key] = ids
+        self.size += len(key) + len(ids) + 150
+
+    def trim(self) -> None:
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer, as little-endian 32-bit numbers, one bytes object a text.
 
     The tokenizer is one whose tokens never reach over white space and which drops white space, so the
-    ids of a text are those of the stretches between ASCII blanks, one after the other. Each
-    distinct stretch is given to the tokenizer once and remembered.
+    ids of a text are those of the stretches between ASCII blanks, one after the other; and those of
+    a stretch of plain characters are those of its pieces. The tokenizer is given each distinct piece,
+    or odd stretch, once; both are remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.held: dict[bytes, bytes] = {}
-        self.size = 0
+        self.words, self.pieces = _Memory(), _Memory()
+
+    def _by_tokenizer(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(texts), 10_000):
+            part = texts[at : at + 10_000]
+            for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                yield text, struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Remember the ids of new words; returns those too long to be kept beyond a batch."""
+        self.pieces.trim()
+        plain, odd = {}, []
+        for w in words:
+            text = w.decode()
+            if b"<|" not in w and _PLAIN.fullmatch(text):
+                plain[w] = PIECES.findall(text.lower())
+            else:
+                odd.append(text)
+        for text, ids in self._by_tokenizer(list(set(chain.from_iterable(plain.values())).difference(self.pieces))):
+            self.pieces.keep(text, ids)
+        for text, ids in self._by_tokenizer(odd):
+            self.words.keep(text.encode(), ids)
+        get = self.pieces.__getitem__
+        for w, pieces in plain.items():
+            self.words.keep(w, b"".join(map(get, pieces)))
+        for piece in [p for p in chain.from_iterable(plain.values()) if len(p) > CACHE_WORD]:
+            self.pieces.pop(piece, None)
+        return [w for w in words if len(w) > CACHE_WORD]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        self.words.trim()
         words = [t.split() for t in texts]
-        if self.size > CACHE_BYTES:
-            self.held, self.size = {}, 0
-        new = list({w for ws in words for w in ws if w not in self.held})
-        ids: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                own = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                if len(w) <= CACHE_WORD:
-                    self.held[w] = own
-                    self.size += len(w) + len(own) + 100
-                else:
-                    ids[w] = own
-        get = self.held.__getitem__ if not ids else lambda w: self.held[w] if len(w) <= CACHE_WORD else ids[w]
-        return [b"".join(map(get, ws)) for ws in words]
+        new = list(set(chain.from_iterable(words)).difference(self.words))
+        long = self._learn(new) if new else []
+        get = self.words.__getitem__
+        out = [b"".join(map(get, ws)) for ws in words]
+        for w in long:
+            del self.words[w]
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The process's encoder: what one task has learned serves the next one."""
+    return WordEncoder(path)
 
 
 def default_tokenizer() -> str:
@@ -316,27 +389,6 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, end: int = 2) -> DataFrame:
-    """doc_id and ids (array<int>) of every row, the end id last; rows keep their order and partition.
-
-    A null or empty text is the end id alone. Texts are encoded whole.
-    """
-    path = tokenizer or default_tokenizer()
-
-    def make():
-        encode, last = WordEncoder(path), struct.pack("<I", end)
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            blobs = [b + last for b in encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])]
-            ends = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int32)
-            ids = pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), ids)], names=["doc_id", "ids"])
-
-        return f
-
-    return map_texts(docs.select("doc_id", "text"), make, StructType([docs.schema["doc_id"], *StructType.fromDDL("ids array<int>").fields]))
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2) -> str:
     """Encode ``docs`` (``doc_id``, ``text``; further columns are left out) and write packed files in the order of ids.
 
@@ -348,36 +400,27 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     spark = docs.sparkSession
     spark.dataSource.register(PackedIds)
-    vocabulary = Tokenizer.from_file(tokenizer or default_tokenizer()).get_vocab_size()
+    tokenizer = tokenizer or default_tokenizer()
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     rows = docs.select("doc_id", "text")
     order = ["doc_id", F.xxhash64("text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    own = encode_documents(placed, tokenizer, end)
-    own.write.format("packed_ids").option("bits", str(width_of(max(vocabulary, end + 1)))).mode("append").save(path)
+    writer = placed.write.format("packed_ids").option("bits", str(width_of(max(vocabulary, end + 1))))
+    writer.option("tokenizer", tokenizer).option("end", str(end)).mode("append").save(path)
     return path
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids of the documents in a folder of packed files."""
-    spark.dataSource.register(PackedIds)
-    return spark.read.format("packed_ids").load(path)
-
-
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit numbers."""
+def read_token_files(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids of the documents in a folder of packed files.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))) * 4
-            data = memoryview(lists.flatten().to_numpy().astype("<u4").tobytes())
-            crc = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends) // 4, type=pa.int64()), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(run, StructType([tokens.schema["doc_id"], *StructType.fromDDL("start long, n_tokens long, ids_crc32 long").fields]))
+    ``ids`` is an array of int, or, if ``binary``, the ids as little-endian unsigned 32-bit numbers.
+    """
+    spark.dataSource.register(PackedIds)
+    return spark.read.format("packed_ids").option("binary", str(binary).lower()).load(path)
 
 
 def op12_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as packed ids and read them back."""
     path = write_token_files(read(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/{fresh('tokens')}")
-    return digests(read_token_files(spark, path))
+    tokens = read_token_files(spark, path, binary=True)
+    return tokens.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
