@@ -39,8 +39,8 @@ from .common import fresh, read, shared_dir, slices, utf8
 MARK = b"PWIDS001"
 #: Ids of a block (a multiple of 8); ids and documents after which a task starts another file; ids of a batch read back.
 BLOCK_IDS, FILE_IDS, FILE_DOCS, BATCH_IDS = 8192, 64 << 20, 1 << 20, 1 << 20
-#: Bytes of words whose ids are remembered, in all; words longer than this are encoded anew each time.
-CACHE_BYTES, CACHE_WORD = 32 << 20, 64
+#: Words, and pieces of words, whose ids are remembered; those of more bytes than this are encoded anew in each batch.
+CACHE_WORDS, CACHE_WORD = 400_000, 64
 
 
 def width_of(vocabulary: int) -> int:
@@ -306,73 +306,62 @@ PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-ö
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 
 
-class _Memory(dict):
-    """Ids by text, forgotten as a whole when they take more than ``CACHE_BYTES``."""
-
-    size = 0
-
-    def keep(self, key, ids: bytes) -> None:
-        self[key] = ids
-        self.size += len(key) + len(ids) + 150
-
-    def trim(self) -> None:
-        if self.size > CACHE_BYTES:
-            self.clear()
-            self.size = 0
-
-
 class WordEncoder:
     """Ids of whole texts by a tokenizer, as little-endian 32-bit numbers, one bytes object a text.
 
     The tokenizer is one whose tokens never reach over white space and which drops white space, so the
     ids of a text are those of the stretches between ASCII blanks, one after the other; and those of
-    a stretch of plain characters are those of its pieces. The tokenizer is given each distinct piece,
-    or odd stretch, once; both are remembered.
+    a stretch of plain characters are those of its pieces, which go to the tokenizer's model as they are. Each
+    distinct piece, or odd stretch, is encoded once; both are remembered, up to ``CACHE_WORDS`` of each.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = _Memory(), _Memory()
-
-    def _by_tokenizer(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(texts), 10_000):
-            part = texts[at : at + 10_000]
-            for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                yield text, struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Remember the ids of new words; returns those too long to be kept beyond a batch."""
-        self.pieces.trim()
-        plain, odd = {}, []
-        for w in words:
-            text = w.decode()
-            if b"<|" not in w and _PLAIN.fullmatch(text):
-                plain[w] = PIECES.findall(text.lower())
-            else:
-                odd.append(text)
-        for text, ids in self._by_tokenizer(list(set(chain.from_iterable(plain.values())).difference(self.pieces))):
-            self.pieces.keep(text, ids)
-        for text, ids in self._by_tokenizer(odd):
-            self.words.keep(text.encode(), ids)
+        self.model = self.tokenizer.model
+        # the model reads bytes as characters; the library itself says which
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.table = {c: spelled(chr(c))[0][0] for c in range(256) if _PLAIN.fullmatch(chr(c))}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text.translate(self.table))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words."""
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
+        cut = [PIECES.findall(texts[i].lower()) for i in plain]
+        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
+        self.pieces.update(zip(new, map(self._piece, new), strict=True))
         get = self.pieces.__getitem__
-        for w, pieces in plain.items():
-            self.words.keep(w, b"".join(map(get, pieces)))
-        for piece in [p for p in chain.from_iterable(plain.values()) if len(p) > CACHE_WORD]:
-            self.pieces.pop(piece, None)
-        return [w for w in words if len(w) > CACHE_WORD]
+        self.words.update((words[i], b"".join(map(get, pieces))) for i, pieces in zip(plain, cut, strict=True))
+        for piece in new:
+            if len(piece) > CACHE_WORD:
+                del self.pieces[piece]
+        odd = sorted(set(range(len(words))).difference(plain))
+        for at in range(0, len(odd), 10_000):
+            part = odd[at : at + 10_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                self.words[words[i]] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        self.words.trim()
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
         words = [t.split() for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.words))
-        long = self._learn(new) if new else []
+        if new:
+            self._learn(new)
         get = self.words.__getitem__
         out = [b"".join(map(get, ws)) for ws in words]
-        for w in long:
-            del self.words[w]
+        for w in new:
+            if len(w) > CACHE_WORD:
+                del self.words[w]
         return out
 
 
