@@ -293,34 +293,6 @@ def q12(spark, d):
 
 # ---------------------------------------------------------------- labels and numbers
 
-LABELS = [
-    "Konghucu", "Khonghuchu", "Islam/Moslem", "Kristen Protestan", "Katholik", "Hindu", "Budha", "Buddhist", "Aliran Kepercayaan", "Lainnya", "Jumlah/Total",
-    "Kota_Médan", "  KAB.  Deli-Serdang ", "Semester II 2021", "2019 dan 2023", "no year 1899", None,
-]
-LABEL_VALUES = ", ".join("(" + ("NULL" if x is None else "'" + x + "'") + ")" for x in LABELS)
-
-
-@query(
-    "q13_labels",
-    f"""
-    WITH t(x) AS (VALUES {LABEL_VALUES}), n AS (SELECT x, trim(regexp_replace(lower(strip_accents(x)), '[\\s_.\\-]+', ' ', 'g')) AS s FROM t)
-    SELECT x, s AS label, CASE WHEN regexp_matches(s, 'k?h?ong\\s*hu\\s*ch?u|confuc') THEN 'konghucu' WHEN regexp_matches(s, 'kepercayaan|penghayat|aliran') THEN 'kepercayaan'
-      WHEN regexp_matches(s, '\\bislam\\b|muslim') THEN 'islam' WHEN regexp_matches(s, 'kristen|protestan') THEN 'kristen' WHEN regexp_matches(s, 'katolik|katholik|catholic') THEN 'katolik'
-      WHEN regexp_matches(s, '\\bhindu\\b') THEN 'hindu' WHEN regexp_matches(s, 'bud+h?a|buddhis') THEN 'buddha' WHEN regexp_matches(s, 'lain|other') THEN 'lainnya' WHEN regexp_matches(s, 'jumlah|total') THEN 'total' END AS religion,
-      list_extract(regexp_extract_all(x, '\\b(19[89]\\d|20[0-4]\\d)\\b'), -1)::BIGINT AS year,
-      (CASE WHEN regexp_matches(s, 'semester\\s*(ii|2)\\b') THEN 2 WHEN regexp_matches(s, 'semester\\s*(i|1)\\b') THEN 1 END)::BIGINT AS semester
-    FROM n
-    """,
-)
-def q13(spark, d):
-    """Labels normalised, religions, years and half-years named."""
-    t = values(spark, [(x,) for x in LABELS], "x string")
-    return t.select(
-        "x", labels.norm_label("x").alias("label"), labels.canonical_religion("x").alias("religion"),
-        labels.year_from_text("x").cast("long").alias("year"), labels.semester_from_text("x").cast("long").alias("semester"),
-    )
-
-
 @query(
     "q13b_part_labels",
     """
@@ -335,26 +307,6 @@ def q13b(spark, d):
     return table(spark, d, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(s).alias("n_labels"))
 
 
-NUMERALS = ["1.234.567", "12,5", "1,234", "1.5", "1.234,56", "-", "–", "", "...", "n.a.", "abc", "1.2.34", "12 345", "1.234", "-5", None, "(1.000)"]
-NUMERAL_VALUES = ", ".join("(" + ("NULL" if x is None else "'" + x + "'") + ")" for x in NUMERALS)
-
-
-@query(
-    "q14_numerals",
-    f"""
-    WITH t(x) AS (VALUES {NUMERAL_VALUES}), n AS (SELECT x, regexp_replace(trim(x), '[^0-9,.\\-]', '', 'g') AS s FROM t)
-    SELECT x, CASE WHEN trim(x) IN ('-', '–', '—') THEN 0 WHEN trim(x) IN ('', 'nan', 'None', 'n.a.', 'na', 'NA', '...') OR s IN ('', '-') THEN NULL
-      WHEN contains(s, ',') AND contains(s, '.') THEN try_cast(replace(replace(s, '.', ''), ',', '.') AS DOUBLE)
-      WHEN contains(s, '.') THEN try_cast(CASE WHEN regexp_matches(s, '^[^.]*(\\.[^.]{{3}})+$') THEN replace(s, '.', '') ELSE s END AS DOUBLE)
-      WHEN contains(s, ',') THEN try_cast(CASE WHEN regexp_matches(s, '^[^,]*(,[^,]{{3}})+$') THEN replace(s, ',', '') ELSE replace(s, ',', '.') END AS DOUBLE)
-      ELSE try_cast(s AS DOUBLE) END AS n FROM n
-    """,
-)
-def q14(spark, d):
-    """Numerals with either separator."""
-    return values(spark, [(x,) for x in NUMERALS], "x string").select("x", numbers.parse_count("x", dash_zero=True).alias("n"))
-
-
 @query(
     "q14b_formatted_prices",
     """SELECT l_returnflag, sum((l_extendedprice * 100)::DECIMAL(18,0)) / 100::DOUBLE AS total FROM lineitem GROUP BY 1""",
@@ -366,18 +318,6 @@ def q14b(spark, d):
     return l.groupBy("l_returnflag").agg((F.sum(cents).cast("double") / 100).alias("total"))
 
 
-NATIONS = ["Tiongkok", "China (Taiwan)", "Hong Kong SAR", "Rep. Rakyat China", "Korea Utara", "Korea Selatan", "Korea", "Jepang/Japan", "Lainnya", "Jumlah", "ITAS", "KITAP", "Kantor Imigrasi Kelas I TPI Medan", "2021", "Tahun 2019", "xyz", None]
-
-
-# role, value, office and country group of each label
-NATION_ROLES = [
-    ("nationality", "CHN", "tiongkok", "china"), ("nationality", "TWN", "china (taiwan)", "other"), ("nationality", "HKG", "hong kong sar", "hong_kong"), ("nationality", "CHN", "rep rakyat china", "china"),
-    ("nationality", "PRK", "korea utara", "other"), ("nationality", "KOR", "korea selatan", "other"), ("nationality", "KOR", "korea", "other"), ("nationality", "JPN", "jepang/japan", "other"),
-    ("nationality", "OTHER", "lainnya", "other"), ("total", "TOTAL", "jumlah", "other"), ("permit", "ITAS", "itas", "other"), ("permit", "ITAP", "kitap", "other"),
-    ("kanim", "kantor imigrasi kelas i tpi medan", "medan", "other"), ("year", "2021", "2021", "other"), ("year", "2019", "tahun 2019", "other"), ("other", None, "xyz", "other"), ("other", None, None, None),
-]
-
-
 def sql_rows(rows: list[tuple], names: str) -> str:
     """Numbered rows as an SQL VALUES list; names begin with turn."""
     def one(x):
@@ -386,30 +326,6 @@ def sql_rows(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(i), *map(one, r)]) + ")" for i, r in enumerate(rows)) + f") v({names})"
 
 
-@query("q13c_header_roles", each_customer_sql(sql_rows([(x, *r) for x, r in zip(NATIONS, NATION_ROLES, strict=True)], "turn, x, role, value, office, country_group"), len(NATIONS)))
-def q13c(spark, d):
-    """Roles of header labels: nation, permit, year, office, total."""
-    t = each_customer(spark, d, [(x,) for x in NATIONS], "x string")
-    role = labels.header_role("x")
-    return t.select("c_custkey", "x", role["role"].alias("role"), role["value"].alias("value"), labels.norm_kanim("x").alias("office"), labels.country_group("x").alias("country_group"))
-
-
-UNITS = ["Kab. Deli Serdang", "KOTA MEDAN", "2. Bulungan *)", "<b>Kota Administrasi</b> Jakarta Pusat", "Labuan Batu", "Pangkep", "SP 2010", "Sumber: BPS", "3308 Kabupaten Magelang", "Batu Kota", "-"]
-
-
-UNIT_NAMES = [
-    ("deli serdang", "deliserdang", "kabupaten", True), ("medan", "medan", "kota", True), ("bulungan", "bulungan", "unknown", True), ("jakarta pusat", "jakartapusat", "kota", True), ("labuan batu", "labuhanbatu", "unknown", True),
-    ("pangkep", "pangkajenedankepulauan", "unknown", True), ("sp 2010", "sp2010", "unknown", False), ("sumber: bps", "sumber:bps", "unknown", False), ("magelang", "magelang", "kabupaten", True), ("batu", "batu", "unknown", True), ("", "", "unknown", False),
-]
-
-
-@query("q13d_unit_names", each_customer_sql(sql_rows([(x, *r) for x, r in zip(UNITS, UNIT_NAMES, strict=True)], "turn, x, name, key, level, is_unit"), len(UNITS)))
-def q13d(spark, d):
-    """Unit names, keys, levels, and whether a label is a unit at all."""
-    t = each_customer(spark, d, [(x,) for x in UNITS], "x string")
-    return t.select("c_custkey", "x", labels.norm_unit_name("x").alias("name"), labels.unit_key("x").alias("key"), labels.unit_level("x").alias("level"), labels.is_unit_name("x").alias("is_unit"))
-
-
 @query(
     "q14c_watermarks_percents",
     """
@@ -432,18 +348,6 @@ def q14c(spark, d):
     )
 
 
-@query(
-    "q15_sign_scores",
-    """SELECT * FROM (VALUES ('a', 4, 'local', 4.0::DOUBLE), ('b', 4, 'mainland', -2.5::DOUBLE), ('c', 2, 'ambiguous', 0.0::DOUBLE), ('d', 0, 'ambiguous', -0.5::DOUBLE)) t(id, n_cjk, sign_type, sign_score)""",
-)
-def q15(spark, d):
-    """Sign texts scored with their script and the Latin texts beside them."""
-    rows = [("a", "觀音佛堂", "traditional", ["Toko Jaya", None]), ("b", "兰州拉面", "simplified", []), ("c", "你好", "unknown", []), ("d", "abc", "unknown", ["Beijing Zhongguo"])]
-    t = values(spark, rows, "id string, text string, script string, beside array<string>")
-    s = signs.score_sign(F.col("text"), F.col("script"), F.col("beside"))
-    return t.select("id", signs.count_cjk(F.col("text")).alias("n_cjk"), s["sign_type"].alias("sign_type"), s["sign_score"].alias("sign_score"))
-
-
 # ---------------------------------------------------------------- geometry
 
 
@@ -462,15 +366,6 @@ def q16(spark, d):
     return t.select("id", geo.utm_epsg("lon", "lat").cast("long").alias("epsg"), F.round(geo.bearing("lon", "lat"), 6).alias("bearing"), F.round(geo.haversine_m(F.lit(0.0), F.lit(0.0), "lat", "lon"), 2).alias("metres"))
 
 
-@query("q16b_polygons", """SELECT * FROM (VALUES ('sq', 16::DOUBLE, 0.3333::DOUBLE), ('tri', 8::DOUBLE, 0.5::DOUBLE), ('line', 0::DOUBLE, 0::DOUBLE)) t(id, area, iou)""")
-def q16b(spark, d):
-    """Areas of polygons in text form and the overlap of their hulls."""
-    rows = [("sq", "0,0;4,0;4,4;0,4", "2,0;6,0;6,4;2,4"), ("tri", "0,0;4,0;0,4", "0,0;4,0;4,2;0,2"), ("line", "0,0;4,0", "8,8;9,9;9,8")]
-    t = values(spark, rows, "id string, a string, b string")
-    a, b = geo.parse_polygon("a"), geo.parse_polygon("b")
-    return t.select("id", geo.polygon_area(a).alias("area"), F.round(geo.hull_iou(a, b), 4).alias("iou"))
-
-
 @query("q16c_points_along")
 def q16c(spark, d):
     """Points every 50 m along lines, starting at a hash of the line, with bearings."""
@@ -704,35 +599,6 @@ def q28(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k"), F.count(k).alias("n"))
 
 
-CUBE = (
-    '{"vervar":[{"val":"1","label":"1101 A"},{"val":"2","label":"1102 B"}],"var":[{"val":"9","label":"pop"}],"turvar":[{"val":"0","label":"L"},{"val":"5","label":"P"}],'
-    '"tahun":[{"val":"120","label":"2020"},{"val":"121","label":"2021"}],"turtahun":[{"val":"0","label":""}],"datacontent":{"1901200":10,"1951200":11,"2901210":7,"2951210":8.5}}'
-)
-
-
-@query("q28b_json_cube", """SELECT * FROM (VALUES ('1101 A', 'L', '2020', 10.0::DOUBLE), ('1101 A', 'P', '2020', 11.0::DOUBLE), ('1102 B', 'L', '2021', 7.0::DOUBLE), ('1102 B', 'P', '2021', 8.5::DOUBLE)) t(vervar, turvar, tahun, "count")""")
-def q28b(spark, d):
-    """Cells of a cube by concatenated ids."""
-    return grids.cube_cells(values(spark, [(CUBE,)], "js string"), "js").select("vervar", "turvar", "tahun", "count")
-
-
-PAGE = (
-    "<table><tr><td><table><tr><th rowspan=2>Kabupaten</th><th colspan=3>Agama</th></tr><tr><th>Islam</th><th>Hindu</th><th>Jumlah</th></tr>"
-    "<tr><td>Kab. A</td><td>1.000</td><td>5</td><td>1.005</td></tr><tr><td>Kota B</td><td>200</td><td>-</td><td>200</td></tr></table></td></tr></table>"
-)
-
-
-@query(
-    "q29_html_grid",
-    """SELECT * FROM (VALUES ('p', 'Kab. A', 'islam', 1000.0::DOUBLE), ('p', 'Kab. A', 'hindu', 5.0::DOUBLE), ('p', 'Kab. A', 'total', 1005.0::DOUBLE), ('p', 'Kota B', 'islam', 200.0::DOUBLE),
-       ('p', 'Kota B', 'hindu', 0.0::DOUBLE), ('p', 'Kota B', 'total', 200.0::DOUBLE)) t(id, label, role, "count")""",
-)
-def q29(spark, d):
-    """Tables with spans and wrappers to long rows."""
-    rows = grids.grid_rows(values(spark, [("p", PAGE)], "id string, html string"), "html")
-    return grids.grid_to_long(rows, ["id"], labels.canonical_religion("cell"), numbers.parse_count("cell", True)).select("id", "label", "role", "count")
-
-
 @query("q29b_strip_tags", "SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g'))::BIGINT AS n_chars FROM pages")
 def q29b(spark, d):
     """Text of pages without tags."""
@@ -797,12 +663,6 @@ def q34(spark, d):
     return t.select("id", F.posexplode(grids.match_boxes(F.col("p"), F.col("q"))).alias("box_no", "b")).select("id", "box_no", "b.text", "b.conf")
 
 
-@query("q35_size_check")
-def q35(spark, d):
-    """How often each kind of error rejects a true null."""
-    return estimate.size_check(spark)
-
-
 @query("q45_specification_grid")
 def q45(spark, d):
     """Every specification of the investment regressions, on customers' orders as counts and suppliers' lines as investment."""
@@ -830,14 +690,6 @@ def q36(spark, d):
     return rollup.image_level(images, boxes, 0.05).select("path", "n_boxes", "n_cjk_boxes", "cjk_area_px", "text_area_px")
 
 
-@query("q37_sign_chain", """SELECT * FROM (VALUES ('i1', 1, 0, 0), ('i2', 0, 1, 0), ('i3', 0, 0, 0)) t(path, n_local_boxes, n_mainland_boxes, n_ambiguous_boxes)""")
-def q37(spark, d):
-    """Boxes to characters, scripts and areas, sign types by the texts beside them, counts an image."""
-    rows = [("i1", "觀音堂", 0.9, "0,0;4,0;4,2;0,2", "traditional"), ("i1", "Toko Jaya", 0.8, "0,0;1,0;1,1", None), ("i2", "兰州拉面", 0.7, "0,0;2,0;2,2;0,2", "simplified"), ("i2", None, None, None, None)]
-    boxes = detect.classify_boxes(detect.describe_boxes(values(spark, rows, "path string, text string, conf double, bbox string, script_hint string")))
-    return detect.type_counts(values(spark, [("i1",), ("i2",), ("i3",)], "path string"), boxes)
-
-
 @query("q38_image_plan", "SELECT count(*) AS n, count(DISTINCT place) AS places FROM (SELECT DISTINCT c_custkey AS place FROM customer WHERE c_custkey % 10 <> 0), (SELECT unnest([90, 270]) AS o) WHERE NOT (place % 7 = 0 AND o = 90)")
 def q38(spark, d):
     """Images to fetch: places with heading offsets, less those that are listed."""
@@ -848,30 +700,6 @@ def q38(spark, d):
     return plan.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place_id").alias("places"))
 
 
-FOREIGN = "<table><tr><th>Izin</th><th>Tiongkok</th><th>Jepang</th></tr><tr><td>ITAS</td><td>1.200</td><td>30</td></tr></table><table><tr><th>Negara</th><th>2020</th><th>2021</th></tr><tr><td>China</td><td>5</td><td>6</td></tr></table>"
-
-
-@query("q39_foreign_tables", """SELECT * FROM (VALUES ('CHN', 'ITAS', 1200.0::DOUBLE), ('JPN', 'ITAS', 30.0::DOUBLE), ('CHN', '2020', 5.0::DOUBLE), ('CHN', '2021', 6.0::DOUBLE)) t(nationality, other_label, "count")""")
-def q39(spark, d):
-    """Nations across or down a table."""
-    return ingest.foreign_tables(values(spark, [("r", FOREIGN)], "ref string, html string")).select("nationality", "other_label", "count")
-
-
-@query("q40_open_data", """SELECT * FROM (VALUES ('Aceh', 'CHN', 1500.0::DOUBLE, 2020::BIGINT), ('Bali', 'JPN', 20.0::DOUBLE, 2021::BIGINT), ('Aceh', 'PHL', 7.0::DOUBLE, 2022::BIGINT), ('Aceh', 'CHN', 3.0::DOUBLE, 2022::BIGINT)) t(region_name, nationality, "count", year)""")
-def q40(spark, d):
-    """Open-data tables, long or wide, by the roles of their headers."""
-    long = values(spark, [("Aceh", "Tiongkok", "2020", "1.500"), ("Bali", "Jepang", "2021", "20")], "Provinsi string, `Negara Asal` string, Tahun string, `Jumlah TKA` string")
-    wide = values(spark, [("Aceh", "3", "7", "2022")], "`Kabupaten/Kota` string, Tiongkok string, Filipina string, Tahun string")
-    both = ingest.open_data_to_long(long, "ckan").unionByName(ingest.open_data_to_long(wide, "ckan"))
-    return both.select("region_name", "nationality", "count", F.col("year").cast("long").alias("year"))
-
-
-@query("q41_population_cube", """SELECT * FROM (VALUES ('1101', 2020::BIGINT, 21.0::DOUBLE), ('1102', 2021::BIGINT, 15.5::DOUBLE)) t(unit_code, year, population)""")
-def q41(spark, d):
-    """Population out of a cube that prints the sexes apart."""
-    return ingest.population_of(values(spark, [(CUBE,)], "js string"), "js").select("unit_code", F.col("year").cast("long").alias("year"), "population")
-
-
 @query(
     "q42_domain_total",
     """
@@ -892,18 +720,6 @@ def q42(spark, d):
     return ingest.domain_total(rows, "domain", "unit")
 
 
-@query(
-    "q43_religion_tables",
-    """
-    SELECT n_name AS ref, 0 AS table_idx, v.* FROM nation, (VALUES (2, 'Kab. A', 'a', 'kabupaten', 'islam', 1000::DOUBLE), (2, 'Kab. A', 'a', 'kabupaten', 'hindu', 5), (2, 'Kab. A', 'a', 'kabupaten', 'total', 1005), (3, 'Kota B', 'b', 'kota', 'islam', 200),
-      (3, 'Kota B', 'b', 'kota', 'hindu', 0), (3, 'Kota B', 'b', 'kota', 'total', 200)) v(row_idx, unit_name, unit_key, level, religion, "count")
-    """,
-)
-def q43(spark, d):
-    """Religion tables of pages, one a nation, to long rows with unit keys and levels."""
-    return ingest.religion_tables(table(spark, d, "nation").select(F.col("n_name").alias("ref"), F.lit(PAGE).alias("html")))
-
-
 PANEL_ROWS_SQL = """
     l AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'pdf_da_pct' WHEN l_returnflag = 'N' THEN 'bps' ELSE 'pdf_da' END AS source, format('11{:02d}', l_suppkey % 50) AS unit_code, year(l_shipdate) AS year,
       ['islam', 'kristen', 'katolik', 'hindu', 'buddha', 'konghucu', 'total'][l_partkey % 7 + 1] AS religion, sum(l_quantity) AS count, l_returnflag || ':1100:' || (l_orderkey % 3) AS ref FROM lineitem WHERE NOT (l_returnflag = 'N' AND l_partkey % 7 = 5) GROUP BY ALL),
@@ -1142,3 +958,6 @@ def q55(spark, d):
     rows = F.when(k % 2 == 0, F.concat(rows, F.array(row("Jumlah/Total", a + b, cents + 3)))).otherwise(rows)
     cells = table(spark, d, "part").select(k.cast("string").alias("book"), F.lit(0).alias("table_no"), F.posexplode(rows).alias("row_no", "cells"), F.lit("Penduduk menurut agama").alias("text"))
     return yearbook.book_totals(cells)
+
+
+from . import catalog_labels, catalog_tables  # noqa: E402, F401  they register their own queries

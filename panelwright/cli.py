@@ -89,11 +89,6 @@ def estimate_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, Da
     return {"grid": spark.createDataFrame([tuple(r.values()) for r in grid], "spec string, n long, coef_d_inv double, se double, p double")} | changes
 
 
-def size_check_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
-    """How often each kind of error rejects a true null."""
-    return {"size_check": estimate.size_check(spark, int(a.reps or 400), int(a.n or 51), int(a.provinces or 6))}
-
-
 def pages_of(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Files as ref and one column of their whole text."""
     return spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("ref"), F.col("value").alias(column))
@@ -124,17 +119,17 @@ def foreign_panel_command(spark: SparkSession, a: argparse.Namespace) -> dict[st
 
 def population_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     """Official population out of JSON cubes, one series a unit and year."""
-    long = ingest.population_of(pages_of(spark, a.cubes, "js"), "js").withColumn("ref", F.lit(a.cubes))
-    return {"population": harmonise.reconcile_series(long, "unit_code", "year", "ref", "population")}
+    long = ingest.population_of(pages_of(spark, a.cubes, "js"), "js")
+    return {"population": harmonise.reconcile_series(long.where("unit_code is not null"), "unit_code", "year", "ref", "population"), "long": long}
 
 
 def sample_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     """Points along roads inside units."""
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    units = read_polygons(spark, a.units, a.field).select("unit_id", F.transform(F.col("rings")[0], point).alias("ring"))
+    units = read_polygons(spark, a.units, a.field).select("unit_id", F.transform("rings", lambda r: F.transform(r, point)).alias("rings"))
     roads = read_lines(spark, a.roads, a.highways.split(",") if a.highways else None)
     roads = roads.select(F.xxhash64(F.to_json("line")).alias("road"), F.transform("line", point).alias("line"))
-    return {"points": road_points(units, roads, "unit_id", "ring", "road", "line", float(a.spacing or 50), int(a.most or 300))}
+    return {"points": road_points(units, roads, "unit_id", "rings", "road", "line", float(a.spacing or 50), int(a.most or 300))}
 
 
 def plan_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
@@ -159,7 +154,6 @@ COMMANDS = {
     "describe": (describe_command, ["table", "column"], []),
     "investment": (investment_command, ["raw", "codes"], ["amount"]),
     "estimate": (estimate_command, ["panel", "investment"], ["chinese", "column"]),
-    "size-check": (size_check_command, [], ["reps", "n", "provinces"]),
     "religion-tables": (religion_command, ["html"], []),
     "foreign-tables": (foreign_command, ["html"], []),
     "open-data": (open_data_command, ["table"], ["source"]),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -125,21 +126,35 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _latin_table() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, from the Unicode decompositions."""
-    pairs = []
-    for point in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(point))
-        plain = "".join(c for c in base if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(point):
-            pairs.append((chr(point), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: Blocks of characters that stand for others: Latin letters with marks, ligatures, full-width and half-width forms,
+#: super- and subscripts, number forms, enclosed and squared letters, compatibility forms.
+_BLOCKS = [(0xA0, 0x250), (0x1D2C, 0x1DC0), (0x1E00, 0x1F00), (0x2000, 0x2100), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0x3200, 0x3400), (0xFB00, 0xFB07), (0xFE30, 0xFE70), (0xFF00, 0xFFF0)]
+
+
+@lru_cache(maxsize=1)
+def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose full decomposition, less combining marks, is one other character, and those where it is several or none."""
+    one, several = {}, {}
+    for point in (p for low, high in _BLOCKS for p in range(low, high)):
+        c = chr(point)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and unicodedata.category(c) != "Cn":
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
 
 
 def strip_accents(text: str | Column) -> Column:
-    """Latin letters without their marks; combining marks that stand alone are dropped."""
-    letters, plain = _latin_table()
-    return F.regexp_replace(F.translate(_col(text), letters, plain), r"\p{M}", "")
+    """Text in compatibility form without combining marks: letters without their marks, ligatures and wide forms spelled out.
+
+    Characters that one other stands for are translated; texts beyond ASCII are also rewritten character by
+    character, for those that stand for several.
+    """
+    one, several = _plain_forms()
+    s, entry, pair = _col(text), "\x01", "\x02"
+    names = F.str_to_map(F.lit(entry.join(f"{c}{pair}{plain}" for c, plain in several.items())), F.lit(entry), F.lit(pair))
+    spelled = F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    plain = F.translate(F.when(s.rlike(r"[^\x00-\x7f]"), spelled).otherwise(s), "".join(one), "".join(one.values()))
+    return F.regexp_replace(plain, r"\p{M}", "")
 
 
 def norm_label(text: str | Column) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import html as _html
-import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 #: The spans that HTML allows at most; a page can't ask for more.
@@ -22,21 +22,26 @@ class _Grids(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
         self.done: list[list[list[str]]] = []
+        #: of each finished table, how many of its first rows are header rows
+        self.heads: list[int] = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             if self.stack:
                 self.stack[-1]["nested"] = True
-            self.stack.append({"rows": [], "cell": None, "nested": False, "wait": {}})
+            self.stack.append({"rows": [], "kinds": [], "cell": None, "nested": False, "thead": False})
         elif self.stack:
             own = self.stack[-1]
             if tag == "tr":
                 self._close_cell()
-                own["rows"].append([])
+                self._row(own)
+            elif tag in ("thead", "tbody", "tfoot"):
+                own["thead"] = tag == "thead"
             elif tag in ("td", "th"):
                 self._close_cell()
                 if not own["rows"]:
-                    own["rows"].append([])
+                    self._row(own)
+                own["kinds"][-1].append(tag)
                 span = {k: min(max(1, int(v)), MOST_SPAN[k]) if (v or "").isdecimal() and len(v) < 10 else 1 for k, v in attrs if k in MOST_SPAN}
                 own["cell"] = ([], span.get("rowspan", 1), span.get("colspan", 1))
             elif tag == "br" and own["cell"]:
@@ -51,11 +56,20 @@ class _Grids(HTMLParser):
             return
         if tag in ("td", "th", "tr"):
             self._close_cell()
+        elif tag == "thead":
+            self.stack[-1]["thead"] = False
         elif tag == "table":
             self._close_cell()
             own = self.stack.pop()
             if not own["nested"] and own["rows"]:
                 self.done.append(_rectangle(own["rows"]))
+                head = [kinds[0] == "thead" or len(kinds) > 1 and "td" not in kinds for kinds in own["kinds"]]
+                self.heads.append((head + [False]).index(False))
+
+    @staticmethod
+    def _row(own):
+        own["rows"].append([])
+        own["kinds"].append(["thead" if own["thead"] else "tbody"])
 
     def _close_cell(self):
         own = self.stack[-1]
@@ -83,14 +97,75 @@ def _rectangle(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
 
 def html_grids(page: str | None) -> list[list[list[str]]]:
     """Grids of a page, whose markup may be escaped as a whole."""
-    if not page:
-        return []
-    if "<table" not in page.lower() and "&lt;table" in page.lower():
-        page = _html.unescape(page)
+    return _parsed(page).done
+
+
+def _parsed(page: str | None) -> _Grids:
     parser = _Grids()
-    parser.feed(page)
+    if page and "<table" not in page.lower() and "&lt;table" in page.lower():
+        page = _html.unescape(page)
+    parser.feed(page or "")
     parser.close()
-    return parser.done
+    return parser
+
+
+def column_names(head: list[list[str]], width: int) -> list[str]:
+    """Names of columns under stacked header rows: the distinct texts down a column joined by `` | ``, ``col`` and its place where all are blank.
+
+    A name that comes again is numbered from its second on.
+    """
+    seen: dict[str, int] = {}
+    out = []
+    for x in range(width):
+        name = " | ".join(dict.fromkeys(row[x] for row in head if row[x])) or f"col{x}"
+        out.append(f"{name}.{seen[name]}" if name in seen else name)
+        seen[name] = seen.get(name, 0) + 1
+    return out
+
+
+def named_tables(page: str | None) -> list[tuple[int, list[str], list[list[str]]]]:
+    """Tables of a page as (number, column names, body rows). Rows of a ``thead`` or of ``th`` alone on top are the header, else the first row."""
+    parsed = _parsed(page)
+    out = []
+    for i, (grid, head) in enumerate(zip(parsed.done, parsed.heads, strict=True)):
+        head = head or 1
+        out.append((i, column_names(grid[:head], len(grid[0])), grid[head:]))
+    return out
+
+
+@F.udtf
+class HtmlTables:
+    """Table function over a page: ``html_tables(html)`` gives a row a table (table_idx, names, rows).
+
+    With a second, constant argument, names of columns joined by ``;``, it gives a row for each body row: table_idx,
+    row_idx and these columns as text, null where the table has none so called; tables that have none of them go.
+    """
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, wanted: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if wanted is None:
+            texts = ArrayType(StringType())
+            return AnalyzeResult(StructType([StructField("table_idx", IntegerType()), StructField("names", texts), StructField("rows", ArrayType(texts))]))
+        if not wanted.isConstantExpression or not wanted.value:
+            raise ValueError("the names of the wanted columns must be a constant text")
+        fields = [StructField(name, StringType()) for name in wanted.value.split(";")]
+        return AnalyzeResult(StructType([StructField("table_idx", IntegerType()), StructField("row_idx", IntegerType()), *fields]))
+
+    def eval(self, html, wanted=None):
+        for i, names, rows in named_tables(html):
+            if wanted is None:
+                yield i, names, rows
+                continue
+            at = [names.index(name) if name in names else None for name in wanted.split(";")]
+            if any(x is not None for x in at):
+                for k, row in enumerate(rows):
+                    yield i, k, *[None if x is None else row[x] for x in at]
+
+
+def html_tables(pages: DataFrame, html: str, wanted: list[str] | None = None) -> DataFrame:
+    """``pages`` joined laterally to their tables: the other columns, then what ``HtmlTables`` gives."""
+    own = HtmlTables(F.col(html).outer(), F.lit(";".join(wanted))) if wanted else HtmlTables(F.col(html).outer())
+    return pages.lateralJoin(own).drop(html)
 
 
 @F.udf(ArrayType(ArrayType(ArrayType(StringType()))), useArrow=True)
@@ -131,15 +206,25 @@ def grid_to_long(rows: DataFrame, keys: list[str], role: Column, value: Column)
 CUBE = "struct<vervar:array<struct<val:string,label:string>>,var:array<struct<val:string,label:string>>,turvar:array<struct<val:string,label:string>>,tahun:array<struct<val:string,label:string>>,turtahun:array<struct<val:string,label:string>>,datacontent:map<string,double>>"
 
 
-def cube_cells(cubes: DataFrame, column: str) -> DataFrame:
-    """Cells of JSON cubes: the product of the axes, where the concatenated ids name a cell."""
+def axis_or(axis: str, val: str) -> Column:
+    """An axis of a cube; where it is absent or empty, the one entry without a label that the cells' ids then hold."""
+    return F.when(F.size(axis) > 0, F.col(axis)).otherwise(F.array(F.struct(F.lit(val).alias("val"), F.lit("").alias("label"))))
+
+
+def cube_cells(cubes: DataFrame, column: str, ids: list[str] | None = None) -> DataFrame:
+    """Cells of JSON cubes: the product of the axes, where the concatenated ids name a cell.
+
+    Gives the other columns, the label of each axis, and the id (``<axis>_id``) of those in ``ids``.
+    """
     rest = [c for c in cubes.columns if c != column]
     out = cubes.select(*rest, F.from_json(column, CUBE).alias("_c"))
-    for axis in ("vervar", "var", "turvar", "tahun", "turtahun"):
-        out = out.withColumn(axis, F.explode(f"_c.{axis}"))
+    for axis, val in (("vervar", None), ("var", ""), ("turvar", "0"), ("tahun", None), ("turtahun", "0")):
+        entries = F.col(f"_c.{axis}") if val is None else axis_or(f"_c.{axis}", val)
+        out = out.withColumn(axis, F.explode(entries))
     key = F.concat(*[F.col(f"{a}.val") for a in ("vervar", "var", "turvar", "tahun", "turtahun")])
     out = out.withColumn("count", F.try_element_at("_c.datacontent", key)).where("count is not null")
-    return out.select(*rest, *[F.col(f"{a}.label").alias(a) for a in ("vervar", "var", "turvar", "tahun", "turtahun")], "count")
+    labels = [F.col(f"{a}.label").alias(a) for a in ("vervar", "var", "turvar", "tahun", "turtahun")]
+    return out.select(*rest, *labels, *[F.col(f"{a}.val").alias(f"{a}_id") for a in ids or []], "count")
 
 
 def merge_cubes(cubes: DataFrame, keys: list[str], axis: str, cells: str, order: str) -> DataFrame:
@@ -182,15 +267,6 @@ def match_boxes(first: Column, second: Column, least: float = 0.5) -> Column:
     return F.aggregate(first, start, step, lambda s: F.concat(s["out"], s["free"]))
 
 
-def continue_table(left: DataFrame, right: DataFrame, key: str, columns: list[str], share: float = 0.6, least: int = 3) -> DataFrame:
-    """Columns of a table's second page joined by label; refused (all null) if too few labels match."""
-    n = left.count()
-    matched = left.join(right.select(key).distinct(), key, "left_semi").count()
-    if matched < max(least, share * n):
-        return left.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in columns})
-    return left.join(right.select(key, *columns).dropDuplicates([key]), key, "left")
-
-
 def page_score(text: Column) -> Column:
     """How likely a page holds the table: category words, titles, less contents pages and exclusions."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -202,35 +278,3 @@ def page_score(text: Column) -> Column:
         - F.when(head.rlike(r"tempat (ibadah|peribadatan)|places of worship|nikah|marriage"), 4).otherwise(0)
         - F.when(low.rlike(r"daftar (isi|tabel)|table of contents|\.{8,}"), 10).otherwise(0)
     )
-
-
-def words_to_rows(words: list[dict], headers: dict[str, float], tolerance: float = 3.0) -> list[dict[str, str]]:
-    """Rows of a page from placed words: lines by height, columns by the nearest header centre."""
-    lines: list[list[dict]] = []
-    for w in sorted(words, key=lambda w: (w["top"], w["x0"])):
-        if lines and abs(lines[-1][0]["top"] - w["top"]) <= tolerance:
-            lines[-1].append(w)
-        else:
-            lines.append([w])
-    out = []
-    for line in lines:
-        row: dict[str, list[str]] = {}
-        for w in sorted(line, key=lambda w: w["x0"]):
-            near = min(headers, key=lambda h: abs(headers[h] - (w["x0"] + w["x1"]) / 2))
-            row.setdefault(near, []).append(w["text"])
-        out.append({k: " ".join(v) for k, v in row.items()})
-    return out
-
-
-def total_row(labels: list[str], values: list[float | None], tol: float = 0.01) -> int | None:
-    """Index of a table's total: by label, else the largest value that equals the sum of the rest."""
-    for i, label in enumerate(labels):
-        if re.search(r"^(jumlah|total)|jumlah$|total$", label.strip().lower()):
-            return i
-    known = [(v, i) for i, v in enumerate(values) if v is not None]
-    if len(known) >= 3:
-        top, at = max(known)
-        rest = sum(v for v, _ in known) - top
-        if rest > 0 and abs(top - rest) <= tol * top:
-            return at
-    return None

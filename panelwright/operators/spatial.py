@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.geo import bearing, utm_epsg, utm_forward, utm_inverse
-from .relational import first_n, small
+from .relational import bounded, first_n, small
 
 
 def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
@@ -50,43 +51,66 @@ def sample_lines(lines: DataFrame, key: str, line: str, spacing: float, seed: in
     return out.select(key, "point_no", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"), F.round(bearing(dx, dy), 1).alias("bearing"))
 
 
-def _tiles(polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
-    """Grid cells (_gx, _gy) under each ring's bounding box."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+def _rings(polygons: DataFrame, ring: str) -> Column:
+    """The rings of a polygon column: an array of rings, or one ring alone. Points are struct(x, y)."""
+    one = not isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
+    return F.array(F.col(ring)) if one else F.col(ring)
+
+
+def edges_of(rings: Column) -> Column:
+    """All edges of all rings as struct(a, b); a ring closes by itself."""
+    return F.flatten(F.transform(rings, lambda r: F.transform(r, lambda a, i: F.struct(a.alias("a"), F.get(r, (i + 1) % F.size(r)).alias("b")))))
+
+
+def edge_rows(polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
+    """Edges by grid row: unit, _gy, _edges, _low and _high, the grid columns that the unit spans.
+
+    A row of the grid has the edges that enter it; they alone tell, by the even-odd rule over all rings, which
+    points of the row lie inside: holes and separate parts, also those that come as further rows of their unit,
+    need nothing of their own. Parts of one unit don't overlap.
+    """
     grid = lambda v: F.floor(v / cell).cast("long")
-    tiles = polygons.select(unit, ring, F.explode(F.sequence(grid(F.array_min(xs)), grid(F.array_max(xs)))).alias("_gx"), ys.alias("_ys"))
-    return tiles.select(unit, ring, "_gx", F.explode(F.sequence(grid(F.array_min("_ys")), grid(F.array_max("_ys")))).alias("_gy"))
+    edges = polygons.select(unit, F.explode(edges_of(_rings(polygons, ring))).alias("_e"))
+    spans = edges.groupBy(unit).agg(grid(F.min("_e.a.x")).alias("_low"), grid(F.max("_e.a.x")).alias("_high"))
+    rows = F.sequence(grid(F.least("_e.a.y", "_e.b.y")), grid(F.greatest("_e.a.y", "_e.b.y")))
+    return edges.withColumn("_gy", F.explode(rows)).groupBy(unit, "_gy").agg(F.collect_list("_e").alias("_edges")).join(spans, unit)
+
+
+def _tiles(rows: DataFrame, unit: str) -> DataFrame:
+    """Grid cells (_gx, _gy) that the units of ``edge_rows`` span, row by row."""
+    return rows.select(unit, "_gy", F.explode(F.sequence("_low", "_high")).alias("_gx"))
 
 
 def clip_lines(lines: DataFrame, key: str, line: str, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
-    """The parts of lines that lie in each polygon: unit, key, part (from 0), line.
+    """The parts of lines that lie in each polygon (a ring, or rings with holes): unit, key, part (from 0), line.
 
-    A segment meets the rings whose grid cells it shares; it is cut where it crosses a ring's
-    edges, and the cuts whose middle lies inside stay. Cuts that join end to end are one part.
+    A segment meets the units whose grid cells it shares; it is cut where it crosses an edge, and the cuts whose
+    middle lies inside stay. Cuts that join end to end are one part.
     """
     grid = lambda v: F.floor(v / cell).cast("long")
     segs = segments(lines, key, line).select(key, "seg", "a", "b")
     span = lambda c: F.sequence(grid(F.least(f"a.{c}", f"b.{c}")), grid(F.greatest(f"a.{c}", f"b.{c}")))
     cells = segs.withColumn("_gx", F.explode(span("x"))).withColumn("_gy", F.explode(span("y")))
-    met = cells.join(small(_tiles(polygons, unit, ring, cell)), ["_gx", "_gy"]).drop("_gx", "_gy", ring).distinct()
-    met = met.join(small(polygons.select(unit, ring)), unit)
+    met = cells.join(bounded(_tiles(edge_rows(polygons, unit, ring, cell), unit)), ["_gx", "_gy"]).drop("_gx", "_gy").distinct()
+    whole = polygons.groupBy(unit).agg(F.flatten(F.collect_list(edges_of(_rings(polygons, ring)))).alias("_edges"))
+    met = met.join(bounded(whole), unit)
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
 
-    def crossing(p, i):
-        q = F.get(F.col(ring), (i + 1) % F.size(ring))
+    def crossing(e):
+        p, q = e["a"], e["b"]
         ex, ey = q["x"] - p["x"], q["y"] - p["y"]
         wide = dx * ey - dy * ex
         t = F.try_divide((p["x"] - F.col("a.x")) * ey - (p["y"] - F.col("a.y")) * ex, wide)
         u = F.try_divide((p["x"] - F.col("a.x")) * dy - (p["y"] - F.col("a.y")) * dx, wide)
         return F.when((t > 0) & (t < 1) & u.between(0, 1), t)
 
-    ends = F.array_union(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(ring, crossing), lambda t: t.isNotNull()))
+    ends = F.array_union(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform("_edges", crossing), lambda t: t.isNotNull()))
     cut = met.withColumn("_t", F.array_sort(ends))
     pairs = F.transform(F.slice("_t", F.lit(1), F.size("_t") - 1), lambda t, i: F.struct(t.alias("t0"), F.get(F.col("_t"), i + 1).alias("t1")))
-    pieces = cut.select(unit, key, "seg", "a", "b", ring, F.explode(pairs).alias("s"))
+    pieces = cut.select(unit, key, "seg", "a", "b", "_edges", F.explode(pairs).alias("s"))
     at = lambda t: F.struct((F.col("a.x") + t * dx).alias("x"), (F.col("a.y") + t * dy).alias("y"))
     middle = at((F.col("s.t0") + F.col("s.t1")) / 2)
-    own = pieces.withColumns({"x": middle["x"], "y": middle["y"]}).where(inside(ring))
+    own = pieces.withColumns({"x": middle["x"], "y": middle["y"]}).where(inside("_edges"))
     own = own.select(unit, key, "seg", F.col("s.t0").alias("_t0"), at(F.col("s.t0")).alias("_p"), at(F.col("s.t1")).alias("_q"))
     order = Window.partitionBy(unit, key).orderBy("seg", "_t0")
     joined = F.coalesce(F.hypot(F.lag("_q.x").over(order) - F.col("_p.x"), F.lag("_q.y").over(order) - F.col("_p.y")) < 1e-12, F.lit(False))
@@ -99,9 +123,10 @@ def clip_lines(lines: DataFrame, key: str, line: str, polygons: DataFrame, unit:
 def road_points(polygons: DataFrame, roads: DataFrame, unit: str, ring: str, key: str, line: str, spacing: float = 50.0, cap: int = 300, cell: float = 0.05, seed: int = 0) -> DataFrame:
     """Points every ``spacing`` metres along the roads of each unit, at most ``cap`` by hash: unit, point_id, lat, lon, bearing.
 
-    Rings and roads are in degrees; every unit is measured in the UTM zone of its ring's middle.
+    Rings and roads are in degrees; every unit is measured in the UTM zone of the middle of its first ring.
     """
-    mean = lambda c: F.aggregate(F.transform(ring, lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(ring)
+    first = F.get(_rings(polygons, ring), F.lit(0))
+    mean = lambda c: F.aggregate(F.transform(first, lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size(first)
     zone = polygons.select(unit, utm_epsg(mean("x"), mean("y")).alias("_epsg"))
     parts = clip_lines(roads, key, line, polygons, unit, ring, cell).join(small(zone), unit)
     name = F.concat_ws("|", unit, key, "part")
@@ -114,16 +139,20 @@ def road_points(polygons: DataFrame, roads: DataFrame, unit: str, ring: str, key
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
-    """Points (x, y, ...) with the unit whose ring holds them; an equi-join on grid cells, then the exact test."""
+    """Points (x, y, ...) with the unit that holds them: ``ring`` is a ring, or rings with holes and separate parts.
+
+    An equi-join on grid cells finds the units near a point, one on the grid row the edges that tell. Both
+    are broadcast only after a count.
+    """
     grid = lambda v: F.floor(v / cell).cast("long")
-    near = points.withColumns({"_gx": grid(F.col("x")), "_gy": grid(F.col("y"))}).join(small(_tiles(polygons, unit, ring, cell)), ["_gx", "_gy"])
-    return near.where(inside(ring)).drop("_gx", "_gy", ring)
+    rows = edge_rows(polygons, unit, ring, cell)
+    near = points.withColumns({"_gx": grid(F.col("x")), "_gy": grid(F.col("y"))}).join(bounded(_tiles(rows, unit)), ["_gx", "_gy"])
+    met = near.join(bounded(rows.select(unit, "_gy", "_edges")), [unit, "_gy"])
+    return met.where(inside("_edges")).select(*points.columns, unit)
 
 
-def inside(ring: str):
-    """Even-odd rule: does column x, y lie in the ring?"""
-    p = F.col(ring)
-    edges = F.transform(p, lambda a, i: F.struct(a.alias("a"), F.get(p, (i + 1) % F.size(p)).alias("b")))
+def inside(edges: str) -> Column:
+    """Even-odd rule: does column x, y lie within the edges?"""
 
     def crosses(e):
         a, b = e["a"], e["b"]

@@ -2,36 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import canonical_nationality, canonical_permit, canonical_religion, header_role, is_unit_name, norm_label, strip_tags, unit_key, unit_level, year_from_text
+from ..functions.labels import PROVINCES, canonical_nationality, canonical_permit, header_role, is_unit_name, norm_kanim, norm_label, norm_unit_name, strip_tags, year_from_text
+from ..functions.nulls import computed, yes
 from ..functions.numbers import parse_count, unit_scale
-from ..operators.grids import cube_cells, grid_rows, grid_to_long, unpivot_counts
-from ..operators.relational import equal_to_rest, first_per_key
+from ..operators.grids import CUBE, axis_or, cube_cells, html_tables, unpivot_counts
+from ..operators.relational import equal_to_rest, first_n, first_per_key
 from ..sources.readers import roles_of
+from .printed import WHOLE, printed_tables
 
 #: What header a column of an open-data file plays its role under.
 ROLES = {"nationality": r"negara|kebangsaan|warga|nationality|country", "region": r"provinsi|kabupaten|kota|wilayah|region|kanim|kantor", "permit": r"izin|ijin|permit|jenis", "year": r"tahun|year", "count": r"jumlah|total|count|orang|nilai"}
 
 
 def religion_tables(pages: DataFrame) -> DataFrame:
-    """Religion counts of HTML tables (``ref``, ``html``): ref, unit_name, unit_key, level, religion, count; notes are left out."""
-    rows = grid_to_long(grid_rows(pages.select("ref", "html"), "html"), ["ref"], canonical_religion("cell"), parse_count("cell", True))
-    rows = rows.where(is_unit_name("label") | norm_label("label").rlike("^(jumlah|total)"))
-    name = strip_tags("label")
-    return rows.select("ref", "table_idx", "row_idx", name.alias("unit_name"), unit_key("label").alias("unit_key"), unit_level("label").alias("level"), F.col("role").alias("religion"), "count")
+    """Religion counts of HTML tables (``ref``, ``html``, and ``province_code`` and ``year`` if known): ref, table_idx, row_idx, unit_name, unit_key, level, religion, year, count."""
+    keep = [c for c in ("ref", "province_code", "year") if c in pages.columns]
+    return printed_tables(pages.select(*keep, "html")).where("count is not null")
 
 
 def foreign_tables(pages: DataFrame) -> DataFrame:
-    """Foreign residents of HTML tables with nations in the header or in the first column: ref, nationality, other label, count."""
-    across = grid_to_long(grid_rows(pages, "html"), ["ref"], canonical_nationality("cell"), parse_count("cell", True))
-    across = across.select("ref", F.col("role").alias("nationality"), F.col("label").alias("other_label"), "count")
-    role = header_role("cell")
-    axis = F.when(role["role"].isin("year", "permit", "kanim"), role["value"])
-    down = grid_to_long(grid_rows(pages, "html"), ["ref"], axis, parse_count("cell", True))
-    down = down.withColumn("nationality", canonical_nationality("label")).where("nationality is not null")
-    return across.unionByName(down.select("ref", "nationality", F.col("role").alias("other_label"), "count"))
+    """Foreign residents of HTML tables, nations across or down: ref, table_idx, nationality, permit_type, year, region_name, region_level, other_label, count.
+
+    Nations lie on the axis that names more of them, the first column on ties; a table needs two. The other axis
+    tells permit, year or immigration office; plain labels beside nations in the header are districts.
+    A total is one of nations on their axis, one of permits on the other. What a table doesn't tell comes from
+    ``year`` and ``province_code`` of the page, if there.
+    """
+    has = lambda c: F.col(c).cast("string") if c in pages.columns else F.lit(None).cast("string")
+    tables = html_tables(pages.select("ref", has("province_code").alias("_province"), has("year").cast("int").alias("_year"), "html"), "html")
+    tables = tables.where((F.size("names") >= 2) & (F.size("rows") > 0))
+    tables = computed(tables, {"_cols": F.transform(F.slice("names", 2, 10_000), header_role), "_rows": F.transform("rows", lambda r: header_role(F.get(r, F.lit(0))))})
+    nations = lambda roles: F.size(F.filter(roles, lambda r: r["role"] == "nationality"))
+    tables = tables.withColumns({"_across": nations("_cols"), "_down": nations("_rows")}).where(F.greatest("_across", "_down") >= 2)
+    cell = lambda r, i: F.transform(F.slice(r, 2, 10_000), lambda c, j: F.struct(i.alias("i"), j.alias("j"), c.alias("cell")))
+    cells = tables.select("ref", "table_idx", "_province", "_year", "_cols", "_rows", "names", (F.col("_down") >= F.col("_across")).alias("_by_row"), F.col("rows").alias("_grid"), F.inline(F.flatten(F.transform("rows", cell))))
+    row, col = F.get("_rows", F.col("i")), F.get("_cols", F.col("j"))
+    label, name = F.get(F.get("_grid", F.col("i")), F.lit(0)), F.get("names", F.col("j") + 1)
+    pick = lambda x, y: F.when(F.col("_by_row"), x).otherwise(y)
+    own, other = pick(row, col), pick(col, row)
+    rows = cells.select("ref", "table_idx", "_province", "_year", "_by_row", own.alias("own"), other.alias("other"), pick(name, label).alias("other_label"), parse_count("cell").alias("count"))
+    rows = rows.withColumn("nationality", F.when(F.col("own.role") == "total", "TOTAL").when(F.col("own.role") == "nationality", F.col("own.value"))).where("nationality is not null and count is not null")
+    role, value = F.col("other.role"), F.col("other.value")
+    district = (role == "other") & ~F.col("_by_row")
+    names = F.create_map(*[F.lit(x) for pair in PROVINCES.items() for x in pair])
+    return rows.select(
+        "ref", "table_idx", "nationality", F.when(role == "permit", value).when(role == "total", "TOTAL").alias("permit_type"),
+        F.when(role == "year", value.try_cast("int")).otherwise(F.col("_year")).alias("year"),
+        F.when(role == "kanim", norm_kanim(value)).when(district, F.trim("other_label")).otherwise(F.coalesce(F.try_element_at(names, F.col("_province")), F.col("_province"))).alias("region_name"),
+        F.when(role == "kanim", "kanim").when(district, "kabupaten").otherwise("province").alias("region_level"), "other_label", "count",
+    )
 
 
 def open_data_to_long(df: DataFrame, source: str) -> DataFrame:
@@ -55,15 +80,86 @@ def dynamic_counts(cubes: DataFrame, column: str, category: Column) -> DataFrame
     return out.withColumns({"unit_code": code, "category": category, "year": F.col("tahun").try_cast("int")}).where("category is not null")
 
 
+#: A category for both sexes together, and each sex, over normalised labels.
+ALL_PERSONS, SEXES = r"^(jumlah|total|laki[ -]?laki\s*(\+|dan)\s*perempuan|l\s*\+\s*p)\b", [r"^laki", r"^perempuan|^wanita"]
+
+
 def population_of(cubes: DataFrame, column: str) -> DataFrame:
-    """Persons by unit and year: the total where a cube has one, else men plus women; thousands and millions scaled."""
-    sex = norm_label("turvar")
-    rows = dynamic_counts(cubes, column, F.when(sex.rlike("jumlah|total|^$|tidak ada"), "total").when(sex.rlike("laki|male|^l$"), "part").when(sex.rlike("perempuan|female|^p$"), "part"))
-    scale = unit_scale(F.lit(""), "var")
-    of = lambda c: F.sum(F.when(F.col("category") == c, F.col("count") * scale))
-    parts = F.count_if(F.col("category") == "part")
-    out = rows.where("unit_code is not null").groupBy("unit_code", "year").agg(of("total").alias("t"), of("part").alias("p"), parts.alias("n"))
-    return out.select("unit_code", "year", F.coalesce("t", F.when(F.col("n") == 2, F.col("p"))).alias("population")).where("population is not null")
+    """Persons by unit and year, cube by cube: ``cubes``' other columns (its reference among them), unit_code, unit_name, year, population.
+
+    A cube with one category is taken as it is, one with several by its total, the first in the cube's order, or, where it
+    has just the two sexes, by their sum, of units that have both; other splits give nothing. Rows of
+    whole provinces, named so or with a code that ends in 00, are left out; the name of another
+    province than the cube's ``province_code`` is one too. Units without a code keep their names. Figures
+    in thousands or millions, as ``unit``, if there, or the variable's label says, are scaled.
+    """
+    keep = [c for c in cubes.columns if c != column]
+    own = computed(cubes, {"_axis": F.from_json(column, CUBE)["turvar"]})
+    own = computed(own, {"_axis": axis_or("_axis", "0")})
+    sexes = F.transform("_axis", lambda v: norm_label(v["label"]))
+    at = lambda p: F.get(F.transform(F.filter(F.transform(sexes, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].rlike(p)), lambda x: x["i"]), F.lit(0))
+    both = (F.size(sexes) == 2) & at(SEXES[0]).isNotNull() & at(SEXES[1]).isNotNull() & (at(SEXES[0]) != at(SEXES[1]))
+    total = F.coalesce(at(ALL_PERSONS), F.lit(0))
+    parts = F.when((F.size("_axis") == 1) | at(ALL_PERSONS).isNotNull(), F.array(F.get("_axis", total)["val"])).when(both, F.transform("_axis", lambda v: v["val"]))
+    own = computed(own.withColumn("_cube", F.monotonically_increasing_id()), {"_parts": parts}).drop("_axis").where("_parts is not null")
+    rows = cube_cells(own, column, ids=["turvar"]).where(F.array_contains("_parts", F.col("turvar_id")))
+    region = F.trim(strip_tags("vervar"))
+    rows = computed(rows, {"unit_name": region, "_code": F.nullif(F.regexp_extract(region, r"^(\d{4})\s+\S", 1), F.lit("")), "_name": F.regexp_replace(norm_label(region), r"^\d+\s*", "")})
+    names = F.create_map(*[F.lit(x) for code, p in PROVINCES.items() for x in (p.lower().replace(" ", ""), code)])
+    named = F.try_element_at(names, F.replace("_name", F.lit(" "), F.lit("")))
+    whole = F.col("_name").rlike("^provinsi") | F.col("_name").isin("jumlah", "total") | F.col("_code").endswith("00") | (named.isNotNull() if "province_code" in keep else F.lit(False))
+    rows = rows.where(is_unit_name("unit_name") & ~F.coalesce(whole, F.lit(False)))
+    unit = F.coalesce(F.col("unit"), F.lit("")) if "unit" in keep else F.lit("")
+    sums = rows.groupBy("_cube", *keep, "_code", "unit_name", "var", year_from_text("tahun").alias("year"), "turtahun", F.size("_parts").alias("_n")).agg(F.sum("count").alias("_sum"), F.count_distinct("turvar_id").alias("_have"))
+    out = sums.where("_have = _n")
+    return out.select(*keep, F.col("_code").alias("unit_code"), "unit_name", "year", (F.col("_sum") * unit_scale(unit, F.col("var"))).alias("population"))
+
+
+def domain_rows(rows: DataFrame, table: list[str], unit: str, title: str | None = None) -> DataFrame:
+    """The tables of a district's own domain: a row a category for the district, and its parts beside it.
+
+    ``rows``: the columns that name a table, year, ``unit``, religion, count, and ``title``, the district's name. A
+    table's total is, in this order: the rows labelled as total; of each year the units within 3 % of the
+    largest, if that equals the sum of the others (three units at least, on the category with the
+    largest sum); the unit that bears the district's name, if it has the largest figures, half as much again as the
+    second largest; else the sum of the parts. Of several rows the largest serves. Gives the table, year, unit,
+    religion, count, level (kabupaten or kecamatan) and ``how``.
+    """
+    keys = [*table, "year"]
+    same = lambda a, b, cols: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+    d = rows.dropDuplicates([*keys, unit, "religion", "count"])
+    d = d.withColumn("_label", yes(norm_label(unit).rlike("^(jumlah|total)") | (F.col(unit) == WHOLE)))
+    # printed sums, year by year
+    units = d.groupBy(*keys, "religion", unit).agg(F.sum("count").alias("_v"))
+    sums = units.groupBy(*keys, "religion").agg(F.sum("_v").alias("_all"))
+    top = first_per_key(sums, keys, F.desc_nulls_last("_all"), F.asc("religion")).drop("_all")
+    w = Window.partitionBy(*keys)
+    own = units.alias("u").join(top.alias("t"), same("u", "t", [*keys, "religion"]), "left_semi").withColumns({"_n": F.count("_v").over(w), "_max": F.max("_v").over(w)})
+    near = yes(F.col("_v") >= 0.97 * F.col("_max"))
+    own = own.withColumn("_near", near).withColumns({"_rest": F.sum(F.when(~F.col("_near"), F.col("_v")).otherwise(0.0)).over(w), "_k": F.count_if("_near").over(w)})
+    equal = own.where("_near and _n >= 3 and _max > 0 and _k < _n").where(F.abs(F.col("_max") - F.col("_rest")) <= 0.01 * F.greatest("_max", "_rest")).select(*keys, unit)
+    # a name that dominates, over all years
+    every = units.groupBy(*table, "religion").agg(F.sum("_v").alias("_all"))
+    largest = first_per_key(every, table, F.desc_nulls_last("_all"), F.asc("religion")).drop("_all")
+    sizes = units.alias("u").join(largest.alias("t"), same("u", "t", [*table, "religion"]), "left_semi").groupBy(*table, unit).agg(F.sum("_v").alias("_v")).where("_v is not null")
+    two = first_n(sizes.withColumnRenamed(unit, "_unit"), table, 2, F.desc("_v"), F.asc("_unit")).groupBy(*table).agg(F.max_by("_unit", F.struct("_v", "_unit")).alias(unit), F.max("_v").alias("_first"), F.min("_v").alias("_second"), F.count(F.lit(1)).alias("_n"))
+    named = two.where("_n = 2 and _first >= 1.5 * _second").select(*table, unit)
+    marked = d.alias("d").join(equal.withColumn("_equal", F.lit(True)).alias("e"), same("d", "e", [*keys, unit]), "left").select("d.*", F.coalesce("_equal", F.lit(False)).alias("_equal"))
+    marked = marked.alias("d").join(named.withColumn("_first", F.lit(True)).alias("e"), same("d", "e", [*table, unit]), "left").select("d.*", F.coalesce("_first", F.lit(False)).alias("_first"))
+    if title:
+        name, own_name = norm_unit_name(title), norm_unit_name(unit)
+        marked = marked.withColumn("_first", yes(F.col("_first") & ((own_name == name) | (F.regexp_replace(own_name, r"\s+(19|20)\d\d$", "") == name))))
+    else:
+        marked = marked.withColumn("_first", F.lit(False))
+    t = Window.partitionBy(*table)
+    kind = F.when(F.max("_label").over(t), F.when(F.col("_label"), "label")).when(F.max("_equal").over(t), F.when(F.col("_equal"), "equals rest")).when(F.col("_first"), "name")
+    marked = marked.withColumn("how", kind).withColumn("_any", F.max(F.col("how").isNotNull()).over(t))
+    name = F.col(title) if title else F.concat_ws(" ", *[F.col(c).cast("string") for c in table])
+    out = [*table, "year", unit, "religion", "count", "level", "how"]
+    totals = first_per_key(marked.where("how is not null"), [*keys, "religion"], F.desc_nulls_last("count"), F.asc(unit)).withColumns({unit: name, "level": F.lit("kabupaten")})
+    parts = marked.where("how is null").withColumn("level", F.lit("kecamatan"))
+    summed = marked.where("not _any and count is not null").withColumn(unit, name).groupBy(*keys, unit, "religion").agg(F.sum("count").alias("count")).withColumns({"level": F.lit("kabupaten"), "how": F.lit("sum")})
+    return totals.select(out).unionByName(parts.select(out)).unionByName(summed.select(out))
 
 
 def domain_total(rows: DataFrame, domain: str, name: str) -> DataFrame:

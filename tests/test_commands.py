@@ -47,8 +47,6 @@ def test_points_and_plans(spark, tmp_path):
     (tmp_path / "places.csv").write_text("place_id,bearing,status\np,10,OK\nq,,ZERO_RESULTS\n")
     assert cli.main(["plan-images", "--places", str(tmp_path / "places.csv"), "--out", str(tmp_path / "p")], spark) == 0
     assert sorted(r.heading for r in spark.read.parquet(str(tmp_path / "p/plan.parquet")).collect()) == [100, 280]
-    assert cli.main(["size-check", "--reps", "20", "--out", str(tmp_path / "z")], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "z/size_check.parquet")).count() == 6
 
 
 def test_yearbook_tables(spark):

@@ -122,24 +122,12 @@ def test_capped_points(spark):
     assert sorted(r.point_id for r in got) == [f"u_{i:05d}" for i in range(5)] + ["v_00000"]
 
 
-def test_continued_tables(spark):
-    left = spark.createDataFrame([(x,) for x in "abcd"], "k string")
-    right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
-    assert {r.k: r.v for r in grids.continue_table(left, right, "k", ["v"]).collect()} == {"a": 1, "b": 2, "c": 3, "d": None}
-    assert {r.v for r in grids.continue_table(left, right.where("v = 1"), "k", ["v"]).collect()} == {None}
-
-
 def test_page_scores(spark):
     pages = ["Jumlah Penduduk Menurut Agama\nIslam Kristen Katolik Hindu Buddha Konghucu", "Daftar Isi\nAgama ....... 5", "Tempat Ibadah\nIslam Hindu"]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "t string").select(grids.page_score(F.col("t"))).collect()]
     assert got[0] > 4 > max(got[1:])
 
 
-def test_words_to_rows():
-    words = [{"text": "A", "x0": 0, "x1": 4, "top": 10}, {"text": "5", "x0": 50, "x1": 54, "top": 11}, {"text": "B", "x0": 0, "x1": 4, "top": 30}, {"text": "1", "x0": 48, "x1": 50, "top": 30}, {"text": "2", "x0": 51, "x1": 53, "top": 30}]
-    assert grids.words_to_rows(words, {"name": 2, "n": 51}) == [{"name": "A", "n": "5"}, {"name": "B", "n": "1 2"}]
-
-
 def test_merged_cubes(spark):
     rows = [("v", 1, ["2019", "2020"], {"a": 1.0, "b": 2.0}), ("v", 2, ["2020", "2021"], {"b": 3.0, "c": 4.0})]
     got = grids.merge_cubes(spark.createDataFrame(rows, "k string, part int, years array<string>, cells map<string,double>"), ["k"], "years", "cells", "part").first()
@@ -159,14 +147,6 @@ def test_tails():
     assert math.isnan(estimate.two_sided(math.nan))
 
 
-def test_size_check(spark):
-    got = {r.kind: r.rejection_rate for r in estimate.size_check(spark, reps=1500).collect()}
-    assert set(got) == {"HC1", "HC3", "classical", "cluster", "province_effects_HC3", "province_effects_HC1"}
-    assert 0.13 < got["cluster"] < 0.27 and all(0.02 < got[k] < 0.12 for k in got if k != "cluster")
-    y, design, province = estimate.null_sample(np.random.default_rng(0), 51, 6)
-    assert design.shape == (51, 4) and len(set(province)) == 6 and np.isfinite(y).all()
-
-
 def line_of(*points):
     return [{"x": float(x), "y": float(y)} for x, y in points]
 

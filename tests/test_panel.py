@@ -152,7 +152,6 @@ def test_grids():
     assert grids.html_grids(page) == [[["a", "b", "b"], ["a", "c", "d"], ["1", "2", ""]]]
     assert grids.html_grids("&lt;table&gt;&lt;tr&gt;&lt;td&gt;x&lt;/td&gt;&lt;/tr&gt;&lt;/table&gt;") == [[["x"]]]
     assert grids.html_grids(None) == [] and grids.html_grids("<table><tr><td><table><tr><td>i</td></tr></table></td></tr></table>") == [[["i"]]]
-    assert grids.total_row(["a", "b", "c"], [1.0, 2.0, 3.0]) == 2 and grids.total_row(["a", "Jumlah"], [1.0, None]) == 1
 
 
 def test_readers(spark, tmp_path):
