@@ -10,7 +10,11 @@ so a pair such as an insult and a group mention weighs more, or less, than its p
 
 The model is fitted on the driver, on a sample of labelled rows that is bounded by
 ``TRAIN_ROWS`` (an expectation: rows are chosen by hash of the id, so the choice is the same
-at every scale) and on the ``MOST_TERMS`` terms that tell the classes apart best by chi-square.
+at every scale) and on two kinds of terms: the ``MOST_TERMS`` that tell the classes apart best by
+chi-square, and those that do so only together with another. For the latter every pair of the
+``PAIR_TERMS`` commonest terms is tested for interaction in what a first fit leaves unexplained: its
+mean over the rows with both, either and neither. The terms of pairs that stand out are added,
+whatever each is worth alone, and the machine is fitted again.
 Terms are counted and chosen in Spark; the driver gets the chosen ones of the sampled rows only.
 All else, scoring above all, covers every row and whole texts. What is broadcast is the model,
 whose size the terms bound.
@@ -30,6 +34,8 @@ from .common import cut, map_texts, read, schema_of, utf8, without
 
 #: Hash space; labelled rows to train on, about; least rows with a term; least chi-square of a term; most terms of a model; factors.
 SPACE, TRAIN_ROWS, LEAST_ROWS, LEAST_CHI, MOST_TERMS, FACTORS = 1 << 20, 10_000, 4, 12.0, 65_536, 4
+#: Commonest terms whose pairs are tested; least rows of each of a pair's four cells; least squared standard score of an interaction; least variance that it is measured against.
+PAIR_TERMS, PAIR_ROWS, LEAST_PAIR, LEAST_SPREAD = 4096, 20, 45.0, 0.02
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -112,6 +118,38 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, seed: int
     return Machine(kept, float(flat[-1]), flat[:k].copy(), flat[k:-1].reshape(k, FACTORS).copy())
 
 
+def interacting(rows: list[np.ndarray], rest: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """The terms of ``pool`` (sorted) that have an interaction with another of them in ``rest``, what a fit has left unexplained.
+
+    Of each pair the contrast of the means of the rows with both, with one, with the other and with neither is measured
+    against its standard error; pairs with fewer than ``PAIR_ROWS`` rows in a cell tell nothing.
+    """
+    n = len(rows)
+    if not len(pool) or not n:
+        return pool[:0]
+    x = np.zeros((n, len(pool)), dtype=np.float32)
+    for i, own in enumerate(rows):
+        at = np.searchsorted(pool, own)
+        at[at == len(pool)] = 0
+        x[i, at[pool[at] == own]] = 1
+    rest = rest.astype(np.float32)
+    spread = max(float((rest**2).mean()), LEAST_SPREAD)
+    weighted = x * rest[:, None]
+    count, sums, found = x.sum(0), weighted.sum(0), np.zeros(len(pool), dtype=bool)
+    for a in range(0, len(pool), 512):
+        own = slice(a, a + 512)
+        both, sum_ = x[:, own].T @ x, weighted[:, own].T @ x
+        cells = [(both, sum_), (count[own, None] - both, sums[own, None] - sum_), (count - both, sums - sum_)]
+        cells.append((n - sum(c for c, _ in cells), rest.sum() - sum(s for _, s in cells)))
+        enough = np.minimum.reduce([c for c, _ in cells]) >= PAIR_ROWS
+        contrast, error = 0.0, 0.0
+        for sign, (c, s) in zip((1, -1, -1, 1), cells, strict=True):
+            c = np.maximum(c, 1)
+            contrast, error = contrast + sign * s / c, error + 1 / c
+        found[own] |= (enough & (contrast**2 >= LEAST_PAIR * spread * error)).any(axis=1)
+    return pool[found]
+
+
 def held_out() -> F.Column:
     """Rows that are never learned from: crc32 of the id as text is divisible by five."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -144,19 +182,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     chi = size * (F.col("hits") - expect) ** 2 / (expect * (1 - share) * F.greatest(size - F.col("n"), F.lit(1)))
     best = counts.where(F.col("n") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI) if 0 < share < 1 else counts.where("false").withColumn("chi", F.lit(0.0))
     kept = np.array(sorted(r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()), dtype=np.int32)
+    common = counts.where(F.col("n").between(PAIR_ROWS, size - PAIR_ROWS)).orderBy(F.desc("n"), "term").limit(PAIR_TERMS)
+    pool = np.array(sorted(r["term"] for r in common.collect()), dtype=np.int32)
+    either = np.union1d(kept, pool)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.intersect1d(x.values.to_numpy(), kept, assume_unique=True) for x in batch.column("terms")]
+            own = [np.intersect1d(x.values.to_numpy(), either, assume_unique=True) for x in batch.column("terms")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, type=pa.list_(pa.int32()))], names=["toxic", "terms"])
 
-    # bounded by ``rows`` and MOST_TERMS; sorted, so the fit does not hang on the order of arrival
+    # bounded by ``rows``, MOST_TERMS and PAIR_TERMS; sorted, so the fit does not hang on the order of arrival
     table = held.mapInArrow(chosen, "toxic int, terms array<int>").toArrow()
     y, lists = table.column("toxic").to_numpy(), table.column("terms").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     found = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     order = sorted(range(len(found)), key=lambda i: (len(found[i]), zlib.crc32(found[i]), int(y[i])))
-    return fit([found[i] for i in order], y[order] if len(order) else y)
+    found, y = [found[i] for i in order], y[order] if len(order) else y
+    own = [np.intersect1d(x, kept, assume_unique=True) for x in found]
+    machine = fit(own, y)
+    pairs = np.setdiff1d(interacting(found, y - machine.scores(own), pool), kept)
+    return fit([np.intersect1d(x, np.union1d(kept, pairs), assume_unique=True) for x in found], y) if len(pairs) else machine
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:

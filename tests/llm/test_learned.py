@@ -275,3 +275,21 @@ def test_quality_keeps_texts_in_spite_of_a_vote_against(spark, data):
     rows = quality.op5_query(spark, d).collect()
     assert sum(r.kept for r in rows if r.doc_id in failed) >= 10
     assert sum(not r.kept for r in rows if r.doc_id in failed and not r.base_failed) >= 10
+
+
+def test_toxicity_learns_terms_that_matter_only_together(spark):
+    """Toxic if just one of two words occurs: neither word tells anything alone."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices([f"plain{k}" for k in range(300)], k=12) + ["zebra"] * a + ["quartz"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    assert 2 <= len(machine.kept) <= 40
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.where(toxicity.held_out()), machine).collect()}
+    want = {r[0]: r[2] for r in rows}
+    assert len(scored) > 600 and sum((s >= 0.5) == want[i] for i, s in scored.items()) >= 0.95 * len(scored)
