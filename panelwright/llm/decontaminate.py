@@ -24,8 +24,8 @@ from .common import read, schema_of, slices, utf8, without
 
 #: Words are runs of ASCII letters and digits and of any bytes beyond ASCII, A-Z lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: UTF-8 bytes of a shard; bytes of test items that are held and searched at once; sampling distance; windows searched at once.
-SHARD_BYTES, ITEMS_BYTES, SAMPLE, WINDOWS = 4 << 20, 64 << 20, 16, 1 << 16
+#: UTF-8 bytes of a shard; bytes of test items that are held and searched at once; sampling distance; windows searched at once; item names of a batch.
+SHARD_BYTES, ITEMS_BYTES, SAMPLE, WINDOWS, LISTED = 4 << 20, 64 << 20, 16, 1 << 16, 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -145,6 +145,10 @@ class Phrases:
                 self.ids.append("" if key is None else str(key))
                 parts.append(np.array(seq, dtype=np.int32))
                 sizes.append(len(seq))
+        #: distinct ids in order, and the place of each item's id among them
+        self.names = sorted(set(self.ids))
+        place = {name: k for k, name in enumerate(self.names)}
+        self.rank = np.array([place[i] for i in self.ids], dtype=np.int64)
         self.seq = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         self.begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         size = np.minimum(np.array(sizes, dtype=np.int64), window)
@@ -156,39 +160,69 @@ class Phrases:
             starts = np.repeat(self.begin[items_of], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             self.groups.append((n, starts.astype(np.int64)))
 
-    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-        """Per text: its words, the merged word spans [from, to) of occurrences, and the items found."""
+    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], np.ndarray]]:
+        """Per text: its words, the merged word spans [from, to) of occurrences, and the places among ``names`` of the items found.
+
+        Equal windows have one row range in the index: it is located once, whatever the number of its items. Each place of
+        the text is the start of one distinct window of a length at most, so occurrences don't outgrow the text.
+        """
         words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         plain = len(self.vocabulary)
-        out: list = [(int(n), [], set()) for n in sizes]
+        nothing = np.zeros(0, dtype=np.int64)
         if not self.groups or not sizes.sum():
-            return out
+            return [(int(n), [], nothing) for n in sizes]
         get = self.vocabulary.get
         # one more symbol after every document keeps occurrences inside it
         seq = np.fromiter((get(w, -1) for ws in words for w in (*ws, None)), dtype=np.int64, count=int(sizes.sum()) + len(words))
         odd = np.flatnonzero(seq < 0)
         seq[odd] = plain + np.arange(len(odd))
         index, begin = FmIndex(seq, plain), np.concatenate(([0], np.cumsum(sizes + 1)))
-        hits: dict[int, list[tuple[int, int]]] = {}
+        cover = np.zeros(len(seq) + 1, dtype=np.int64)
+        sets: dict[bytes, int] = {}  # of items, each kept once
+        held: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []  # document and set
         for size, starts in self.groups:
+            rows, items = [], []
             for a in range(0, len(starts), WINDOWS):
                 own = starts[a : a + WINDOWS]
                 low, high = index.find(self.seq[own[:, None] + np.arange(size)].astype(np.int64))
                 found = np.flatnonzero(high > low)
-                if not len(found):
-                    continue
-                count = high[found] - low[found]
-                which = np.repeat(found, count)
-                rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[found], count)
-                at = index.locate(rows)
-                doc = np.searchsorted(begin, at, side="right") - 1
-                item = np.searchsorted(self.begin, own[which], side="right") - 1
-                for d, p, k in zip(doc.tolist(), (at - begin[doc]).tolist(), item.tolist(), strict=True):
-                    hits.setdefault(d, []).append((p, p + size))
-                    out[d][2].add(k)
-        for d, spans in hits.items():
-            out[d] = (out[d][0], merged(spans), out[d][2])
+                rows.append(np.stack((low[found], high[found])))
+                items.append(self.rank[np.searchsorted(self.begin, own[found], side="right") - 1])
+            both = np.concatenate(rows, axis=1)
+            low, first, which = np.unique(both[0], return_index=True, return_inverse=True)
+            if not len(low):
+                continue
+            count = both[1, first] - low
+            of, item = np.divmod(np.unique(which * len(self.names) + np.concatenate(items)), len(self.names))
+            own_sets = []
+            for own in np.split(item, np.flatnonzero(np.diff(of)) + 1):
+                number = sets.setdefault(own.tobytes(), len(sets))
+                if number == len(held):
+                    held.append(own)
+                own_sets.append(number)
+            own = np.repeat(np.arange(len(low)), count)
+            at = index.locate(np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + low[own])
+            cover += np.bincount(at, minlength=len(cover)) - np.bincount(at + size, minlength=len(cover))
+            pairs.append(np.unique((np.searchsorted(begin, at, side="right") - 1) << 32 | np.array(own_sets)[own]))
+        if not pairs:
+            return [(int(n), [], nothing) for n in sizes]
+        hit = np.concatenate(([0], (np.cumsum(cover) > 0).astype(np.int8), [0]))
+        edges = np.flatnonzero(np.diff(hit)).reshape(-1, 2)
+        owner = np.searchsorted(begin, edges[:, 0], side="right") - 1
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for d, (a, b) in zip(owner.tolist(), (edges - begin[owner][:, None]).tolist(), strict=True):
+            spans.setdefault(d, []).append((a, b))
+        both = np.unique(np.concatenate(pairs))
+        both = np.column_stack((both >> 32, both & 0xFFFFFFFF))
+        unions: dict[tuple, np.ndarray] = {}  # documents with the same passages share their items
+        out = [(int(n), [], nothing) for n in sizes]
+        for own in np.split(both, np.flatnonzero(np.diff(both[:, 0])) + 1):
+            d, key = int(own[0, 0]), tuple(own[:, 1].tolist())
+            if key not in unions:
+                unions[key] = np.unique(np.concatenate([held[k] for k in key]))
+            out[d] = (out[d][0], spans[d], unions[key])
         return out
 
 
@@ -256,16 +290,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13)
         def shard(own: Phrases, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
             found = own.scan(utf8(whole.column("text").combine_chunks()))
+            names = pa.array(own.names, type=pa.string())
+            at = 0
+            while at < whole.num_rows:  # lists of items are spelled out a stretch of documents at a time
+                to, listed = at, 0
+                while to < whole.num_rows and (to == at or listed + len(found[to][2]) <= LISTED):
+                    listed, to = listed + len(found[to][2]), to + 1
+                yield from spelled(names, whole.slice(at, to - at), found[at:to])
+                at = to
+
+        def spelled(names: pa.Array, rows: pa.Table, found: list) -> Iterator[pa.RecordBatch]:
             spans = [s for _, s, _ in found]
-            items = [sorted({own.ids[i] for i in x}) for _, _, x in found]
+            ends = np.cumsum([0, *(len(x) for _, _, x in found)], dtype=np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.concatenate([x for _, _, x in found]))))
             if again:
-                before = [[(x["start"], x["end"]) for x in s] for s in whole.column("hit_spans").to_pylist()]
+                before = [[(x["start"], x["end"]) for x in s] for s in rows.column("hit_spans").to_pylist()]
                 spans = [merged(a + b) for a, b in zip(before, spans, strict=True)]
-                items = [sorted({*a, *b}) for a, b in zip(whole.column("hit_items").to_pylist(), items, strict=True)]
+                both = [sorted({*a, *b}) for a, b in zip(rows.column("hit_items").to_pylist(), items.to_pylist(), strict=True)]
+                items = pa.array(both, type=pa.list_(pa.string()))
             pairs = [[{"start": a, "end": b} for a, b in s] for s in spans]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            more = [pa.array([n for n, _, _ in found], type=pa.int64()), pa.array(pairs, type=kind), pa.array(items, type=pa.list_(pa.string()))]
-            yield from pa.table([*(whole.column(c) for c in keep), *more], names=[*keep, "n_words", "hit_spans", "hit_items"]).to_batches()
+            more = [pa.array([n for n, _, _ in found], type=pa.int64()), pa.array(pairs, type=kind), items]
+            yield from pa.table([*(rows.column(c) for c in keep), *more], names=[*keep, "n_words", "hit_spans", "hit_items"]).to_batches()
 
         return df.mapInArrow(run, schema)
 

@@ -326,3 +326,20 @@ def test_loser_tree():
     for k in range(0, 9):
         runs = [sorted(rng.choices(range(30), k=rng.randrange(0, 12))) for _ in range(k)]
         assert [runs[a][i] for a, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
+
+
+def test_decontamination_of_equal_items():
+    """Equal windows are located once, whatever the number of their items and occurrences; sets of items are shared."""
+    import time
+    import tracemalloc
+
+    heading = " ".join(f"w{i}" for i in range(13)).encode()
+    phrases = decontaminate.Phrases([(i, heading) for i in range(100_000)] + [("x", b"other words " + heading)], 13)
+    texts = [(heading + b" zz ") * 100] * 100 + [b"other words " + heading, b"w0 w1"]
+    tracemalloc.start()
+    begun = time.time()
+    found = phrases.scan(texts)
+    assert time.time() - begun < 30 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert all(n == 1400 and len(spans) == 100 and len(items) == 100_001 for n, spans, items in found[:100])
+    assert found[100][1] == [(0, 15)] and len(found[100][2]) == 100_001 and found[101][1] == []
