@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     on the input. ``kept_text`` has the kept words joined by one space. Documents shorter than
     a window lose nothing; a null or empty text has no words and gives an empty ``kept_text``.
     A repeated row is a document of its own, so its windows recur. Input columns named as
-    outputs give way to them. Rows return in no set order. Runs jobs when called; the blocks
+    outputs give way to them. Rows return in no set order. Rows are numbered as they are read, so
+    ``docs`` should come from files or a checkpoint, not from an unsettled shuffle. Runs jobs when called; the blocks
     are kept in the shared folder, as a table whose entry in the catalogue is dropped again.
     """
     spark = docs.sparkSession
@@ -303,8 +304,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     blocks = int(1 + total // BLOCK_BYTES)
     buckets = min(blocks, MOST_BUCKETS)
     anchor_ranges, print_ranges = (int(max(8, 1 + total // n)) for n in RANGE_BYTES)
-    # rows are spread by hash of the id, so a hot source or a group of copies is spread too
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    # rows are dealt by their number, settled once the blocks are written: no id, source or group of copies weighs on one block
+    key = F.xxhash64(F.monotonically_increasing_id())
     dealt = docs.withColumn(blk, F.pmod(key, F.lit(blocks)).cast("int")).repartition(buckets, blk)
     schema = schema_of(dealt, f"{state} binary")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelwright.llm import simhash, substring
 from panelwright.llm.components import connected_components
 
-from .cases import SCHEMA, documents
+from .cases import SCHEMA, documents, prose
 
 
 def brute_repeats(texts, window):
@@ -165,3 +165,16 @@ def test_names_of_words():
     assert len(names) == len(words)
     assert len(set(zip(words, names.tolist(), strict=True))) == len(set(words)) == len(set(names.tolist()))
     assert len(substring.name_words([])) == len(substring.name_words([b""])) == 0
+
+
+def test_rows_of_one_id_are_spread_over_blocks(spark, monkeypatch):
+    """A third of all rows may share an id, or be one repeated row: blocks stay even."""
+    sizes = []
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 2_000)
+    real = substring.fresh
+    monkeypatch.setattr(substring, "fresh", lambda prefix: sizes.append(real(prefix)) or sizes[-1])
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(7, prose(rng, 40) if i % 2 else "same text") for i in range(600)], "doc_id long, text string")
+    assert substring.remove_repeats(docs).count() == 600
+    blocks = spark.read.parquet(f"{substring.shared_dir(spark)}/{sizes[0]}").groupBy("blk").count().collect()
+    assert len(blocks) > 20 and max(r["count"] for r in blocks) < 40
