@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, read, schema_of, utf8, without
 
-#: Distinct words whose counts a worker remembers.
-REMEMBERED = 500_000
+#: Distinct words whose counts a worker remembers, and the bytes up to which one is remembered.
+REMEMBERED, LONGEST_KEPT = 500_000, 64
 
 
 def default_vocabulary() -> str:
@@ -109,9 +109,11 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, mark: bytes = b
 
         class Known(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = n = machine.count(mark + word)
+                n = machine.count(mark + word)
+                if len(word) <= LONGEST_KEPT:
+                    if len(self) >= REMEMBERED:
+                        self.clear()
+                    self[word] = n
                 return n
 
         known = Known()
