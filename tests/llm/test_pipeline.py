@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from panelwright.llm import packing, toxicity
 
@@ -74,7 +76,14 @@ def test_stages_on_nothing(spark, data):
             assert out.columns == none.columns
 
 
-def test_stages_keep_columns(spark, data):
-    docs = spark.createDataFrame(documents(), SCHEMA)
+def test_stages_keep_columns(spark, data, tmp_path):
+    """Columns named as an operator's outputs come through every stage with their own values."""
+    names = ["score", "n_words", "n_removed", "kept_text", "hit_spans", "hit_items", "n_hit", "contaminated", "own_score"]
+    docs = spark.createDataFrame(documents(), SCHEMA).withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, data).columns == docs.columns, name
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names), name
