@@ -14,13 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, packing, simhash, substring, toxicity
-from panelwright.llm.common import fresh, read, shared_dir
+from panelwright.llm.common import fresh, read, shared_dir, unused
+
+
+def keeping_columns(docs: DataFrame, outputs: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` with the columns of ``docs``: those named as an operator's ``outputs`` stand aside meanwhile, values and all."""
+    clash = [c for c in docs.columns if c.lower() in outputs]
+    aside = dict(zip(clash, unused(docs, *[f"own_{c}" for c in clash]), strict=True))
+    out = work(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half. The machine learns from ``labels`` outside its held-out fold."""
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, machine).where("score < 0.5").drop("score")
+    return keeping_columns(docs, ["score"], lambda own: toxicity.score_toxicity(own, machine).where("score < 0.5"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +41,24 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null. ``n_chars`` follows the text where that changes.
     """
-    out = substring.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    def work(own: DataFrame) -> DataFrame:
+        out = substring.remove_repeats(own)
+        changed = F.col("n_removed") > 0
+        out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return out
+
+    return keeping_columns(docs, ["n_words", "n_removed", "kept_text"], work)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated: benchmark windows cover none of their words, or fewer than a twentieth."""
-    found = decontaminate.judged(decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    def work(own: DataFrame) -> DataFrame:
+        found = decontaminate.find_contamination(own, read(spark, sf_dir, "benchmark"))
+        return decontaminate.judged(found).where(~F.col("contaminated"))
+
+    return keeping_columns(docs, ["n_words", "hit_spans", "hit_items", "n_hit", "contaminated"], work)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
