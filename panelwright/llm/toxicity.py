@@ -35,7 +35,7 @@ from .common import cut, map_texts, read, schema_of, utf8, without
 #: Hash space; labelled rows to train on, about; least rows with a term; least chi-square of a term; most terms of a model; factors.
 SPACE, TRAIN_ROWS, LEAST_ROWS, LEAST_CHI, MOST_TERMS, FACTORS = 1 << 20, 10_000, 4, 12.0, 65_536, 4
 #: Commonest terms whose pairs are tested; least rows of each of a pair's four cells; least squared standard score of an interaction; least variance that it is measured against.
-PAIR_TERMS, PAIR_ROWS, LEAST_PAIR, LEAST_SPREAD = 4096, 20, 45.0, 0.02
+PAIR_TERMS, PAIR_ROWS, LEAST_PAIR, LEAST_SPREAD = 2048, 20, 45.0, 0.02
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -134,11 +134,10 @@ def interacting(rows: list[np.ndarray], rest: np.ndarray, pool: np.ndarray) -> n
         x[i, at[pool[at] == own]] = 1
     rest = rest.astype(np.float32)
     spread = max(float((rest**2).mean()), LEAST_SPREAD)
-    weighted = x * rest[:, None]
-    count, sums, found = x.sum(0), weighted.sum(0), np.zeros(len(pool), dtype=bool)
-    for a in range(0, len(pool), 512):
-        own = slice(a, a + 512)
-        both, sum_ = x[:, own].T @ x, weighted[:, own].T @ x
+    count, sums, found = x.sum(0), rest @ x, np.zeros(len(pool), dtype=bool)
+    for a in range(0, len(pool), 256):
+        own = slice(a, a + 256)
+        both, sum_ = x[:, own].T @ x, (x[:, own] * rest[:, None]).T @ x
         cells = [(both, sum_), (count[own, None] - both, sums[own, None] - sum_), (count - both, sums - sum_)]
         cells.append((n - sum(c for c, _ in cells), rest.sum() - sum(s for _, s in cells)))
         enough = np.minimum.reduce([c for c, _ in cells]) >= PAIR_ROWS

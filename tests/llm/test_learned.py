@@ -293,3 +293,33 @@ def test_toxicity_learns_terms_that_matter_only_together(spark):
     scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.where(toxicity.held_out()), machine).collect()}
     want = {r[0]: r[2] for r in rows}
     assert len(scored) > 600 and sum((s >= 0.5) == want[i] for i, s in scored.items()) >= 0.95 * len(scored)
+
+
+def test_language_rejects_what_it_has_not_learned(spark, data):
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").where("lang is not null and length(text) >= 200")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    strange = langs[-1]
+    model = language.train(docs.withColumn("lang", F.when(F.col("lang") != strange, F.col("lang"))))
+    assert strange not in model.langs and len(model.langs) == len(langs) - 1
+    rows = language.identify(docs.where(language.held_out() | (F.col("lang") == strange)), model).select("lang", "rejected").collect()
+    share = lambda own: sum(r.rejected for r in own) / len(own)
+    assert share([r for r in rows if r.lang == strange]) >= 0.9
+    assert share([r for r in rows if r.lang != strange]) <= 0.1
+
+
+def test_language_confidence_matches_accuracy(spark, data):
+    """Stretches of 8 to 48 characters of unseen rows: in each bin of confidence the share of right answers is near its mean.
+
+    On shorter ones confidence is too high; the README has the figures.
+    """
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").where("lang is not null and length(text) >= 200")
+    model = language.train(docs)
+    held = docs.where(language.held_out()).select("text", "lang").collect()
+    parts = [(r.text[i : i + n], r.lang) for r in held for n in (8, 16, 32, 48) for i in range(0, 180, 37)]
+    parts = [(t, x) for t, x in parts if language.has_letter(t)]
+    pred, score, _, _ = model.predict([t for t, _ in parts])
+    bins = {}
+    for p, s, (_, x) in zip(pred, score.tolist(), parts, strict=True):
+        bins.setdefault(min(int(s * 5), 4), []).append((s, p == x))
+    checked = [b for b in bins.values() if len(b) >= 150]
+    assert len(checked) >= 2 and all(abs(sum(s for s, _ in b) - sum(ok for _, ok in b)) <= 0.08 * len(b) for b in checked)
