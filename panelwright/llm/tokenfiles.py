@@ -40,7 +40,7 @@ MARK = b"PWIDS001"
 #: Ids of a block (a multiple of 8); ids and documents after which a task starts another file; ids of a batch read back.
 BLOCK_IDS, FILE_IDS, FILE_DOCS, BATCH_IDS = 8192, 64 << 20, 1 << 20, 1 << 20
 #: Words, and pieces of words, whose ids are remembered; those of more bytes than this are encoded anew in each batch.
-CACHE_WORDS, CACHE_WORD = 400_000, 64
+CACHE_WORDS, CACHE_PIECES, CACHE_WORD = 500_000, 1_000_000, 64
 
 
 def width_of(vocabulary: int) -> int:
@@ -52,6 +52,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` in ``bits`` bits each (32 at most), lowest first, filled to whole bytes with zeros."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id takes more than {bits} bits")
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
     groups = -(-len(ids) // 8)
     whole = np.zeros((groups, 8), dtype="<u8")
     whole.ravel()[: len(ids)] = ids
@@ -64,6 +66,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes, as unsigned 32-bit numbers."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, dtype=f"<u{bits // 8}", count=n).astype("<u4")
     groups = -(-n // 8)
     whole = np.zeros((groups, bits + 8), dtype=np.uint8)
     whole[:, :bits] = np.frombuffer(data.ljust(groups * bits, b"\0")[: groups * bits], dtype=np.uint8).reshape(groups, bits)
@@ -312,7 +316,7 @@ class WordEncoder:
     The tokenizer is one whose tokens never reach over white space and which drops white space, so the
     ids of a text are those of the stretches between ASCII blanks, one after the other; and those of
     a stretch of plain characters are those of its pieces, which go to the tokenizer's model as they are. Each
-    distinct piece, or odd stretch, is encoded once; both are remembered, up to ``CACHE_WORDS`` of each.
+    distinct piece, or odd stretch, is encoded once; both are remembered, up to a number of each.
     """
 
     def __init__(self, path: str):
@@ -326,19 +330,22 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text.translate(self.table))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of pieces by the model, packed together and cut apart again."""
+        tokens = list(map(self.model.tokenize, [p.translate(self.table) for p in pieces]))
+        ids = np.array([t.id for own in tokens for t in own], dtype="<u4").tobytes()
+        ends = [0, *(4 * np.cumsum(list(map(len, tokens)), dtype=np.int64)).tolist()]
+        return (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of new words."""
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
         texts = [w.decode() for w in words]
         plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
         cut = [PIECES.findall(texts[i].lower()) for i in plain]
         new = list(set(chain.from_iterable(cut)).difference(self.pieces))
-        self.pieces.update(zip(new, map(self._piece, new), strict=True))
+        self.pieces.update(zip(new, self._encoded(new), strict=True))
         get = self.pieces.__getitem__
         self.words.update((words[i], b"".join(map(get, pieces))) for i, pieces in zip(plain, cut, strict=True))
         for piece in new:
