@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, labels, numbers, signs
-from .functions.nulls import group_sum, safe_ratio
+from .functions import geo, labels, numbers
 from .operators import grids, spatial
 from .operators import relational as rel
 from .plans import detect, estimate, harmonise, ingest, matching, rollup, yearbook
@@ -47,11 +46,6 @@ def each_customer(spark: SparkSession, d: str, rows: list[tuple], names: str) ->
     return customers.join(F.broadcast(turn), "turn").drop("turn")
 
 
-def each_customer_sql(rows: str, n: int) -> str:
-    """The same for an oracle, with the expected values as SQL rows that begin with their number."""
-    return f"SELECT c_custkey, t.* EXCLUDE (turn) FROM customer JOIN ({rows}) t ON turn = c_custkey % {n}"
-
-
 def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """Inline rows."""
     return spark.createDataFrame(rows, names)
@@ -318,14 +312,6 @@ def q14b(spark, d):
     return l.groupBy("l_returnflag").agg((F.sum(cents).cast("double") / 100).alias("total"))
 
 
-def sql_rows(rows: list[tuple], names: str) -> str:
-    """Numbered rows as an SQL VALUES list; names begin with turn."""
-    def one(x):
-        return "NULL" if x is None else ("true" if x else "false") if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(i), *map(one, r)]) + ")" for i, r in enumerate(rows)) + f") v({names})"
-
-
 @query(
     "q14c_watermarks_percents",
     """
@@ -803,34 +789,6 @@ PLACES = [
 ]
 
 
-@query("q48_investment_places", each_customer_sql(sql_rows(PLACES, "turn, provinsi, kabupaten_kota, unit_code"), len(PLACES)))
-def q48(spark, d):
-    """Places of investment reports by six keys, ever looser."""
-    rows = each_customer(spark, d, [p[:2] for p in PLACES], "provinsi string, kabupaten_kota string")
-    return matching.match_investment_units(rows, values(spark, CODES, "unit_code string, unit_name string")).select("c_custkey", "provinsi", "kabupaten_kota", "unit_code")
-
-
-@query(
-    "q49_load_investment",
-    f"""
-    WITH p AS ({each_customer_sql(sql_rows(PLACES, "turn, provinsi, kabupaten_kota, unit_code"), len(PLACES))}),
-    r AS (SELECT unit_code, 2020 + o_orderkey % 3 AS year, floor(o_totalprice) AS a, o_orderstatus AS s, o_orderkey % 4 AS o FROM orders JOIN p ON c_custkey = o_custkey WHERE unit_code IS NOT NULL AND o_orderstatus <> 'P'),
-    g AS (SELECT unit_code, year::BIGINT AS year, sum(a) FILTER (s = 'F') AS fdi, sum(a) FILTER (s = 'F' AND o = 0) AS china, sum(a) FILTER (s = 'F' AND o = 1) AS hk, sum(a) FILTER (s = 'F' AND o >= 2) AS other, sum(a) FILTER (s = 'O') AS domestic FROM r GROUP BY ALL)
-    SELECT unit_code, year, coalesce(fdi, 0) AS fdi, coalesce(china, 0) AS fdi_china, coalesce(hk, 0) AS fdi_hk, coalesce(other, 0) AS fdi_other, coalesce(domestic, 0) AS domestic, coalesce(china, 0) + coalesce(hk, 0) AS fdi_china_hk FROM g
-    """,
-)
-def q49(spark, d):
-    """Investment reports by unit and year: places matched, origins told apart, kinds of investment side by side."""
-    places = each_customer(spark, d, [p[:2] for p in PLACES], "provinsi string, kabupaten_kota string")
-    o = F.col("o_orderkey") % 4
-    raw = table(spark, d, "orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
-        "provinsi", "kabupaten_kota", (F.col("o_orderkey") % 3 + 2020).alias("year"), F.when(F.col("o_orderstatus") == "F", "PMA ").when(F.col("o_orderstatus") == "O", "pmdn").otherwise("n.a.").alias("status_penanaman_modal"),
-        F.when(o == 0, "R.R. Tiongkok").when(o == 1, "Hongkong (RRT)").when(o == 2, "Taiwan").otherwise("Jepang").alias("negara"), F.floor("o_totalprice").alias("investasi_us_ribu"),
-    )
-    out = matching.load_investment(raw, values(spark, CODES, "unit_code string, unit_name string"))
-    return out.withColumn("year", F.col("year").cast("long"))
-
-
 @query(
     "q50_foreign_allocation",
     """

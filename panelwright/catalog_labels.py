@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import query, table
+from .catalog import CODES, PLACES, query, table
 from .functions import geo, labels, numbers, signs
 from .operators import spatial
-from .plans import detect, ingest
+from .plans import detect, ingest, matching
 
 
 def quoted(text: str | None) -> str:
@@ -258,3 +258,72 @@ def q40(spark, d):
     wide = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("Kabupaten/Kota"), (s * 3).cast("string").alias("Tiongkok"), F.when(s % 2 == 0, (s % 50).cast("string")).alias("Filipina"), F.lit("2022").alias("Tahun"))
     both = ingest.open_data_to_long(long, "ckan").unionByName(ingest.open_data_to_long(wide, "ckan"))
     return both.select("region_name", "nationality", "permit_type", "count", F.col("year").cast("long").alias("year"))
+
+
+def bare_sql(x: str) -> str:
+    """SQL for a normalised label without markup and the number before it."""
+    return f"regexp_replace({norm_sql(f"regexp_replace({x}, '<[^>]+>', '', 'g')")}, '^\\d+\\s*', '')"
+
+
+def unit_key_sql(x: str) -> str:
+    """SQL for the key that unit names are matched by."""
+    name = f"trim(regexp_replace(regexp_replace(regexp_replace({bare_sql(x)}, '^(kabupaten|kab|kota adm|kota administrasi|kota|kotamadya)\\s+', ''), '\\s*[*)(\\]\\[/]+\\s*$', ''), '\\s+(kab|kabupaten|kota|regency|municipality)$', ''))"
+    aliases = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in labels.UNIT_ALIASES.items())
+    return f"coalesce(map_extract(MAP {{{aliases}}}, replace({name}, ' ', ''))[1], replace({name}, ' ', ''))"
+
+
+def level_sql(x: str) -> str:
+    """SQL for the kind of unit that a name begins with."""
+    return f"CASE WHEN regexp_matches({bare_sql(x)}, '^kota') THEN 'kota' WHEN regexp_matches({bare_sql(x)}, '^(kabupaten|kab\\b)') THEN 'kabupaten' ELSE 'unknown' END"
+
+
+PROVINCE_KEYS = {name.lower().replace(" ", ""): code for code, name in labels.PROVINCES.items()} | labels.PROVINCE_ALIASES
+PLACE_SQL = f"""
+    t AS (SELECT c_custkey, {sql_list([p[0] for p in PLACES])}[c_custkey % {len(PLACES)} + 1] AS p, {sql_list([p[1] for p in PLACES])}[c_custkey // 3 % {len(PLACES)} + 1] AS n FROM customer),
+    f AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN upper(p) WHEN 2 THEN 'Prov. ' || p ELSE p END AS provinsi, CASE c_custkey % 4 WHEN 1 THEN upper(n) WHEN 2 THEN replace(n, 'Kabupaten', 'KAB.') ELSE n END AS kabupaten_kota FROM t),
+    k AS (SELECT *, map_extract(MAP {{{", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in PROVINCE_KEYS.items())}}}, replace(regexp_replace({norm_sql("provinsi")}, '^prov(insi)?\\s+', ''), ' ', ''))[1] AS prov, {level_sql("kabupaten_kota")} AS level,
+      {unit_key_sql("regexp_replace(kabupaten_kota, '(?i)^kota adm\\.?\\s+', 'Kota ')")} AS key, replace({norm_sql("regexp_replace(kabupaten_kota, '(?i)^(kabupaten|kota adm\\.?|kota)\\s+', '')")}, ' ', '') AS whole FROM f),
+    c AS (SELECT code, left(code, 2) AS prov, CASE WHEN {level_sql("name")} <> 'unknown' THEN {level_sql("name")} WHEN substr(code, 3, 1) = '7' THEN 'kota' ELSE 'kabupaten' END AS level, {unit_key_sql("name")} AS key, replace({norm_sql("name")}, ' ', '') AS whole
+      FROM (VALUES {", ".join(f"({quoted(c)}, {quoted(n)})" for c, n in CODES)}) v(code, name)),
+    d1 AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY prov, level, key) = 1), d2 AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY prov, key) = 1), d3 AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY key) = 1),
+    d4 AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY level, key) = 1), d5 AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY whole) = 1),
+    m AS (SELECT k.*, coalesce(d1.code, d2.code, d3.code, d4.code, d5.code) AS first, EXISTS (SELECT 1 FROM c WHERE c.level = 'kabupaten' AND c.whole = k.whole) AS district FROM k LEFT JOIN d1 ON d1.prov = k.prov AND d1.level = k.level AND d1.key = k.key
+      LEFT JOIN d2 ON d2.prov = k.prov AND d2.key = k.key LEFT JOIN d3 ON d3.key = k.key LEFT JOIN d4 ON d4.level = k.level AND d4.key = k.key LEFT JOIN d5 ON d5.whole = k.whole),
+    places AS (SELECT m.c_custkey, m.provinsi, m.kabupaten_kota, coalesce(m.first, CASE WHEN NOT m.level = 'kabupaten' AND NOT m.district THEN d5.code END) AS unit_code FROM m LEFT JOIN d5 ON d5.whole = 'kota' || m.whole)
+"""
+
+
+def place_rows(spark, d):
+    """A place a customer, of any province and any name of the list together, spelled in several ways."""
+    k = F.col("c_custkey")
+    p, n = pick([p[0] for p in PLACES], k), pick([p[1] for p in PLACES], F.floor(k / 3))
+    province = F.when(k % 3 == 1, F.upper(p)).when(k % 3 == 2, F.concat(F.lit("Prov. "), p)).otherwise(p)
+    name = F.when(k % 4 == 1, F.upper(n)).when(k % 4 == 2, F.replace(n, F.lit("Kabupaten"), F.lit("KAB."))).otherwise(n)
+    return table(spark, d, "customer").select(k, province.alias("provinsi"), name.alias("kabupaten_kota"))
+
+
+@query("q48_investment_places", f"WITH {PLACE_SQL} SELECT c_custkey, provinsi, kabupaten_kota, unit_code FROM places")
+def q48(spark, d):
+    """Places of investment reports by six keys, ever looser: a customer a place, its province and name any of the list's."""
+    codes = spark.createDataFrame(CODES, "unit_code string, unit_name string")
+    return matching.match_investment_units(place_rows(spark, d), codes).select("c_custkey", "provinsi", "kabupaten_kota", "unit_code")
+
+
+@query(
+    "q49_load_investment",
+    f"""
+    WITH {PLACE_SQL},
+    r AS (SELECT unit_code, 2020 + o_orderkey % 3 AS year, floor(o_totalprice) AS a, o_orderstatus AS s, o_orderkey % 4 AS o FROM orders JOIN places ON c_custkey = o_custkey WHERE unit_code IS NOT NULL AND o_orderstatus <> 'P'),
+    g AS (SELECT unit_code, year::BIGINT AS year, sum(a) FILTER (s = 'F') AS fdi, sum(a) FILTER (s = 'F' AND o = 0) AS china, sum(a) FILTER (s = 'F' AND o = 1) AS hk, sum(a) FILTER (s = 'F' AND o >= 2) AS other, sum(a) FILTER (s = 'O') AS domestic FROM r GROUP BY ALL)
+    SELECT unit_code, year, coalesce(fdi, 0) AS fdi, coalesce(china, 0) AS fdi_china, coalesce(hk, 0) AS fdi_hk, coalesce(other, 0) AS fdi_other, coalesce(domestic, 0) AS domestic, coalesce(china, 0) + coalesce(hk, 0) AS fdi_china_hk FROM g
+    """,
+)
+def q49(spark, d):
+    """Investment reports by unit and year: places matched, origins told apart, kinds of investment side by side."""
+    o = F.col("o_orderkey") % 4
+    raw = table(spark, d, "orders").join(place_rows(spark, d), F.col("o_custkey") == F.col("c_custkey")).select(
+        "provinsi", "kabupaten_kota", (F.col("o_orderkey") % 3 + 2020).alias("year"), F.when(F.col("o_orderstatus") == "F", "PMA ").when(F.col("o_orderstatus") == "O", "pmdn").otherwise("n.a.").alias("status_penanaman_modal"),
+        F.when(o == 0, "R.R. Tiongkok").when(o == 1, "Hongkong (RRT)").when(o == 2, "Taiwan").otherwise("Jepang").alias("negara"), F.floor("o_totalprice").alias("investasi_us_ribu"),
+    )
+    out = matching.load_investment(raw, spark.createDataFrame(CODES, "unit_code string, unit_name string"))
+    return out.withColumn("year", F.col("year").cast("long"))

@@ -6,13 +6,18 @@ show them, reads them back, and is held against SQL that computes the answer fro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import query, table
+from .catalog_labels import pick
 from .functions import labels
-from .operators import grids, placed
-from .plans import harmonise, ingest, pages
+from .operators import grids, outline, placed
+from .plans import census, harmonise, ingest, pages
+from .session import work_folder
+from .sources import raw
 
 
 @query(
@@ -318,3 +323,59 @@ def q60(spark, d):
     more = sums.where(turn < 3).select("k", F.when(turn == 0, "Jumlah").when(turn == 1, F.format_string("Induk %d", "k")).otherwise(F.format_string("Kab. Induk %d", "k")).alias("unit"), F.when(turn == 0, F.col("s") + 1).when(turn == 1, 3 * F.col("m")).otherwise(1.2 * F.col("m")).alias("count"))
     rows = parts.unionByName(more).withColumns({"year": F.lit(2020), "religion": F.lit("islam"), "title": F.format_string("Induk %d", "k")})
     return ingest.domain_rows(rows, ["k"], "unit", "title").select("k", "unit", "count", "level", "how")
+
+
+# ---------------------------------------------------------------- outlines and stores
+
+
+@query(
+    "q61_outline",
+    """
+    WITH l AS (SELECT l_orderkey AS k, l_returnflag AS f, l_partkey % 3 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+    t AS (SELECT k, f, sum(v) AS s, dense_rank() OVER (PARTITION BY k ORDER BY f) AS no FROM l GROUP BY k, f),
+    p AS (SELECT *, CASE WHEN k % 3 = 0 AND no = 2 THEN s * 1.5 ELSE s END AS printed, abs(CASE WHEN k % 3 = 0 AND no = 2 THEN s * 1.5 ELSE s END - s) <= 0.01 * greatest(CASE WHEN k % 3 = 0 AND no = 2 THEN s * 1.5 ELSE s END, s) AS good FROM t)
+    SELECT k, sum(printed) AS "count", count(*) AS n_top FROM p GROUP BY k HAVING bool_and(good)
+    """,
+)
+def q61(spark, d):
+    """Totals of tables numbered on two levels, a table an order: flags on top, parts below them, taken where every printed subtotal adds up."""
+    k = F.col("l_orderkey")
+    parts = table(spark, d, "lineitem").groupBy(k.alias("k"), F.col("l_returnflag").alias("f"), (F.col("l_partkey") % 3).alias("c")).agg(F.sum("l_quantity").alias("v"))
+    no = F.dense_rank().over(Window.partitionBy("k").orderBy("f"))
+    tops = parts.groupBy("k", "f").agg(F.sum("v").alias("v")).withColumn("no", no)
+    tops = tops.select("k", "f", F.lit(-1).cast("long").alias("c"), F.format_string("%02d. Flag %s", "no", "f").alias("label"), F.when((F.col("k") % 3 == 0) & (F.col("no") == 2), F.col("v") * 1.5).otherwise(F.col("v")).alias("count"))
+    rows = parts.select("k", "f", "c", F.format_string("%d. Part", F.col("c") + 1).alias("label"), F.col("v").alias("count")).unionByName(tops)
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("k").orderBy("f", "c"))).withColumn("level", outline.numbered_level("label"))
+    own = outline.subtotals(outline.outline(rows, ["k"], "row_no", "level", 2).withColumn("category", F.lit("all")), ["k"], "row_no", "category", "count")
+    n = rows.where("level = 1").groupBy("k").agg(F.count(F.lit(1)).alias("n_top"))
+    return outline.top_sums(own, ["k"], "level", "category", "count").join(n, "k").select("k", "count", "n_top")
+
+
+@query("q62_raw_answers", "SELECT page_id::VARCHAR AS key, length(html) AS n_chars, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END AS batch FROM pages WHERE html IS NOT NULL")
+def q62(spark, d):
+    """Raw answers kept in a store: a third of all pages first, then only those that it lacks, read back with their batch."""
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    answers = table(spark, d, "pages").where("html is not null").select(F.col("page_id").cast("string").alias("key"), F.col("html").alias("payload"), F.col("page_id"))
+    raw.keep_raw(answers.where("page_id % 3 = 0"), path)
+    raw.keep_raw(raw.not_held(answers, "key", path), path)
+    return raw.held_raw(spark, path).select("key", F.length("payload").cast("long").alias("n_chars"), "batch")
+
+
+@query(
+    "q63_census_shares",
+    """
+    WITH p AS (SELECT o_custkey % 40 AS unit, o_orderkey % 5 AS ethnic, o_orderkey % 4 AS religion, floor(o_totalprice)::DOUBLE AS w FROM orders WHERE o_custkey % 40 <> 7)
+    SELECT unit::VARCHAR AS geo2, sum(w) AS pop, sum(CASE WHEN ethnic = 2 THEN w ELSE 0 END) AS chinese, sum(CASE WHEN religion = 3 THEN w ELSE 0 END) AS konghucu, sum(CASE WHEN religion = 3 AND ethnic = 2 THEN w ELSE 0 END) AS konghucu_chinese,
+      count(*) FILTER (ethnic = 2) AS n_chinese_sample, 'Unit ' || unit AS geo2_label, round(sum(CASE WHEN ethnic = 2 THEN w ELSE 0 END) / sum(w), 9) AS chinese_share FROM p GROUP BY unit
+    """,
+)
+def q63(spark, d):
+    """Weighted shares of an extract by the categories of its codebook: orders as persons, codes told by their labels."""
+    o = F.col("o_orderkey")
+    people = table(spark, d, "orders").select(F.when(F.col("o_custkey") % 40 != 7, F.col("o_custkey") % 40).alias("GEO2"), (o % 5).alias("ETHNIC"), (o % 4).alias("RELIG"), F.floor("o_totalprice").alias("PERWT"))
+    ethnic = pick(["Javanese", "Sundanese", "Tionghoa", "Batak", "Dayak"], F.col("c"))
+    religion = pick(["Muslim", "Christian", "Buddha", "Khong Hu Cu"], F.col("c"))
+    codes = lambda n, var, label: spark.range(n).withColumnRenamed("id", "c").select(F.lit(var).alias("var"), F.col("c").cast("string").alias("code"), label.alias("label"))
+    book = codes(5, "ETHNIC", ethnic).unionByName(codes(4, "RELIG", religion)).unionByName(codes(40, "GEO2", F.format_string("Unit %d", "c")))
+    out, _ = census.unit_shares(people, book, "GEO2", "PERWT", "ETHNIC", "RELIG", 1e12)
+    return out.select("geo2", "pop", "chinese", "konghucu", "konghucu_chinese", "n_chinese_sample", "geo2_label", F.round("chinese_share", 9).alias("chinese_share"))

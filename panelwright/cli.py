@@ -10,13 +10,13 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.labels import norm_kanim, unit_key, unit_level
+from .functions.labels import PROVINCES, norm_kanim, unit_key, unit_level
 from .functions.nulls import padded
-from .operators.relational import allocate, anchor_outliers, jumps, to_schema
+from .operators.relational import absent_codes, allocate, anchor_outliers, base_without_target, jumps, to_schema
 from .operators.spatial import road_points
-from .plans import detect, estimate, harmonise, ingest, matching, rollup
+from .plans import census, detect, estimate, harmonise, ingest, matching, pages, rollup, yearbook
 from .session import local_session
-from .sources.readers import fetch_cost, read_drop_rules, read_lines, read_polygons, read_strings
+from .sources.readers import fetch_cost, read_codebook, read_drop_rules, read_lines, read_polygons, read_strings
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -123,6 +123,35 @@ def population_command(spark: SparkSession, a: argparse.Namespace) -> dict[str,
     return {"population": harmonise.reconcile_series(long.where("unit_code is not null"), "unit_code", "year", "ref", "population"), "long": long}
 
 
+def census_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Shares of a census extract by unit, with the unit codes of their labels."""
+    shares, _ = census.unit_shares(load(spark, a.extract), read_codebook(spark, a.codebook), a.unit, a.weight, a.ethnic, a.religion, float(a.total or census.PERSONS_2010), a.province)
+    if not a.codes:
+        return {"census": shares}
+    named = shares.withColumns({"provinsi": F.col("geo1_label") if a.province else F.lit(None).cast("string"), "kabupaten_kota": F.col("geo2_label")})
+    return {"census": matching.match_investment_units(named, load(spark, a.codes)).drop("provinsi", "kabupaten_kota")}
+
+
+def yearbook_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Religion totals of yearbooks whose cells have been extracted (JSON lines: book, page, table_no, row_no, cells, text), tables joined over pages."""
+    cells = spark.read.schema("book string, page int, table_no int, row_no int, cells array<string>, text string").json(a.cells)
+    # the joined tables are read many times: they are settled in a file first
+    joined = f"{a.out.rstrip('/')}/joined_tables.parquet"
+    pages.joined_tables(cells).write.mode("overwrite").parquet(joined)
+    return {"yearbooks": yearbook.book_totals(spark.read.parquet(joined))}
+
+
+def domains_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Units with a usable count in a base year and none in a target year, and the provinces that the panel lacks."""
+    panel = load(spark, a.panel).withColumn("year", F.col("year").try_cast("int"))
+    usable = F.col(a.column or "konghucu")
+    if "total_to_pop" in panel.columns:
+        usable = F.when(F.col("total_to_pop").try_cast("double").between(0.8, 1.25), usable)
+    years = lambda text: [int(y) for y in text.split(",")]
+    provinces = panel.where("unit_code is not null").select(F.substring("unit_code", 1, 2).alias("province_code"))
+    return {"domains": base_without_target(panel, "unit_code", "year", usable, years(a.base), years(a.target)), "provinces": absent_codes(provinces, "province_code", PROVINCES)}
+
+
 def sample_command(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     """Points along roads inside units."""
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
@@ -159,6 +188,9 @@ COMMANDS = {
     "open-data": (open_data_command, ["table"], ["source"]),
     "foreign-panel": (foreign_panel_command, ["long"], ["codes", "crosswalk"]),
     "population": (population_command, ["cubes"], []),
+    "census": (census_command, ["extract", "codebook", "unit", "weight", "ethnic", "religion"], ["province", "codes", "total"]),
+    "yearbooks": (yearbook_command, ["cells"], []),
+    "domains": (domains_command, ["panel", "base", "target"], ["column"]),
     "sample": (sample_command, ["units", "roads", "field"], ["highways", "spacing", "most"]),
     "plan-images": (plan_command, ["places"], ["done", "offsets", "folder"]),
     "validate-export": (validate_command, ["images"], ["hits", "blank"]),

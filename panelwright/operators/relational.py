@@ -214,6 +214,19 @@ def has_all(df: DataFrame, unit: str, column: str, wanted: list) -> DataFrame:
     return own.where(F.col("_n") == len(set(wanted))).select(unit)
 
 
+def base_without_target(panel: DataFrame, unit: str, year: str, value: Column, base: list[int], target: list[int]) -> DataFrame:
+    """Units with a value in a base year that lack one in at least one target year: what is worth fetching."""
+    seen = panel.where(yes(value.isNotNull()))
+    own = seen.where(F.col(year).isin(base)).select(unit).distinct()
+    return own.join(has_all(seen, unit, year, target), unit, "left_anti")
+
+
+def absent_codes(df: DataFrame, code: str, known: dict[str, str]) -> DataFrame:
+    """Known codes that no row has: code, name."""
+    listed = df.sparkSession.createDataFrame(sorted(known.items()), f"{code} string, name string")
+    return listed.join(df.select(code).distinct(), code, "left_anti")
+
+
 def string_set(column: str, most: int | None = None) -> Column:
     """Distinct values of a group in order, joined by ';'."""
     values = F.array_sort(F.collect_set(column))

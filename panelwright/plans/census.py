@@ -15,6 +15,8 @@ from ..operators.relational import bounded
 CHINESE = r"(?i)\b(chinese|cina|china|tionghoa|tionghua)\b"
 KONGHUCU = r"(?i)kong\s?hu\s?cu|khong\s?hu\s?cu|confuc"
 BUDDHIST = r"(?i)budd?h|buda"
+# Fixed value: persons counted in the census of 2010.
+PERSONS_2010 = 237_641_326
 
 
 def category_codes(codebook: DataFrame, variable: str, pattern: str, needed: bool = True) -> DataFrame:

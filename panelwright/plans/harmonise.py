@@ -115,12 +115,13 @@ def build_panel(
     no served cell has is not missed in a row; to learn which these are runs a job when called.
     """
     best = best_source(panel_rows(long, rules, bad_refs), CELL, "source", "ref", "religion", preference)
-    present = [r["religion"] for r in best.select("religion").distinct().collect()]  # a closed list of categories
-    wide = best.groupBy(*CELL).pivot("religion", [*RELIGIONS, "total"]).agg(F.first("count", ignorenulls=True))
-    meta = best.groupBy(*CELL).agg(
-        string_set("source").alias("sources"), F.min("ref").alias("ref"), F.min_by("ref", F.when(F.col("religion") == "konghucu", F.col("source"))).alias("konghucu_ref")
-    )
-    panel = wide.join(meta, CELL)
+    names = [*RELIGIONS, "total"]
+    cell = lambda c: F.first(F.when(F.col("religion") == c, F.col("count")), ignorenulls=True).alias(c)
+    panel = best.groupBy(*CELL).agg(
+        *map(cell, names), string_set("source").alias("sources"), F.min("ref").alias("ref"), F.min_by("ref", F.when(F.col("religion") == "konghucu", F.col("source"))).alias("konghucu_ref")
+    )
+    held = panel.agg(*[F.count(c).alias(c) for c in names]).first()
+    present = [c for c in names if held[c]]
     if population is not None:
         panel = percent_to_counts(panel.join(population.select("unit_code", "year", "population"), ["unit_code", "year"], "left"))
     else:
@@ -161,8 +162,11 @@ def reconcile_series(long: DataFrame, unit: str, year: str, ref: str, value: str
     cell's median go; of the rest the series with the widest coverage serves, then the lesser name.
     """
     ok = long.where(F.col(value).between(low, high) & F.col(unit).isNotNull() & F.col(year).isNotNull())
-    cell, series = Window.partitionBy(unit, year), Window.partitionBy(ref)
-    ok = ok.withColumns({"_mid": F.median(value).over(cell), "_n": F.count(value).over(cell), "coverage": F.count(F.lit(1)).over(series)})
+    cell = Window.partitionBy(unit, year)
+    # a series may hold a third of all rows: it is counted with partial sums, not gathered
+    series = ok.groupBy(F.col(ref).alias("_ref")).agg(F.count(F.lit(1)).alias("coverage"))
+    ok = ok.join(small(series), F.col(ref).eqNullSafe(F.col("_ref")), "left").drop("_ref")
+    ok = ok.withColumns({"_mid": F.median(value).over(cell), "_n": F.count(value).over(cell)})
     ratio = F.try_divide(F.col(value), F.col("_mid"))
     ok = ok.where((F.col("_n") < 2) | yes(ratio.between(1 / spread, spread)))
     stats = ok.groupBy(unit, year).agg(F.count_distinct(value).alias("n_values"), F.bround(F.try_divide(F.max(value), F.min(value)), 3).alias("spread"))

@@ -180,3 +180,28 @@ def clean_label(text: Column) -> Column:
     """A printed label without stray single characters and without the translation that follows a slash."""
     words = F.filter(F.split(F.split_part(text, F.lit("/"), F.lit(1)), r"\s+"), lambda w: F.length(w) > 1)
     return F.array_join(words, " ")
+
+
+def clean_unit_name(text: Column) -> Column:
+    """A printed unit name without its translation: what follows a slash, a kind of unit in English at the end, words that come again."""
+    name = F.regexp_replace(F.trim(F.split_part(text, F.lit("/"), F.lit(1))), r"(?i)\s+(regency|municipality|city|district)$", "")
+    words = F.split(F.trim(name), r"\s+")
+    # words at the end that the name already has are its echo; two words stay at least
+    again = F.transform(words, lambda w, i: (i >= 2) & F.array_contains(F.transform(F.slice(words, F.lit(1), i), F.lower), F.lower(w)))
+    last = F.array_max(F.transform(again, lambda a, i: F.when(~a, i + 1).otherwise(0)))
+    return F.array_join(F.slice(words, F.lit(1), F.greatest(last, F.lit(1))), " ")
+
+
+def year_from_title(text: Column, other: Column) -> Column:
+    """The year behind a religion table's title, in either language of the page, else ``other``."""
+    line = F.regexp_replace(text, "\n", " ")
+    found = [F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in (r"(?i)agama\s*yang\s*dianut.*?,?\s*(20\d\d)", r"(?i)religion.{0,60}?(20\d\d)")]
+    return F.coalesce(*[f.cast("int") for f in found], other)
+
+
+def publications(listed: DataFrame, years: list[int] | None = None, pattern: str | None = None) -> DataFrame:
+    """Listed publications (domain, pub_id, title, batch): the last of each, whose title holds one of the years and the pattern, whatever its case."""
+    rows = first_per_key(listed, ["domain", "pub_id"], F.desc("batch"), F.asc("title"))
+    title = F.coalesce("title", F.lit(""))
+    rows = rows.where(title.rlike("|".join(map(str, years)))) if years else rows
+    return rows.where(title.rlike(f"(?i){pattern}")) if pattern else rows

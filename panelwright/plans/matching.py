@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import country_group, norm_kanim, norm_label, province_code, unit_key, unit_level
 from ..functions.nulls import padded, yes
-from ..operators.relational import allocate, cascade_lookup
+from ..operators.relational import allocate, cascade_lookup, small
 from .estimate import convert_investment
 
 
@@ -36,8 +36,16 @@ def match_investment_units(raw: DataFrame, codes: DataFrame, province: str = "pr
     Six keys, ever looser, of which each has to name one unit: province, level and name; province
     and name; the name alone; level and name; the name as it is printed with its prefix; and,
     where no district is printed so, the name as a town's without its prefix. The fourth to sixth
-    find districts whose province is filed differently and 'Kota Baru' for 'Kotabaru'.
+    find districts whose province is filed differently and 'Kota Baru' for 'Kotabaru'. Each pair of province and name is
+    resolved once, and the rows joined to the pairs.
     """
+    pairs = _matched(raw.select(province, name).distinct(), codes, province, name).select(F.col(province).alias("_province"), F.col(name).alias("_name"), "unit_code")
+    same = F.col(province).eqNullSafe(F.col("_province")) & F.col(name).eqNullSafe(F.col("_name"))
+    return raw.drop("unit_code").join(small(pairs), same, "left").drop("_province", "_name")
+
+
+def _matched(raw: DataFrame, codes: DataFrame, province: str, name: str) -> DataFrame:
+    """``raw`` with ``unit_code``, by the keys of ``match_investment_units``."""
     table = code_table(codes)
     plain = F.regexp_replace(F.col(name), r"(?i)^kota adm\.?\s+", "Kota ")
     bare = F.regexp_replace(F.col(name), r"(?i)^(kabupaten|kota adm\.?|kota)\s+", "")

@@ -30,3 +30,11 @@ def local_session(cores: int | str = 8, app: str = "panelwright", **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (at or tempfile.mkdtemp(prefix="panelwright-")).rstrip("/")

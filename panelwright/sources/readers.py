@@ -7,12 +7,11 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.nulls import blank_to_null
 
 
-def read_strings(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_strings(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """A CSV with a header, every column as text; codes keep their leading zeros. Gzip is read as it is."""
     return spark.read.options(header="true", **options).csv(path)
 
@@ -32,28 +31,32 @@ def read_drop_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tabular(spark: SparkSession, path: str) -> DataFrame:
-    """A small open-data file of unknown kind: JSON (flattened one level), or CSV in UTF-8 or Latin-1 with ',' or ';'.
+    """Small open-data files of unknown kind: JSON (flattened one level), or CSV in UTF-8 or Latin-1 with ',' or ';'.
 
-    The kind is told from the head of the file, then Spark's own reader takes it. Spreadsheets
-    need a reader that is not part of Spark, and raise.
+    The kind is told file by file, the encoding from all of it; Spark's own readers take the files, those of a kind together,
+    and the kinds are put side by side by name. Spreadsheets need a reader that is not part of
+    Spark, and raise.
     """
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("h")).first()
-    if head is None:
+    content, start = F.col("content"), F.ltrim(F.substring("content", 1, 4096).cast("string"), F.lit("\ufeff \r\n\t"))
+    line = F.split_part(start, F.lit("\n"), F.lit(1))
+    kind = F.when(F.hex(F.substring("content", 1, 2)).isin("504B") | (F.hex(F.substring("content", 1, 4)) == "D0CF11E0"), "sheet").when(start.rlike(r"^[\[{]"), "json").otherwise("csv")
+    encoding = F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("ISO-8859-1")
+    sep = F.when(F.regexp_count(line, F.lit(";")) > F.regexp_count(line, F.lit(",")), ";").otherwise(",")
+    files = spark.read.format("binaryFile").load(path).select("path", kind.alias("kind"), encoding.alias("encoding"), sep.alias("sep"))
+    groups = files.groupBy("kind", "encoding", "sep").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("kind", "encoding", "sep").collect()
+    if not groups:
         raise FileNotFoundError(path)
-    data = bytes(head["h"])
-    if data[:2] == b"PK" or data[:4] == b"\xd0\xcf\x11\xe0":
+    if any(g["kind"] == "sheet" for g in groups):
         raise NotImplementedError("spreadsheets: convert to CSV first")
-    if data.lstrip(b"\xef\xbb\xbf \r\n\t")[:1] in (b"{", b"["):
-        return flatten(spark.read.option("multiLine", "true").json(path))
-    try:
-        data[: max(0, len(data) - 4)].decode("utf-8")
-        encoding = "UTF-8"
-    except UnicodeDecodeError:
-        encoding = "ISO-8859-1"
-    first = data.split(b"\n", 1)[0]
-    sep = ";" if first.count(b";") > first.count(b",") else ","
-    out = read_strings(spark, path, sep=sep, encoding=encoding)
-    return out.toDF(*[c.lstrip("﻿").strip() for c in out.columns])
+    out = None
+    for g in groups:
+        if g["kind"] == "json":
+            part = flatten(spark.read.option("multiLine", "true").json(g["paths"]))
+        else:
+            part = read_strings(spark, g["paths"], sep=g["sep"], encoding=g["encoding"])
+            part = part.toDF(*[c.lstrip("\ufeff").strip() for c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -99,16 +102,21 @@ def read_lines(spark: SparkSession, path: str, highways: list[str] | None = None
     return rows.select("highway", F.explode(lines).alias("line"))
 
 
-def read_codebook(spark: SparkSession, path: str) -> DataFrame:
-    """An XML codebook's categories: var, code, label; name spaces don't matter."""
-    text = spark.read.option("wholetext", "true").text(path).first()["value"]
-    rows, bare = [], lambda e: e.tag.rsplit("}", 1)[-1]
+def _categories(text):
+    """(variable, code, label) of an XML codebook's categories."""
+    out, bare = [], lambda e: e.tag.rsplit("}", 1)[-1]
     for var in (e for e in ET.fromstring(text).iter() if bare(e) == "var"):
-        name = var.get("ID") or var.get("name")
         for cat in (e for e in var if bare(e) == "catgry"):
             part = {bare(e): (e.text or "").strip() for e in cat}
-            rows.append((name, part.get("catValu"), part.get("labl")))
-    return spark.createDataFrame(rows, StructType([StructField(c, StringType()) for c in ("var", "code", "label")]))
+            out.append((var.get("ID") or var.get("name"), part.get("catValu"), part.get("labl")))
+    return out
+
+
+def read_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """The categories of XML codebooks, one or several files: var, code, label; name spaces don't matter."""
+    text = spark.read.option("wholetext", "true").text(path)
+    categories = F.udf(_categories, "array<struct<var:string,code:string,label:string>>", useArrow=True)
+    return text.select(F.inline(categories("value")))
 
 
 def roles_of(columns: list[str], patterns: dict[str, str]) -> dict[str, str | None]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import first_per_key
@@ -52,6 +52,10 @@ def process_new_files(
     return len(batches)
 
 
-def outcome(df: DataFrame, risky: F.Column, name: str) -> DataFrame:
-    """A column that may fail row by row, with a status beside it: ok, or null value and failed."""
-    return df.withColumn(name, risky).withColumn("status", F.when(F.col(name).isNull(), "failed").otherwise("ok"))
+def outcome(df: DataFrame, risky: Column, name: str, given: Column | None = None) -> DataFrame:
+    """A column that may fail row by row, with a status beside it: ok; failed, and a null value; or empty, where ``given`` was null already."""
+    status = F.when(F.col(name).isNotNull(), "ok").otherwise("failed")
+    if given is not None:
+        status = F.when(F.col("_given"), status).otherwise("empty")
+        df = df.withColumn("_given", given.isNotNull())
+    return df.withColumn(name, risky).withColumn("status", status).drop("_given")
