@@ -48,14 +48,14 @@ def table_figures(cells: DataFrame) -> DataFrame:
     return body.select(*table, "score", "is_percent", "row_no", "printed", "label", "religion", value.alias("count")).where("count is not null")
 
 
-def book_totals(cells: DataFrame) -> DataFrame:
+def book_totals(cells: DataFrame, nested_sums: bool = False) -> DataFrame:
     """One outcome a book: book, outcome, religion, count; books without figures have a row of nulls.
 
     Of a book's tables the best outcome serves (``OUTCOMES``), then the higher page score, then the
     first. A count table gives its row labelled as a total, else the row that equals the sum of the
-    others, else the sum of its rows. Where rows are numbered on two levels that would count twice: if every
-    row of the first level equals the sum of the rows under it, these rows are added up, else
-    the table is told as nested, without figures. A percentage table gives the first row without a number whose shares add up to about 100.
+    others, else the sum of its rows. Where rows are numbered on two levels that would count twice: the table is told
+    as nested, without figures; with ``nested_sums``, if every row of the first level equals the sum of the rows
+    under it, these rows are added up. A percentage table gives the first row without a number whose shares add up to about 100.
     """
     table = ["book", "table_no"]
     rows = table_figures(cells)
@@ -76,11 +76,12 @@ def book_totals(cells: DataFrame) -> DataFrame:
     open_ = marked.where("not is_percent").join(printed.select(*table), table, "left_anti")
     sums = open_.where("not two").select(*table, "score", F.explode("counts").alias("religion", "count")).groupBy(*table, "score", "religion").agg(F.sum("count").alias("count"))
     sums = sums.groupBy(*table, "score").agg(F.map_from_arrays(F.collect_list("religion"), F.collect_list("count")).alias("counts")).withColumn("outcome", F.lit("sum of rows"))
-    long = open_.where("two").select(*table, "score", "row_no", numbered_level("printed").alias("level"), F.explode("counts").alias("religion", "count"))
-    depth = outline(long.select(*table, "row_no", "level").distinct(), table, "row_no", "level", 2)
-    tops = top_sums(subtotals(long.join(depth.drop("level"), [*table, "row_no"]), [*table, "score"], "row_no", "religion", "count"), [*table, "score"], "level", "religion", "count")
-    tops = tops.groupBy(*table, "score").agg(F.map_from_arrays(F.collect_list("religion"), F.collect_list("count")).alias("counts")).withColumn("outcome", F.lit("sum of top rows"))
-    sums = sums.unionByName(tops)
+    if nested_sums:
+        long = open_.where("two").select(*table, "score", "row_no", numbered_level("printed").alias("level"), F.explode("counts").alias("religion", "count"))
+        depth = outline(long.select(*table, "row_no", "level").distinct(), table, "row_no", "level", 2)
+        tops = top_sums(subtotals(long.join(depth.drop("level"), [*table, "row_no"]), [*table, "score"], "row_no", "religion", "count"), [*table, "score"], "level", "religion", "count")
+        tops = tops.groupBy(*table, "score").agg(F.map_from_arrays(F.collect_list("religion"), F.collect_list("count")).alias("counts")).withColumn("outcome", F.lit("sum of top rows"))
+        sums = sums.unionByName(tops)
     nested = open_.where("two").select(*table, "score").distinct().withColumns({"outcome": F.lit("nested rows"), "counts": F.lit(None).cast("map<string,double>")})
     found = printed.unionByName(sums.select(*printed.columns)).unionByName(nested.select(*printed.columns))
     rank = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome"))

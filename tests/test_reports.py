@@ -25,10 +25,11 @@ def book(spark, rows):
 
 def test_two_levels_are_added_up_once(spark):
     rows = [["01. GUGUK", "30", "3", "4"], ["1. Tarok", "10", "1", "1"], ["2. Bukik", "20", "2", "3"], ["02. AUR", "5", "5", "5"], ["1. Birugo", "5", "5", "5"]]
-    got = {(r.outcome, r.religion): r["count"] for r in yearbook.book_totals(book(spark, rows)).collect()}
+    got = {(r.outcome, r.religion): r["count"] for r in yearbook.book_totals(book(spark, rows), nested_sums=True).collect()}
     assert got == {("sum of top rows", "islam"): 35.0, ("sum of top rows", "hindu"): 8.0, ("sum of top rows", "buddha"): 9.0}
     wrong = [["01. GUGUK", "30", "3", "9"], *rows[1:]]
-    assert [(r.outcome, r.religion) for r in yearbook.book_totals(book(spark, wrong)).collect()] == [("nested rows", None)]
+    assert [(r.outcome, r.religion) for r in yearbook.book_totals(book(spark, wrong), nested_sums=True).collect()] == [("nested rows", None)]
+    assert [(r.outcome, r.religion) for r in yearbook.book_totals(book(spark, rows)).collect()] == [("nested rows", None)]
     total = [*rows, ["Jumlah / Total", "35", "8", "9"]]
     assert {r.outcome for r in yearbook.book_totals(book(spark, total)).collect()} == {"total"}
 
