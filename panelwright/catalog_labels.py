@@ -238,7 +238,7 @@ def q16e(spark, d):
     x0, y0, w = (s % 6).cast("double"), (s % 5).cast("double"), (s % 3 + 2).cast("double")
     square = lambda x, y, size: F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + size, y), (x + size, y + size), (x, y + size))])
     units = table(spark, d, "supplier").select(s.alias("unit"), F.array(square(x0, y0, w), square(x0 + 0.5, y0 + 0.5, F.lit(1.0)), square(x0 + 5, y0 + 5, F.lit(1.0))).alias("rings"))
-    return spatial.points_in_polygons(points, units, "unit", "rings", cell=1.0).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.counts_in_polygons(points, units, "unit", "rings", cell=1.0)
 
 
 @query(

@@ -151,6 +151,21 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, unit: str, ring:
     return met.where(inside("_edges")).select(*points.columns, unit)
 
 
+def counts_in_polygons(points: DataFrame, polygons: DataFrame, unit: str, ring: str, cell: float) -> DataFrame:
+    """How many points lie in each unit: unit, n; units without any have no row. ``polygons``: as for ``points_in_polygons``.
+
+    Points at one place are one point with a number, and units with the same rings are one class, so that what is joined
+    are different places and different polygons; a class's count goes to its members.
+    """
+    places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    own = polygons.groupBy(unit).agg(F.array_sort(F.collect_list(_rings(polygons, ring))).alias("_shape"))
+    classes = own.groupBy("_shape").agg(F.min(unit).alias("_class"))
+    parts = classes.select("_class", F.explode("_shape").alias("_rings"))
+    counts = points_in_polygons(places, parts, "_class", "_rings", cell).groupBy("_class").agg(F.sum("_n").alias("n"))
+    members = own.join(classes, "_shape").select(unit, "_class")
+    return members.join(counts, "_class").select(unit, "n")
+
+
 def inside(edges: str) -> Column:
     """Even-odd rule: does column x, y lie within the edges?"""
 
