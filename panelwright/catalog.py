@@ -16,7 +16,7 @@ from .functions import geo, labels, numbers
 from .operators import grids, spatial
 from .operators import relational as rel
 from .plans import detect, estimate, harmonise, ingest, matching, rollup, yearbook
-from .session import table
+from .session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -914,7 +914,7 @@ def q55(spark, d):
     a, b = F.col("p_size"), k % 90 + 1
     rows = F.array(F.array(F.lit("Kecamatan"), F.lit("Islam\nMoslem"), F.lit("dHindu\ni")), row("1. Aek", a, cents), row("2. Bah", b, F.lit(3)))
     rows = F.when(k % 2 == 0, F.concat(rows, F.array(row("Jumlah/Total", a + b, cents + 3)))).otherwise(rows)
-    cells = table(spark, d, "part").select(k.cast("string").alias("book"), F.lit(0).alias("table_no"), F.posexplode(rows).alias("row_no", "cells"), F.lit("Penduduk menurut agama").alias("text"))
+    cells = spread(table(spark, d, "part"), "p_partkey").select(k.cast("string").alias("book"), F.lit(0).alias("table_no"), F.posexplode(rows).alias("row_no", "cells"), F.lit("Penduduk menurut agama").alias("text"))
     return yearbook.book_totals(cells)
 
 

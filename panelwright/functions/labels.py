@@ -146,15 +146,17 @@ def _plain_forms() -> tuple[dict[str, str], dict[str, str]]:
 def strip_accents(text: str | Column) -> Column:
     """Text in compatibility form without combining marks: letters without their marks, ligatures and wide forms spelled out.
 
-    Characters that one other stands for are translated; texts beyond ASCII are also rewritten character by
-    character, for those that stand for several.
+    Characters that one other stands for are translated; texts with one that stands for several are rewritten
+    character by character.
     """
     one, several = _plain_forms()
     s, entry, pair = _col(text), "\x01", "\x02"
     names = F.str_to_map(F.lit(entry.join(f"{c}{pair}{plain}" for c, plain in several.items())), F.lit(entry), F.lit(pair))
     spelled = F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    plain = F.translate(F.when(s.rlike(r"[^\x00-\x7f]"), spelled).otherwise(s), "".join(one), "".join(one.values()))
-    return F.regexp_replace(plain, r"\p{M}", "")
+    long = F.when(s.rlike("[" + "".join(several) + "]"), spelled).otherwise(s)
+    plain = F.regexp_replace(F.translate(long, "".join(one), "".join(one.values())), r"\p{M}", "")
+    # plain ASCII, which most labels are, stays as it is
+    return F.when(s.rlike(r"[^\x00-\x7f]"), plain).otherwise(s)
 
 
 def norm_label(text: str | Column) -> Column:

@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df, key: str):
+    """``df`` dealt by a key over all shuffle partitions: a compact file is a task or two, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
