@@ -26,3 +26,16 @@ def test_counts_in_polygons_of_equal_units(spark):
 
 def test_sums_of_many_terms(spark):
     assert spark.range(1).select(estimate._total([F.lit(1.0)] * 5000)).first()[0] == 5000.0
+
+
+def test_percentiles_gather_no_column(spark, data):
+    assert "percentile" not in plan(catalog.QUERIES["q18_describe"](spark, data))
+    for values in ([1.0, 2.0, 4.0, 4.0, None], [3.0] * 7, [float(i * i % 997) for i in range(5000)], [5.0], [None]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        want = df.agg(*[F.percentile("x", F.lit(p)) for p in (0.25, 0.5, 0.75)]).first()
+        assert estimate.order_statistics(df, "x", (0.25, 0.5, 0.75)) == list(want)
+
+
+def test_compact_tables_are_dealt_before_pages_are_parsed(spark, data):
+    for name in ("q29_html_grid", "q59_named_columns", "q43_religion_tables"):
+        assert "hashpartitioning(p_partkey" in plan(catalog.QUERIES[name](spark, data)), name
