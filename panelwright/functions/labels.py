@@ -24,6 +24,13 @@ RELIGION_PATTERNS = [
     ("lainnya", r"lain|other"),
     ("total", r"jumlah|total"),
 ]
+#: What a label needs to name a religion or a total, whatever its case: letters of each pattern, or others than ASCII, which can stand for them.
+RELIGION_HINT = r"(?i)ong|conf|konf|percaya|hayat|aliran|islam|muslim|kristen|protestan|atolik|atholi|hindu|bud|lain|other|jumlah|total|[^\x00-\x7f]"
+#: What the commonest headers, spelled just so, name: read without normalising.
+RELIGION_NAMES = {
+    "Islam": "islam", "Kristen": "kristen", "Protestan": "kristen", "Katolik": "katolik", "Katholik": "katolik", "Hindu": "hindu", "Buddha": "buddha", "Budha": "buddha",
+    "Konghucu": "konghucu", "Khonghucu": "konghucu", "Lainnya": "lainnya", "Jumlah": "total", "Total": "total",
+}
 RELIGIONS = ["islam", "kristen", "katolik", "hindu", "buddha", "konghucu", "kepercayaan", "lainnya"]
 MAJOR_RELIGIONS = ["islam", "kristen", "katolik"]
 
@@ -180,9 +187,14 @@ def first_match(label: Column, patterns: Iterable[tuple[str, str]]) -> Column:
     return let(label, chain)
 
 
+def known_religion(text: str | Column) -> Column:
+    """What one of ``RELIGION_NAMES`` names, else null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in RELIGION_NAMES.items() for x in pair]), _col(text))
+
+
 def canonical_religion(text: str | Column) -> Column:
-    """Religion that a label names; ``total`` for totals."""
-    return first_match(norm_label(text), RELIGION_PATTERNS)
+    """Religion that a label names; ``total`` for totals. Labels without a pattern's letters, which most are, are not normalised."""
+    return F.when(_col(text).rlike(RELIGION_HINT), F.coalesce(known_religion(text), first_match(norm_label(text), RELIGION_PATTERNS)))
 
 
 def canonical_nationality(text: str | Column) -> Column:

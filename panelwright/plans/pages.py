@@ -47,7 +47,7 @@ def tables_of(cells: DataFrame) -> DataFrame:
         "numbering": F.forall("cells", lambda c: some(c).rlike(NUMBERING)) | some(F.get("cells", F.lit(0))).rlike(r"^\s*\(?\d\)?\s*$"),
     }
     row = F.struct("row_no", "cells", "roles", "label", *[c.alias(n) for n, c in parts.items()])
-    tables = rows.groupBy(*TABLE).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    tables = rows.groupBy(*TABLE).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     first = lambda n: F.get(F.filter("rows", lambda r: r["n_roles"] >= n), F.lit(0))
     tables = computed(tables, {"head": F.coalesce(first(3), first(1)), "full": first(3).isNotNull(), "width": F.array_max(F.transform("rows", lambda r: F.size(r["cells"])))})
     below = F.filter("rows", lambda r: (r["row_no"] > F.col("head.row_no")) & ~r["numbering"])
@@ -66,29 +66,37 @@ def chained(cells: DataFrame, most: int = 3) -> DataFrame:
     tables = tables_of(cells).where(F.size("data") > 0)
     one = F.struct(F.size("data").alias("n"), (-F.col("table_no")).alias("at"), F.struct(F.col("head.cells").alias("header"), F.col("head.roles").alias("roles")).alias("own"), "data")
     found = F.struct("table_no", "width", "data")
-    pages = tables.groupBy("book", "page").agg(F.max_by(F.when(F.col("full"), one), F.when(F.col("full"), F.struct(F.size("data"), -F.col("table_no")))).alias("best"), F.array_sort(F.collect_list(F.when(~F.col("full"), found))).alias("others"))
+    pages = tables.groupBy("book", "page").agg(F.max_by(F.when(F.col("full"), one), F.when(F.col("full"), F.struct(F.size("data"), -F.col("table_no")))).alias("best"), F.sort_array(F.collect_list(F.when(~F.col("full"), found))).alias("others"))
+    # every window has this one order, which ordinary columns keep, so pages are sorted once; what a chain needs of its pages lies within ``most`` rows
     order = Window.partitionBy("book").orderBy("page")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before, earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(min(1 - most, -1), -1), order.rowsBetween(0, max(most - 1, 0))
     pages = pages.withColumns({"own": F.col("best.own"), "last": F.last("best.own", True).over(before), "prev": F.lag("page").over(order)})
     fitting = F.filter("others", lambda t: t["width"] == F.size(F.col("last.header")))
     same = F.when(F.col("own").isNotNull(), _named(F.col("own.roles")) == _named(F.col("last.roles"))).otherwise(F.size(fitting) > 0)
-    pages = pages.withColumn("starts", ~yes((F.col("page") == F.col("prev") + 1) & same))
-    pages = pages.withColumn("chain", F.sum(F.col("starts").cast("int")).over(order))
-    pages = pages.withColumn("start", F.first(F.struct("page", "own")).over(Window.partitionBy("book", "chain").orderBy("page"))).where("start.own is not null")
-    held = F.when(F.col("own").isNotNull(), F.array(F.struct(F.lit(0).cast("long").alias("no"), F.col("best.data").alias("data")))).otherwise(F.transform(fitting, lambda t: F.struct(t["table_no"].cast("long").alias("no"), t["data"].alias("data"))))
-    pages = pages.where(F.col("page") < F.col("start.page") + most).select("book", "page", F.col("start.page").alias("_start"), F.col("start.own.header").alias("header"), F.col("start.own.roles").alias("_roles"), F.inline(held))
-    lines = pages.select("book", "page", "_start", "header", "_roles", "no", F.inline("data"))
+    held = F.when(F.col("own").isNotNull(), F.col("best.data")).otherwise(F.flatten(F.transform(fitting, lambda t: t["data"])))
+    pages = pages.withColumns({"starts": ~yes((F.col("page") == F.col("prev") + 1) & same), "held": held}).select("book", "page", "starts", "own", "held")
+    pages = pages.withColumn("start", F.last(F.when(F.col("starts"), F.struct("page", "own")), True).over(order))
+    pages = pages.where("start.own is not null").where(F.col("page") < F.col("start.page") + most)
     # the figures of the header's religions, for totals among the rows
-    counted = F.transform("cells", lambda c, i: F.when(F.get("_roles", i).isNotNull(), watermarked_count(c)))
-    lines = lines.withColumn("_all", F.aggregate(F.filter(counted, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v))
-    chain = Window.partitionBy("book", "_start").orderBy("page", "no", "row_no")
-    prior = chain.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns({"_prior": F.sum("_all").over(prior), "_n": F.count(F.lit(1)).over(prior)})
-    total = F.lower("label").rlike(TOTAL_LABEL) | ((F.col("_n") >= 2) & (F.col("_all") > 0) & (F.abs(F.col("_all") - F.col("_prior")) <= 0.01 * F.col("_all")))
-    ends = F.min(F.when(total, F.col("page"))).over(Window.partitionBy("book", "_start"))
-    lines = lines.withColumn("_ends", ends).where(F.coalesce(F.col("page") <= F.col("_ends"), F.lit(True)))
-    out = lines.withColumns({"row": F.row_number().over(chain), "pages": F.max("page").over(Window.partitionBy("book", "_start")) - F.col("_start") + 1})
-    return out.select("book", F.col("_start").alias("page"), F.col("pages").cast("int").alias("pages"), F.col("row").alias("row_no"), "header", "cells")
+    roles = F.col("start.own.roles")
+    counted = lambda r: F.filter(F.transform(r["cells"], lambda c, i: F.when(F.get(roles, i).isNotNull(), watermarked_count(c))), lambda v: v.isNotNull())
+    lines = F.transform("held", lambda r: F.struct(r["cells"].alias("cells"), F.aggregate(counted(r), F.lit(0.0), lambda a, v: a + v).alias("all"), F.lower(r["label"]).rlike(TOTAL_LABEL).alias("total")))
+    pages = pages.withColumns({"_start": F.col("start.page"), "header": F.col("start.own.header"), "lines": lines}).drop("starts", "own", "held", "start")
+    pages = pages.withColumns({"sum": F.aggregate("lines", F.lit(0.0), lambda a, r: a + r["all"]), "n": F.size("lines")})
+    mine = lambda c: F.filter(c, lambda p: p["_start"] == F.col("_start"))
+    pages = pages.withColumn("_earlier", F.collect_list(F.struct("_start", "sum", "n")).over(earlier))
+    prior = F.aggregate(mine(F.col("_earlier")), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, p: F.struct((a["sum"] + p["sum"]).alias("sum"), (a["n"] + p["n"]).alias("n")))
+    pages = pages.withColumns({"prior": prior}).drop("_earlier")
+    total = lambda a, r: r["total"] | ((a["n"] >= 2) & (r["all"] > 0) & (F.abs(r["all"] - a["sum"]) <= 0.01 * r["all"]))
+    step = lambda a, r: F.struct((a["sum"] + r["all"]).alias("sum"), (a["n"] + 1).alias("n"), (a["ends"] | yes(total(a, r))).alias("ends"))
+    ends = F.aggregate("lines", F.struct(F.col("prior.sum").alias("sum"), F.col("prior.n").alias("n"), F.lit(False).alias("ends")), step)["ends"]
+    pages = pages.withColumns({"ends": ends}).drop("sum", "n")
+    of = F.collect_list(F.struct("_start", "page", "ends"))
+    pages = pages.withColumns({"_before": of.over(earlier), "_after": of.over(later)}).where(~F.exists(mine(F.col("_before")), lambda p: p["ends"]))
+    after = mine(F.col("_after"))
+    last = F.coalesce(F.array_min(F.transform(F.filter(after, lambda p: p["ends"]), lambda p: p["page"])), F.array_max(F.transform(after, lambda p: p["page"])))
+    out = pages.select("book", F.col("_start").alias("page"), (last - F.col("_start") + 1).cast("int").alias("pages"), F.col("prior.n").alias("_n"), "header", F.posexplode(F.transform("lines", lambda r: r["cells"])).alias("_at", "cells"))
+    return out.select("book", "page", "pages", (F.col("_n") + F.col("_at") + 1).alias("row_no"), "header", "cells")
 
 
 def facing_columns(tables: DataFrame, cells: DataFrame, share: float = 0.6, least: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import canonical_religion
+from ..functions.labels import RELIGION_HINT, canonical_religion, known_religion
 from ..functions.nulls import computed
 from ..functions.numbers import is_percent_table, percent_value, watermarked_count
 from ..operators.grids import page_score
@@ -25,8 +25,8 @@ def header_religion(cell: str | Column) -> Column:
     text = F.coalesce(F.col(cell) if isinstance(cell, str) else cell, F.lit(""))
     plain = lambda s: F.array_join(F.filter(F.split(s, r"\s+"), lambda w: F.length(w) >= 2), " ")
     named = F.transform(F.split(text, "\n"), lambda s: canonical_religion(F.regexp_replace(plain(s), "^[a-z](?=[A-Z])", "")))
-    # cells without a letter, which most are, name nothing; beyond ASCII other characters can stand for letters
-    return F.when(text.rlike(r"[A-Za-z[^\x00-\x7F]]"), F.try_element_at(F.filter(named, lambda r: r.isNotNull()), F.lit(1)))
+    # cells without the letters of a religion, which most are, name nothing
+    return F.when(text.rlike(RELIGION_HINT), F.coalesce(known_religion(text), F.try_element_at(F.filter(named, lambda r: r.isNotNull()), F.lit(1))))
 
 
 def tables_with_figures(cells: DataFrame) -> DataFrame:

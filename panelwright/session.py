@@ -32,9 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df, key: str):
-    """``df`` dealt by a key over all shuffle partitions: a compact file is a task or two, however much work its rows are."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def spread(df, *keys: str, most: int = 4 << 20):
+    """``df`` dealt by keys over all shuffle partitions: a compact file is a task or two, however much work its rows are.
+
+    Large tables go to more partitions, of ``most`` bytes each by the optimiser's estimate, so that a task's share doesn't grow with them.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // most), 10_000)), *keys)
 
 
 def work_folder(spark: SparkSession) -> str:

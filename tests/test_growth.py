@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelwright import catalog
+from panelwright.functions import labels
 from panelwright.operators import spatial
 from panelwright.plans import estimate
 
@@ -39,3 +40,18 @@ def test_percentiles_gather_no_column(spark, data):
 def test_compact_tables_are_dealt_before_pages_are_parsed(spark, data):
     for name in ("q29_html_grid", "q59_named_columns", "q43_religion_tables"):
         assert "hashpartitioning(p_partkey" in plan(catalog.QUERIES[name](spark, data)), name
+
+
+def test_pages_of_a_book_are_sorted_once(spark, data):
+    text = plan(catalog.QUERIES["q57_page_chains"](spark, data))
+    # one sort numbers the lines, one serves every window over pages
+    assert text.count("Sort [") == 2 and "REPARTITION_BY_NUM" in text
+
+
+def test_shortcuts_of_religions_agree_with_the_patterns(spark):
+    texts = [*labels.RELIGION_NAMES, "HINDU", "Khong Hu Cu", "Kong Fu Tse", "Confucian", "konfusian", "Penghayat", "Aliran", "Muslim", "Catholic", "Budhha", "Lain-lain", "Others", "Total.", "Ísłam", "ｉｓｌａｍ", "Aek 12", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = labels.first_match(labels.norm_label("t"), labels.RELIGION_PATTERNS)
+    got = df.select("t", plain.alias("want"), labels.canonical_religion("t").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert all(r["want"] == labels.RELIGION_NAMES[r["t"]] for r in got if r["t"] in labels.RELIGION_NAMES)
