@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import yes
+from ..functions.nulls import half_even, yes
 
 #: Bytes up to which a dimension is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -156,7 +156,7 @@ def anchor_outliers(panel: DataFrame, unit: str, total: str, anchor: str, tol: f
     mid = F.when((F.count(total).over(w) >= least) & (F.median(total).over(w) > 0), F.median(total).over(w))
     base = panel.where(F.col(total).isNotNull()).withColumn("anchor", F.when(F.col(anchor) > 0, F.col(anchor)).otherwise(mid))
     ratio = F.try_divide(F.col(total), F.col("anchor"))
-    return base.where(F.abs(ratio - 1) > tol).withColumn("ratio", F.bround(ratio, 2))
+    return base.where(F.abs(ratio - 1) > tol).withColumn("ratio", half_even(ratio, 2))
 
 
 def dense_running_sum(facts: DataFrame, unit: str, year: str, value: str, first: int, last: int) -> DataFrame:

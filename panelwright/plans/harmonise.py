@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import MAJOR_RELIGIONS, RELIGIONS, ref_part
-from ..functions.nulls import computed, padded, row_sum, yes
+from ..functions.nulls import computed, half_even, padded, row_sum, yes
 from ..operators.relational import best_source, cascade_lookup, drop_by_rules, first_per_key, small, string_set
 
 LONG = [
@@ -169,7 +169,7 @@ def reconcile_series(long: DataFrame, unit: str, year: str, ref: str, value: str
     ok = ok.withColumns({"_mid": F.median(value).over(cell), "_n": F.count(value).over(cell)})
     ratio = F.try_divide(F.col(value), F.col("_mid"))
     ok = ok.where((F.col("_n") < 2) | yes(ratio.between(1 / spread, spread)))
-    stats = ok.groupBy(unit, year).agg(F.count_distinct(value).alias("n_values"), F.bround(F.try_divide(F.max(value), F.min(value)), 3).alias("spread"))
+    stats = ok.groupBy(unit, year).agg(F.count_distinct(value).alias("n_values"), half_even(F.try_divide(F.max(value), F.min(value)), 3).alias("spread"))
     best = first_per_key(ok, [unit, year], F.desc("coverage"), F.asc(ref)).select(unit, year, ref, value, "coverage")
     return best.join(stats, [unit, year])
 

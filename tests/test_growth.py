@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelwright import catalog
-from panelwright.functions import labels
+from panelwright.functions import labels, nulls
 from panelwright.operators import spatial
 from panelwright.plans import estimate
 
@@ -55,3 +55,9 @@ def test_shortcuts_of_religions_agree_with_the_patterns(spark):
     got = df.select("t", plain.alias("want"), labels.canonical_religion("t").alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
     assert all(r["want"] == labels.RELIGION_NAMES[r["t"]] for r in got if r["t"] in labels.RELIGION_NAMES)
+
+
+def test_ties_are_told_after_the_multiplication(spark):
+    values = [2.0005, 1.1115, 1.0025, -2.0005, 1.0625, 0.1, 7.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    assert [r[0] for r in df.select(nulls.half_even(F.col("x"), 3)).collect()] == [2.001, 1.112, 1.002, -2.001, 1.062, 0.1, 7.0, None]
