@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from panelwright import catalog
 from panelwright.functions import labels, nulls
-from panelwright.operators import spatial
+from panelwright.operators import placed, spatial
 from panelwright.plans import estimate
 
 
@@ -61,3 +61,17 @@ def test_ties_are_told_after_the_multiplication(spark):
     values = [2.0005, 1.1115, 1.0025, -2.0005, 1.0625, 0.1, 7.0]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
     assert [r[0] for r in df.select(nulls.half_even(F.col("x"), 3)).collect()] == [2.001, 1.112, 1.002, -2.001, 1.062, 0.1, 7.0, None]
+
+
+def test_words_of_a_page_meet_once(spark, data):
+    text = plan(catalog.QUERIES["q56_placed_words"](spark, data))
+    # documents are dealt once; neither words nor lines are shuffled, sorted or joined
+    assert text.count("Exchange ") == 1 and "Join" not in text and "Sort" not in text and "Window" not in text
+
+
+def test_pages_of_words_in_an_array(spark):
+    words = [("Islam", 50, 60, 1), ("Hindu", 70, 80, 2), ("Budha", 90, 100, 1), ("Aek", 1, 9, 20), ("5", 76, 80, 21), ("4", 70, 74, 22), (None, 1, 2, 20), ("x", None, 2, 20)]
+    pages = [(1, words), (2, words[:2]), (3, []), (4, None), (None, words)]
+    df = spark.createDataFrame(pages, "p int, words array<struct<text:string,x0:int,x1:int,top:int>>")
+    got = placed.rows_of_pages(df, ["p"], labels.canonical_religion).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, ["label", "islam", "hindu", "buddha"]), (1, 1, ["Aek", "", "4 5", ""])]
