@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +36,19 @@ def subtotals(rows: DataFrame, table: list[str], order: str, category: str, valu
 
     ``adds_up`` is null for rows with nothing under them; else whether the printed value lies within ``tol`` of the sum.
     """
-    under = rows.where("parent is not null").groupBy(*table, F.col("parent").alias("_of"), F.col(category).alias("_cat")).agg(F.sum(value).alias("below"))
-    on = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}")) for c in table]) & (F.col(f"r.{order}") == F.col("u._of")) & F.col(f"r.{category}").eqNullSafe(F.col("u._cat"))
-    out = rows.alias("r").join(under.alias("u"), on, "left").select("r.*", "u.below")
+    # each row counts for itself and for the row that it stands under, whose table it shares: nothing is joined
+    own, under = F.struct(F.col(order).alias("_at"), F.lit(False).alias("_under")), F.struct(F.col("parent").alias("_at"), F.lit(True).alias("_under"))
+    both = rows.select("*", F.inline(F.when(F.col("parent").isNotNull(), F.array(own, under)).otherwise(F.array(own))))
+    met = Window.partitionBy(*table, "_at", category)
+    out = both.withColumn("below", F.sum(F.when(F.col("_under"), F.col(value))).over(met)).where("not _under").drop("_at", "_under")
     near = yes(F.abs(F.col(value) - F.col("below")) <= tol * F.greatest(F.abs(F.col(value)), F.abs(F.col("below"))))
     return out.withColumn("adds_up", F.when(F.col("below").isNotNull(), near))
 
 
 def top_sums(rows: DataFrame, table: list[str], level: str, category: str, value: str) -> DataFrame:
     """A total a category of the tables whose every printed subtotal adds up: the sum of their first level. Others give nothing."""
-    keep = rows.groupBy(*table).agg(F.min(F.coalesce("adds_up", F.lit(True))).alias("_all"), F.count("adds_up").alias("_n")).where("_all and _n > 0")
-    on = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in table])
-    own = rows.alias("r").join(keep.alias("k"), on, "left_semi").where(F.col(level) == 1)
-    return own.groupBy(*table, category).agg(F.sum(value).alias(value))
+    top = F.col(level) == 1
+    sums = rows.groupBy(*table, category).agg(F.sum(F.when(top, F.col(value))).alias(value), F.count_if(top).alias("_tops"), F.min(F.coalesce("adds_up", F.lit(True))).alias("_all"), F.count("adds_up").alias("_n"))
+    w = Window.partitionBy(*table)
+    sums = sums.withColumns({"_all": F.min("_all").over(w), "_n": F.sum("_n").over(w)})
+    return sums.where("_all and _n > 0 and _tops > 0").select(*table, category, value)
