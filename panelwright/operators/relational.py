@@ -173,17 +173,29 @@ def demeaned(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
 
 
+def equals_rest(units: DataFrame, group: list[str], category: str, value: str, tol: float = 0.01) -> DataFrame:
+    """``units``, a row a group, category and unit, with ``equals_rest``: whether it is a printed total of the group's largest category.
+
+    Such a unit's value, the largest but for 3 %, equals the sum of the other units'; there are three units at least. All steps
+    are windows within a group, so rows dealt by a key of the group are not shuffled again.
+    """
+    w = Window.partitionBy(*group)
+    sums = units.withColumn("_sum", F.sum(value).over(Window.partitionBy(*group, category)))
+    sums = sums.withColumn("_place", F.dense_rank().over(w.orderBy(F.desc_nulls_last("_sum"), F.asc(category))))
+    top = F.col("_place") == 1
+    for c in [*group, category]:
+        top &= F.col(c).isNotNull()
+    own = F.when(F.col("_top"), F.col(value))
+    out = sums.withColumn("_top", top).withColumns({"_n": F.count_if("_top").over(w), "_max": F.max(own).over(w), "_all": F.sum(own).over(w)})
+    rest = F.col("_all") - F.col(value)
+    hit = (F.col("_n") >= 3) & (F.col("_max") > 0) & (F.col(value) >= 0.97 * F.col("_max")) & (F.abs(F.col(value) - rest) <= tol * F.greatest(F.col(value), rest))
+    return out.withColumn("equals_rest", F.col("_top") & yes(hit)).select(*units.columns, "equals_rest")
+
+
 def equal_to_rest(df: DataFrame, group: list[str], unit: str, category: str, value: str, tol: float = 0.01) -> DataFrame:
     """Units whose value of the group's largest category equals the sum of the other units': printed totals among the rows."""
-    sums = df.groupBy(*group, category).agg(F.sum(value).alias("_sum"))
-    top = first_per_key(sums, group, F.desc_nulls_last("_sum"), F.asc(category)).select(*group, F.col(category).alias("_top"))
-    own = df.join(top, group).where(F.col(category) == F.col("_top"))
-    units = own.groupBy(*group, unit).agg(F.sum(value).alias("_v"))
-    w = Window.partitionBy(*group)
-    units = units.withColumns({"_n": F.count(F.lit(1)).over(w), "_max": F.max("_v").over(w), "_all": F.sum("_v").over(w)})
-    rest = F.col("_all") - F.col("_v")
-    hit = (F.col("_n") >= 3) & (F.col("_max") > 0) & (F.col("_v") >= 0.97 * F.col("_max")) & (F.abs(F.col("_v") - rest) <= tol * F.greatest("_v", rest))
-    return units.where(hit).select(*group, unit)
+    units = df.groupBy(*group, category, unit).agg(F.sum(value).alias("_v"))
+    return equals_rest(units, group, category, "_v", tol).where("equals_rest").select(*group, unit)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:

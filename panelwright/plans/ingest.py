@@ -12,7 +12,7 @@ from ..functions.labels import PROVINCES, canonical_nationality, canonical_permi
 from ..functions.nulls import computed, yes
 from ..functions.numbers import parse_count, unit_scale
 from ..operators.grids import CUBE, axis_or, cube_cells, html_tables, unpivot_counts
-from ..operators.relational import equal_to_rest, first_n, first_per_key
+from ..operators.relational import equals_rest, first_n, first_per_key
 from ..sources.readers import roles_of
 from .printed import WHOLE, printed_tables
 
@@ -168,12 +168,15 @@ def domain_total(rows: DataFrame, domain: str, name: str) -> DataFrame:
     A row labelled as the total serves; else the unit that equals the sum of the others; else the
     sum of the parts. ``rows``: domain, year, unit, religion, count.
     """
-    labelled = rows.where(norm_label(name).rlike("^(jumlah|total)")).withColumn("rank", F.lit(1))
-    printed = equal_to_rest(rows, [domain, "year"], name, "religion", "count").select(domain, "year", name)
-    same = rows.alias("r").join(printed.alias("p"), (F.col(f"r.{domain}") == F.col(f"p.{domain}")) & F.col("r.year").eqNullSafe(F.col("p.year")) & (F.col(f"r.{name}") == F.col(f"p.{name}")), "left_semi")
-    sums = rows.groupBy(domain, "year", "religion").agg(F.sum("count").alias("count")).withColumns({name: F.lit("sum of parts"), "rank": F.lit(3)})
-    all_ = labelled.unionByName(same.withColumn("rank", F.lit(2))).unionByName(sums, allowMissingColumns=True)
-    return first_per_key(all_, [domain, "year", "religion"], F.asc("rank"), F.desc_nulls_last("count")).select(domain, "year", "religion", "count", F.element_at(F.array(F.lit("label"), F.lit("equals rest"), F.lit("sum")), F.col("rank")).alias("how"))
+    group = [domain, "year"]
+    units = rows.groupBy(*group, "religion", name).agg(F.sum("count").alias("_v"), F.max("count").alias("_largest"))
+    told = equals_rest(units, group, "religion", "_v")
+    equal = F.col(name).isNotNull() & F.max("equals_rest").over(Window.partitionBy(*group, name))
+    told = told.withColumns({"_equal": equal, "_label": yes(norm_label(name).rlike("^(jumlah|total)"))})
+    largest = lambda c: F.max(F.when(F.col(c), F.col("_largest"))).alias(f"{c}_v")
+    out = told.groupBy(*group, "religion").agg(F.max("_label").alias("_label"), F.max("_equal").alias("_equal"), largest("_label"), largest("_equal"), F.sum("_v").alias("_v"))
+    first = lambda a, b, c: F.when(F.col("_label"), a).when(F.col("_equal"), b).otherwise(c)
+    return out.select(*group, "religion", first(F.col("_label_v"), F.col("_equal_v"), F.col("_v")).alias("count"), first(F.lit("label"), F.lit("equals rest"), F.lit("sum")).alias("how"))
 
 
 def clean_label(text: Column) -> Column:

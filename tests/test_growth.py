@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from panelwright import catalog
 from panelwright.functions import labels, nulls
-from panelwright.operators import placed, spatial
-from panelwright.plans import estimate
+from panelwright.operators import outline, placed, relational, spatial
+from panelwright.plans import estimate, ingest
 
 
 def plan(df) -> str:
@@ -75,3 +75,25 @@ def test_pages_of_words_in_an_array(spark):
     df = spark.createDataFrame(pages, "p int, words array<struct<text:string,x0:int,x1:int,top:int>>")
     got = placed.rows_of_pages(df, ["p"], labels.canonical_religion).collect()
     assert sorted(map(tuple, got)) == [(1, 0, ["label", "islam", "hindu", "buddha"]), (1, 1, ["Aek", "", "4 5", ""])]
+
+
+def test_tables_of_lines_are_dealt_once(spark, data):
+    for name in ("q42_domain_total", "q61_outline"):
+        text = plan(catalog.QUERIES[name](spark, data))
+        assert text.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in text and "Join" not in text, name
+
+
+def test_subtotals_of_three_levels(spark):
+    rows = [(1, 1, 10.0, None), (2, 2, 7.0, 1), (3, 3, 7.0, 2), (4, 2, 3.0, 1), (5, 1, 4.0, None), (6, 2, None, 5)]
+    df = spark.createDataFrame([(t, *r, "all") for t in ("a", None) for r in rows], "t string, row_no int, level int, v double, parent int, cat string")
+    got = outline.subtotals(df, ["t"], "row_no", "cat", "v").collect()
+    assert sorted((r.row_no, r.below, r.adds_up) for r in got if r.t is None) == sorted((r.row_no, r.below, r.adds_up) for r in got if r.t) == [(1, 10.0, True), (2, 7.0, True), (3, None, None), (4, None, None), (5, None, None), (6, None, None)]
+    assert sorted(map(tuple, outline.top_sums(outline.subtotals(df, ["t"], "row_no", "cat", "v"), ["t"], "level", "cat", "v").collect()), key=str) == [("a", "all", 14.0), (None, "all", 14.0)]
+
+
+def test_units_equal_to_the_rest(spark):
+    rows = [("a", 2020, "x", "islam", 10.0), ("a", 2020, "y", "islam", 20.0), ("a", 2020, "z", "islam", 30.0), ("a", 2020, "z", "hindu", 5.0), ("a", 2020, "y", "hindu", 4.0), ("a", None, "x", "islam", 1.0), (None, 2020, "x", None, 1.0), ("b", 2020, "Jumlah", "islam", 9.0), ("b", 2020, "Total", "islam", 8.0), ("b", 2020, None, "islam", 1.0)]
+    df = spark.createDataFrame(rows, "d string, year int, u string, religion string, count double")
+    assert [tuple(r) for r in relational.equal_to_rest(df, ["d", "year"], "u", "religion", "count").orderBy("d").collect()] == [("a", 2020, "z"), ("b", 2020, "Jumlah")]
+    got = sorted(map(tuple, ingest.domain_total(df, "d", "u").collect()), key=str)
+    assert got == sorted([("a", 2020, "islam", 30.0, "equals rest"), ("a", 2020, "hindu", 5.0, "equals rest"), ("a", None, "islam", 1.0, "sum"), (None, 2020, None, 1.0, "sum"), ("b", 2020, "islam", 9.0, "label")], key=str)
