@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..functions.labels import PROVINCES, canonical_nationality, canonical_permi
 from ..functions.nulls import computed, yes
 from ..functions.numbers import parse_count, unit_scale
 from ..operators.grids import CUBE, axis_or, cube_cells, html_tables, unpivot_counts
-from ..operators.relational import equals_rest, first_n, first_per_key
+from ..operators.relational import equals_rest, first_per_key
 from ..sources.readers import roles_of
 from .printed import WHOLE, printed_tables
 
@@ -126,40 +123,49 @@ def domain_rows(rows: DataFrame, table: list[str], unit: str, title: str | None
     religion, count, level (kabupaten or kecamatan) and ``how``.
     """
     keys = [*table, "year"]
-    same = lambda a, b, cols: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+    over = Window.partitionBy
+    t, y = over(*table), over(*keys)
+    # every step is a window within a table, so tables dealt once are neither shuffled nor joined again
     d = rows.dropDuplicates([*keys, unit, "religion", "count"])
     d = d.withColumn("_label", yes(norm_label(unit).rlike("^(jumlah|total)") | (F.col(unit) == WHOLE)))
+    # a unit's figure of a category and year, on one of its rows
+    own = over(*keys, "religion", unit)
+    d = d.withColumns({"_one": F.row_number().over(own.orderBy("count")) == 1, "_v": F.sum("count").over(own)}).withColumn("_v", F.when(F.col("_one"), F.col("_v")))
     # printed sums, year by year
-    units = d.groupBy(*keys, "religion", unit).agg(F.sum("count").alias("_v"))
-    sums = units.groupBy(*keys, "religion").agg(F.sum("_v").alias("_all"))
-    top = first_per_key(sums, keys, F.desc_nulls_last("_all"), F.asc("religion")).drop("_all")
-    w = Window.partitionBy(*keys)
-    own = units.alias("u").join(top.alias("t"), same("u", "t", [*keys, "religion"]), "left_semi").withColumns({"_n": F.count("_v").over(w), "_max": F.max("_v").over(w)})
-    near = yes(F.col("_v") >= 0.97 * F.col("_max"))
-    own = own.withColumn("_near", near).withColumns({"_rest": F.sum(F.when(~F.col("_near"), F.col("_v")).otherwise(0.0)).over(w), "_k": F.count_if("_near").over(w)})
-    equal = own.where("_near and _n >= 3 and _max > 0 and _k < _n").where(F.abs(F.col("_max") - F.col("_rest")) <= 0.01 * F.greatest("_max", "_rest")).select(*keys, unit)
+    d = d.withColumn("_all", F.sum("_v").over(over(*keys, "religion")))
+    d = d.withColumn("_top", F.dense_rank().over(y.orderBy(F.desc_nulls_last("_all"), F.asc("religion"))) == 1)
+    d = d.withColumn("_t", F.when(F.col("_top"), F.col("_v"))).withColumns({"_n": F.count("_t").over(y), "_max": F.max("_t").over(y)})
+    d = d.withColumn("_near", yes(F.col("_t") >= 0.97 * F.col("_max")))
+    d = d.withColumns({"_rest": F.sum(F.when(F.col("_top") & F.col("_one"), F.when(~F.col("_near"), F.col("_t")).otherwise(0.0))).over(y), "_k": F.count_if("_near").over(y)})
+    equal = F.col("_near") & (F.col("_n") >= 3) & (F.col("_max") > 0) & (F.col("_k") < F.col("_n")) & (F.abs(F.col("_max") - F.col("_rest")) <= 0.01 * F.greatest("_max", "_rest"))
+    d = d.withColumn("_equal", F.max(yes(equal)).over(over(*keys, unit))).drop("_all", "_top", "_t", "_n", "_max", "_near", "_rest", "_k", "_one")
     # a name that dominates, over all years
-    every = units.groupBy(*table, "religion").agg(F.sum("_v").alias("_all"))
-    largest = first_per_key(every, table, F.desc_nulls_last("_all"), F.asc("religion")).drop("_all")
-    sizes = units.alias("u").join(largest.alias("t"), same("u", "t", [*table, "religion"]), "left_semi").groupBy(*table, unit).agg(F.sum("_v").alias("_v")).where("_v is not null")
-    two = first_n(sizes.withColumnRenamed(unit, "_unit"), table, 2, F.desc("_v"), F.asc("_unit")).groupBy(*table).agg(F.max_by("_unit", F.struct("_v", "_unit")).alias(unit), F.max("_v").alias("_first"), F.min("_v").alias("_second"), F.count(F.lit(1)).alias("_n"))
-    named = two.where("_n = 2 and _first >= 1.5 * _second").select(*table, unit)
-    marked = d.alias("d").join(equal.withColumn("_equal", F.lit(True)).alias("e"), same("d", "e", [*keys, unit]), "left").select("d.*", F.coalesce("_equal", F.lit(False)).alias("_equal"))
-    marked = marked.alias("d").join(named.withColumn("_first", F.lit(True)).alias("e"), same("d", "e", [*table, unit]), "left").select("d.*", F.coalesce("_first", F.lit(False)).alias("_first"))
+    d = d.withColumn("_every", F.sum("_v").over(over(*table, "religion")))
+    d = d.withColumn("_big", F.dense_rank().over(t.orderBy(F.desc_nulls_last("_every"), F.asc("religion"))) == 1)
+    each = over(*table, unit)
+    d = d.withColumns({"_one": F.row_number().over(each.orderBy("count")) == 1, "_size": F.sum(F.when(F.col("_big"), F.col("_v"))).over(each)}).withColumn("_size", F.when(F.col("_one"), F.col("_size")))
+    d = d.withColumn("_rank", F.row_number().over(t.orderBy(F.desc_nulls_last("_size"), F.asc(unit))))
+    at = lambda n, c: F.max(F.when(F.col("_rank") == n, F.col(c))).over(t)
+    d = d.withColumns({"_s1": at(1, "_size"), "_s2": at(2, "_size"), "_u1": at(1, unit), "_u2": at(2, unit)})
+    named = F.when(F.col("_s1") > F.col("_s2"), F.col("_u1")).otherwise(F.greatest("_u1", "_u2"))
+    d = d.withColumn("_first", yes(F.col("_s1") >= 1.5 * F.col("_s2")) & F.col(unit).eqNullSafe(named)).drop("_v", "_every", "_big", "_one", "_size", "_rank", "_s1", "_s2", "_u1", "_u2")
     if title:
         name, own_name = norm_unit_name(title), norm_unit_name(unit)
-        marked = marked.withColumn("_first", yes(F.col("_first") & ((own_name == name) | (F.regexp_replace(own_name, r"\s+(19|20)\d\d$", "") == name))))
+        d = d.withColumn("_first", yes(F.col("_first") & ((own_name == name) | (F.regexp_replace(own_name, r"\s+(19|20)\d\d$", "") == name))))
     else:
-        marked = marked.withColumn("_first", F.lit(False))
-    t = Window.partitionBy(*table)
+        d = d.withColumn("_first", F.lit(False))
     kind = F.when(F.max("_label").over(t), F.when(F.col("_label"), "label")).when(F.max("_equal").over(t), F.when(F.col("_equal"), "equals rest")).when(F.col("_first"), "name")
-    marked = marked.withColumn("how", kind).withColumn("_any", F.max(F.col("how").isNotNull()).over(t))
-    name = F.col(title) if title else F.concat_ws(" ", *[F.col(c).cast("string") for c in table])
-    out = [*table, "year", unit, "religion", "count", "level", "how"]
-    totals = first_per_key(marked.where("how is not null"), [*keys, "religion"], F.desc_nulls_last("count"), F.asc(unit)).withColumns({unit: name, "level": F.lit("kabupaten")})
-    parts = marked.where("how is null").withColumn("level", F.lit("kecamatan"))
-    summed = marked.where("not _any and count is not null").withColumn(unit, name).groupBy(*keys, unit, "religion").agg(F.sum("count").alias("count")).withColumns({"level": F.lit("kabupaten"), "how": F.lit("sum")})
-    return totals.select(out).unionByName(parts.select(out)).unionByName(summed.select(out))
+    d = d.withColumn("how", kind).withColumn("_any", F.max(F.col("how").isNotNull()).over(t))
+    d = d.withColumn("_name", F.col(title) if title else F.concat_ws(" ", *[F.col(c).cast("string") for c in table]))
+    # a row stands for itself, as a total or a part; the first of a category's parts without a total for their sum too
+    d = d.withColumn("_place", F.row_number().over(over(*keys, "religion").orderBy(F.col("how").isNull(), F.desc_nulls_last("count"), F.asc(unit))))
+    sums = over(*keys, "religion", "_name")
+    d = d.withColumns({"_one": F.row_number().over(sums.orderBy(F.desc_nulls_last("count"))) == 1, "_sum": F.sum("count").over(sums)})
+    row = lambda u, c, level, how: F.struct(u.alias(unit), c.alias("count"), F.lit(level).alias("level"), how.cast("string").alias("how"))
+    own = F.when(F.col("how").isNull(), row(F.col(unit), F.col("count"), "kecamatan", F.lit(None))).when(F.col("_place") == 1, row(F.col("_name"), F.col("count"), "kabupaten", F.col("how")))
+    summed = F.when(~F.col("_any") & F.col("_one") & F.col("count").isNotNull(), row(F.col("_name"), F.col("_sum"), "kabupaten", F.lit("sum")))
+    out = d.select(*keys, "religion", F.inline(F.array_compact(F.array(own, summed))))
+    return out.select(*keys, unit, "religion", "count", "level", "how")
 
 
 def domain_total(rows: DataFrame, domain: str, name: str) -> DataFrame:
