@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelwright import catalog
 from panelwright.functions import labels, nulls
 from panelwright.operators import outline, placed, relational, spatial
-from panelwright.plans import estimate, ingest
+from panelwright.plans import estimate, ingest, pages
 
 
 def plan(df) -> str:
@@ -97,3 +97,32 @@ def test_units_equal_to_the_rest(spark):
     assert [tuple(r) for r in relational.equal_to_rest(df, ["d", "year"], "u", "religion", "count").orderBy("d").collect()] == [("a", 2020, "z"), ("b", 2020, "Jumlah")]
     got = sorted(map(tuple, ingest.domain_total(df, "d", "u").collect()), key=str)
     assert got == sorted([("a", 2020, "islam", 30.0, "equals rest"), ("a", 2020, "hindu", 5.0, "equals rest"), ("a", None, "islam", 1.0, "sum"), (None, 2020, None, 1.0, "sum"), ("b", 2020, "islam", 9.0, "label")], key=str)
+
+
+def test_facing_pages_are_dealt_once(spark, data):
+    text = plan(catalog.QUERIES["q58_facing_pages"](spark, data))
+    # orders are dealt by customer and sorted once; labels are looked up within a page
+    assert text.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in text and "Join" not in text and text.count("Sort [") == 1
+
+
+def test_labels_are_looked_up_in_sorted_arrays(spark):
+    head, more = ["Kecamatan", "Islam", "Kristen", "Katolik"], ["Kecamatan", "Hindu", "Budha"]
+    names = ["Aek", "Bah", "Dolok", "Esa", "Fajar"]
+    rows = lambda names, *cells: [[n, *cells] for n in names]
+    tables = [
+        ("b", 1, 0, [head, *rows([*names, "Aek", None], "1", "2", "3")]),
+        # the better match is the second table; of labels that come again the last row counts
+        ("b", 2, 0, [["Kecamatan", "Khonghucu"], *rows(names[:4], "9")]), ("b", 2, 1, [more, *rows(["Aek", *names[::-1]], "4", "5"), ["aek", "6", "7"]]),
+        # a page with a header alone parts no figures and matches nothing; another book is no facing page
+        ("b", 5, 0, [head, *rows(names, "1", "2", "3")]), ("b", 6, 0, [more]), ("c", 1, 0, [head, *rows(names, "1", "2", "3")]), ("d", 2, 0, [more, *rows(names, "4", "5")]),
+        (None, 1, 0, [head, *rows(names, "1", "2", "3")]), (None, 2, 0, [more, *rows(names, "4", "5")]),
+    ]
+    cells = spark.createDataFrame([(b, p, t, i, r) for b, p, t, grid in tables for i, r in enumerate(grid)], "book string, page int, table_no int, row_no int, cells array<string>")
+    got = {(r.book, r.page): r for r in pages.faced(pages.gathered(cells)).collect()}
+    assert [(r["cells"][0], *r["cells"][4:]) for r in got["b", 1].lines] == [("Aek", "6", "7"), *[(n, "4", "5") for n in names[1:]], ("Aek", "6", "7"), (None, None, None)]
+    assert got["b", 1].header == [*head, "Hindu", "Budha"] and [tuple(p) for p in got["b", 1].pairs] == [(0, 7, 5, True), (1, 7, 6, True)]
+    assert [tuple(p) for p in got["b", 5].pairs] == [(0, 5, 0, False)] and all(got[k].header == head and not got[k].pairs for k in (("c", 1), (None, 1)))
+    # read from joined tables, it is the same
+    wide, pairs = pages.facing_columns(pages.chained(cells), cells)
+    assert sorted(((r.book, r.page, r.cells) for r in wide.collect()), key=str) == sorted(((*k, x["cells"]) for k, r in got.items() for x in r.lines), key=str)
+    assert sorted(((r.book, r.page, *r[2:]) for r in pairs.collect()), key=str) == sorted(((*k, *p) for k, r in got.items() for p in r.pairs or []), key=str)
