@@ -127,7 +127,12 @@ def chained(cells: DataFrame, most: int = 3) -> DataFrame:
     the total: a row labelled so, or one that adds up the rows before it. Of a page's tables the one
     with a header counts, the longest, then the first; without one, all of the same width together.
     """
-    pages, order = _chain_pages(gathered(cells), most)
+    return chained_pages(gathered(cells), most)
+
+
+def chained_pages(pages: DataFrame, most: int = 3) -> DataFrame:
+    """``chained`` for gathered pages."""
+    pages, order = _chain_pages(pages, most)
     of = F.collect_list(F.struct("_start", "page", "ends"))
     earlier, later = order.rowsBetween(min(1 - most, -1), -1), order.rowsBetween(0, max(most - 1, 0))
     pages = pages.withColumns({"_before": of.over(earlier), "_after": of.over(later)}).where(~F.exists(_mine(F.col("_before")), lambda p: p["ends"]))
